@@ -1,0 +1,26 @@
+"""Run registered queries and print row counts: smoke.py <sf dir> [name part ...]."""
+
+import sys
+import time
+import traceback
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from casebook.queries import queries
+from casebook.session import session
+
+if __name__ == "__main__":
+    sf, parts = sys.argv[1], sys.argv[2:]
+    spark = session()
+    for name, build in queries().items():
+        if parts and not any(part in name for part in parts):
+            continue
+        start = time.time()
+        try:
+            rows = build(spark, sf).collect()
+            print(f"{name:36s} {len(rows):8d} {time.time() - start:6.2f}s", rows[0] if rows else "", flush=True)
+        except Exception as error:
+            print(f"{name:36s} FAILED {str(error)[:600]}", flush=True)
+            if parts:
+                traceback.print_exc()
