@@ -1,2 +1,623 @@
-def oracle_sql():
-    return {}
+"""SQL counterparts of the registered queries, for DuckDB on the same tables.
+
+They follow the shape a warehouse would use (window sums, QUALIFY, joins before aggregation) rather than the shape of
+the DataFrame code, so agreement is evidence for both.
+"""
+
+from __future__ import annotations
+
+import re
+
+from casebook import inputs
+from casebook.queries import RANGE
+from tallyhouse.policy import DEMO
+
+
+def words(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{value}'" for value in values) + ")"
+
+
+def num(expression: str, name: str, digits: int = 4) -> str:
+    return f"round(CAST({expression} AS DOUBLE), {digits}) AS {name}"
+
+
+def day(expression: str, name: str) -> str:
+    return f"strftime({expression}, '%Y-%m-%d') AS {name}"
+
+
+def moment(expression: str, name: str) -> str:
+    return f"strftime({expression}, '%Y-%m-%d %H:%M:%S') AS {name}"
+
+
+def exact_ratio(numerator: str, denominator: str, digits: int, scale: int = 4) -> str:
+    """Quotient rounded half away from zero in whole numbers; DuckDB itself would divide doubles."""
+    top = f"CAST({numerator} * {10**scale} AS HUGEINT)"
+    bottom = f"CAST({denominator} * {10**scale} AS HUGEINT)"
+    rounded = f"((2 * abs({top}) * {10**digits} + abs({bottom})) // (2 * abs({bottom})))"
+    sign = f"(sign({top}) * sign({bottom}))"
+    return (
+        f"CASE WHEN {denominator} <> 0 THEN CAST({sign} * {rounded} / {10**digits}.0 AS DECIMAL(24,{max(digits, 4)})) END"
+    )
+
+
+P = DEMO
+SAVINGS_IN = f"account IN {words(P.savings_accounts)} AND flow = '{P.transfer_in}'"
+REIT = f"category = '{P.investments}' AND subcategory = '{P.reit}'"
+PREPAID = (
+    f"category = '{P.investments}' AND subcategory = '{P.property_subcategory}' AND concept = '{P.prepayment_concept}'"
+)
+DEDUCTED = f"category IN {words(P.deduction_categories)} OR concept IN {words(P.deduction_concepts)}"
+EARNED = f"category IN {words(P.earned)}"
+
+LEDGER_COLUMNS = (
+    "txn_id, month_id, txn_time, day_of_week, account, category, subcategory, concept, amount_main, flow, comment, "
+    "amount_native, currency, amount_txn"
+)
+
+# Named sub-queries; each may use the ones before it.
+CTES = {
+    "ledger_t": inputs.LEDGER,
+    "budget_t": inputs.BUDGET,
+    "mortgage_t": inputs.MORTGAGE,
+    "keys_t": "SELECT * FROM (VALUES ('C/'), ('Inm/'), ('Med/')) AS t(tag)",
+    "catalog_t": f"""SELECT src_file AS uri, count(*) AS file_size, TIMESTAMP '{inputs.CREATED_AT}' AS file_created_at,
+        TIMESTAMP '{inputs.LOADED_AT}' AS load_ts FROM ledger_t GROUP BY src_file""",
+    "stg_t": f"""SELECT md5(strftime(occurred_at, '%Y-%m-%d %H:%M:%S') || account
+          || rtrim(rtrim(CAST(amount_main AS VARCHAR), '0'), '.') || coalesce(concept, 'transfer')
+          || coalesce(comment, 'null') || category || coalesce(subcategory, 'null')) AS txn_id,
+        CAST(strftime(occurred_at, '%Y%m') AS BIGINT) AS month_id, occurred_at AS txn_time,
+        strftime(occurred_at, '%A') AS day_of_week, account, category, subcategory, concept, amount_main, flow,
+        comment, CAST(amount_txn AS DECIMAL(18,4)) AS amount_native, currency,
+        CAST(amount_txn AS DECIMAL(18,4)) AS amount_txn, l.src_file, TIMESTAMP '{inputs.LOADED_AT}' AS load_ts
+      FROM ledger_t l""",
+    "parts_t": """SELECT *, string_split(comment, ' ')[1] AS part_1, string_split(comment, ' ')[2] AS part_2,
+        CASE WHEN string_split(comment, ' ')[1] IN (SELECT tag FROM keys_t) THEN string_split(comment, ' ')[1] END AS tag,
+        CASE WHEN trim(replace(lower(comment), 'í', 'i')) LIKE '%dias trabajados'
+          OR trim(replace(lower(comment), 'í', 'i')) LIKE '%dia trabajado'
+          THEN TRY_CAST(string_split(comment, ' ')[1] AS DECIMAL(18,4)) END AS worked_days
+      FROM stg_t""",
+    "tagged_t": """SELECT *, CASE WHEN tag = 'C/' THEN part_2
+        WHEN tag IS NOT NULL THEN trim(string_split(comment, '/')[2]) END AS tag_value FROM parts_t""",
+    "fact_t": f"""SELECT {LEDGER_COLUMNS}, {exact_ratio("amount_main", "amount_txn", 3)} AS fx_rate, worked_days, tag,
+        tag_value, src_file, load_ts
+      FROM tagged_t WHERE account NOT IN {words(P.non_money_accounts)}""",
+    "owned_t": "SELECT *, account AS owner FROM fact_t",
+    "life_t": f"""SELECT h.txn_time, h.txn_id, year(h.txn_time) AS year, month(h.txn_time) AS month, h.account,
+        h.category, h.subcategory, h.concept, h.comment, h.amount_main, coalesce(v.hours, u.hours) AS hours_worked,
+        coalesce(v.pay_per_hour, u.pay_per_hour) AS pay_per_hour,
+        {exact_ratio("h.amount_main", "coalesce(v.pay_per_hour, u.pay_per_hour)", 3)} AS cost_hours, h.load_ts
+      FROM fact_t h LEFT JOIN pay_t v ON year(h.txn_time) = v.year AND month(h.txn_time) = v.month
+      CROSS JOIN (SELECT hours, pay_per_hour FROM pay_t ORDER BY year DESC, month DESC LIMIT 1) u
+      WHERE h.flow = '{P.expense}'""",
+    "comply_t": f"""SELECT md5(strftime(month_start, '%Y-%m-%d %H:%M:%S') || category) AS month_cat_id, month_start,
+        category, spent, budget, {exact_ratio("spent * 100", "budget", 3)} AS used_pct,
+        round(budget - spent, 2) AS remaining,
+        CASE WHEN budget >= spent THEN 'CUMPLE' WHEN budget < spent THEN 'EXCESO' END AS verdict, load_ts
+      FROM (
+        SELECT coalesce(date_trunc('month', h.txn_time), date_trunc('month', p.month_start)) AS month_start,
+          coalesce(h.category, p.category) AS category,
+          coalesce(sum(h.amount_main) OVER (PARTITION BY coalesce(date_trunc('month', h.txn_time),
+            date_trunc('month', p.month_start)), coalesce(h.category, p.category)), 0) AS spent,
+          p.budget, max(h.load_ts) OVER (PARTITION BY date_trunc('month', h.txn_time)) AS load_ts
+        FROM (SELECT * FROM fact_t WHERE flow = '{P.expense}') h
+        FULL OUTER JOIN budget_t p ON upper(h.category) = upper(p.category)
+          AND date_trunc('month', p.month_start) = date_trunc('month', h.txn_time)
+        QUALIFY row_number() OVER (PARTITION BY coalesce(date_trunc('month', h.txn_time),
+          date_trunc('month', p.month_start)), coalesce(h.category, p.category) ORDER BY p.budget) = 1)""",
+    "income_t": f"""SELECT *, gross - deductions AS net,
+        round(quantile_cont(CAST(gross - deductions AS DOUBLE), 0.5) OVER (PARTITION BY year), 2)
+          AS median_net
+      FROM (SELECT date_trunc('month', txn_time) AS month_start, year(txn_time) AS year, month(txn_time) AS month,
+          sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) AS gross,
+          sum(CASE WHEN {DEDUCTED} THEN amount_main ELSE 0 END) AS deductions
+        FROM fact_t GROUP BY ALL)""",
+    "share_t": f"""SELECT date_trunc('month', txn_time) AS month_start, year(txn_time) AS year,
+        month(txn_time) AS month,
+        round(sum(CASE WHEN category <> '{P.refunds}' AND flow = '{P.income}' THEN amount_main ELSE 0 END), 2)
+          AS income_total,
+        round(sum(CASE WHEN flow = '{P.expense}' AND category <> '{P.loans}' AND subcategory = '{P.tracked}'
+          THEN amount_main ELSE 0 END), 3) AS tracked_spend,
+        max(load_ts) AS load_ts
+      FROM fact_t GROUP BY 1, 2, 3""",
+    "plan_t": f"""SELECT pc.month_start, month_id, gross, net, net - living AS after_living, installment,
+        net - living - installment AS available
+      FROM (SELECT date_trunc('month', txn_time) AS month_start, month_id,
+          sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) AS gross,
+          sum(CASE WHEN {EARNED} THEN amount_main WHEN category IN {words(P.plan_deductions)} THEN -amount_main
+            ELSE 0 END) AS net
+        FROM fact_t WHERE category IN {words(P.earned + P.plan_deductions)} GROUP BY 1, 2) pc
+      LEFT JOIN (SELECT date_trunc('month', due_date) AS month_start, installment FROM mortgage_t
+        WHERE date_trunc('month', due_date) BETWEEN DATE '{P.plan_start}' AND DATE '{P.as_of}') ch USING (month_start)
+      LEFT JOIN (SELECT month_start, sum(CASE WHEN category NOT IN ('{P.debt}', '{P.essential_debt}') THEN budget
+          ELSE 0 END) * CAST({P.living_cost_buffer} AS DECIMAL(3,2)) AS living
+        FROM budget_t GROUP BY 1) gp USING (month_start)""",
+    "relevant_t": f"""SELECT r.*, pi.after_living, pi.available,
+        CAST(floor(pi.available * CAST({P.savings_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS savings_allotted,
+        CAST(floor(pi.available * CAST({P.reit_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS reit_allotted,
+        CAST(floor(pi.available * CAST({P.prepayment_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS prepayment_allotted,
+        CAST(txn_time AS DATE) AS date,
+        sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) OVER w AS gross_to_date,
+        sum(CASE WHEN {SAVINGS_IN} THEN amount_main ELSE 0 END) OVER w AS savings_invested,
+        sum(CASE WHEN concept = '{P.reit_plan_concept}' THEN amount_main ELSE 0 END) OVER w AS reit_invested,
+        sum(CASE WHEN {PREPAID} THEN amount_main ELSE 0 END) OVER w AS prepayment_invested
+      FROM (SELECT *, row_number() OVER () AS line FROM fact_t
+        WHERE {EARNED} OR ({SAVINGS_IN}) OR ({REIT}) OR ({PREPAID})) r
+      LEFT JOIN plan_t pi ON date_trunc('month', r.txn_time) = pi.month_start
+      WINDOW w AS (PARTITION BY r.month_id ORDER BY txn_time, line
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "coverage_t": f"""SELECT coalesce(p.month, i.month) AS month, coalesce(passive, 0) AS passive,
+        coalesce(indispensable, 0) AS indispensable,
+        CASE WHEN coalesce(indispensable, 0) > 0
+          THEN {exact_ratio("coalesce(passive, 0) * 100", "indispensable", 1)} ELSE 0 END AS coverage_pct
+      FROM (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS passive FROM fact_t
+        WHERE category = '{P.passive}' GROUP BY 1) p
+      FULL OUTER JOIN (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS indispensable FROM fact_t
+        WHERE category IN {words(P.indispensable)} AND flow = '{P.expense}' GROUP BY 1) i ON p.month = i.month""",
+    # Load scenario: the stored table after the first batch, and the exports after the second.
+    "batch1_t": """SELECT * FROM stg_t WHERE month_id <= 200012
+      AND NOT (month_id IN (200011, 200012) AND flow = 'Income')""",
+    "batch2_t": f"""SELECT * REPLACE (TIMESTAMP '{inputs.RELOADED_AT}' AS load_ts) FROM stg_t WHERE month_id >= 200011
+      AND NOT (month_id IN (200011, 200012) AND flow = 'Transfer out')""",
+    "exports_t": """SELECT * FROM stg_t WHERE month_id < 200011 UNION ALL SELECT * FROM batch2_t""",
+}
+
+
+def _pay(source: str, keys: str = "") -> str:
+    return f"""SELECT *, {exact_ratio("net", "nullif(hours, 0)", 2)} AS pay_per_hour FROM (
+      SELECT {keys} year, month, txn_time, worked_days, net_days, net_days * 8 AS hours, gross, deductions,
+        gross - deductions AS net, load_ts
+      FROM (SELECT *, CAST(round(worked_days * CAST({P.effective_day_factor} AS DECIMAL(4,3)), 2) AS DECIMAL(20,2))
+          AS net_days
+        FROM (SELECT {keys} year(txn_time) AS year, month(txn_time) AS month, max(txn_time) AS txn_time,
+          max(load_ts) AS load_ts,
+          sum(CASE WHEN category = '{P.salary}' THEN amount_main ELSE 0 END) AS gross,
+          sum(CASE WHEN category <> '{P.salary}' THEN amount_main ELSE 0 END) AS deductions,
+          sum(CASE WHEN category = '{P.salary}' THEN worked_days ELSE 0 END) AS worked_days
+        FROM {source} WHERE category = '{P.salary}' OR concept IN {words(P.pay_concepts)}
+          OR concept LIKE '{P.pay_concept_pattern}' GROUP BY ALL)))"""
+
+
+CTES["pay_t"] = _pay("fact_t")
+CTES["pay_owned_t"] = _pay("owned_t", "owner, ")
+
+_ORDER = [
+    "ledger_t", "budget_t", "mortgage_t", "keys_t", "catalog_t", "stg_t", "parts_t", "tagged_t", "fact_t", "owned_t",
+    "pay_t", "pay_owned_t", "life_t", "comply_t", "income_t", "share_t", "plan_t", "relevant_t", "coverage_t",
+    "batch1_t", "batch2_t", "exports_t",
+]
+
+
+def full(query: str) -> str:
+    """``query`` with the sub-queries it needs in front."""
+    needed: set[str] = set()
+    texts = [query]
+    while texts:
+        for name in re.findall(r"\b[a-z0-9_]+_t\b", texts.pop()):
+            if name in CTES and name not in needed:
+                needed.add(name)
+                texts.append(CTES[name])
+    parts = [f"{name} AS ({CTES[name]})" for name in _ORDER if name in needed]
+    if query.lstrip().startswith("WITH"):
+        query = f"SELECT * FROM ({query})"
+    return f"WITH {', '.join(parts)} {query}" if parts else query
+
+
+STG = f"""txn_id, month_id, {moment("txn_time", "txn_time")}, day_of_week, account, category, subcategory, concept,
+  {num("amount_main", "amount_main")}, flow, comment, {num("amount_native", "amount_native")}, currency,
+  {num("amount_txn", "amount_txn")}, src_file, CAST(NULL AS BIGINT) AS file_size,
+  '{inputs.CREATED_AT}' AS file_created_at, {moment("load_ts", "load_ts")}"""
+
+PAY = f"""{moment("txn_time", "txn_time")}, year, month, {num("worked_days", "worked_days")},
+  {num("net_days", "net_days")}, {num("hours", "hours")}, {num("gross", "gross")}, {num("deductions", "deductions")},
+  {num("net", "net")}, {num("pay_per_hour", "pay_per_hour")}, 'PEN' AS currency, {moment("load_ts", "load_ts")}"""
+
+LIFE = f"""{moment("txn_time", "txn_time")}, txn_id, year, month, account, category, subcategory, concept, comment,
+  {num("amount_main", "amount_main")}, {num("hours_worked", "hours_worked")}, {num("pay_per_hour", "pay_per_hour")},
+  {num("cost_hours", "cost_hours")}, {moment("load_ts", "load_ts")}"""
+
+PERCENT_TEXT = "rtrim(rtrim(CAST(used_pct AS VARCHAR), '0'), '.') || '%'"
+
+TRACKING = ", ".join(
+    [
+        day("date", "date"), "month_id", num("gross_to_date", "gross_to_date"), num("after_living", "after_living"),
+        num("available", "available"),
+        *(num(f"{name}_{part}", f"{name}_{part}") for name in ("savings", "reit", "prepayment")
+          for part in ("allotted", "invested")),
+        *(num(f"{name}_allotted - {name}_invested", f"{name}_remaining") for name in ("savings", "reit", "prepayment")),
+    ]
+)
+
+
+def _cash_flow(period: str, keys: str = "", source: str = "fact_t") -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    lead = f"{keys}, " if keys else ""
+    return f"""SELECT {lead}period, {num("income", "income")}, {num("expenses", "expenses")}, {num("balance", "balance")},
+        {num("sum(balance) OVER (" + part + " ORDER BY period ROWS UNBOUNDED PRECEDING)", "running_balance")}
+      FROM (SELECT {lead}{period} AS period,
+          sum(CASE WHEN flow = '{P.income}' THEN amount_main ELSE 0 END) AS income,
+          sum(CASE WHEN flow = '{P.expense}' THEN -amount_main ELSE 0 END) AS expenses,
+          sum(CASE WHEN flow = '{P.income}' THEN amount_main WHEN flow = '{P.expense}' THEN -amount_main ELSE 0 END)
+            AS balance
+        FROM {source} GROUP BY ALL)"""
+
+
+def _top(where: str, n: int, description: str = "description") -> str:
+    return f"""SELECT txn_id, {day("txn_time", "date")}, coalesce(category, 'Sin categoría') AS category,
+        coalesce(concept, 'Sin concepto') AS {description}, {num("coalesce(amount_main, 0)", "amount")}
+      FROM fact_t WHERE {where} ORDER BY amount_main DESC NULLS LAST, txn_id LIMIT {n}"""
+
+
+TOP_EXPENSES = f"flow = '{P.expense}' AND lower(concept) NOT IN {words(P.top_expense_hidden_concepts)}"
+
+
+def _dense(lines: str, labels: list[str], label: str, value: str) -> str:
+    """Months by labels with zero for what is missing."""
+    names = ", ".join(f"('{name}')" for name in labels)
+    return f"""WITH lines AS ({lines}), months AS (SELECT DISTINCT month FROM lines),
+        labels AS (SELECT * FROM (VALUES {names}) AS t({label})),
+        cells AS (SELECT month, {label}, sum(value) AS value FROM lines GROUP BY 1, 2)
+      SELECT m.month, l.{label}, {num("coalesce(c.value, 0)", value)} FROM months m CROSS JOIN labels l
+      LEFT JOIN cells c ON c.month = m.month AND c.{label} = l.{label}"""
+
+
+def _rates(dates_fact: str = "", dates_due: str = "") -> str:
+    return f"""SELECT income, spent - reits - voluntary - principal AS consumption,
+        reits + voluntary + savings + principal AS wealth_building
+      FROM (SELECT coalesce(sum(CASE WHEN flow = '{P.income}' THEN amount_main ELSE 0 END), 0) AS income,
+          coalesce(sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE 0 END), 0) AS spent,
+          coalesce(sum(CASE WHEN {REIT} THEN amount_main ELSE 0 END), 0) AS reits,
+          coalesce(sum(CASE WHEN category = '{P.debt}' OR ({PREPAID}) THEN amount_main ELSE 0 END), 0) AS voluntary,
+          coalesce(sum(CASE WHEN account IN {words(P.savings_accounts)} AND flow = '{P.transfer_in}' THEN amount_main
+            WHEN account IN {words(P.savings_accounts)} AND flow = '{P.transfer_out}' THEN -amount_main ELSE 0 END), 0)
+            AS savings
+        FROM fact_t WHERE true {dates_fact}) a
+      CROSS JOIN (SELECT coalesce(sum(principal), 0) AS principal FROM mortgage_t WHERE paid {dates_due}) b"""
+
+
+LATEST_BUDGET = "FROM budget_t WHERE month_start = (SELECT max(month_start) FROM budget_t)"
+
+
+def _median(dates: str = "") -> str:
+    return f"""(SELECT coalesce((SELECT quantile_cont(CAST(net AS DOUBLE), 0.5) FROM income_t
+      WHERE true {dates}), 0))"""
+
+
+def _kpis(dates_fact: str = "", dates_due: str = "", dates_month: str = "") -> str:
+    debt = f"(SELECT coalesce(sum(budget), 0) {LATEST_BUDGET} AND category = '{P.essential_debt}')"
+    median = _median(dates_month)
+    consumed = f"CASE WHEN income > 0 THEN {exact_ratio('consumption * 100', 'income', 1)} ELSE 0 END"
+    built = f"CASE WHEN income > 0 THEN {exact_ratio('wealth_building * 100', 'income', 1)} ELSE 0 END"
+    kept = f"""CASE WHEN income > 0 THEN
+      {exact_ratio('(income - consumption - wealth_building) * 100', 'income', 1)} ELSE 0 END"""
+    return f"""SELECT 30000.0::DOUBLE AS emergency_fund,
+        {num(f"(SELECT coalesce(sum(budget), 0) {LATEST_BUDGET} AND category IN {words(P.essential)})", "strict_cost")},
+        {num(f"(SELECT coalesce(sum(budget), 0) {LATEST_BUDGET})", "life_cost")},
+        {num(median, "median_net_income")}, {num(consumed, "consumption_rate", 1)}, {num(built, "wealth_rate", 1)},
+        {num(kept, "cash_rate", 1)}, {num(debt, "essential_debt")},
+        round(CASE WHEN {median} > 0 THEN CAST({debt} AS DOUBLE) / {median} * 100 ELSE 0 END, 1) AS debt_to_income_pct
+      FROM ({_rates(dates_fact, dates_due)})"""
+
+
+RANGED = [
+    f"AND CAST({column} AS DATE) >= DATE '{RANGE[0]}' AND CAST({column} AS DATE) <= DATE '{RANGE[1]}'"
+    for column in ("txn_time", "due_date", "month_start")
+]
+
+NET_WORTH = f"""
+  WITH equity AS (SELECT strftime(due_date, '%Y-%m') AS month, sum(CASE WHEN paid THEN principal_total ELSE 0 END) AS v
+      FROM mortgage_t WHERE due_date <= DATE '{P.as_of}' GROUP BY 1),
+    reits AS (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS v FROM fact_t WHERE {REIT} GROUP BY 1),
+    savings AS (SELECT strftime(txn_time, '%Y-%m') AS month,
+        sum(CASE WHEN flow IN ('{P.income}', '{P.transfer_in}') THEN amount_main
+          WHEN flow IN ('{P.expense}', '{P.transfer_out}') THEN -amount_main ELSE 0 END) AS v
+      FROM fact_t WHERE account IN {words(P.savings_accounts)} GROUP BY 1),
+    balance AS (SELECT strftime(txn_time, '%Y-%m') AS month,
+        sum(CASE WHEN flow = '{P.income}' THEN amount_main ELSE 0 END)
+        - sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE 0 END) AS v FROM fact_t GROUP BY 1),
+    months AS (SELECT month FROM equity UNION SELECT month FROM reits UNION SELECT month FROM savings
+      UNION SELECT month FROM balance),
+    series AS (SELECT m.month,
+        coalesce((SELECT sum(v) FROM equity x WHERE x.month <= m.month), 0) AS equity,
+        coalesce((SELECT sum(v) FROM reits x WHERE x.month <= m.month), 0) AS reits,
+        coalesce((SELECT sum(v) FROM savings x WHERE x.month <= m.month), 0) AS savings,
+        coalesce((SELECT sum(v) FROM balance x WHERE x.month <= m.month), 0) AS balance,
+        CASE WHEN m.month >= (SELECT min(month) FROM equity) THEN (SELECT sum(principal_total) FROM mortgage_t) END AS loan
+      FROM months m)
+  SELECT month, {num("round(equity, 2)", "mortgage_equity")}, {num("round(reits, 2)", "reits")},
+    {num("round(savings, 2)", "savings")}, {num("round(balance - savings, 2)", "cash")},
+    {num("round(coalesce(loan - equity, 0), 2)", "pending_debt")},
+    {num("round(equity + reits + savings + (balance - savings) - coalesce(loan - equity, 0), 2)", "net_worth")}
+  FROM series WHERE month >= '{P.series_start}'"""
+
+LIFE_TRACKED = f"coalesce(subcategory, 'no_subcat') = '{P.tracked}'"
+
+
+def _details(where: str) -> str:
+    return f"""SELECT {day("txn_time", "date")}, coalesce(category, '') AS category,
+        coalesce(subcategory, '') AS subcategory, coalesce(concept, '') AS concept,
+        {num("coalesce(amount_main, 0)", "amount_main")}, {num("coalesce(cost_hours, 0)", "cost_hours")},
+        {num("coalesce(hours_worked, 0)", "hours_worked")}, {num("coalesce(pay_per_hour, 0)", "pay_per_hour")}
+      FROM life_t WHERE {where}"""
+
+
+def _report(where: str = "true") -> str:
+    return f"""SELECT {day("month_start", "date")}, category, {num("coalesce(spent, 0)", "spent")},
+        {num("coalesce(budget, 0)", "budget")}, coalesce({PERCENT_TEXT}, '0%') AS used,
+        {num("coalesce(remaining, 0)", "remaining")}, coalesce(verdict, 'DESCONOCIDO') AS verdict
+      FROM comply_t WHERE {where}"""
+
+
+def _loaded(query: str) -> str:
+    return f"SELECT {STG} FROM ({query})"
+
+
+AFTER_LOAD = "SELECT * FROM stg_t WHERE month_id < 200011 UNION ALL SELECT * FROM batch2_t"
+
+MORTGAGE_COLUMNS = f"""property_id, paid, {day("due_date", "due_date")}, CAST(installment_no AS BIGINT) AS installment_no,
+  {num("installment", "installment")}, {num("property_insurance", "property_insurance")},
+  {num("life_insurance", "life_insurance")}, {num("rental_income", "rental_income")},
+  {num("extra_principal", "extra_principal")}, {num("principal", "principal")},
+  {num("principal_total", "principal_total")}, {num("interest", "interest")},
+  CAST(NULL AS BIGINT) AS days, CAST(NULL AS VARCHAR) AS comment,
+  """ + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in inputs.UNFILLED if name not in ("days", "comment"))
+
+BUDGET_COLUMNS = f"""{day("month_start", "month_start")}, CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month,
+  category, {num("budget", "budget")}"""
+
+
+def _table() -> dict[str, str]:
+    latest = "load_ts = (SELECT max(load_ts) FROM exports_t)"
+    touched = f"(SELECT DISTINCT month_id FROM exports_t WHERE {latest})"
+    kpi_cells = ", ".join(
+        f"sum(CASE WHEN lower(coalesce(subcategory, 'no_subcat')) <> '{P.tracked.lower()}' AND lower(category) = "
+        f"'{category}' THEN cost_hours ELSE 0 END) AS {bucket}"
+        for bucket, category in P.life_buckets
+    )
+    buckets = [bucket for bucket, _ in P.life_buckets] + [P.tracked_bucket]
+    kpi_rows = " UNION ALL ".join(
+        f"SELECT '{bucket}' AS bucket, {num(f'coalesce({bucket}, 0)', 'hours')} FROM sums" for bucket in buckets
+    )
+    share_pct = exact_ratio("coalesce(sum(tracked_spend), 0) * 100", "nullif(sum(income_total), 0)", 6)
+    return {
+        "s1_read_feed": f"""SELECT {moment("occurred_at", "occurred_at")}, account, category, subcategory, concept,
+            comment, flow, {num("amount_main", "amount_main")}, {num("amount_txn", "amount_native")},
+            {num("amount_txn", "amount_txn")}, currency, true AS from_csv FROM ledger_t""",
+        "s2_read_file_catalog": f"""SELECT uri, CAST(file_size AS BIGINT) AS file_size,
+            {moment("file_created_at", "file_created_at")}, {moment("load_ts", "load_ts")} FROM catalog_t""",
+        "s3_key_dictionary": """SELECT CAST(number AS BIGINT) AS number, name, tag, 'first' AS position, description,
+            'split' AS pandas_function, introduced_on, count(*) AS uses
+          FROM (VALUES (1, 'Companion', 'C/', 'who shared it', '2024-05-01'),
+            (2, 'Property', 'Inm/', 'which unit', '2024-05-01'),
+            (NULL, 'Medical', 'Med/', 'medical spend', NULL)) AS k(number, name, tag, description, introduced_on)
+          JOIN stg_t ON string_split(comment, ' ')[1] = k.tag GROUP BY ALL""",
+        "s4_budget_table": f"SELECT {BUDGET_COLUMNS} FROM budget_t",
+        "s5_mortgage_table": f"SELECT {MORTGAGE_COLUMNS} FROM mortgage_t",
+        "s6_overwrite_table": f"SELECT {BUDGET_COLUMNS} FROM budget_t",
+        "s7_month_partitions": f"""SELECT month_id, count(*) AS lines, {num("sum(amount_main)", "amount")}
+          FROM stg_t GROUP BY 1""",
+        "l1_touched_months": f"SELECT DISTINCT month_id FROM exports_t WHERE {latest}",
+        "l2_touched_months_from_files": f"""SELECT DISTINCT CAST(strftime(strptime(
+              replace(right(src_file, 8), '.csv', '') || '01', '%y%m%d'), '%Y%m') AS BIGINT) AS month_id
+          FROM exports_t WHERE {latest}""",
+        "l3_drop_months": _loaded(f"SELECT * FROM batch1_t WHERE month_id NOT IN {touched}"),
+        "l4_newer_than": _loaded(f"""SELECT * FROM exports_t WHERE load_ts >
+            (SELECT max(load_ts) FROM batch1_t WHERE month_id NOT IN {touched})"""),
+        "l5_newer_than_month": _loaded("""SELECT * FROM exports_t WHERE load_ts >
+            (SELECT date_trunc('month', max(load_ts)) FROM batch1_t)"""),
+        "l6_merge_by_key": _loaded("""SELECT * FROM batch1_t WHERE txn_id IS NULL OR txn_id NOT IN
+            (SELECT txn_id FROM batch2_t WHERE txn_id IS NOT NULL) UNION ALL SELECT * FROM batch2_t"""),
+        "l7_overwrite_months": _loaded(AFTER_LOAD),
+        "l8_append_columns": f"""SELECT {STG}, channel FROM (SELECT *, CAST(NULL AS VARCHAR) AS channel FROM batch1_t
+            UNION ALL SELECT *, 'app' AS channel FROM batch2_t)""",
+        "l9_month_batch": _loaded(AFTER_LOAD),
+        "l9_load_month_batch": _loaded(AFTER_LOAD),
+        "t1_stage_transactions": f"""SELECT {STG.replace("CAST(NULL AS BIGINT) AS file_size", "CAST(file_size AS BIGINT) AS file_size")
+            .replace(moment("load_ts", "load_ts"), moment("stg_t.load_ts", "load_ts"))}
+          FROM stg_t LEFT JOIN catalog_t ON uri = src_file""",
+        "t2_fact_transactions": f"""SELECT txn_id, month_id, {moment("txn_time", "txn_time")}, day_of_week, account,
+            category, subcategory, concept, {num("amount_main", "amount_main")}, flow, comment,
+            {num("amount_native", "amount_native")}, currency, {num("amount_txn", "amount_txn")},
+            {num("fx_rate", "fx_rate")}, {num("worked_days", "worked_days")}, tag, tag_value, src_file,
+            '{inputs.CREATED_AT}' AS file_created_at, {moment("load_ts", "load_ts")} FROM fact_t""",
+        "t3_fact_personal": f"""SELECT txn_id, month_id, {moment("txn_time", "txn_time")}, account, category, subcategory,
+            concept, CASE WHEN lower(flow) LIKE '%in%' THEN 'Positivo' WHEN lower(flow) LIKE '%expens%'
+              OR lower(flow) LIKE '%out%' THEN 'Negativo' END AS sentiment, comment,
+            {num("amount_native", "amount_native")}, currency, {num("amount_txn", "amount_txn")}, tag, tag_value,
+            {moment("load_ts", "load_ts")} FROM tagged_t WHERE account IN {words(P.personal_accounts)}""",
+        "t4_parse_tag": "SELECT comment, tag, tag_value, count(*) AS lines FROM tagged_t GROUP BY 1, 2, 3",
+        "t5_worked_days": f"""SELECT comment, count(*) AS lines, {num("worked_days", "worked_days")} FROM parts_t
+          GROUP BY comment, worked_days""",
+        "g1_hourly_pay": f"SELECT {PAY} FROM pay_t",
+        "g1_hourly_pay_by_owner": f"SELECT owner, {PAY} FROM pay_owned_t",
+        "g2_life_cost": f"SELECT {LIFE} FROM life_t",
+        "g2_life_cost_by_owner": f"""SELECT owner, month_id, {LIFE} FROM (
+            SELECT h.*, year(h.txn_time) AS year, month(h.txn_time) AS month,
+              coalesce(v.hours, u.hours) AS hours_worked, coalesce(v.pay_per_hour, u.pay_per_hour) AS pay_per_hour,
+              {exact_ratio("h.amount_main", "coalesce(v.pay_per_hour, u.pay_per_hour)", 3)} AS cost_hours
+            FROM owned_t h LEFT JOIN pay_owned_t v
+              ON h.owner = v.owner AND year(h.txn_time) = v.year AND month(h.txn_time) = v.month
+            JOIN (SELECT * FROM pay_owned_t QUALIFY row_number() OVER (PARTITION BY owner ORDER BY year DESC, month DESC)
+              = 1) u ON h.owner = u.owner WHERE h.flow = '{P.expense}')""",
+        "g3_budget_compliance": f"""SELECT month_cat_id, {day("month_start", "month_start")}, category,
+            {num("spent", "spent")}, {num("budget", "budget")}, {num("used_pct", "used_pct")}, {PERCENT_TEXT} AS used,
+            {num("remaining", "remaining")}, verdict, {moment("load_ts", "load_ts")} FROM comply_t""",
+        "g4_income_summary": f"""SELECT {day("month_start", "month_start")}, year, month, {num("gross", "gross")},
+            {num("deductions", "deductions")}, {num("net", "net")}, {num("median_net", "median_net")} FROM income_t""",
+        "g5_tagged_share": f"""SELECT {day("month_start", "month_start")}, year, month,
+            {num("income_total", "income_total")}, {num("tracked_spend", "tracked_spend")},
+            {num(exact_ratio("tracked_spend", "income_total", 5), "tracked_share", 6)}, {moment("load_ts", "load_ts")}
+          FROM share_t""",
+        "g6_tag_ledger": f"""SELECT txn_id, month_id, {moment("txn_time", "txn_time")}, account, category, subcategory,
+            concept, {num("amount_main", "amount_main")}, flow, comment, {num("amount_native", "amount_native")},
+            currency, {num("amount_txn", "amount_txn")}, {num("fx_rate", "fx_rate")}, tag, tag_value,
+            {moment("load_ts", "load_ts")}
+          FROM fact_t WHERE tag = 'Inm/' AND category NOT IN {words(P.property_hidden_categories)}""",
+        "g7_investment_plan": f"""SELECT {day("month_start", "month_start")}, month_id, {num("gross", "gross")},
+            {num("net", "net")}, {num("after_living", "after_living")}, {num("installment", "installment")},
+            {num("available", "available")},
+            {num(f"floor(available * CAST({P.savings_share} AS DECIMAL(3,2)))", "savings_share")},
+            {num(f"floor(available * CAST({P.prepayment_share} AS DECIMAL(3,2)))", "prepayment_share")},
+            {num(f"floor(available * CAST({P.reit_share} AS DECIMAL(3,2)))", "reit_share")} FROM plan_t""",
+        "g8_investment_tracking": f"""SELECT {TRACKING} FROM (SELECT * FROM relevant_t
+            QUALIFY row_number() OVER (PARTITION BY month_id ORDER BY txn_time DESC, line DESC) = 1)""",
+        "g8_investment_tracking_daily": f"""SELECT {TRACKING} FROM (SELECT * FROM relevant_t
+            QUALIFY row_number() OVER (PARTITION BY date ORDER BY txn_time DESC, line DESC) = 1)""",
+        "q1_last_update": """SELECT coalesce(strftime(max(load_ts), '%Y-%m-%d %H:%M:%S+00:00'), 'Desconocida')
+            AS last_update FROM fact_t""",
+        "q2_cash_flow": _cash_flow("strftime(date_trunc('month', txn_time), '%Y-%m-%d')"),
+        "q2_cash_flow_daily": _cash_flow("strftime(txn_time, '%Y-%m-%d')"),
+        "q2_cash_flow_by_owner": _cash_flow("strftime(date_trunc('month', txn_time), '%Y-%m-%d')", "owner", "owned_t"),
+        "q3_spend_by_category": f"""SELECT category, {num("sum(amount_main)", "amount")} FROM fact_t
+          WHERE flow = '{P.expense}' AND concept NOT IN {words(P.report_hidden_concepts)}
+            AND category IN {words(P.report_categories)} GROUP BY 1""",
+        "q4_quarter_balance": f"""SELECT strftime(date_trunc('quarter', txn_time), '%Y-%m-%d') AS quarter,
+            {num("sum(CASE WHEN lower(flow) LIKE '%in%' THEN amount_main ELSE -amount_main END)", "balance")}
+          FROM fact_t GROUP BY 1""",
+        "q5_top_expenses": _top(TOP_EXPENSES, 10),
+        "q5_top_expenses_by_owner": f"""SELECT owner, txn_id, {day("txn_time", "date")}, category,
+            concept AS description, {num("amount_main", "amount")} FROM owned_t WHERE {TOP_EXPENSES}
+          QUALIFY row_number() OVER (PARTITION BY owner ORDER BY amount_main DESC, txn_id) <= 10""",
+        "q6_budget_report": _report(),
+        "q6_budget_report_filtered": _report("""year(month_start) IN (1999, 2000) AND month(month_start) IN (1, 2, 3)
+            AND category IN ('Food', 'FOOD', 'Bills', 'Salary')"""),
+        "q7_survival_cost": f"""SELECT
+            {num(f"coalesce(sum(CASE WHEN category IN {words(P.essential)} THEN budget ELSE 0 END), 0)", "strict_cost")},
+            {num("coalesce(sum(budget), 0)", "life_cost")} {LATEST_BUDGET}""",
+        "q8_median_net_income": f"SELECT {num(_median(), 'median_net_income')}",
+        "q9_wealth_rates": f"""SELECT {num("income", "income")}, {num("consumption", "consumption")},
+            {num("wealth_building", "wealth_building")},
+            {num(exact_ratio("consumption * 100", "income", 6), "consumption_rate", 6)},
+            {num(exact_ratio("wealth_building * 100", "income", 6), "wealth_rate", 6)},
+            {num(exact_ratio("(income - consumption - wealth_building) * 100", "income", 6), "cash_rate", 6)}
+          FROM ({_rates()})""",
+        "q10_debt_to_income": f"""SELECT {num("debt", "essential_debt")}, {num("median", "median_net_income")},
+            {num("CASE WHEN median > 0 THEN CAST(debt AS DOUBLE) / median * 100 ELSE 0 END", "debt_to_income_pct")}
+          FROM (SELECT (SELECT coalesce(sum(budget), 0) {LATEST_BUDGET} AND category = '{P.essential_debt}') AS debt,
+            {_median()} AS median)""",
+        "q11_growth_kpis": _kpis(),
+        "q11_growth_kpis_ranged": _kpis(*RANGED),
+        "q12_net_worth": NET_WORTH,
+        "q13_net_worth_snapshot": f"SELECT * FROM ({NET_WORTH}) ORDER BY month DESC LIMIT 1",
+        "q14_essential_split": f"""SELECT month, {num("round(e, 2)", "essential")}, {num("round(d, 2)", "discretionary")},
+            {num(f"CASE WHEN e + d > 0 THEN {exact_ratio('e * 100', '(e + d)', 1)} ELSE 0 END", "essential_pct", 1)}
+          FROM (SELECT strftime(txn_time, '%Y-%m') AS month,
+              sum(CASE WHEN category IN {words(P.essential)} THEN amount_main ELSE 0 END) AS e,
+              sum(CASE WHEN category NOT IN {words(P.essential)} THEN amount_main ELSE 0 END) AS d
+            FROM fact_t WHERE flow = '{P.expense}' AND category NOT IN ('{P.investments}', '{P.debt}') GROUP BY 1)""",
+        "q15_net_income_series": f"""SELECT strftime(month_start, '%Y-%m') AS month, {num("coalesce(net, 0)", "net")}
+          FROM income_t""",
+        "q16_passive_income": f"""SELECT month, {num("amount", "amount")},
+            {num("sum(amount) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING)", "running_amount")}
+          FROM (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS amount FROM fact_t
+            WHERE category = '{P.passive}' GROUP BY 1)""",
+        "q17_financial_freedom": f"""SELECT month, {num("passive", "passive")},
+            {num("indispensable", "indispensable")}, {num("coverage_pct", "coverage_pct", 1)}
+          FROM coverage_t ORDER BY month DESC LIMIT 12""",
+        "q18_latest_coverage": f"""SELECT {num('''CASE
+            WHEN last_month = '%s' AND months > 1 THEN before ELSE last END''' % f"{P.as_of:%Y-%m}", "latest_coverage_pct", 1)}
+          FROM (SELECT max(month) AS last_month, count(*) AS months, max_by(coverage_pct, month) AS last,
+            (SELECT coverage_pct FROM coverage_t ORDER BY month DESC LIMIT 1 OFFSET 1) AS before FROM coverage_t)""",
+        "q19_top_income": _top(
+            f"flow = '{P.income}' AND lower(category) NOT IN {words(P.top_income_hidden_categories)}", 10
+        ),
+        "q20_income_by_category": f"""SELECT category, {num("sum(amount_main)", "amount")} FROM fact_t
+          WHERE flow = '{P.income}' AND category NOT IN ('{P.refunds}') GROUP BY 1""",
+        "q21_mortgage_kpis": f"""SELECT {num("paid", "installments_paid")}, {num("extra", "extra_principal")},
+            {num("side", "side_costs")}, {num("paid + extra + side", "total_cost")}
+          FROM (SELECT (SELECT coalesce(sum(installment), 0) FROM mortgage_t WHERE paid) AS paid,
+            (SELECT coalesce(sum(extra_principal), 0) FROM mortgage_t WHERE paid) AS extra,
+            (SELECT coalesce(sum(amount_main), 0) FROM fact_t WHERE tag_value = '{P.property_value}'
+              AND flow = '{P.expense}' AND concept NOT IN {words(P.property_hidden_concepts)}) AS side)""",
+        "q22_mortgage_breakdown": f"""SELECT strftime(due_date, '%Y-%m') AS month,
+            {num("coalesce(principal, 0)", "principal")}, {num("coalesce(interest, 0)", "interest")},
+            {num("coalesce(property_insurance, 0) + coalesce(life_insurance, 0)", "insurance")},
+            {num("coalesce(rental_income, 0)", "rental_income")} FROM mortgage_t""",
+        "q23_mortgage_equity": f"""SELECT {num("paid", "paid")}, {num("pending", "pending")},
+            {num("paid + pending", "total")} FROM (
+            SELECT sum(CASE WHEN paid THEN principal_total ELSE 0 END) AS paid,
+              sum(CASE WHEN paid THEN 0 ELSE principal_total END) AS pending FROM mortgage_t)""",
+        "q24_mortgage_prepayments": f"""SELECT strftime(due_date, '%Y-%m') AS month, {num("extra_principal", "amount")}
+          FROM mortgage_t WHERE paid AND extra_principal > 0""",
+        "q25_life_cost_kpis": f"""WITH sums AS (SELECT {kpi_cells},
+              sum(CASE WHEN lower(subcategory) = '{P.tracked.lower()}' THEN cost_hours ELSE 0 END) AS {P.tracked_bucket}
+            FROM life_t) {kpi_rows}""",
+        "q26_life_cost_details": _details(f"category = 'Food' AND NOT {LIFE_TRACKED}"),
+        "q26_life_cost_details_tracked": _details(LIFE_TRACKED),
+        "q27_life_cost_matrix": _dense(
+            f"""SELECT strftime(txn_time, '%Y-%m') AS month, category, cost_hours AS value FROM life_t
+              WHERE category IN {words(P.life_categories)} AND NOT {LIFE_TRACKED}""",
+            list(P.life_categories),
+            "category",
+            "hours",
+        ),
+        "q28_habit_matrix": _dense(
+            f"""SELECT strftime(txn_time, '%Y-%m') AS month, CASE WHEN concept = 'Instant coffee' THEN 'Coffee (Food)'
+                WHEN concept = 'Coffee' AND category = 'Food' THEN 'Coffee (Food)'
+                WHEN concept = 'Coffee' AND category = 'Entertainment' THEN 'Coffee (Entertainment)'
+                ELSE concept END AS item, amount_main AS value
+              FROM fact_t WHERE concept IN {words((*P.habit_items, "Coffee", "Instant coffee"))}
+                AND category IN {words(P.habit_categories)}""",
+            list(P.habit_labels),
+            "item",
+            "amount",
+        ),
+        "q29_tagged_kpis": f"""SELECT {num("gross", "gross_spend")}, {num("refunds", "refunds")},
+            {num("gross - refunds", "net_spend")}, {num("coalesce(pct, 0)", "share_pct", 6)}
+          FROM (SELECT coalesce(sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE 0 END), 0) AS gross,
+              coalesce(sum(CASE WHEN category = '{P.refunds}' THEN amount_main ELSE 0 END), 0) AS refunds
+            FROM fact_t WHERE subcategory = '{P.tracked}')
+          CROSS JOIN (SELECT CASE WHEN sum(income_total) > 0 THEN {share_pct} END AS pct FROM share_t)""",
+        "q30_tagged_trend": f"""SELECT strftime(month_start, '%Y-%m') AS month,
+            {num("coalesce(tracked_spend, 0)", "tracked_spend")} FROM share_t""",
+        "q31_tagged_top": f"""SELECT txn_id, {day("txn_time", "date")}, coalesce(concept, 'Sin concepto') AS concept,
+            coalesce(tag_value, '') AS tag_value, {num("coalesce(amount_main, 0)", "amount")} FROM fact_t
+          WHERE category NOT IN ('{P.loans}', '{P.refunds}') AND flow = '{P.expense}' AND subcategory = '{P.tracked}'
+          ORDER BY amount_main DESC NULLS LAST, txn_id LIMIT 100""",
+        "q32_tagged_by_category": f"""SELECT category,
+            {num(f"sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE -amount_main END)", "amount")} FROM fact_t
+          WHERE subcategory = '{P.tracked}' AND category <> '{P.refunds}' GROUP BY 1""",
+        "q33_shared_spend": f"""WITH sums AS (SELECT date_trunc('month', txn_time) AS m, tag_value, category,
+              sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE -amount_main END)
+                OVER (PARTITION BY tag_value, date_trunc('month', txn_time)) AS amount
+            FROM fact_t WHERE tag = 'C/'),
+            cells AS (SELECT DISTINCT strftime(m, '%Y-%m') AS month, coalesce(tag_value, 'Sin asignar') AS companion,
+              amount FROM sums WHERE category <> '{P.refunds}')
+          SELECT m.month, p.companion, {num("coalesce(c.amount, 0)", "amount")}
+          FROM (SELECT DISTINCT month FROM cells) m CROSS JOIN (SELECT DISTINCT companion FROM cells) p
+          LEFT JOIN cells c ON c.month = m.month AND c.companion = p.companion""",
+        "q34_date_range": f"""SELECT txn_id, {moment("txn_time", "txn_time")}, account, category,
+            {num("amount_main", "amount_main")} FROM fact_t WHERE true {RANGED[0]}""",
+        "d1_check_unique": """SELECT 'unique:txn_id' AS "check", txn_id AS key, CAST(count(*) AS VARCHAR) AS detail
+            FROM stg_t WHERE txn_id IS NOT NULL GROUP BY txn_id HAVING count(*) > 1
+          UNION ALL SELECT 'unique:month_id,category', month_id || '|' || category, CAST(count(*) AS VARCHAR)
+            FROM stg_t GROUP BY month_id, category HAVING count(*) > 1""",
+        "d2_check_not_null": """SELECT 'not_null:txn_id' AS "check", txn_id AS key, src_file AS detail
+          FROM stg_t WHERE txn_id IS NULL""",
+        "d3_check_relationship": """SELECT 'relationship:word' AS "check", part_1 AS key,
+            CAST(count(*) AS VARCHAR) AS detail FROM parts_t WHERE part_1 IS NOT NULL
+            AND part_1 NOT IN (SELECT tag FROM keys_t) GROUP BY part_1""",
+        "d4_check_net_le_gross": """SELECT 'net_le_gross' AS "check", year || '-' || month AS key,
+            CAST(net AS VARCHAR) AS detail FROM pay_t WHERE net > gross""",
+        "d5_check_value_for_tag": """SELECT 'value_for_tag' AS "check", txn_id AS key, tag AS detail FROM fact_t
+          WHERE tag IS NOT NULL AND tag_value IS NULL""",
+        "d5_check_worked_days": """SELECT 'worked_days' AS "check", txn_id AS key, comment AS detail FROM fact_t
+          WHERE (trim(replace(lower(comment), 'í', 'i')) LIKE '%dias trabajados'
+            OR trim(replace(lower(comment), 'í', 'i')) LIKE '%dia trabajado') AND worked_days IS NULL""",
+        "d6_check_freshness": f"""SELECT 'freshness:txn_time' AS "check", {moment("max(txn_time)", "key")},
+            'warn' AS detail FROM stg_t
+            HAVING max(txn_time) < TIMESTAMP '2002-01-01 12:00:00' - INTERVAL 30 DAY
+          UNION ALL SELECT 'freshness:file_created_at', {moment("max(file_created_at)", "key")}, 'error' FROM catalog_t
+            HAVING max(file_created_at) < TIMESTAMP '2002-01-01 12:00:00' - INTERVAL 24 HOUR""",
+        "d7_check_range": f"""SELECT 'range:fx_rate' AS "check", txn_id AS key, {num("fx_rate", "detail")}
+            FROM fact_t WHERE fx_rate < 2.5 OR fx_rate > 5.0
+          UNION ALL SELECT 'range:worked_days', CAST(year AS VARCHAR), {num("worked_days", "detail")} FROM pay_t
+            WHERE worked_days > 31
+          UNION ALL SELECT 'range:tracked_share', strftime(month_start, '%Y-%m-%d'), {num("share", "detail")}
+            FROM (SELECT *, {exact_ratio("tracked_spend", "income_total", 5)} AS share FROM share_t) WHERE share > 1
+          UNION ALL SELECT 'range:cost_hours', txn_id, {num("cost_hours", "detail")} FROM life_t
+            WHERE cost_hours > 300""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: full(query) for name, query in _table().items()}
