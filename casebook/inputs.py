@@ -108,7 +108,7 @@ def _utc(text: str):
     return F.lit(text).cast("timestamp")
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(
@@ -123,15 +123,26 @@ def stored(
     if key not in _stored:
         path = scratch_path(spark, name)
         write(build(), path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
+
+
+def _write_feed(lines: DataFrame, path: str) -> None:
+    """Spread over files by size: the source table may be one file that only one task can read."""
+    spark = lines.sparkSession
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    default = spark.conf.get(limit)
+    # The derivation compiles to one method too long for the JIT; below this limit Spark splits it.
+    spark.conf.set(limit, "8000")
+    try:
+        lines.hint("rebalance").write.parquet(path)
+    finally:
+        spark.conf.set(limit, default)
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ledger lines with the file columns a CSV scan provides."""
-    lines = stored(
-        spark, sf_dir, "feed", lambda: run_sql(spark, sf_dir, LEDGER), lambda df, path: df.write.parquet(path)
-    )
+    lines = stored(spark, sf_dir, "feed", lambda: run_sql(spark, sf_dir, LEDGER), _write_feed)
     return lines.select(
         "*",
         F.col("amount_txn").alias("amount_native"),

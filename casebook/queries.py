@@ -35,9 +35,9 @@ def present(df: DataFrame) -> DataFrame:
         elif isinstance(kind, T.DoubleType):
             column = F.round(column, 4)
         elif isinstance(kind, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = column.cast("string")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = column.cast("string")
         elif isinstance(kind, T.IntegerType):
             column = column.cast("bigint")
         return column.alias(field.name)

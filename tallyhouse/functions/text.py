@@ -20,12 +20,18 @@ def trim_blanks(text: Column) -> Column:
 
 def word(text: Column, position: int) -> Column:
     """Space-separated word, counted from 0; NULL past the end."""
+    if position == 0:
+        return F.substring_index(text, " ", 1)
     return F.get(F.split(text, " "), F.lit(position))
 
 
 def says_worked_days(comment: Column) -> Column:
-    folded = trim_blanks(F.translate(F.lower(comment), "í", "i"))
-    return reduce(or_, (folded.endswith(ending) for ending in WORKED_DAYS_ENDINGS))
+    """Whether the comment ends in a worked-days phrase, whatever its letter case and accent."""
+    lower = F.lower(comment)
+    folded = F.rtrim(F.translate(lower, "í", "i"), F.lit(BLANKS))
+    endings = reduce(or_, (folded.endswith(ending) for ending in WORKED_DAYS_ENDINGS))
+    # The plain search comes first: it spares most comments the folding.
+    return lower.contains("trabajado") & endings
 
 
 def worked_days(comment: Column) -> Column:

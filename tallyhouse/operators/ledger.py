@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import month_id
@@ -15,14 +15,15 @@ FILE_COLUMNS = ("file_size", "file_created_at", "load_ts")
 MONEY = "decimal(18,4)"
 
 
-def line_id():
+# English day names, Sunday first, as Spark numbers the days.
+DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def line_id() -> Column:
     """MD5 over seven fields. NULL account, amount or category gives a NULL id; the other fields have stand-ins."""
-    moment = F.col("occurred_at")
-    fraction = F.date_format(moment, "SSSSSS")
     return F.md5(
         F.concat(
-            F.date_format(moment, "yyyy-MM-dd HH:mm:ss"),
-            F.when(fraction != "000000", F.concat(F.lit("."), F.rtrim(fraction, F.lit("0")))).otherwise(F.lit("")),
+            F.col("occurred_at").cast("timestamp_ntz").cast("string"),
             F.col("account"),
             plain_number(F.col("amount_main").try_cast(MONEY)),
             F.coalesce("concept", F.lit("transfer")),
@@ -33,6 +34,10 @@ def line_id():
     )
 
 
+def day_name(moment: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, DAY_NAMES)), F.dayofweek(moment))
+
+
 def stage_transactions(feed: DataFrame, catalog: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Typed lines with id, month and the metadata of their file.
 
@@ -48,7 +53,7 @@ def stage_transactions(feed: DataFrame, catalog: DataFrame | None = None, max_ro
         line_id().alias("txn_id"),
         month_id(F.col("occurred_at")).alias("month_id"),
         F.col("occurred_at").cast("timestamp_ntz").alias("txn_time"),
-        F.date_format("occurred_at", "EEEE").alias("day_of_week"),
+        day_name(F.col("occurred_at")).alias("day_of_week"),
         *(F.col(name).cast("string") for name in ("account", "category", "subcategory", "concept")),
         F.col("amount_main").try_cast(MONEY).alias("amount_main"),
         F.col("flow").cast("string"),
