@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ Keys = Sequence[str]
 
 # A lookup is sent to every executor only after it was counted to be at most this long.
 BROADCAST_ROWS = 100_000
-SALTS = 64
+# A key is hot if it owns more than one in HOT_SHARE lines, so there are always fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1_000
+SALTS = 1_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -25,25 +28,33 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hot_keys(lines: DataFrame, on: Keys, share: int = HOT_SHARE) -> DataFrame:
+    """The fewer than ``share`` keys that own more than one in ``share`` lines, marked ``_hot``."""
+    counts = lines.groupBy(*on).agg(F.count(F.lit(1)).alias("_lines"))
+    everything = counts.agg(F.sum("_lines")).scalar()
+    return counts.filter(F.col("_lines") * share > everything).select(*on, F.lit(True).alias("_hot"))
+
+
 def lookup_join(
-    lines: DataFrame,
-    lookup: DataFrame,
-    on: Keys,
-    spread: Column,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    lines: DataFrame, lookup: DataFrame, on: Keys, spread: Column, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Left join of lines with a lookup that is unique on ``on``.
 
-    A lookup counted as small is broadcast and the lines stay where they are. A longer one is joined by shuffle, each
-    key spread over ``salts`` tasks by the hash of ``spread``, so one key may own any share of the lines.
+    A lookup counted as small is broadcast and the lines stay where they are. A longer one is joined by shuffle. There
+    the lines of hot keys, and those without a key, are spread over many tasks by the hash of ``spread``, and only the
+    lookup rows of hot keys are copied to all of these. So one key may own any share of the lines.
     """
     on = list(on)
     if is_small(lookup, max_rows):
         return lines.join(F.broadcast(lookup), on, "left")
-    salted = lines.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    hot = F.broadcast(hot_keys(lines, on))
+    keyless = reduce(or_, (F.col(name).isNull() for name in on))
+    spread_out = F.coalesce(F.col("_hot"), F.lit(False)) | keyless
+    salt = F.when(spread_out, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(F.lit(0)))
+    salted = lines.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    copied = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [*on, "_salt"], "left").drop("_salt")
 
 
 def by(keys: Keys, *columns: str) -> list[str]:
@@ -51,11 +62,14 @@ def by(keys: Keys, *columns: str) -> list[str]:
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Keys, how: str = "left") -> DataFrame:
-    """Put the one row per ledger of ``right`` next to the rows of ``left``."""
+    """Put the one row per ledger of ``right`` next to the rows of ``left``.
+
+    Without keys that row is one scalar subquery. It is NULL in all columns if ``right`` has no row.
+    """
     if keys:
         return left.join(right, list(keys), how)
-    # Without keys the right side is a global aggregate: exactly one row.
-    return left.crossJoin(F.broadcast(right))
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
 def side_by_side(frames: Sequence[DataFrame], keys: Keys) -> DataFrame:

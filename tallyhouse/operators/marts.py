@@ -52,7 +52,10 @@ def life_cost(
     """
     rates = pay.select(*keys, "year", "month", "hours", "pay_per_hour")
     latest = first_rows(rates, keys, 1, F.col("year").desc(), F.col("month").desc()).select(
-        *keys, F.col("hours").alias("_last_hours"), F.col("pay_per_hour").alias("_last_pay")
+        *keys,
+        F.lit(True).alias("_priced"),
+        F.col("hours").alias("_last_hours"),
+        F.col("pay_per_hour").alias("_last_pay"),
     )
     months = rates.select(
         *keys, (F.col("year") * 100 + F.col("month")).cast("int").alias("_month"), "hours", "pay_per_hour"
@@ -61,11 +64,11 @@ def life_cost(
     if keys:
         spread = F.col("txn_time")
         priced = lookup_join(lines, months, by(keys, "_month"), spread, max_rows)
-        priced = lookup_join(priced, latest.withColumn("_priced", F.lit(True)), keys, spread, max_rows)
-        priced = priced.filter("_priced")
+        priced = lookup_join(priced, latest, keys, spread, max_rows)
     else:
         # One ledger has at most one row per calendar month here, and one latest row.
-        priced = lines.join(F.broadcast(months), ["_month"], "left").crossJoin(F.broadcast(latest))
+        priced = attach(lines.join(F.broadcast(months), ["_month"], "left"), latest, keys)
+    priced = priced.filter("_priced")
     hours = F.coalesce("hours", "_last_hours")
     rate = F.coalesce("pay_per_hour", "_last_pay")
     kept_month = [MONTH_ID] if MONTH_ID in fact.columns else []

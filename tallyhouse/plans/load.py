@@ -167,9 +167,14 @@ def load_month_batch(
         remaining = drop_files(target, files)
     newest = remaining.agg(F.unix_micros(F.max(load_ts))).first()[0] if only_newer else None
     updates = source if newest is None else source.filter(F.col(load_ts) > F.timestamp_micros(F.lit(newest)))
-    changed = lost | _months_of(updates)
+    arriving = _months_of(updates)
+    changed = lost | arriving
     keep = remaining.filter(_in(changed))
-    held, left = _months_of(target.filter(_in(changed))), _months_of(keep, updates)
-    result = merge_by_key(keep, updates, key) if key else append_columns(keep, updates)
+    held, kept = _months_of(target.filter(_in(changed))), _months_of(keep)
+    if not kept:
+        # The usual case: every month that gains lines was cleared before, so there is nothing to merge with.
+        result = updates
+    else:
+        result = merge_by_key(keep, updates, key) if key else append_columns(keep, updates)
     sinks.overwrite_months(result, path)
-    sinks.clear_months(target, path, sorted(held - left - {None}))
+    sinks.clear_months(target, path, sorted(held - kept - arriving - {None}))

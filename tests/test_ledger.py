@@ -9,6 +9,7 @@ from casebook import inputs
 from tallyhouse.functions.calendar import date_range
 from tallyhouse.functions.money import plain_number
 from tallyhouse.operators import checks, ledger
+from tallyhouse.operators.lookups import hot_keys, lookup_join
 from tallyhouse.plans import load
 from tallyhouse.policy import DEMO, spanish_policy
 from tests.rows import fact, feed, line, staged, values
@@ -83,6 +84,17 @@ def test_salted_lookup_equals_broadcast(spark, sf):
     assert "_salt" not in salted.columns
 
 
+def test_hot_key_is_split(spark):
+    lines = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id") + 10).alias("k"), "id"
+    )
+    lookup = spark.range(2500).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    assert [row.k for row in hot_keys(lines.dropna(), ["k"]).collect()] == [7]
+    spread = lookup_join(lines, lookup, ["k"], F.col("id"), max_rows=0)
+    plain = lines.join(lookup, ["k"], "left")
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+
 def test_date_range_is_inclusive_and_reaches_the_scan(spark, sf, tmp_path):
     from tallyhouse.sources import sinks
 

@@ -236,7 +236,8 @@ def test_many_ledgers_equal_each_ledger_alone(spark, sf, build):
     lines, plans, schedule = fixture_fact(spark, sf), inputs.budget(spark, sf), inputs.mortgage(spark, sf)
     owners = ["Card", "Checking"]
     many = lines.filter(F.col("account").isin(owners)).withColumn("owner", F.col("account"))
-    copies = [df.crossJoin(spark.createDataFrame([(o,) for o in owners], "owner string")) for df in (plans, schedule)]
+    each = F.explode(F.array(*map(F.lit, owners)))
+    copies = [df.withColumn("owner", each) for df in (plans, schedule)]
     together = build(many, *copies, OWNER)
     for owner in owners:
         alone = build(many.filter(F.col("owner") == owner).drop("owner"), plans, schedule, ())
