@@ -25,6 +25,12 @@ def month_id(moment: Column) -> Column:
     return (F.year(moment) * 100 + F.month(moment)).cast("int")
 
 
+def first_day(month: Column) -> Column:
+    """First day of a month yyyymm. Lines are grouped by the month number, which the scan takes from the directory
+    name, and only the summed rows are turned into dates."""
+    return F.make_date(((month - month % 100) / 100).cast("int"), month % 100, F.lit(1))
+
+
 def month_label(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

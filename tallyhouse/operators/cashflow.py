@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhouse.functions.calendar import Dates, date_range, day_label, month_label, month_start, quarter_start
+from tallyhouse.functions.calendar import (
+    MONTH_ID,
+    Dates,
+    date_range,
+    day_label,
+    first_day,
+    month_label,
+    quarter_start,
+)
 from tallyhouse.functions.money import TOTAL, main_amount, or_zero, percent_of, total, total_when
 from tallyhouse.functions.text import like_any, text_or
 from tallyhouse.operators.lookups import Keys, first_rows, running
@@ -33,13 +41,15 @@ def cash_flow(
     """Income, spend as negative numbers, balance and running balance per day or month."""
     if grain not in ("day", "month"):
         raise ValueError(f"grain must be 'day' or 'month', not {grain!r}")
-    moment = F.col("txn_time")
-    period = F.to_date(moment) if grain == "day" else month_start(moment)
+    by_day = grain == "day"
+    group = F.to_date("txn_time").alias("_period") if by_day else F.col(MONTH_ID).alias("_period")
+    period = F.col("_period") if by_day else first_day(F.col("_period"))
     income, expense = F.col("flow") == policy.income, F.col("flow") == policy.expense
-    periods = date_range(fact, dates).groupBy(*keys, day_label(period).alias("period")).agg(
+    periods = date_range(fact, dates).groupBy(*keys, group).agg(
         or_zero(total_when(income, main_amount())).alias("income"),
         or_zero(total_when(expense, -main_amount())).alias("expenses"),
     )
+    periods = periods.select(*keys, day_label(period).alias("period"), "income", "expenses")
     return (
         periods.withColumn("balance", (F.col("income") + F.col("expenses")).cast(TOTAL))
         .withColumn("running_balance", F.sum("balance").over(running(keys, "period")).cast(TOTAL))
@@ -47,6 +57,10 @@ def cash_flow(
     )
 
 
+def _month() -> Column:
+    return month_label(first_day(F.col(MONTH_ID))).alias("month")
+
+
 def _by_category(lines: DataFrame, amount: Column, keys: Keys) -> DataFrame:
     sums = lines.groupBy(*keys, "category").agg(or_zero(total(amount)).alias("amount"))
     return sums.orderBy(*keys, F.col("amount").desc(), "category")
@@ -73,8 +87,9 @@ def income_by_category(fact: DataFrame, policy: Policy, dates: Dates = None, key
 def quarter_balance(fact: DataFrame, policy: Policy, dates: Dates = None, keys: Keys = ()) -> DataFrame:
     """Signed balance per quarter; a flow that does not match a positive pattern counts negative, as does none."""
     signed = F.when(like_any(F.lower("flow"), policy.positive_patterns), main_amount()).otherwise(-main_amount())
-    quarter = day_label(quarter_start(F.col("txn_time"))).alias("quarter")
-    quarters = date_range(fact, dates).groupBy(*keys, quarter).agg(or_zero(total(signed)).alias("balance"))
+    months = date_range(fact, dates).groupBy(*keys, MONTH_ID).agg(total(signed).alias("_balance"))
+    quarter = day_label(quarter_start(first_day(F.col(MONTH_ID)))).alias("quarter")
+    quarters = months.groupBy(*keys, quarter).agg(or_zero(total(F.col("_balance"))).alias("balance"))
     return quarters.orderBy(*keys, "quarter")
 
 
@@ -160,7 +175,7 @@ def essential_split(fact: DataFrame, policy: Policy, dates: Dates = None, keys:
     months = (
         date_range(fact, dates)
         .filter((F.col("flow") == policy.expense) & ~F.col("category").isin(policy.investments, policy.debt))
-        .groupBy(*keys, month_label(F.col("txn_time")).alias("month"))
+        .groupBy(*keys, MONTH_ID)
         .agg(
             or_zero(total_when(essential, main_amount())).alias("_essential"),
             or_zero(total_when(~essential, main_amount())).alias("_other"),
@@ -168,7 +183,7 @@ def essential_split(fact: DataFrame, policy: Policy, dates: Dates = None, keys:
     )
     whole = (F.col("_essential") + F.col("_other")).cast(TOTAL)
     return months.select(
-        *keys, "month",
+        *keys, _month(),
         F.round("_essential", 2).alias("essential"),
         F.round("_other", 2).alias("discretionary"),
         F.round(percent_of(F.col("_essential"), whole), 1).alias("essential_pct"),
@@ -187,8 +202,9 @@ def passive_income(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFram
     """Passive income per month and since the beginning."""
     months = (
         fact.filter(F.col("category") == policy.passive)
-        .groupBy(*keys, month_label(F.col("txn_time")).alias("month"))
+        .groupBy(*keys, MONTH_ID)
         .agg(or_zero(total(main_amount())).alias("amount"))
+        .select(*keys, _month(), "amount")
     )
     to_date = F.sum("amount").over(running(keys, "month")).cast(TOTAL)
     return months.withColumn("running_amount", to_date).orderBy(*keys, "month")
@@ -199,15 +215,15 @@ def coverage_by_month(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataF
     passive = F.col("category") == policy.passive
     indispensable = F.col("category").isin(*policy.indispensable) & (F.col("flow") == policy.expense)
     months = (
-        fact.filter((passive | indispensable) & F.col("txn_time").isNotNull())
-        .groupBy(*keys, month_label(F.col("txn_time")).alias("month"))
+        fact.filter((passive | indispensable) & F.col(MONTH_ID).isNotNull())
+        .groupBy(*keys, MONTH_ID)
         .agg(
             or_zero(total_when(passive, main_amount())).alias("passive"),
             or_zero(total_when(indispensable, main_amount())).alias("indispensable"),
         )
     )
     coverage = F.round(percent_of(F.col("passive"), F.col("indispensable")), 1)
-    return months.withColumn("coverage_pct", coverage)
+    return months.select(*keys, _month(), "passive", "indispensable", coverage.alias("coverage_pct"))
 
 
 def financial_freedom(fact: DataFrame, policy: Policy, months: int = 12, keys: Keys = ()) -> DataFrame:

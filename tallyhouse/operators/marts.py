@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhouse.functions.calendar import MONTH_ID, day_label, month_id, month_start
+from tallyhouse.functions.calendar import MONTH_ID, day_label, first_day, month_id, month_start
 from tallyhouse.functions.money import TOTAL, main_amount, plain_number, ratio, total, total_when
 from tallyhouse.operators.lookups import BROADCAST_ROWS, Keys, attach, by, first_rows, lookup_join
 from tallyhouse.policy import OVER_BUDGET, PREPAYMENT, REIT_PURCHASE, SAVINGS_DEPOSIT, WITHIN_BUDGET, Policy
@@ -20,13 +20,16 @@ def hourly_pay(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
         | F.col("concept").isin(*policy.pay_concepts)
         | F.col("concept").like(policy.pay_concept_pattern)
     )
-    months = lines.groupBy(*keys, F.year("txn_time").alias("year"), F.month("txn_time").alias("month")).agg(
+    months = lines.groupBy(*keys, MONTH_ID).agg(
         F.max("txn_time").alias("txn_time"),
         F.max("load_ts").alias("load_ts"),
         total_when(salary, main_amount()).alias("gross"),
         total_when(F.col("category") != policy.salary, main_amount()).alias("deductions"),
         total_when(salary, F.col("worked_days")).alias("worked_days"),
     )
+    months = months.withColumn("year", F.year(first_day(F.col(MONTH_ID)))).withColumn(
+        "month", F.month(first_day(F.col(MONTH_ID)))
+    )
     net_days = F.round(F.col("worked_days") * F.lit(policy.effective_day_factor), 2).cast("decimal(20,2)")
     hours = (F.col("net_days") * policy.hours_per_day).cast("decimal(20,2)")
     pay = ratio(F.col("net"), F.nullif(F.col("hours"), F.lit(0)), 2)
@@ -58,22 +61,21 @@ def life_cost(
         F.col("pay_per_hour").alias("_last_pay"),
     )
     months = rates.select(
-        *keys, (F.col("year") * 100 + F.col("month")).cast("int").alias("_month"), "hours", "pay_per_hour"
+        *keys, (F.col("year") * 100 + F.col("month")).cast("int").alias(MONTH_ID), "hours", "pay_per_hour"
     )
-    lines = fact.filter(F.col("flow") == policy.expense).withColumn("_month", month_id(F.col("txn_time")))
+    lines = fact.filter(F.col("flow") == policy.expense)
     if keys:
         spread = F.col("txn_time")
-        priced = lookup_join(lines, months, by(keys, "_month"), spread, max_rows)
+        priced = lookup_join(lines, months, by(keys, MONTH_ID), spread, max_rows)
         priced = lookup_join(priced, latest, keys, spread, max_rows)
     else:
         # One ledger has at most one row per calendar month here, and one latest row.
-        priced = attach(lines.join(F.broadcast(months), ["_month"], "left"), latest, keys)
+        priced = attach(lines.join(F.broadcast(months), [MONTH_ID], "left"), latest, keys)
     priced = priced.filter("_priced")
     hours = F.coalesce("hours", "_last_hours")
     rate = F.coalesce("pay_per_hour", "_last_pay")
-    kept_month = [MONTH_ID] if MONTH_ID in fact.columns else []
     return priced.select(
-        *keys, "txn_time", "txn_id", *kept_month,
+        *keys, "txn_time", "txn_id", MONTH_ID,
         F.year("txn_time").alias("year"),
         F.month("txn_time").alias("month"),
         "account", "category", "subcategory", "concept", "comment", "amount_main",
@@ -91,8 +93,9 @@ def budget_compliance(fact: DataFrame, budget: DataFrame, policy: Policy, keys:
     """
     spend = (
         fact.filter(F.col("flow") == policy.expense)
-        .groupBy(*keys, month_start(F.col("txn_time")).alias("month_start"), "category")
+        .groupBy(*keys, MONTH_ID, "category")
         .agg(total(main_amount()).alias("spent"), F.max("load_ts").alias("load_ts"))
+        .withColumn("month_start", first_day(F.col(MONTH_ID)))
         .withColumn("load_ts", F.max("load_ts").over(Window.partitionBy(*keys, "month_start")))
         .withColumn("_category", F.upper("category"))
     )
@@ -128,11 +131,12 @@ def income_summary(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFram
     """Monthly gross, deductions and net, with the year's median monthly net on each of its months."""
     deducted = F.col("category").isin(*policy.deduction_categories) | F.col("concept").isin(*policy.deduction_concepts)
     months = (
-        fact.groupBy(*keys, month_start(F.col("txn_time")).alias("month_start"))
+        fact.groupBy(*keys, MONTH_ID)
         .agg(
             total_when(F.col("category").isin(*policy.earned), main_amount()).alias("gross"),
             total_when(deducted, main_amount()).alias("deductions"),
         )
+        .withColumn("month_start", first_day(F.col(MONTH_ID)))
         .withColumn("year", F.year("month_start"))
         .withColumn("net", (F.col("gross") - F.col("deductions")).cast(TOTAL))
     )
@@ -153,12 +157,12 @@ def tagged_share(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
         & (F.col("category") != policy.loans)
         & (F.col("subcategory") == policy.tracked)
     )
-    months = fact.groupBy(*keys, month_start(F.col("txn_time")).alias("month_start")).agg(
+    months = fact.groupBy(*keys, MONTH_ID).agg(
         F.round(total_when(income, main_amount()), 2).alias("income_total"),
         F.round(total_when(tracked, main_amount()), 3).alias("tracked_spend"),
         F.max("load_ts").alias("load_ts"),
     )
-    return months.select(
+    return months.withColumn("month_start", first_day(F.col(MONTH_ID))).select(
         *keys, "month_start",
         F.year("month_start").alias("year"),
         F.month("month_start").alias("month"),
@@ -199,8 +203,9 @@ def investment_plan(
     signed = F.when(earned, main_amount()).otherwise(-main_amount())
     income = (
         fact.filter(F.col("category").isin(*policy.earned, *policy.plan_deductions))
-        .groupBy(*keys, month_start(F.col("txn_time")).alias("month_start"))
+        .groupBy(*keys, MONTH_ID)
         .agg(total_when(earned, main_amount()).alias("gross"), total(signed).alias("net"))
+        .withColumn("month_start", first_day(F.col(MONTH_ID)))
     )
     after_living = (F.col("net") - F.col("living_cost")).cast(TOTAL)
     available = (F.col("after_living") - F.col("installment")).cast(TOTAL)
@@ -214,9 +219,7 @@ def investment_plan(
         .withColumn("after_living", after_living)
         .withColumn("available", available)
         .select(
-            *keys, "month_start",
-            month_id(F.col("month_start")).alias("month_id"),
-            "gross", "net", "after_living", "installment", "available",
+            *keys, "month_start", MONTH_ID, "gross", "net", "after_living", "installment", "available",
             share(policy.savings_share).alias("savings_share"),
             share(policy.prepayment_share).alias("prepayment_share"),
             share(policy.reit_share).alias("reit_share"),

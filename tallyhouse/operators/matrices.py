@@ -11,25 +11,29 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import Dates, date_range, day_label, month_label
+from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, day_label, first_day, month_label
 from tallyhouse.functions.money import TOTAL, ZERO, main_amount, or_zero, percent_of, total, total_when
 from tallyhouse.functions.text import text_or
 from tallyhouse.operators.lookups import Keys, attach, by, first_rows, side_by_side
 from tallyhouse.policy import NO_COMPANION, NO_CONCEPT, Policy
 
 
-def _dense(lines: DataFrame, group: list, cells: Mapping[str, Column], amount: Column, label: str, value: str):
+def _dense(lines: DataFrame, group: list[str], cells: Mapping[str, Column], amount: Column, label: str, value: str):
     """One row per group and cell, zero where no line falls into the cell."""
     wide = lines.groupBy(*group).agg(
         *(or_zero(total_when(cell, amount)).alias(f"_{i}") for i, cell in enumerate(cells.values()))
     )
-    kept = [name for name in wide.columns if not name.startswith("_")]
+    kept = [_month() if name == MONTH_ID else name for name in group]
     pairs = F.array(
         *(F.struct(F.lit(name).alias(label), F.col(f"_{i}").alias(value)) for i, name in enumerate(cells))
     )
     return wide.select(*kept, F.inline(pairs))
 
 
+def _month() -> Column:
+    return month_label(first_day(F.col(MONTH_ID))).alias("month")
+
+
 def _tracked(policy: Policy) -> Column:
     return F.coalesce(F.col("subcategory") == policy.tracked, F.lit(False))
 
@@ -68,7 +72,7 @@ def life_cost_matrix(life: DataFrame, policy: Policy, dates: Dates = None, keys:
     """Hours by month and fixed category, without the tracked subcategory."""
     lines = date_range(life, dates).filter(F.col("category").isin(*policy.life_categories) & ~_tracked(policy))
     cells = {name: F.col("category") == name for name in policy.life_categories}
-    matrix = _dense(lines, by(keys) + [month_label(F.col("txn_time")).alias("month")], cells, F.col("cost_hours"), "category", "hours")
+    matrix = _dense(lines, by(keys, MONTH_ID), cells, F.col("cost_hours"), "category", "hours")
     return matrix.orderBy(*keys, "month", "category")
 
 
@@ -88,7 +92,7 @@ def habit_matrix(fact: DataFrame, policy: Policy, dates: Dates = None, keys: Key
         split & (category == policy.habit_split_home)
     )
     cells[policy.habit_out_label] = split & (category == policy.habit_split_out)
-    matrix = _dense(lines, by(keys) + [month_label(F.col("txn_time")).alias("month")], cells, main_amount(), "item", "amount")
+    matrix = _dense(lines, by(keys, MONTH_ID), cells, main_amount(), "item", "amount")
     return matrix.orderBy(*keys, "month", "item")
 
 
@@ -165,9 +169,10 @@ def shared_spend(fact: DataFrame, policy: Policy, dates: Dates = None, keys: Key
     cells = (
         date_range(fact, dates)
         .filter(F.col("tag") == policy.companion_tag)
-        .groupBy(*keys, companion, month_label(F.col("txn_time")).alias("month"))
+        .groupBy(*keys, companion, MONTH_ID)
         .agg(or_zero(total(signed)).alias("amount"), F.max(spent).alias("_spent"))
         .filter("_spent")
+        .select(*keys, "companion", _month(), "amount")
     )
     rows = cells.groupBy(*keys, "companion").agg(
         F.map_from_entries(F.collect_list(F.struct("month", "amount"))).alias("_amounts")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyhouse.functions.calendar import Dates, date_range, month_label
+from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, first_day, month_id, month_label
 from tallyhouse.functions.money import TOTAL, ZERO, main_amount, or_zero, percent_of, total, total_when
 from tallyhouse.operators.lookups import Keys, attach, first_rows, running, side_by_side
 from tallyhouse.operators.marts import prepayment, reit_purchase
@@ -134,7 +133,7 @@ def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys =
     went_out = F.col("flow").isin(policy.expense, policy.transfer_out)
     balance = F.when(F.col("flow") == policy.income, main_amount()).when(F.col("flow") == policy.expense, -main_amount())
     nothing = F.lit(ZERO).cast(TOTAL)
-    moves = fact.groupBy(*keys, month_label(F.col("txn_time")).alias("month")).agg(
+    moves = fact.groupBy(*keys, MONTH_ID).agg(
         or_zero(total_when(reit_purchase(policy), main_amount())).alias("_reits"),
         or_zero(
             total(F.when(savings & came_in, main_amount()).when(savings & went_out, -main_amount()).otherwise(F.lit(ZERO)))
@@ -145,7 +144,7 @@ def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys =
     )
     dues = (
         mortgage.filter(F.col("due_date") <= F.lit(policy.as_of))
-        .groupBy(*keys, month_label(F.col("due_date")).alias("month"))
+        .groupBy(*keys, month_id(F.col("due_date")).alias(MONTH_ID))
         .agg(
             nothing.alias("_reits"),
             nothing.alias("_savings"),
@@ -157,12 +156,12 @@ def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys =
     parts = ("_reits", "_savings", "_balance", "_equity")
     months = (
         moves.unionByName(dues)
-        .groupBy(*keys, "month")
+        .groupBy(*keys, MONTH_ID)
         .agg(*(total(F.col(name)).alias(name) for name in parts), F.max("_due").alias("_due"))
     )
-    since_start = running(keys, "month")
+    since_start = running(keys, MONTH_ID)
     sums = months.select(
-        *keys, "month",
+        *keys, month_label(first_day(F.col(MONTH_ID))).alias("month"),
         *(F.sum(name).over(since_start).cast(TOTAL).alias(name) for name in parts),
         F.max("_due").over(since_start).alias("_mortgaged"),
     )
