@@ -1,7 +1,7 @@
 """SQL counterparts of the registered queries, for DuckDB on the same tables.
 
-They follow the shape a warehouse would use (window sums, QUALIFY, joins before aggregation) rather than the shape of
-the DataFrame code, so agreement is evidence for both.
+They are written apart from the DataFrame code: filtered aggregates, correlated subqueries and unions where that has
+conditional sums, joins and windows. Agreement is evidence for both.
 """
 
 from __future__ import annotations
@@ -70,89 +70,80 @@ CTES = {
         comment, CAST(amount_txn AS DECIMAL(18,4)) AS amount_native, currency,
         CAST(amount_txn AS DECIMAL(18,4)) AS amount_txn, l.src_file, TIMESTAMP '{inputs.LOADED_AT}' AS load_ts
       FROM ledger_t l""",
-    "parts_t": """SELECT *, string_split(comment, ' ')[1] AS part_1, string_split(comment, ' ')[2] AS part_2,
-        CASE WHEN string_split(comment, ' ')[1] IN (SELECT tag FROM keys_t) THEN string_split(comment, ' ')[1] END AS tag,
-        CASE WHEN trim(replace(lower(comment), 'í', 'i')) LIKE '%dias trabajados'
-          OR trim(replace(lower(comment), 'í', 'i')) LIKE '%dia trabajado'
-          THEN TRY_CAST(string_split(comment, ' ')[1] AS DECIMAL(18,4)) END AS worked_days
-      FROM stg_t""",
-    "tagged_t": """SELECT *, CASE WHEN tag = 'C/' THEN part_2
-        WHEN tag IS NOT NULL THEN trim(string_split(comment, '/')[2]) END AS tag_value FROM parts_t""",
+    "words_t": """SELECT *, string_split(comment, ' ') AS words,
+        regexp_matches(trim(lower(comment)), '(d[ií]as trabajados|d[ií]a trabajado)$') AS says_days FROM stg_t""",
+    "tagged_t": """SELECT l.*, k.tag, CASE WHEN says_days THEN TRY_CAST(words[1] AS DECIMAL(18,4)) END AS worked_days,
+        CASE k.tag WHEN 'C/' THEN words[2] ELSE trim(regexp_extract(CASE WHEN k.tag IS NOT NULL THEN comment END, '/([^/]*)', 1)) END
+          AS tag_value
+      FROM words_t l LEFT JOIN keys_t k ON k.tag = l.words[1]""",
     "fact_t": f"""SELECT {LEDGER_COLUMNS}, {exact_ratio("amount_main", "amount_txn", 3)} AS fx_rate, worked_days, tag,
         tag_value, src_file, load_ts
       FROM tagged_t WHERE account NOT IN {words(P.non_money_accounts)}""",
     "owned_t": "SELECT *, account AS owner FROM fact_t",
-    "life_t": f"""SELECT h.txn_time, h.txn_id, year(h.txn_time) AS year, month(h.txn_time) AS month, h.account,
-        h.category, h.subcategory, h.concept, h.comment, h.amount_main, coalesce(v.hours, u.hours) AS hours_worked,
-        coalesce(v.pay_per_hour, u.pay_per_hour) AS pay_per_hour,
-        {exact_ratio("h.amount_main", "coalesce(v.pay_per_hour, u.pay_per_hour)", 3)} AS cost_hours, h.load_ts
-      FROM fact_t h LEFT JOIN pay_t v ON year(h.txn_time) = v.year AND month(h.txn_time) = v.month
-      CROSS JOIN (SELECT hours, pay_per_hour FROM pay_t ORDER BY year DESC, month DESC LIMIT 1) u
-      WHERE h.flow = '{P.expense}'""",
+    "cells_t": f"""SELECT date_trunc('month', txn_time) AS month_start, category, sum(amount_main) AS spent
+      FROM fact_t WHERE flow = '{P.expense}' GROUP BY 1, 2""",
     "comply_t": f"""SELECT md5(strftime(month_start, '%Y-%m-%d %H:%M:%S') || category) AS month_cat_id, month_start,
         category, spent, budget, {exact_ratio("spent * 100", "budget", 3)} AS used_pct,
         round(budget - spent, 2) AS remaining,
-        CASE WHEN budget >= spent THEN 'CUMPLE' WHEN budget < spent THEN 'EXCESO' END AS verdict, load_ts
+        CASE sign(budget - spent) WHEN -1 THEN 'EXCESO' WHEN 0 THEN 'CUMPLE' WHEN 1 THEN 'CUMPLE' END AS verdict, load_ts
       FROM (
-        SELECT coalesce(date_trunc('month', h.txn_time), date_trunc('month', p.month_start)) AS month_start,
-          coalesce(h.category, p.category) AS category,
-          coalesce(sum(h.amount_main) OVER (PARTITION BY coalesce(date_trunc('month', h.txn_time),
-            date_trunc('month', p.month_start)), coalesce(h.category, p.category)), 0) AS spent,
-          p.budget, max(h.load_ts) OVER (PARTITION BY date_trunc('month', h.txn_time)) AS load_ts
-        FROM (SELECT * FROM fact_t WHERE flow = '{P.expense}') h
-        FULL OUTER JOIN budget_t p ON upper(h.category) = upper(p.category)
-          AND date_trunc('month', p.month_start) = date_trunc('month', h.txn_time)
-        QUALIFY row_number() OVER (PARTITION BY coalesce(date_trunc('month', h.txn_time),
-          date_trunc('month', p.month_start)), coalesce(h.category, p.category) ORDER BY p.budget) = 1)""",
+        SELECT c.month_start, c.category, c.spent, (SELECT max(budget) FROM budget_t b
+            WHERE b.month_start = c.month_start AND upper(b.category) = upper(c.category)) AS budget,
+          (SELECT max(load_ts) FROM fact_t x WHERE date_trunc('month', x.txn_time) = c.month_start
+            AND x.flow = '{P.expense}') AS load_ts
+        FROM cells_t c
+        UNION ALL
+        SELECT b.month_start, b.category, 0, b.budget, NULL FROM budget_t b WHERE NOT EXISTS (SELECT 1 FROM cells_t c
+          WHERE b.month_start = c.month_start AND upper(b.category) = upper(c.category)))""",
     "income_t": f"""SELECT *, gross - deductions AS net,
-        round(quantile_cont(CAST(gross - deductions AS DOUBLE), 0.5) OVER (PARTITION BY year), 2)
-          AS median_net
+        round(median(CAST(gross - deductions AS DOUBLE)) OVER (PARTITION BY year), 2) AS median_net
       FROM (SELECT date_trunc('month', txn_time) AS month_start, year(txn_time) AS year, month(txn_time) AS month,
-          sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) AS gross,
-          sum(CASE WHEN {DEDUCTED} THEN amount_main ELSE 0 END) AS deductions
+          coalesce(sum(amount_main) FILTER (WHERE {EARNED}), 0) AS gross,
+          coalesce(sum(amount_main) FILTER (WHERE {DEDUCTED}), 0) AS deductions
         FROM fact_t GROUP BY ALL)""",
     "share_t": f"""SELECT date_trunc('month', txn_time) AS month_start, year(txn_time) AS year,
         month(txn_time) AS month,
-        round(sum(CASE WHEN category <> '{P.refunds}' AND flow = '{P.income}' THEN amount_main ELSE 0 END), 2)
+        round(coalesce(sum(amount_main) FILTER (WHERE flow = '{P.income}' AND category <> '{P.refunds}'), 0), 2)
           AS income_total,
-        round(sum(CASE WHEN flow = '{P.expense}' AND category <> '{P.loans}' AND subcategory = '{P.tracked}'
-          THEN amount_main ELSE 0 END), 3) AS tracked_spend,
+        round(coalesce(sum(amount_main) FILTER (WHERE subcategory = '{P.tracked}' AND category <> '{P.loans}'
+          AND flow = '{P.expense}'), 0), 3) AS tracked_spend,
         max(load_ts) AS load_ts
       FROM fact_t GROUP BY 1, 2, 3""",
-    "plan_t": f"""SELECT pc.month_start, month_id, gross, net, net - living AS after_living, installment,
-        net - living - installment AS available
+    "plan_t": f"""SELECT i.*, net - living AS after_living, net - living - installment AS available
       FROM (SELECT date_trunc('month', txn_time) AS month_start, month_id,
-          sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) AS gross,
-          sum(CASE WHEN {EARNED} THEN amount_main WHEN category IN {words(P.plan_deductions)} THEN -amount_main
-            ELSE 0 END) AS net
-        FROM fact_t WHERE category IN {words(P.earned + P.plan_deductions)} GROUP BY 1, 2) pc
-      LEFT JOIN (SELECT date_trunc('month', due_date) AS month_start, installment FROM mortgage_t
-        WHERE date_trunc('month', due_date) BETWEEN DATE '{P.plan_start}' AND DATE '{P.as_of}') ch USING (month_start)
-      LEFT JOIN (SELECT month_start, sum(CASE WHEN category NOT IN ('{P.debt}', '{P.essential_debt}') THEN budget
-          ELSE 0 END) * CAST({P.living_cost_buffer} AS DECIMAL(3,2)) AS living
-        FROM budget_t GROUP BY 1) gp USING (month_start)""",
-    "relevant_t": f"""SELECT r.*, pi.after_living, pi.available,
-        CAST(floor(pi.available * CAST({P.savings_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS savings_allotted,
-        CAST(floor(pi.available * CAST({P.reit_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS reit_allotted,
-        CAST(floor(pi.available * CAST({P.prepayment_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS prepayment_allotted,
-        CAST(txn_time AS DATE) AS date,
-        sum(CASE WHEN {EARNED} THEN amount_main ELSE 0 END) OVER w AS gross_to_date,
-        sum(CASE WHEN {SAVINGS_IN} THEN amount_main ELSE 0 END) OVER w AS savings_invested,
-        sum(CASE WHEN concept = '{P.reit_plan_concept}' THEN amount_main ELSE 0 END) OVER w AS reit_invested,
-        sum(CASE WHEN {PREPAID} THEN amount_main ELSE 0 END) OVER w AS prepayment_invested
-      FROM (SELECT *, row_number() OVER () AS line FROM fact_t
-        WHERE {EARNED} OR ({SAVINGS_IN}) OR ({REIT}) OR ({PREPAID})) r
-      LEFT JOIN plan_t pi ON date_trunc('month', r.txn_time) = pi.month_start
-      WINDOW w AS (PARTITION BY r.month_id ORDER BY txn_time, line
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "coverage_t": f"""SELECT coalesce(p.month, i.month) AS month, coalesce(passive, 0) AS passive,
-        coalesce(indispensable, 0) AS indispensable,
-        CASE WHEN coalesce(indispensable, 0) > 0
-          THEN {exact_ratio("coalesce(passive, 0) * 100", "indispensable", 1)} ELSE 0 END AS coverage_pct
-      FROM (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS passive FROM fact_t
-        WHERE category = '{P.passive}' GROUP BY 1) p
-      FULL OUTER JOIN (SELECT strftime(txn_time, '%Y-%m') AS month, sum(amount_main) AS indispensable FROM fact_t
-        WHERE category IN {words(P.indispensable)} AND flow = '{P.expense}' GROUP BY 1) i ON p.month = i.month""",
+          coalesce(sum(amount_main) FILTER (WHERE {EARNED}), 0) AS gross,
+          coalesce(sum(amount_main) FILTER (WHERE {EARNED}), 0)
+            - coalesce(sum(amount_main) FILTER (WHERE category IN {words(P.plan_deductions)}), 0) AS net,
+          (SELECT sum(installment) FROM mortgage_t WHERE date_trunc('month', due_date) = date_trunc('month', txn_time)
+            AND date_trunc('month', due_date) >= DATE '{P.plan_start}'
+            AND date_trunc('month', due_date) <= DATE '{P.as_of}') AS installment,
+          (SELECT sum(CASE WHEN category IN ('{P.debt}', '{P.essential_debt}') THEN 0 ELSE budget END)
+              * CAST({P.living_cost_buffer} AS DECIMAL(3,2))
+            FROM budget_t b WHERE b.month_start = date_trunc('month', txn_time)) AS living
+        FROM fact_t WHERE category IN {words(P.earned + P.plan_deductions)} GROUP BY ALL) i""",
+    "days_t": f"""SELECT CAST(txn_time AS DATE) AS date, month_id,
+        coalesce(sum(amount_main) FILTER (WHERE {EARNED}), 0) AS gross,
+        coalesce(sum(amount_main) FILTER (WHERE {SAVINGS_IN}), 0) AS savings,
+        coalesce(sum(amount_main) FILTER (WHERE concept = '{P.reit_plan_concept}'), 0) AS reit,
+        coalesce(sum(amount_main) FILTER (WHERE {PREPAID}), 0) AS prepayment
+      FROM fact_t WHERE {EARNED} OR ({SAVINGS_IN}) OR ({REIT}) OR ({PREPAID}) GROUP BY 1, 2""",
+    "tracked_t": f"""SELECT d.date, d.month_id, plan_t.after_living, plan_t.available,
+        CAST(floor(available * CAST({P.savings_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS savings_allotted,
+        CAST(floor(available * CAST({P.reit_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS reit_allotted,
+        CAST(floor(available * CAST({P.prepayment_share} AS DECIMAL(3,2))) AS DECIMAL(24,4)) AS prepayment_allotted,
+        (SELECT sum(x.gross) FROM days_t x WHERE x.month_id = d.month_id AND x.date <= d.date) AS gross_to_date,
+        (SELECT sum(x.savings) FROM days_t x WHERE x.month_id = d.month_id AND x.date <= d.date) AS savings_invested,
+        (SELECT sum(x.reit) FROM days_t x WHERE x.month_id = d.month_id AND x.date <= d.date) AS reit_invested,
+        (SELECT sum(x.prepayment) FROM days_t x WHERE x.month_id = d.month_id AND x.date <= d.date)
+          AS prepayment_invested
+      FROM days_t d LEFT JOIN plan_t USING (month_id)""",
+    "coverage_t": f"""SELECT *, CASE WHEN indispensable > 0
+          THEN {exact_ratio("passive * 100", "indispensable", 1)} ELSE 0 END AS coverage_pct
+      FROM (SELECT month, sum(passive) AS passive, sum(indispensable) AS indispensable FROM (
+        SELECT strftime(txn_time, '%Y-%m') AS month, amount_main AS passive, 0 AS indispensable FROM fact_t
+          WHERE category = '{P.passive}'
+        UNION ALL SELECT strftime(txn_time, '%Y-%m'), 0, amount_main FROM fact_t
+          WHERE category IN {words(P.indispensable)} AND flow = '{P.expense}') GROUP BY month)""",
     # Load scenario: the stored table after the first batch, and the exports after the second.
     "batch1_t": """SELECT * FROM stg_t WHERE month_id <= 200012
       AND NOT (month_id IN (200011, 200012) AND flow = 'Income')""",
@@ -163,27 +154,43 @@ CTES = {
 
 
 def _pay(source: str, keys: str = "") -> str:
+    counted = f"category = '{P.salary}' OR concept IN {words(P.pay_concepts)} OR concept LIKE '{P.pay_concept_pattern}'"
     return f"""SELECT *, {exact_ratio("net", "nullif(hours, 0)", 2)} AS pay_per_hour FROM (
-      SELECT {keys} year, month, txn_time, worked_days, net_days, net_days * 8 AS hours, gross, deductions,
-        gross - deductions AS net, load_ts
-      FROM (SELECT *, CAST(round(worked_days * CAST({P.effective_day_factor} AS DECIMAL(4,3)), 2) AS DECIMAL(20,2))
-          AS net_days
+      SELECT *, net_days * {P.hours_per_day} AS hours, gross - deductions AS net FROM (
+        SELECT *, CAST(round(worked_days * CAST({P.effective_day_factor} AS DECIMAL(4,3)), 2) AS DECIMAL(20,2)) AS net_days
         FROM (SELECT {keys} year(txn_time) AS year, month(txn_time) AS month, max(txn_time) AS txn_time,
           max(load_ts) AS load_ts,
-          sum(CASE WHEN category = '{P.salary}' THEN amount_main ELSE 0 END) AS gross,
-          sum(CASE WHEN category <> '{P.salary}' THEN amount_main ELSE 0 END) AS deductions,
-          sum(CASE WHEN category = '{P.salary}' THEN worked_days ELSE 0 END) AS worked_days
-        FROM {source} WHERE category = '{P.salary}' OR concept IN {words(P.pay_concepts)}
-          OR concept LIKE '{P.pay_concept_pattern}' GROUP BY ALL)))"""
-
-
+          coalesce(sum(amount_main) FILTER (WHERE category = '{P.salary}'), 0) AS gross,
+          coalesce(sum(amount_main) FILTER (WHERE category <> '{P.salary}'), 0) AS deductions,
+          sum(coalesce(worked_days, CASE WHEN category = '{P.salary}' THEN NULL ELSE 0 END)) AS worked_days
+        FROM {source} WHERE {counted} GROUP BY ALL)))"""
+
+
+def _life(fact: str, pay: str, key: str = "") -> str:
+    """Each expense with the rate of its month: the month's own, else the newest."""
+    lead = f"{key}, " if key else ""
+    part = f"PARTITION BY {key}" if key else ""
+    newest = f"""SELECT {lead}hours AS new_hours, pay_per_hour AS new_pay FROM {pay}
+      QUALIFY row_number() OVER ({part} ORDER BY year DESC, month DESC) = 1"""
+    months = f"SELECT DISTINCT {lead}year(txn_time) AS year, month(txn_time) AS month FROM {fact}"
+    rates = f"""SELECT {lead}year, month, coalesce(hours, new_hours) AS hours_worked,
+        coalesce(pay_per_hour, new_pay) AS pay_per_hour
+      FROM ({months}) JOIN ({newest}) {f"USING ({key})" if key else "ON true"}
+      LEFT JOIN (SELECT {lead}year, month, hours, pay_per_hour FROM {pay}) USING ({lead}year, month)"""
+    spent = f"SELECT *, year(txn_time) AS year, month(txn_time) AS month FROM {fact} WHERE flow = '{P.expense}'"
+    return f"""SELECT *, {exact_ratio("amount_main", "pay_per_hour", 3)} AS cost_hours
+      FROM ({spent}) JOIN ({rates}) USING ({lead}year, month)"""
+
+
+CTES["life_t"] = _life("fact_t", "pay_t")
+CTES["life_owned_t"] = _life("owned_t", "pay_owned_t", "owner")
 CTES["pay_t"] = _pay("fact_t")
 CTES["pay_owned_t"] = _pay("owned_t", "owner, ")
 
 _ORDER = [
-    "ledger_t", "budget_t", "mortgage_t", "keys_t", "catalog_t", "stg_t", "parts_t", "tagged_t", "fact_t", "owned_t",
-    "pay_t", "pay_owned_t", "life_t", "comply_t", "income_t", "share_t", "plan_t", "relevant_t", "coverage_t",
-    "batch1_t", "batch2_t", "exports_t",
+    "ledger_t", "budget_t", "mortgage_t", "keys_t", "catalog_t", "stg_t", "words_t", "tagged_t", "fact_t", "owned_t",
+    "pay_t", "pay_owned_t", "life_t", "life_owned_t", "cells_t", "comply_t", "income_t", "share_t", "plan_t", "days_t", "tracked_t",
+    "coverage_t", "batch1_t", "batch2_t", "exports_t",
 ]
 
 
@@ -231,13 +238,12 @@ TRACKING = ", ".join(
 def _cash_flow(period: str, keys: str = "", source: str = "fact_t") -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     lead = f"{keys}, " if keys else ""
-    return f"""SELECT {lead}period, {num("income", "income")}, {num("expenses", "expenses")}, {num("balance", "balance")},
-        {num("sum(balance) OVER (" + part + " ORDER BY period ROWS UNBOUNDED PRECEDING)", "running_balance")}
+    return f"""SELECT {lead}period, {num("income", "income")}, {num("-spent", "expenses")},
+        {num("income - spent", "balance")},
+        {num("sum(income - spent) OVER (" + part + " ORDER BY period)", "running_balance")}
       FROM (SELECT {lead}{period} AS period,
-          sum(CASE WHEN flow = '{P.income}' THEN amount_main ELSE 0 END) AS income,
-          sum(CASE WHEN flow = '{P.expense}' THEN -amount_main ELSE 0 END) AS expenses,
-          sum(CASE WHEN flow = '{P.income}' THEN amount_main WHEN flow = '{P.expense}' THEN -amount_main ELSE 0 END)
-            AS balance
+          coalesce(sum(amount_main) FILTER (WHERE flow = '{P.income}'), 0) AS income,
+          coalesce(sum(amount_main) FILTER (WHERE flow = '{P.expense}'), 0) AS spent
         FROM {source} GROUP BY ALL)"""
 
 
@@ -425,19 +431,12 @@ def _table() -> dict[str, str]:
             {num("amount_native", "amount_native")}, currency, {num("amount_txn", "amount_txn")}, tag, tag_value,
             {moment("load_ts", "load_ts")} FROM tagged_t WHERE account IN {words(P.personal_accounts)}""",
         "t4_parse_tag": "SELECT comment, tag, tag_value, count(*) AS lines FROM tagged_t GROUP BY 1, 2, 3",
-        "t5_worked_days": f"""SELECT comment, count(*) AS lines, {num("worked_days", "worked_days")} FROM parts_t
+        "t5_worked_days": f"""SELECT comment, count(*) AS lines, {num("worked_days", "worked_days")} FROM tagged_t
           GROUP BY comment, worked_days""",
         "g1_hourly_pay": f"SELECT {PAY} FROM pay_t",
         "g1_hourly_pay_by_owner": f"SELECT owner, {PAY} FROM pay_owned_t",
         "g2_life_cost": f"SELECT {LIFE} FROM life_t",
-        "g2_life_cost_by_owner": f"""SELECT owner, month_id, {LIFE} FROM (
-            SELECT h.*, year(h.txn_time) AS year, month(h.txn_time) AS month,
-              coalesce(v.hours, u.hours) AS hours_worked, coalesce(v.pay_per_hour, u.pay_per_hour) AS pay_per_hour,
-              {exact_ratio("h.amount_main", "coalesce(v.pay_per_hour, u.pay_per_hour)", 3)} AS cost_hours
-            FROM owned_t h LEFT JOIN pay_owned_t v
-              ON h.owner = v.owner AND year(h.txn_time) = v.year AND month(h.txn_time) = v.month
-            JOIN (SELECT * FROM pay_owned_t QUALIFY row_number() OVER (PARTITION BY owner ORDER BY year DESC, month DESC)
-              = 1) u ON h.owner = u.owner WHERE h.flow = '{P.expense}')""",
+        "g2_life_cost_by_owner": f"SELECT owner, month_id, {LIFE} FROM life_owned_t",
         "g3_budget_compliance": f"""SELECT month_cat_id, {day("month_start", "month_start")}, category,
             {num("spent", "spent")}, {num("budget", "budget")}, {num("used_pct", "used_pct")}, {PERCENT_TEXT} AS used,
             {num("remaining", "remaining")}, verdict, {moment("load_ts", "load_ts")} FROM comply_t""",
@@ -458,10 +457,9 @@ def _table() -> dict[str, str]:
             {num(f"floor(available * CAST({P.savings_share} AS DECIMAL(3,2)))", "savings_share")},
             {num(f"floor(available * CAST({P.prepayment_share} AS DECIMAL(3,2)))", "prepayment_share")},
             {num(f"floor(available * CAST({P.reit_share} AS DECIMAL(3,2)))", "reit_share")} FROM plan_t""",
-        "g8_investment_tracking": f"""SELECT {TRACKING} FROM (SELECT * FROM relevant_t
-            QUALIFY row_number() OVER (PARTITION BY month_id ORDER BY txn_time DESC, line DESC) = 1)""",
-        "g8_investment_tracking_daily": f"""SELECT {TRACKING} FROM (SELECT * FROM relevant_t
-            QUALIFY row_number() OVER (PARTITION BY date ORDER BY txn_time DESC, line DESC) = 1)""",
+        "g8_investment_tracking": f"""SELECT {TRACKING} FROM tracked_t t
+          WHERE date = (SELECT max(date) FROM days_t d WHERE d.month_id = t.month_id)""",
+        "g8_investment_tracking_daily": f"SELECT {TRACKING} FROM tracked_t",
         "q1_last_update": """SELECT coalesce(strftime(max(load_ts), '%Y-%m-%d %H:%M:%S+00:00'), 'Desconocida')
             AS last_update FROM fact_t""",
         "q2_cash_flow": _cash_flow("strftime(date_trunc('month', txn_time), '%Y-%m-%d')"),
@@ -551,10 +549,10 @@ def _table() -> dict[str, str]:
             "hours",
         ),
         "q28_habit_matrix": _dense(
-            f"""SELECT strftime(txn_time, '%Y-%m') AS month, CASE WHEN concept = 'Instant coffee' THEN 'Coffee (Food)'
-                WHEN concept = 'Coffee' AND category = 'Food' THEN 'Coffee (Food)'
-                WHEN concept = 'Coffee' AND category = 'Entertainment' THEN 'Coffee (Entertainment)'
-                ELSE concept END AS item, amount_main AS value
+            f"""SELECT strftime(txn_time, '%Y-%m') AS month,
+                CASE WHEN concept NOT IN ('Coffee', 'Instant coffee') THEN concept
+                  WHEN concept = 'Instant coffee' OR category = 'Food' THEN 'Coffee (Food)'
+                  ELSE concat('Coffee (', category, ')') END AS item, amount_main AS value
               FROM fact_t WHERE concept IN {words((*P.habit_items, "Coffee", "Instant coffee"))}
                 AND category IN {words(P.habit_categories)}""",
             list(P.habit_labels),
@@ -576,12 +574,12 @@ def _table() -> dict[str, str]:
         "q32_tagged_by_category": f"""SELECT category,
             {num(f"sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE -amount_main END)", "amount")} FROM fact_t
           WHERE subcategory = '{P.tracked}' AND category <> '{P.refunds}' GROUP BY 1""",
-        "q33_shared_spend": f"""WITH sums AS (SELECT date_trunc('month', txn_time) AS m, tag_value, category,
-              sum(CASE WHEN flow = '{P.expense}' THEN amount_main ELSE -amount_main END)
-                OVER (PARTITION BY tag_value, date_trunc('month', txn_time)) AS amount
-            FROM fact_t WHERE tag = 'C/'),
-            cells AS (SELECT DISTINCT strftime(m, '%Y-%m') AS month, coalesce(tag_value, 'Sin asignar') AS companion,
-              amount FROM sums WHERE category <> '{P.refunds}')
+        "q33_shared_spend": f"""WITH cells AS (SELECT strftime(txn_time, '%Y-%m') AS month,
+              coalesce(tag_value, 'Sin asignar') AS companion,
+              coalesce(sum(amount_main) FILTER (WHERE flow = '{P.expense}'), 0)
+                - coalesce(sum(amount_main) FILTER (WHERE flow <> '{P.expense}'), 0) AS amount
+            FROM fact_t WHERE tag = 'C/' GROUP BY 1, 2
+            HAVING count(*) FILTER (WHERE category <> '{P.refunds}') > 0)
           SELECT m.month, p.companion, {num("coalesce(c.amount, 0)", "amount")}
           FROM (SELECT DISTINCT month FROM cells) m CROSS JOIN (SELECT DISTINCT companion FROM cells) p
           LEFT JOIN cells c ON c.month = m.month AND c.companion = p.companion""",
@@ -593,16 +591,16 @@ def _table() -> dict[str, str]:
             FROM stg_t GROUP BY month_id, category HAVING count(*) > 1""",
         "d2_check_not_null": """SELECT 'not_null:txn_id' AS "check", txn_id AS key, src_file AS detail
           FROM stg_t WHERE txn_id IS NULL""",
-        "d3_check_relationship": """SELECT 'relationship:word' AS "check", part_1 AS key,
-            CAST(count(*) AS VARCHAR) AS detail FROM parts_t WHERE part_1 IS NOT NULL
-            AND part_1 NOT IN (SELECT tag FROM keys_t) GROUP BY part_1""",
+        "d3_check_relationship": """SELECT 'relationship:word' AS "check", words[1] AS key,
+            CAST(count(*) AS VARCHAR) AS detail FROM words_t WHERE words[1] IS NOT NULL
+            AND words[1] NOT IN (SELECT tag FROM keys_t) GROUP BY words[1]""",
         "d4_check_net_le_gross": """SELECT 'net_le_gross' AS "check", year || '-' || month AS key,
             CAST(net AS VARCHAR) AS detail FROM pay_t WHERE net > gross""",
         "d5_check_value_for_tag": """SELECT 'value_for_tag' AS "check", txn_id AS key, tag AS detail FROM fact_t
           WHERE tag IS NOT NULL AND tag_value IS NULL""",
         "d5_check_worked_days": """SELECT 'worked_days' AS "check", txn_id AS key, comment AS detail FROM fact_t
-          WHERE (trim(replace(lower(comment), 'í', 'i')) LIKE '%dias trabajados'
-            OR trim(replace(lower(comment), 'í', 'i')) LIKE '%dia trabajado') AND worked_days IS NULL""",
+          WHERE regexp_matches(trim(lower(comment)), '(d[ií]as trabajados|d[ií]a trabajado)$')
+            AND worked_days IS NULL""",
         "d6_check_freshness": f"""SELECT 'freshness:txn_time' AS "check", {moment("max(txn_time)", "key")},
             'warn' AS detail FROM stg_t
             HAVING max(txn_time) < TIMESTAMP '2002-01-01 12:00:00' - INTERVAL 30 DAY
