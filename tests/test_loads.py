@@ -210,3 +210,17 @@ def test_warehouse(spark, sf, tmp_path):
     assert house.table("life_cost").count() == fact.filter("flow = 'Expense'").count()
     assert house.investment_tracking().count() == house.investment_plan().count()
     assert house.income_summary().count() == fact.select("month_id").distinct().count()
+
+
+def test_a_hot_month_is_written_by_many_tasks(spark, sf, tmp_path):
+    """One month holds most lines; with a small advisory size it becomes several files, and no line is lost."""
+    lines = fixture_staged(spark, sf).repartition(4)
+    hot = lines.withColumn("month_id", F.when(F.col("month_id") > 199803, 200112).otherwise(F.col("month_id")))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64KB")
+    try:
+        sinks.write_months(hot, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "t" / "month_id=200112").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == lines.count()

@@ -243,3 +243,34 @@ def test_many_ledgers_equal_each_ledger_alone(spark, sf, build):
         alone = build(many.filter(F.col("owner") == owner).drop("owner"), plans, schedule, ())
         mine = together.filter(F.col("owner") == owner).select(*alone.columns)
         assert sorted(map(str, mine.collect())) == sorted(map(str, alone.collect()))
+
+
+def test_dates_prune_months_below_the_marts(spark, sf):
+    """A date range on a monthly view reaches the month directories through its aggregation."""
+    lines, dates = fixture_fact(spark, sf), (date(2000, 1, 1), date(2000, 12, 31))
+    views = (
+        cashflow.net_income_series(marts.income_summary(lines, DEMO), dates),
+        matrices.tagged_trend(marts.tagged_share(lines, DEMO), dates),
+        cashflow.cash_flow(lines, DEMO, dates),
+    )
+    for view in views:
+        scan = next(text for text in view._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in text)
+        assert "PartitionFilters: []" not in scan and "month_id" in scan.split("PartitionFilters")[1]
+
+
+def test_sums_are_partial_and_joins_are_no_products(spark, sf):
+    lines, plans, schedule = fixture_fact(spark, sf), inputs.budget(spark, sf), inputs.mortgage(spark, sf)
+    income = marts.income_summary(lines, DEMO)
+    frames = (
+        marts.life_cost(lines, marts.hourly_pay(lines, DEMO), DEMO),
+        marts.budget_compliance(lines, plans, DEMO),
+        marts.investment_tracking(lines, marts.investment_plan(lines, plans, schedule, DEMO), DEMO),
+        wealth.growth_kpis(lines, plans, schedule, income, DEMO),
+        wealth.net_worth(lines, schedule, DEMO),
+        matrices.shared_spend(lines, DEMO),
+        matrices.tagged_kpis(lines, marts.tagged_share(lines, DEMO), DEMO),
+    )
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "partial_sum" in plan
