@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook import inputs
+from casebook.session import use_own_shared_folder_if_unset
 from tallyhouse.functions.calendar import MONTH_ID, date_range, month_id
 from tallyhouse.functions.text import worked_days
 from tallyhouse.operators import cashflow, checks, ledger, marts, matrices, mortgage, wealth
@@ -373,5 +374,13 @@ def _table() -> dict[str, Query]:
     return table
 
 
+def _registered(build: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        use_own_shared_folder_if_unset(spark)
+        return present(build(spark, sf_dir))
+
+    return query
+
+
 def queries() -> dict[str, Query]:
-    return {name: (lambda s, d, build=build: present(build(s, d))) for name, build in sorted(_table().items())}
+    return {name: _registered(build) for name, build in sorted(_table().items())}
