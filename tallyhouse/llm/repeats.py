@@ -8,7 +8,7 @@ Both repeat operators share the flow; they differ in how they choose anchors and
 2. *Order.* Sorted by anchor, content and place, copies of a phrase are neighbours. All windows of a repeated phrase
    are settled at once. A phrase whose anchor has no other content cannot share a window with any other phrase.
 3. *Suffixes.* What remains are anchors that occur within different phrases, where copies begin or end. Only the
-   windows of one copy of each of these phrases are spelled out and grouped by content.
+   windows of one copy of each of these phrases are spelled out and sorted by content.
 
 An anchor that many phrases of a batch hold is spread by content; a marker tells its other phrases that they are not
 alone, so the third step decides about all of them. Groups of equal content are reduced to one row per batch before
@@ -79,10 +79,10 @@ def _ranks(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _rows(schema: pa.Schema, parts: list[tuple]) -> pa.RecordBatch:
+def _rows(schema: pa.Schema, parts: list[tuple], *more: pa.Array) -> pa.RecordBatch:
     parts = [[c.view(np.int64) if c.dtype == np.uint64 else c for c in part] for part in parts]
-    columns = [np.concatenate([part[i] for part in parts]) for i in range(len(schema))]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    columns = [np.concatenate([part[i] for part in parts]) for i in range(len(schema) - len(more))]
+    return pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)), *more], schema=schema)
 
 
 SCAN = pa.schema([(name, pa.int64()) for name in ("anchor", "content", "doc", "tie", "start", "n")] + [("kind", pa.int8())])
@@ -110,41 +110,102 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool)
             yield _rows(SCAN, parts)
 
 
-SPELLED = pa.schema([(name, pa.int64()) for name in ("high", "low", "doc", "tie", "start", "n")] + [("kind", pa.int8())])
+SPELLED = pa.schema(
+    [(name, pa.int64()) for name in ("key", "low", "doc", "tie", "start", "n")] + [("kind", pa.int8()), ("excerpt", pa.binary())]
+)
+REPEATED = pa.schema([(name, pa.int64()) for name in ("doc", "tie", "start", "n")])
 
 
-def _spell(batches: Iterator[pa.RecordBatch], text: str, windows: Windows, every_copy: bool) -> Iterator[pa.RecordBatch]:
+def _spell(
+    batches: Iterator[pa.RecordBatch], text: str, windows: Windows, every_copy: bool, width: int | None
+) -> Iterator[pa.RecordBatch]:
+    """Of each text, phrases of small groups as excerpts and the windows of other phrases one by one."""
     for batch in batches:
         docs, ties = longs(batch, "doc"), longs(batch, "tie")
         spans = batch.column(batch.schema.get_field_index("spans"))
-        ends = np.append(np.asarray(spans.offsets), 0)
-        starts, counts = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        ends = np.asarray(spans.offsets)
+        starts, counts, keys, small = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         for begin, stop, data, offsets in split_bytes(column_of(batch, f"row.{text}"), BATCH_BYTES // 4):
-            rank, found = _ranks(docs[begin:stop], ties[begin:stop]), []
-            for row in range(stop - begin):
-                span = slice(ends[begin + row], ends[begin + row + 1])
-                at, high, low = windows(data[offsets[row] : offsets[row + 1]], starts[span], counts[span])
-                found.append((np.full(len(at), row), at, high, low))
-            row, at, high, low = (np.concatenate(x) for x in zip(*found, strict=True))
-            first, copies = _copies((high, low), (rank[row], at))
-            settled = copies > 1 if every_copy else ~first
-            s_row, s_start, s_n = _merged(row[settled], at[settled], np.ones(settled.sum(), np.int64))
             doc, tie = docs[begin:stop], ties[begin:stop]
-            where = mix(s_row.astype(np.uint64) + s_start.astype(np.uint64))
-            parts = [(where, np.zeros_like(s_row), doc[s_row], tie[s_row], s_start, s_n, np.full(len(s_row), SETTLED))]
-            parts.append((high[first], low[first], doc[row[first]], tie[row[first]], at[first], np.ones(first.sum(), np.int64), np.full(first.sum(), OPEN)))
-            yield _rows(SPELLED, parts)
+            rank, found = _ranks(doc, tie), []
+            own = np.arange(ends[begin], ends[stop])
+            row = np.repeat(np.arange(stop - begin), np.diff(ends[begin : stop + 1]))
+            brief = small[own] if width else np.zeros(len(own), bool)
+            at, rows = own[brief], row[brief]
+            base = offsets[rows] + starts[at]
+            cut = zip(base.tolist(), (base + counts[at] - 1 + (width or 0)).tolist(), strict=True)
+            parts = [(keys[at], np.zeros_like(at), doc[rows], tie[rows], starts[at], counts[at], np.full(len(at), OPEN))]
+            excerpts = [data[a:b].tobytes() for a, b in cut]
+            own, row = own[~brief], row[~brief]
+            for which in np.unique(row).tolist():
+                span = own[row == which]
+                at, high, low = windows(data[offsets[which] : offsets[which + 1]], starts[span], counts[span])
+                found.append((np.full(len(at), which), at, high, low))
+            if found:
+                row, at, high, low = (np.concatenate(x) for x in zip(*found, strict=True))
+                first, copies = _copies((high, low), (rank[row], at))
+                settled = copies > 1 if every_copy else ~first
+                s_row, s_start, s_n = _merged(row[settled], at[settled], np.ones(settled.sum(), np.int64))
+                where = mix(s_row.astype(np.uint64) + s_start.astype(np.uint64))
+                parts.append((where, np.zeros_like(s_row), doc[s_row], tie[s_row], s_start, s_n, np.full(len(s_row), SETTLED)))
+                one = np.ones(first.sum(), np.int64)
+                parts.append((high[first], low[first], doc[row[first]], tie[row[first]], at[first], one, np.full(len(one), OPEN)))
+            total = sum(len(part[0]) for part in parts)
+            yield _rows(SPELLED, parts, pa.array(excerpts + [None] * (total - len(excerpts)), pa.binary()))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut only between keys; at most one group is held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = longs(batch, "key")
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], windows: Windows, every_copy: bool) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among whole groups, which come sorted by key."""
+    for group in _whole_groups(batches):
+        key, low, doc, tie, start, n, kind = (group.column(i).to_numpy() for i in range(7))
+        parts = [tuple(x[kind == SETTLED] for x in (doc, tie, start, n))]
+        excerpts = group.column(7).combine_chunks()
+        brief = np.asarray(excerpts.is_valid())
+        single = (kind == OPEN) & ~brief
+        found = [(doc[single], tie[single], start[single], key[single].view(np.uint64), low[single].view(np.uint64))]
+        if brief.any():
+            ((_, _, data, offsets),) = split_bytes(excerpts.filter(pa.array(brief)), 1 << 40)
+            _, high, lower = windows(data, offsets[:-1], n[brief])
+            row = np.repeat(np.flatnonzero(brief), n[brief])
+            at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[brief]) - n[brief], n[brief])
+            found.append((doc[row], tie[row], at, high, lower))
+        doc, tie, at, high, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        first, copies = _copies((high, low), (doc, tie, at))
+        settled = copies > 1 if every_copy else ~first
+        parts.append((doc[settled], tie[settled], at[settled], np.ones(settled.sum(), np.int64)))
+        yield _rows(REPEATED, parts)
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'tinyint' if f.type == pa.int8() else 'bigint'}" for f in schema)
+    kinds = {pa.int8(): "tinyint", pa.int64(): "bigint", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def repeated_windows(docs: DataFrame, text: str, phrases: Phrases, windows: Windows, every_copy: bool) -> DataFrame:
+def repeated_windows(
+    docs: DataFrame, text: str, phrases: Phrases, windows: Windows, every_copy: bool, width: int | None = None
+) -> DataFrame:
     """Repeated windows of each document as ``doc``, ``tie`` and ``spans``, an array of runs (``start``, ``n`` windows).
 
     ``docs`` has ``doc``, ``tie`` (unique together) and ``row``, a struct with the text. With ``every_copy`` all
-    occurrences of a repeated window count, else all but the first one by (doc, tie, start). Runs may overlap.
+    occurrences of a repeated window count, else all but the first one by (doc, tie, start). Runs may overlap. With
+    ``width``, the bytes of a window, the third step sends phrases whose anchor has few others as excerpts to one
+    task; it spells out the windows there.
     """
     place = ["doc", "tie", "start"]
     texts = docs.select("doc", "tie", F.col(f"row.`{text}`").cast("string").alias("text"))
@@ -154,21 +215,24 @@ def repeated_windows(docs: DataFrame, text: str, phrases: Phrases, windows: Wind
     row = F.col("kind").isin(OPEN, SPREAD)
     before, after = (F.coalesce(f("content").over(sorted_) == F.col("content"), F.lit(False)) for f in (F.lag, F.lead))
     alone = (F.min("content").over(whole) == F.max("content").over(whole)) & (F.max("kind").over(whole) < MARKER)
+    small = (F.max("kind").over(whole) < MARKER) & (F.count(F.when(~F.col("before"), 1)).over(whole) <= CROWD)
     classed = (
-        scanned.withColumns({"before": before, "after": after, "alone": alone})
+        scanned.withColumns({"before": before, "after": after})
+        .withColumns({"alone": alone, "small": small})
         .withColumn("covered", (F.col("kind") == SETTLED) | (row & (F.col("before") | F.col("after") if every_copy else F.col("before"))))
         .withColumn("spelled", row & ~F.col("before") & ~F.col("alone"))
         .filter("covered OR spelled")
-        .select(*place, "n", "covered", "spelled")
+        .select(*place, "n", "covered", F.when(F.col("spelled"), F.struct("start", "n", "anchor", "small")).alias("phrase"))
     )
     classed = keep(classed, "phrases")
-    spans = classed.filter("spelled").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spelled = docs.join(spans, ["doc", "tie"]).select("doc", "tie", "row", "spans")
-    spelled = spelled.mapInArrow(lambda batches: _spell(batches, text, windows, every_copy), _ddl(SPELLED))
-    same = Window.partitionBy("high", "low").orderBy(*place)
-    repeated = F.lag("doc").over(same).isNotNull()
-    if every_copy:
-        repeated = repeated | F.lead("doc").over(same).isNotNull()
-    suffixes = spelled.withColumn("repeated", repeated).filter((F.col("kind") == SETTLED) | F.col("repeated"))
-    spans = classed.filter("covered").select(*place, "n").unionByName(suffixes.select(*place, "n"))
+    spans = classed.filter("phrase IS NOT NULL").groupBy("doc", "tie").agg(F.collect_list("phrase").alias("spans"))
+    spelled = (
+        docs.join(spans, ["doc", "tie"])
+        .select("doc", "tie", "row", "spans")
+        .mapInArrow(lambda batches: _spell(batches, text, windows, every_copy, width), _ddl(SPELLED))
+        .repartition("key")
+        .sortWithinPartitions("key")
+    )
+    suffixes = spelled.mapInArrow(lambda batches: _settle(batches, windows, every_copy), _ddl(REPEATED))
+    spans = classed.filter("covered").select(*place, "n").unionByName(suffixes)
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

@@ -57,13 +57,15 @@ def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int)
 def byte_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Every window of the given phrases, once, with 128 bits of its content."""
     _, start, n = _merged(np.zeros(len(start), np.int64), start, n)
-    found = []
-    for first, count in zip(start.tolist(), n.tolist(), strict=True):
-        for at in range(first, first + count, BLOCK):
-            stop = min(at + BLOCK, first + count)
-            part = data[at : stop + length - 1]
-            found.append((np.arange(at, stop), *(Prefix(TABLES[i][part], i).rolling(length) for i in (0, 1))))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+    hashes = np.zeros((2, len(at)), np.uint64)
+    for block in range(0, len(data), BLOCK):
+        inside = slice(*np.searchsorted(at, (block, block + BLOCK)))
+        if inside.start < inside.stop:
+            part = data[block : block + BLOCK + length - 1]
+            for which in (0, 1):
+                hashes[which, inside] = Prefix(TABLES[which][part], which).rolling(length)[at[inside] - block]
+    return at, hashes[0], hashes[1]
 
 
 REMOVED = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -108,6 +110,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         partial(byte_phrases, length=length, gram=gram),
         partial(byte_windows, length=length),
         every_copy=False,
+        width=length,
     )
     joined = rows.join(spans, ["doc", "tie"], "left").select("row", "spans")
     schema = joined.select("row").schema
