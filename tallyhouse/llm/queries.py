@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import substring_dedup, suffix_dedup
+from tallyhouse.llm import simhash, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def _shipped(build: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -52,5 +57,5 @@ def _shipped(build: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    builders = [op1_suffix_dedup, op4_substring_dedup]
+    builders = [op1_suffix_dedup, op4_substring_dedup, op6_simhash_dedup]
     return {build.__name__: _shipped(build) for build in builders}
