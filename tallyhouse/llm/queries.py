@@ -8,10 +8,11 @@ import weakref
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import simhash, substring_dedup, suffix_dedup
+from tallyhouse.llm import bpe, decontaminate, simhash, substring_dedup, suffix_dedup, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +44,47 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def byte_vocabulary(spark: SparkSession) -> bpe.Vocabulary:
+    return bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_vocabulary(spark)
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram.Pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
 def _shipped(build: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -57,5 +94,13 @@ def _shipped(build: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    builders = [op1_suffix_dedup, op4_substring_dedup, op6_simhash_dedup]
+    builders = [
+        op1_suffix_dedup,
+        op4_substring_dedup,
+        op5_benchmark_decontamination,
+        op6_simhash_dedup,
+        op7_exact_topk,
+        op9_byte_bpe,
+        op10_token_counts,
+    ]
     return {build.__name__: _shipped(build) for build in builders}
