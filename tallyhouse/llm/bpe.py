@@ -65,6 +65,9 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str
         yield pa.record_batch(columns, names=[passed, "ids"])
 
 
+PARTS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("last", pa.bool_())])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], text: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("doc", "tie")]
@@ -73,7 +76,8 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, chunk: int, overlap: int)
                 (doc, tie, number, value[at : at + chunk + overlap], at + chunk >= len(value))
                 for number, at in enumerate(range(0, len(value), chunk))
             ]
-            yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["doc", "tie", "part", "text", "last"])
+            if rows:
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -171,4 +175,5 @@ def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``decoded``, the bytes of the ``ids`` put together; NULL stays NULL."""
-    return encoded.mapInArrow(partial(_decode, vocabulary=vocabulary), encoded.schema.add("decoded", "binary"))
+    schema = T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())])
+    return encoded.mapInArrow(partial(_decode, vocabulary=vocabulary), schema)
