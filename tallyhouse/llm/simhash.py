@@ -255,4 +255,5 @@ def near_duplicates(
     named = distinct.join(reached, "fingerprint", "left").select(
         "fingerprint", F.coalesce("reached", "first").alias("component_id")
     )
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    # Stored, so that both sides of the join are plain shuffles and a fingerprint of many documents can be split.
+    return own.join(keep(named, "named"), "fingerprint").select("doc_id", "fingerprint", "component_id")
