@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, decontaminate, simhash, substring_dedup, suffix_dedup, topk, unigram
+from tallyhouse.llm import bpe, decontaminate, language, quality, simhash, substring_dedup, suffix_dedup, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def remainder(doc_id: Column, divisor: int) -> Column:
+    """crc32 of the id as text modulo ``divisor``; -1 without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(remainder(F.col("doc_id"), 3) != 1))
+    found = language.identify(docs, model)
+    held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,6 +82,21 @@ def byte_vocabulary(spark: SparkSession) -> bpe.Vocabulary:
     return bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.fit(docs, labels.filter(remainder(F.col("doc_id"), 4) != 2))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.scores(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "row.doc_id",
+        (remainder(F.col("row.doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_vocabulary(spark)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
@@ -96,10 +124,12 @@ def _shipped(build: Query) -> Query:
 def queries() -> dict[str, Query]:
     builders = [
         op1_suffix_dedup,
+        op2_language_id,
         op4_substring_dedup,
         op5_benchmark_decontamination,
         op6_simhash_dedup,
         op7_exact_topk,
+        op8_quality_classifier,
         op9_byte_bpe,
         op10_token_counts,
     ]
