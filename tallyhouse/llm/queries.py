@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, decontaminate, language, quality, simhash, substring_dedup, suffix_dedup, topk, unigram
+from tallyhouse.llm import bpe, chat, decontaminate, language, quality, simhash, substring_dedup, suffix_dedup, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return chat.format_turns(messages, chat.fit(messages.filter(remainder(F.col("conv_id"), 4) != 2)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -125,6 +130,7 @@ def queries() -> dict[str, Query]:
     builders = [
         op1_suffix_dedup,
         op2_language_id,
+        op3_chat_format,
         op4_substring_dedup,
         op5_benchmark_decontamination,
         op6_simhash_dedup,
