@@ -35,8 +35,9 @@ def _up_to(last: Column, f) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), f))
 
 
-def _code(gram: Column, size: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(gram, F.lit(size)), SLOT_BITS)
+def _code(first: Column, size: int) -> Column:
+    """Hash of ``size`` words from position ``first`` on, without the bits of a slot."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(size), *(F.get("words", first + j) for j in range(size))), SLOT_BITS)
 
 
 def _text(items: Column) -> Column:
@@ -44,14 +45,19 @@ def _text(items: Column) -> Column:
 
 
 def _winnowed(df: DataFrame, length: int, gram: int) -> DataFrame:
-    """Adds ``grams``, the codes of all k-grams, and ``kept``, the positions that are the minimum of some window."""
-    n, window = F.col("n_words"), length - gram + 1
-    slot = 2**SLOT_BITS
-    df = df.withColumn("grams", F.when(n >= length, _up_to(n - gram, lambda i: _code(F.slice("words", i + 1, gram), gram))))
-    df = df.withColumn("slotted", F.transform("grams", lambda h, i: F.shiftleft(h, SLOT_BITS) + i % slot))
-    least = lambda i: F.array_min(F.slice("slotted", i + 1, window))
+    """Adds ``grams``, the codes of all k-grams with their slots, and ``kept``, the positions that are the minimum of
+    some window. Both stay columns of their own: an array that is spelled out inside a lambda is made anew for every
+    element."""
+    n, window, slot = F.col("n_words"), length - gram + 1, 2**SLOT_BITS
+    slotted = _up_to(n - gram, lambda i: F.shiftleft(_code(i, gram), SLOT_BITS) + i % slot)
+    df = df.withColumn("grams", F.when(n >= length, slotted))
+    least = lambda i: F.least(*(F.get("grams", i + j) for j in range(window)))
     place = _up_to(n - length, lambda i: (i + F.pmod(least(i) - i, F.lit(slot))).cast("int"))
-    return df.withColumn("kept", F.array_distinct(place)).drop("slotted")
+    return df.withColumn("kept", F.array_distinct(place))
+
+
+def _code_at(p: Column) -> Column:
+    return F.shiftrightunsigned(F.element_at("grams", p + 1), SLOT_BITS)
 
 
 def _found(length: int, gram: int, short: list[int]) -> Column:
@@ -62,7 +68,7 @@ def _found(length: int, gram: int, short: list[int]) -> Column:
         base = F.greatest(p - (length - gram), F.lit(0))
         stop = F.least(p + length, n)
         return F.struct(
-            F.element_at("grams", p + 1).alias("code"),
+            _code_at(p).alias("code"),
             base.alias("base"),
             F.lit(length).alias("size"),
             _text(F.slice("words", base + 1, stop - base)).alias("context"),
@@ -70,8 +76,8 @@ def _found(length: int, gram: int, short: list[int]) -> Column:
 
     def exactly(size: int):
         def one(i: Column) -> Column:
-            part = F.slice("words", i + 1, size)
-            return F.struct(_code(part, size).alias("code"), i.alias("base"), F.lit(size).alias("size"), _text(part).alias("context"))
+            context = _text(F.slice("words", i + 1, size))
+            return F.struct(_code(i, size).alias("code"), i.alias("base"), F.lit(size).alias("size"), context.alias("context"))
 
         return one
 
@@ -116,9 +122,9 @@ def find_leaks(
     windows = windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
     windows = keep(windows.withColumn("set", F.xxhash64("items")), "windows")
     sets = keep(windows.groupBy("set").agg(F.first("items").alias("items")), "sets")
-    kept = _winnowed(listed, length, gram).select(F.explode(F.transform("kept", lambda p: F.element_at("grams", p + 1))).alias("code"))
+    kept = _winnowed(listed, length, gram).select(F.explode(F.transform("kept", _code_at)).alias("code"))
     for m in short:
-        kept = kept.union(listed.filter(F.col("n_words") == m).select(_code(F.col("words"), m)))
+        kept = kept.union(listed.filter(F.col("n_words") == m).select(_code(F.lit(0), m)))
     codes = keep(kept.union(listed.sparkSession.range(1).select(F.lit(COUNTS).cast("long"))).distinct(), "codes")
 
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
