@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.features import letter_trigrams, repetition, shape_trigrams
+from tallyhouse.llm.features import LETTERS, SHAPES, letter_trigrams, repetition, shape_trigrams
 from tallyhouse.llm.stage import column_of, split_bytes
 
 PER_LABEL = 1000
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
 THRESHOLD = 0.7
 ROWS = 256
+FEATURES = LETTERS + SHAPES + 3
 
 
 def vector(text: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = parts[0].unionByName(parts[1])
     texts = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("label", "text").mapInArrow(_vectors, "label int, vector binary").collect()
-    vectors = np.array([np.frombuffer(row["vector"], np.float32) for row in rows]).reshape(len(rows), -1)
+    vectors = np.array([np.frombuffer(row["vector"], np.float32) for row in rows]).reshape(len(rows), FEATURES)
     return Model(vectors, np.array([row["label"] for row in rows], np.int64), dimensions)
 
 
