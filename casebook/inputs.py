@@ -97,6 +97,8 @@ AS t(number, name, tag, position, description, pandas_function, introduced_on)""
 LOADED_AT = "2002-01-01 00:00:00"
 CREATED_AT = "2001-12-31 00:00:00"
 RELOADED_AT = "2002-02-01 00:00:00"
+WITHDRAWN_AT = "2002-03-01 00:00:00"
+WITHDRAWN_MONTH, CUT_MONTH = 200110, 200112
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -190,3 +192,12 @@ def after_second_batch(staged: DataFrame) -> DataFrame:
     """What the exports hold when the second batch has arrived: older files as they were, newer ones re-issued."""
     older = staged.filter(F.col("month_id") < 200011)
     return older.unionByName(second_batch(staged))
+
+
+def after_third_batch(staged: DataFrame) -> DataFrame:
+    """The exports a month later: one month was withdrawn whole, another came again without its income and with a
+    column that older exports lack."""
+    older = after_second_batch(staged).filter(~F.col("month_id").isin(WITHDRAWN_MONTH, CUT_MONTH))
+    again = staged.filter((F.col("month_id") == CUT_MONTH) & (F.col("flow") != "Income"))
+    again = again.withColumn("load_ts", _utc(WITHDRAWN_AT)).withColumn("channel", F.lit("app"))
+    return older.withColumn("channel", F.lit(None).cast("string")).unionByName(again)

@@ -10,7 +10,7 @@ import re
 
 from casebook import inputs
 from casebook.queries import RANGE
-from tallyhouse.policy import DEMO
+from casebook.policy import DEMO
 
 
 def words(values: tuple[str, ...]) -> str:
@@ -357,6 +357,12 @@ def _loaded(query: str) -> str:
     return f"SELECT {STG} FROM ({query})"
 
 
+def _arrived() -> str:
+    """Staged lines without what their file says."""
+    columns = STG.split(", src_file")[0]
+    return f"SELECT {columns} FROM stg_t"
+
+
 AFTER_LOAD = "SELECT * FROM stg_t WHERE month_id < 200011 UNION ALL SELECT * FROM batch2_t"
 
 MORTGAGE_COLUMNS = f"""property_id, paid, {day("due_date", "due_date")}, CAST(installment_no AS BIGINT) AS installment_no,
@@ -388,6 +394,13 @@ def _table() -> dict[str, str]:
         "s1_read_feed": f"""SELECT {moment("occurred_at", "occurred_at")}, account, category, subcategory, concept,
             comment, flow, {num("amount_main", "amount_main")}, {num("amount_txn", "amount_native")},
             {num("amount_txn", "amount_txn")}, currency, true AS from_csv FROM ledger_t""",
+        "s1_read_feed_reordered": f"""SELECT {moment("occurred_at", "occurred_at")}, account, category, subcategory, concept,
+            comment, flow, {num("amount_main", "amount_main")}, {num("amount_txn", "amount_native")},
+            {num("amount_txn", "amount_txn")}, currency, true AS from_csv FROM ledger_t""",
+        "d8_check_readable": f"""SELECT 'readable' AS "check", count(*) AS lines FROM ledger_t
+            WHERE category = '{P.refunds}' HAVING count(*) > 0""",
+        "w_stream": _arrived(),
+        "w_stream_by_file": _arrived(),
         "s2_read_file_catalog": f"""SELECT uri, CAST(file_size AS BIGINT) AS file_size,
             {moment("file_created_at", "file_created_at")}, {moment("load_ts", "load_ts")} FROM catalog_t""",
         "s3_key_dictionary": """SELECT CAST(number AS BIGINT) AS number, name, tag, 'first' AS position, description,
@@ -617,5 +630,46 @@ def _table() -> dict[str, str]:
     }
 
 
+LOADED_THRICE = f"""SELECT *, CAST(NULL AS VARCHAR) AS channel FROM before_t WHERE month_id < 200011
+  UNION ALL SELECT * REPLACE (TIMESTAMP '{inputs.RELOADED_AT}' AS load_ts), NULL FROM before_t WHERE month_id >= 200011
+    AND month_id NOT IN ({inputs.WITHDRAWN_MONTH}, {inputs.CUT_MONTH})
+    AND NOT (month_id IN (200011, 200012) AND flow = 'Transfer out')
+  UNION ALL SELECT * REPLACE (TIMESTAMP '{inputs.WITHDRAWN_AT}' AS load_ts), 'app' FROM before_t
+    WHERE month_id = {inputs.CUT_MONTH} AND flow <> 'Income'"""
+
+
+def after_three_loads(query: str) -> str:
+    """The query over the lines that three loads leave behind."""
+    stage = f"stg_t AS ({CTES['stg_t']})"
+    text = full(query)
+    assert stage in text
+    return text.replace(stage, f"before_t AS ({CTES['stg_t']}), stg_t AS ({LOADED_THRICE})", 1)
+
+
+def _warehouse(table: dict[str, str]) -> dict[str, str]:
+    stored = {
+        "w_stg_transactions": f"SELECT {STG}, channel FROM stg_t",
+        "w_fact_transactions": table["t2_fact_transactions"],
+        "w_fact_personal": table["t3_fact_personal"],
+        "w_hourly_pay": table["g1_hourly_pay"],
+        "w_life_cost": table["g2_life_cost"],
+        "w_budget_compliance": table["g3_budget_compliance"],
+        "w_tagged_share": table["g5_tagged_share"],
+        "w_property_ledger": table["g6_tag_ledger"],
+        "w_income_summary": table["g4_income_summary"],
+        "w_checks": f"""SELECT 'stg_transactions' AS "table", 'unique:txn_id' AS "check", txn_id AS key,
+            CAST(count(*) AS VARCHAR) AS detail FROM stg_t GROUP BY txn_id HAVING txn_id IS NOT NULL AND count(*) > 1
+          UNION ALL SELECT 'fact_transactions', 'unique:txn_id', txn_id, CAST(count(*) AS VARCHAR) FROM fact_t
+            GROUP BY txn_id HAVING txn_id IS NOT NULL AND count(*) > 1
+          UNION ALL SELECT 'stg_transactions', 'not_null:txn_id', NULL, src_file FROM stg_t WHERE txn_id IS NULL
+          UNION ALL SELECT 'fact_transactions', 'value_for_tag', txn_id, tag FROM fact_t
+            WHERE tag IS NOT NULL AND tag_value IS NULL
+          UNION ALL SELECT 'stg_transactions', 'freshness:txn_time', {moment("max(txn_time)", "key")}, 'warn' FROM stg_t
+            HAVING max(txn_time) < TIMESTAMP '2002-03-01' - INTERVAL 30 DAY""",
+    }
+    return {name: after_three_loads(query) for name, query in stored.items()}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: full(query) for name, query in _table().items()}
+    table = _table()
+    return {name: full(query) for name, query in table.items()} | _warehouse(table)

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook import inputs
+from casebook.policy import DEMO
 from casebook.session import use_own_shared_folder_if_unset
 from tallyhouse.functions.calendar import MONTH_ID, date_range, month_id
 from tallyhouse.functions.text import worked_days
 from tallyhouse.operators import cashflow, checks, ledger, marts, matrices, mortgage, wealth
 from tallyhouse.plans import load
-from tallyhouse.policy import DEMO
+from tallyhouse.plans.warehouse import Warehouse
 from tallyhouse.sources import feed as feeds
 from tallyhouse.sources import sinks
+from tallyhouse.streaming.arrivals import load_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +105,26 @@ def s1_read_feed(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(*names, F.col("src_file").endswith(".csv").alias("from_csv"))
 
 
+def s1_read_feed_reordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports whose columns stand in another order, in a folder with a blank in its name, joined with its listing."""
+    path = f"{sinks.scratch_path(spark, 'feed')}/my exports"
+    names = feeds.schemas.FEED.names
+    inputs.feed(spark, sf).select(*reversed(names)).write.option("header", True).csv(path)
+    files = feeds.read_file_catalog(spark, path, listing=True).select(F.col("uri").alias("src_file"), F.lit(True).alias("listed"))
+    lines = feeds.read_feed(spark, path).join(files, "src_file", "left")
+    return lines.select(*names, F.col("listed").alias("from_csv"))
+
+
+def d8_check_readable(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports in which the amount of every refund was spoilt."""
+    path = sinks.scratch_path(spark, "feed")
+    lines = inputs.feed(spark, sf).select(*(F.col(name).cast("string") for name in feeds.schemas.FEED.names))
+    amount = F.when(F.col("category") == DEMO.refunds, F.concat("amount_main", F.lit("?"))).otherwise(F.col("amount_main"))
+    lines.withColumn("amount_main", amount).write.option("header", True).csv(path)
+    bad = checks.check_readable(feeds.read_feed(spark, path))
+    return bad.groupBy("check").agg(F.count("detail").alias("lines"))
+
+
 def s2_read_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
     path = sinks.scratch_path(spark, "catalog")
     inputs.catalog(spark, sf).select(
@@ -203,6 +225,36 @@ def l9_month_batch(spark: SparkSession, sf: str) -> DataFrame:
     return load.month_batch(target, source, load.touched_months(source), "txn_id")
 
 
+# Three loads through the warehouse. The marts are refreshed after the first and the third; the second is skipped.
+
+_houses: dict[tuple[str, str], Warehouse] = {}
+
+
+def warehouse(spark: SparkSession, sf: str) -> Warehouse:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _houses:
+        house = Warehouse(spark, sinks.scratch_path(spark, "warehouse"), DEMO)
+        house.load_reference(inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf))
+        lines = staged(spark, sf)
+        house.load_lines(inputs.first_batch(lines))
+        house.load_marts()
+        house.load_lines(inputs.after_second_batch(lines))
+        months = spark.createDataFrame([(inputs.WITHDRAWN_MONTH,), (inputs.CUT_MONTH,)], f"{MONTH_ID} int")
+        house.load_lines(inputs.after_third_batch(lines), months)
+        house.load_marts()
+        _houses[key] = house
+    return _houses[key]
+
+
+def w_stream(spark: SparkSession, sf: str, max_files: int | None = None) -> DataFrame:
+    """The whole feed as arriving CSV files that share months."""
+    exports, path, checkpoint = (sinks.scratch_path(spark, name) for name in ("exports", "arrived", "progress"))
+    inputs.feed(spark, sf).select(*feeds.schemas.FEED.names).repartition(3).write.option("header", True).csv(exports)
+    stream = feeds.stream_feed(spark, exports, max_files=max_files)
+    load_arrivals(stream, path, checkpoint).awaitTermination()
+    return sinks.read_table(spark, path).drop("src_file", "load_ts", "file_created_at", "file_size")
+
+
 # Silver.
 
 
@@ -323,6 +375,20 @@ def _table() -> dict[str, Query]:
         "l8_append_columns": l8_append_columns,
         "l9_month_batch": l9_month_batch,
         "l9_load_month_batch": l9_load_month_batch,
+        "s1_read_feed_reordered": s1_read_feed_reordered,
+        "d8_check_readable": d8_check_readable,
+        "w_stg_transactions": lambda s, d: warehouse(s, d).table("stg_transactions"),
+        "w_fact_transactions": lambda s, d: warehouse(s, d).table("fact_transactions"),
+        "w_fact_personal": lambda s, d: warehouse(s, d).table("fact_personal"),
+        "w_hourly_pay": lambda s, d: warehouse(s, d).table("hourly_pay").drop(MONTH_ID),
+        "w_life_cost": lambda s, d: warehouse(s, d).table("life_cost").drop(MONTH_ID),
+        "w_budget_compliance": lambda s, d: warehouse(s, d).table("budget_compliance").drop(MONTH_ID),
+        "w_tagged_share": lambda s, d: warehouse(s, d).table("tagged_share").drop(MONTH_ID),
+        "w_property_ledger": lambda s, d: warehouse(s, d).table("property_ledger"),
+        "w_income_summary": lambda s, d: warehouse(s, d).income_summary(),
+        "w_checks": lambda s, d: warehouse(s, d).checks(as_of=datetime(2002, 3, 1)),
+        "w_stream": w_stream,
+        "w_stream_by_file": lambda s, d: w_stream(s, d, max_files=1),
         "t1_stage_transactions": t1_stage_transactions,
         "t2_fact_transactions": built_fact,
         "t3_fact_personal": personal,

@@ -25,6 +25,10 @@ def session(name: str = "tallyhouse") -> SparkSession:
 
 
 def use_own_shared_folder_if_unset(spark: SparkSession) -> None:
-    """A cluster names its shared folder in spark.checkpoint.dir; a local session may not have one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    """A cluster names its shared folder in spark.checkpoint.dir. Only a local session, whose tasks share one disk, may
+    get its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))

@@ -1,5 +1,5 @@
 """Ledger analytics written as Spark DataFrame transformations."""
 
-from tallyhouse.policy import DEMO, Policy, spanish_policy
+from tallyhouse.policy import Policy, spanish_policy
 
-__all__ = ["DEMO", "Policy", "spanish_policy"]
+__all__ = ["Policy", "spanish_policy"]

@@ -65,6 +65,16 @@ def check_worked_days(fact: DataFrame) -> DataFrame:
     return _offenders(bad, "worked_days", F.col("txn_id"), F.col("comment"))
 
 
+def check_readable(feed: DataFrame) -> DataFrame:
+    """Exported lines that could not be read whole, or that name no time, with the line or what was read of it."""
+    # An expression the reader cannot evaluate early: it would ask for the line before it has failed to parse it.
+    unread = F.coalesce("bad_line", F.lit("")) != ""
+    bad = feed.filter(unread | F.col("occurred_at").isNull())
+    # All columns are shown, since the reader only tries those that are asked for.
+    shown = F.coalesce("bad_line", F.to_json(F.struct(*feed.columns)))
+    return _offenders(bad, "readable", F.col("src_file"), shown)
+
+
 def check_freshness(
     df: DataFrame,
     column: str,

@@ -40,7 +40,7 @@ def hourly_pay(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
         .select(
             *keys, "txn_time", "year", "month", "worked_days", "net_days", "hours", "gross", "deductions", "net",
             pay.cast("decimal(18,2)").alias("pay_per_hour"),
-            F.lit("PEN").alias("currency"),
+            F.lit(policy.currency).alias("currency"),
             "load_ts",
         )
     )
@@ -89,7 +89,7 @@ def life_cost(
 def budget_compliance(fact: DataFrame, budget: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
     """Month by category: spend against budget. Spend is summed first, so the join sees a row per cell, not per line.
 
-    Budget rows must be unique on month and upper-cased category (``check_unique`` on that key).
+    Budget rows of one month and category, whatever their case, are added up (``check_unique`` lists them).
     """
     spend = (
         fact.filter(F.col("flow") == policy.expense)
@@ -106,6 +106,10 @@ def budget_compliance(fact: DataFrame, budget: DataFrame, policy: Policy, keys:
         F.col("category").alias("_budget_category"),
         "budget",
     )
+    plan = plan.groupBy(*keys, "month_start", "_category").agg(
+        F.max("_budget_category").alias("_budget_category"),
+        F.sum("budget").cast("decimal(18,4)").alias("budget"),
+    )
     cells = spend.join(plan, by(keys, "month_start", "_category"), "full").select(
         *keys, "month_start",
         F.coalesce("category", "_budget_category").alias("category"),

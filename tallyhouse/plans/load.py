@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyhouse.functions.calendar import MONTH_ID, month_id
 from tallyhouse.sources import sinks
@@ -109,7 +108,8 @@ def month_batch(
 ) -> DataFrame:
     """The table after a load: first run everything, later runs with the touched months replaced.
 
-    ``files`` makes the load replace the lines of those files instead of whole months.
+    ``files`` makes the load replace the lines of those files instead of whole months. Only stored lines in months of
+    the updates take part in the merge, since the line id covers the time.
     """
     if target is None:
         return source
@@ -117,20 +117,36 @@ def month_batch(
     updates = newer_than(source, remaining, load_ts)
     if key is None:
         return append_columns(remaining, updates)
-    return merge_by_key(remaining, updates, key)
+    met = F.broadcast(updates.select(MONTH_ID).distinct())
+    merged = merge_by_key(remaining.join(met, MONTH_ID, "left_semi").select(*remaining.columns), updates, key)
+    return append_columns(remaining.join(met, MONTH_ID, "left_anti").select(*remaining.columns), merged)
 
 
-def _months_of(*frames: DataFrame) -> set:
+def months_of(*frames: DataFrame) -> set:
     """Distinct months as a list the driver can hold: they follow the calendar, whatever the tables hold."""
     months = reduce(DataFrame.union, (df.select(MONTH_ID) for df in frames)).distinct()
     return {row[0] for row in months.collect()}
 
 
-def _in(months: set) -> Column:
+def in_months(months: set) -> Column:
     known = F.coalesce(F.col(MONTH_ID).isin(*(m for m in months if m is not None)), F.lit(False))
     return known | F.col(MONTH_ID).isNull() if None in months else known
 
 
+def replace_months(spark: SparkSession, path: str, table: DataFrame, changed: set) -> None:
+    """Make the stored table equal ``table`` in the changed months; months without rows are emptied.
+
+    ``table`` holds rows of these months only and does not read ``path``.
+    """
+    target = sinks.read_table(spark, path)
+    if target is None:
+        sinks.write_months(table, path)
+        return
+    gone = months_of(target.filter(in_months(changed))) - months_of(table)
+    sinks.overwrite_months(table, path)
+    sinks.clear_months(target, path, gone)
+
+
 def load_month_batch(
     spark: SparkSession,
     path: str,
@@ -140,41 +156,48 @@ def load_month_batch(
     load_ts: str = "load_ts",
     mode: str = LATEST,
     files: DataFrame | None = None,
-    schema: T.StructType | None = None,
     only_newer: bool = True,
-) -> None:
-    """Run one load into the month-partitioned table at ``path``.
+) -> set:
+    """Run one load into the month-partitioned table at ``path``; the months whose rows it changed.
 
     ``months`` defaults to the months of the latest load, or of all unseen loads with ``mode="all_pending"``. Months and
     load time are fetched first and enter the plans as literals: they prune the target's directories and, where the
-    load time is that of a file, the source's files. Only months that lose or gain rows are rewritten; an update can
-    match a stored row only inside its own month, because the line id covers the time. A failed run leaves the table as
-    it was, and a rerun replaces the same months. ``schema`` spares a stored table the look into every file's columns.
-    ``only_newer=False`` takes every source row, for sources that hold nothing but the new lines.
+    load time is that of a file, the source's files. The updates are then staged once, and all else reads the staged
+    rows. Only months that lose or gain rows are rewritten; an update can match a stored row only inside its own month,
+    because the line id covers the time. Stored columns the source lacks stay. A failed run leaves the table as it was,
+    and a rerun replaces the same months. ``only_newer=False`` takes every source row, for sources that hold nothing
+    but the new lines.
     """
-    target = sinks.read_table(spark, path, schema)
+    target = sinks.read_table(spark, path)
     if target is None:
         sinks.write_months(source, path)
-        return
+        return months_of(sinks.read_table(spark, path))
     if files is None:
         if months is None:
             months = pending_months(source, target, load_ts=load_ts) if mode == ALL_PENDING else touched_months(source)
-        lost = _months_of(months) - {None}
-        remaining = target.filter(~_in(lost))
+        lost = months_of(months) - {None}
+        remaining = target.filter(~in_months(lost))
     else:
         names = files.select(F.col("uri").alias("src_file")).distinct()
-        lost = _months_of(target.join(names, "src_file", "left_semi"))
+        lost = months_of(target.join(names, "src_file", "left_semi"))
         remaining = drop_files(target, files)
     newest = remaining.agg(F.unix_micros(F.max(load_ts))).first()[0] if only_newer else None
     updates = source if newest is None else source.filter(F.col(load_ts) > F.timestamp_micros(F.lit(newest)))
-    arriving = _months_of(updates)
-    changed = lost | arriving
-    keep = remaining.filter(_in(changed))
-    held, kept = _months_of(target.filter(_in(changed))), _months_of(keep)
-    if not kept:
-        # The usual case: every month that gains lines was cleared before, so there is nothing to merge with.
-        result = updates
-    else:
-        result = merge_by_key(keep, updates, key) if key else append_columns(keep, updates)
-    sinks.overwrite_months(result, path)
-    sinks.clear_months(target, path, sorted(held - kept - arriving - {None}))
+    aside = sinks.scratch_path(spark, "updates")
+    try:
+        sinks.write_months(updates, aside)
+        updates = sinks.read_table(spark, aside)
+        arriving = months_of(updates)
+        changed = lost | arriving
+        keep = remaining.filter(in_months(changed))
+        held, kept = months_of(target.filter(in_months(changed))), months_of(keep)
+        if not kept:
+            # The usual case: every month that gains lines was cleared before, so there is nothing to merge with.
+            result = updates
+        else:
+            result = merge_by_key(keep, updates, key) if key else append_columns(keep, updates)
+        sinks.overwrite_months(result, path)
+        sinks.clear_months(target, path, held - kept - arriving)
+    finally:
+        sinks.delete(spark, aside)
+    return (held & lost) | arriving

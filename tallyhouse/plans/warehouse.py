@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import MONTH_ID, month_id
-from tallyhouse.operators import ledger, marts
+from tallyhouse.operators import checks, ledger, marts
 from tallyhouse.plans import load
 from tallyhouse.policy import Policy
 from tallyhouse.sources import sinks
@@ -47,54 +49,105 @@ class Warehouse:
 
     def load_reference(self, keys: DataFrame, budget: DataFrame, mortgage: DataFrame) -> None:
         """Full refresh of the small tables; arguments come from the functions in ``sources.reference``."""
+        path = self.path("budget")
+        before = sinks.read_table(self.spark, path)
+        months = set() if before is None else self._budget_months(before)
         sinks.overwrite_table(keys, self.path("keys"))
-        sinks.overwrite_table(budget, self.path("budget"))
+        sinks.overwrite_table(budget, path)
         sinks.overwrite_table(mortgage, self.path("mortgage"))
-
-    def load_lines(self, staged: DataFrame, months: DataFrame | None = None, mode: str = load.LATEST) -> None:
-        """Load staged lines, then the line tables that follow from them."""
-        keys = self.table("keys")
-        self._load("stg_transactions", staged, months, mode)
-        staged = self.table("stg_transactions")
-        touched = load.touched_months(staged)
-        for name, build in (
-            ("fact_transactions", ledger.fact_transactions),
-            ("fact_personal", ledger.fact_personal),
-        ):
-            lines = build(staged, keys, self.policy)
-            self._load(name, lines, touched if mode == load.LATEST else None, mode)
-
-    def load_marts(self) -> None:
-        """Rebuild the stored marts; marts of single months only for the months of the latest load."""
-        policy = self.policy
-        fact = self.table("fact_transactions")
-        months = load.touched_months(fact)
-        # Month literals prune the directories of the fact table.
-        recent = {row[0] for row in months.collect()}
-        lines = fact.filter(F.col(MONTH_ID).isin(*recent))
-        self._replace("hourly_pay", fact, lines, lambda df: marts.hourly_pay(df, policy), "txn_time")
-        self._replace("tagged_share", fact, lines, lambda df: marts.tagged_share(df, policy), "month_start")
-        self._replace(
-            "property_ledger",
-            fact,
-            lines,
-            lambda df: marts.tag_ledger(df, policy.property_tag, policy.property_hidden_categories),
-            "txn_time",
-        )
-        pay = self.table("hourly_pay")
-        self._load("life_cost", marts.life_cost(fact, pay, policy), months, load.LATEST)
-        sinks.overwrite_table(
-            marts.budget_compliance(fact, self.table("budget"), policy), self.path("budget_compliance")
-        )
-
-    def _load(self, name: str, source: DataFrame, months: DataFrame | None, mode: str) -> None:
-        load.load_month_batch(self.spark, self.path(name), source, months, mode=mode, schema=source.schema)
-
-    def _replace(self, name: str, fact: DataFrame, lines: DataFrame, build, time: str) -> None:
-        """Recompute whole months from all their lines, not only from the newest ones."""
-        path = self.path(name)
-        first = sinks.read_table(self.spark, path) is None
-        mart = build(fact if first else lines)
+        self._mark(months | self._budget_months(self.table("budget")))
+
+    def load_lines(self, staged: DataFrame, months: DataFrame | None = None, mode: str = load.LATEST) -> set:
+        """Load staged lines and carry the months they change into the line tables; returns these months.
+
+        The months are also kept for the next ``load_marts``, however many loads come before it.
+        """
+        changed = load.load_month_batch(self.spark, self.path("stg_transactions"), staged, months, mode=mode)
+        # Marked first: a run that fails below is repeated for these months by the next one.
+        self._mark(changed)
+        changed = self._marked()
+        keys, lines = self.table("keys"), self.table("stg_transactions").filter(load.in_months(changed))
+        for name, build in (("fact_transactions", ledger.fact_transactions), ("fact_personal", ledger.fact_personal)):
+            load.replace_months(self.spark, self.path(name), build(lines, keys, self.policy), changed)
+        return changed
+
+    def load_marts(self) -> set:
+        """Replace every month that changed since the last call in all stored marts; returns these months."""
+        policy, changed = self.policy, self._marked()
+        every = self.table("fact_transactions")
+        fact = every.filter(load.in_months(changed))
+        budget, hidden = self.table("budget"), policy.property_hidden_categories
+        before = self._latest_pay()
+        self._replace("hourly_pay", marts.hourly_pay(fact, policy), changed, "txn_time")
+        self._replace("tagged_share", marts.tagged_share(fact, policy), changed, "month_start")
+        self._replace("property_ledger", marts.tag_ledger(fact, policy.property_tag, hidden), changed, "txn_time")
+        pay, priced = self.table("hourly_pay"), changed
+        if self._latest_pay() != before:
+            # Months without pay of their own are priced at the latest month's.
+            own = pay.filter("hours IS NOT NULL AND pay_per_hour IS NOT NULL")
+            priced = changed | (load.months_of(every) - load.months_of(own))
+        costs = marts.life_cost(every.filter(load.in_months(priced)), pay, policy)
+        self._replace("life_cost", costs, priced, "txn_time")
+        planned = budget.withColumn(MONTH_ID, month_id(F.col("month_start"))).filter(load.in_months(changed))
+        self._replace("budget_compliance", marts.budget_compliance(fact, planned, policy), changed, "month_start")
+        sinks.overwrite_table(self._months(set()), self.path("changed_months"))
+        return changed
+
+    def checks(self, as_of: datetime | None = None, stale_after: timedelta = timedelta(days=30)) -> DataFrame:
+        """Offenders of every check that the stored tables must pass, as (table, check, key, detail).
+
+        With ``as_of`` the newest line must not be older than ``stale_after``.
+        """
+        staged, fact, keys, budget = (self.table(n) for n in ("stg_transactions", "fact_transactions", "keys", "budget"))
+        pay, share, cells = (self.table(name) for name in ("hourly_pay", "tagged_share", "budget_compliance"))
+        category = budget.withColumn("category", F.upper("category"))
+        found = {
+            "stg_transactions": [
+                checks.check_unique(staged, "txn_id"),
+                checks.check_not_null(staged, "txn_id", "src_file"),
+                checks.check_not_null(staged, "txn_time", "src_file"),
+            ],
+            "fact_transactions": [
+                checks.check_unique(fact, "txn_id"),
+                checks.check_relationship(fact, "tag", keys, "tag"),
+                checks.check_value_for_tag(fact),
+                checks.check_worked_days(fact),
+            ],
+            "hourly_pay": [checks.check_unique(pay, "year", "month"), checks.check_net_le_gross(pay)],
+            "tagged_share": [checks.check_unique(share, "month_start")],
+            "budget": [checks.check_unique(category, "month_start", "category")],
+            "budget_compliance": [
+                checks.check_unique(cells, "month_cat_id"),
+                checks.check_not_null(cells, "month_cat_id", "category"),
+            ],
+        }
+        if as_of is not None:
+            found["stg_transactions"].append(checks.check_freshness(staged, "txn_time", as_of, warn_after=stale_after))
+        named = [rows.select(F.lit(name).alias("table"), "*") for name, parts in found.items() for rows in parts]
+        return reduce(DataFrame.unionByName, named)
+
+    # Months that changed since the marts were last loaded.
+
+    def _months(self, months: set) -> DataFrame:
+        return self.spark.createDataFrame([(month,) for month in sorted(months, key=str)], f"{MONTH_ID} int")
+
+    def _marked(self) -> set:
+        marked = sinks.read_table(self.spark, self.path("changed_months"))
+        return set() if marked is None else load.months_of(marked)
+
+    def _mark(self, months: set) -> None:
+        sinks.overwrite_table(self._months(self._marked() | months), self.path("changed_months"))
+
+    def _latest_pay(self) -> tuple | None:
+        pay = sinks.read_table(self.spark, self.path("hourly_pay"))
+        newest = pay and pay.orderBy(F.desc("year"), F.desc("month")).select("hours", "pay_per_hour").first()
+        return newest and tuple(newest)
+
+    def _budget_months(self, budget: DataFrame) -> set:
+        return load.months_of(budget.select(month_id(F.col("month_start")).alias(MONTH_ID)))
+
+    def _replace(self, name: str, mart: DataFrame, changed: set, time: str) -> None:
+        """Replace whole months, computed from all their lines and not only from the newest ones."""
         if MONTH_ID not in mart.columns:
             mart = mart.withColumn(MONTH_ID, month_id(F.col(time)))
-        (sinks.write_months if first else sinks.overwrite_months)(mart, path)
+        load.replace_months(self.spark, self.path(name), mart, changed)

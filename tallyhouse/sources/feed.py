@@ -4,24 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from tallyhouse import schemas
 
 
+BAD_LINE = "bad_line"
+
+
+def _decoded(path: Column) -> Column:
+    """A file name as the folder holds it: Spark's metadata encode blanks and the like, a listing does not."""
+    # A plus sign stands for itself in paths.
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _with_file(lines: DataFrame) -> DataFrame:
     """File name, size and time as Spark read them; they cost no join and no extra pass."""
     return lines.select(
         "*",
-        F.col("_metadata.file_path").alias("src_file"),
+        _decoded(F.col("_metadata.file_path")).alias("src_file"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("file_created_at"),
         F.col("_metadata.file_modification_time").alias("load_ts"),
     )
 
 
+def _reader(reader, schema: T.StructType, options: Mapping[str, str]):
+    """Headers must name the columns in this order; a line that does not fit is kept whole in ``bad_line``."""
+    kept = T.StructType([*schema, T.StructField(BAD_LINE, T.StringType())])
+    reader = reader.schema(kept).option("header", True).option("escape", '"').option("enforceSchema", False)
+    return reader.option("columnNameOfCorruptRecord", BAD_LINE).options(**options)
+
+
+def _in_file_order(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, options: Mapping[str, str]
+) -> tuple[T.StructType, dict[str, str]]:
+    """The schema in the order and with the names of the header, and the engine's name of each."""
+    try:
+        header = spark.read.option("header", True).option("escape", '"').options(**options).csv(path).columns
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        header = []
+    header = header or schema.names
+    names = {name: name for name in schema.names}
+    spanish = {old: new for old, new in schemas.SPANISH_FEED_COLUMNS.items() if new in names}
+    names = {name: names.get(name) or spanish.get(name) for name in header}
+    if sorted(names.values(), key=str) != sorted(schema.names):
+        raise ValueError(f"header {header} does not name the columns {schema.names}")
+    return T.StructType([T.StructField(name, schema[names[name]].dataType) for name in header]), names
+
+
 def read_feed(
     spark: SparkSession,
     path: str | list[str],
@@ -29,13 +65,16 @@ def read_feed(
     columns: Mapping[str, str] | None = None,
     **options: str,
 ) -> DataFrame:
-    """Ledger lines of CSV exports with a header, in the column order of ``schema``; bad values become NULL.
+    """Ledger lines of CSV exports, their columns found by the engine's or the Spanish names in the header.
 
-    ``columns`` renames columns to the engine's names when ``schema`` uses the exporter's own. Options go to the CSV
-    reader. Lines stay splittable, so one huge file is read by many tasks.
+    The files of one call share one order of columns; a file of another order, or a header with missing or unknown
+    names, is an error. Values that cannot be read become NULL, and ``bad_line`` then holds the line
+    (``check_readable`` lists them). ``columns`` renames columns to the engine's names when ``schema`` uses the
+    exporter's own. Options go to the CSV reader. Lines stay splittable, so one huge file is read by many tasks.
     """
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').options(**options)
-    lines = _with_file(reader.csv(path))
+    found, names = _in_file_order(spark, path, schema, options)
+    lines = _with_file(_reader(spark.read, found, options).csv(path)).withColumnsRenamed(names)
+    lines = lines.select(*schema.names, *(name for name in lines.columns if name not in schema.names))
     return lines.withColumnsRenamed(dict(columns)) if columns else lines
 
 
@@ -47,11 +86,14 @@ def stream_feed(
     max_files: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """The same lines as a stream of newly arrived files. A re-issued month must arrive under a new path."""
-    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"').options(**options)
+    """The same lines as a stream of newly arrived files. Their headers must be like those of the files that are there
+    at the start, or follow ``schema`` if there is none. A re-issued export must arrive under its old name in another
+    folder."""
+    found, names = _in_file_order(spark, path, schema, options)
+    reader = _reader(spark.readStream, found, options)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = _with_file(reader.csv(path))
+    lines = _with_file(reader.csv(path)).withColumnsRenamed(names)
     return lines.withColumnsRenamed(dict(columns)) if columns else lines
 
 
@@ -74,7 +116,7 @@ def read_file_catalog(spark: SparkSession, path: str, listing: bool = False, pat
         return file_catalog(spark.read.schema(schemas.FILE_CATALOG).parquet(path))
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     return files.load(path).select(
-        F.col("path").alias("uri"),
+        _decoded(F.col("path")).alias("uri"),
         F.col("length").alias("file_size"),
         F.col("modificationTime").alias("file_created_at"),
         F.col("modificationTime").alias("load_ts"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -24,30 +26,77 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyhouse/{name}-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The stored table, or None before its first load.
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and its path type."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
-    Without a schema every file is asked for its columns, since columns may have been added over time.
-    """
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table once nothing reads it any more."""
+    files, name = _files(spark, path)
+    files.delete(name(path), True)
+
+
+def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The columns kept beside a table. They hold for empty tables too, and spare the look into every file."""
     try:
-        stored = spark.read.parquet(path)
+        kept = spark.read.schema("number long, columns string").parquet(f"{path}/_schema")
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    newest = kept.orderBy(F.desc("number")).first()
+    return T.StructType.fromJson(json.loads(newest["columns"])) if newest else None
+
+
+def _remember(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Add columns that are new; a column once stored is never forgotten."""
+    known = stored_schema(spark, path)
+    names = set(known.names) if known else set()
+    columns = [*(known or []), *(field for field in schema if field.name not in names)]
+    if known is None or len(columns) > len(known):
+        row = [(len(columns), T.StructType(columns).json())]
+        spark.createDataFrame(row, "number long, columns string").coalesce(1).write.mode("append").parquet(f"{path}/_schema")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table with all its columns, or None before its first load."""
+    schema = stored_schema(spark, path)
     if schema is not None:
         return spark.read.schema(schema).parquet(path)
-    return spark.read.option("mergeSchema", True).parquet(path) if stored.columns else None
+    # A table written elsewhere: every file is asked for its columns.
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def overwrite_table(df: DataFrame, path: str) -> DataFrame:
-    """Full refresh. The rows are first written aside, so a failing job leaves the old table as it was, and a table
-    may be computed from itself."""
-    spark = df.sparkSession
-    aside = scratch_path(spark, "refresh")
-    df.write.mode("errorifexists").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Full refresh. The new table is written aside and takes the old one's place by renaming, so a failing job leaves
+    the old rows, and a table may be computed from itself."""
+    spark, path, mark = df.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    aside, before = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    files, name = _files(spark, path)
+    try:
+        df.write.parquet(aside)
+        _remember(spark, aside, df.schema)
+    except BaseException:
+        files.delete(name(aside), True)
+        raise
+    replaced = files.exists(name(path))
+    if replaced and not files.rename(name(path), name(before)):
+        raise OSError(f"{path} could not be moved")
+    files.mkdirs(name(path).getParent())
+    if not files.rename(name(aside), name(path)):
+        if replaced:
+            files.rename(name(before), name(path))
+        raise OSError(f"{aside} could not be moved")
+    if replaced:
+        files.delete(name(before), True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _by_month(df: DataFrame) -> DataFrame:
@@ -61,6 +110,7 @@ def _by_month(df: DataFrame) -> DataFrame:
 def write_months(df: DataFrame, path: str) -> None:
     """First load of a month-partitioned table."""
     _by_month(df).write.mode("overwrite").partitionBy(MONTH_ID).parquet(path)
+    _remember(df.sparkSession, path, df.schema)
 
 
 def overwrite_months(df: DataFrame, path: str) -> None:
@@ -70,10 +120,13 @@ def overwrite_months(df: DataFrame, path: str) -> None:
     """
     writer = _by_month(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(MONTH_ID).parquet(path)
+    if stored_schema(df.sparkSession, path) is not None:
+        _remember(df.sparkSession, path, df.schema)
 
 
-def clear_months(df: DataFrame, path: str, months: Iterable[int]) -> None:
+def clear_months(df: DataFrame, path: str, months: Iterable[int | None]) -> None:
     """Leave months without rows; ``df`` gives the table's columns. A dynamic overwrite cannot empty a month."""
     empty = df.drop(MONTH_ID).limit(0)
     for month in months:
-        empty.write.mode("overwrite").parquet(f"{path}/{MONTH_ID}={month}")
+        name = "__HIVE_DEFAULT_PARTITION__" if month is None else month
+        empty.write.mode("overwrite").parquet(f"{path}/{MONTH_ID}={name}")

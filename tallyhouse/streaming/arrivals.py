@@ -1,4 +1,4 @@
-"""Loads driven by arriving files: each micro-batch is one month-replacing load."""
+"""Loads driven by arriving files: each micro-batch replaces the lines of the exports it re-issues."""
 
 from __future__ import annotations
 
@@ -8,32 +8,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse.operators.ledger import stage_transactions
 from tallyhouse.plans import load
+from tallyhouse.sources import sinks
 
 
-def load_arrivals(
-    feed: DataFrame,
-    path: str,
-    checkpoint: str,
-    catalog: DataFrame | None = None,
-    replace_by: str = "month",
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Stage the lines of newly arrived files into the table at ``path``.
+def arrived(spark, path: str, staged: DataFrame) -> None:
+    """Put the lines of arriving files into the table at ``path``.
 
-    ``feed`` comes from ``stream_feed``. A batch may hold several loads, so all of its months are replaced, as named by
-    its files (``replace_by="month"``), or just the lines of its files (``"file"``). A batch that is repeated after a
-    failure replaces what it wrote, so every file counts once. Replacing by month expects one file per month.
+    An export is known by its file name without folders. Of all files of one name that ever arrived, the one of the
+    newest load time counts, of equal times the one of the larger path; the lines of the others are left out or
+    removed. So the table does not depend on how files fall into batches, nor on a batch that is repeated.
+    """
+    name = F.substring_index("src_file", "/", -1)
+    aside = sinks.scratch_path(spark, "arrived")
+    try:
+        sinks.write_months(staged, aside)
+        staged = sinks.read_table(spark, aside).withColumn("_name", name)
+        target = sinks.read_table(spark, path)
+        stored = None if target is None else target.withColumn("_name", name)
+        names = staged.select("_name").distinct()
+        both = staged
+        if stored is not None:
+            before = stored.join(names, "_name", "left_semi")
+            both = load.append_columns(before.select(*stored.columns), staged)
+        newest = both.groupBy("_name").agg(F.max(F.struct("load_ts", "src_file")).alias("_newest"))
+        winners = newest.select("_newest.*")
+        lines = both.join(winners, ["load_ts", "src_file"], "left_semi").select(*both.columns).drop("_name")
+        if stored is None:
+            sinks.write_months(lines, path)
+            return
+        changed = load.months_of(both)
+        rest = stored.filter(load.in_months(changed)).join(names, "_name", "left_anti")
+        result = load.append_columns(rest.select(*stored.columns).drop("_name"), lines)
+        gone = changed - load.months_of(result)
+        sinks.overwrite_months(result, path)
+        sinks.clear_months(target, path, gone)
+    finally:
+        sinks.delete(spark, aside)
+
+
+def load_arrivals(feed: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Stage the lines of newly arrived files into the table at ``path``; ``feed`` comes from ``stream_feed``.
+
+    A re-issued export arrives under its old name in another folder.
     """
 
     def load_batch(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        files = batch.select(F.col("src_file").alias("uri"), "load_ts").distinct()
-        staged = stage_transactions(batch, catalog)
-        if replace_by == "file":
-            load.load_month_batch(spark, path, staged, files=files, schema=staged.schema, only_newer=False)
-            return
-        months = files.select(load.file_month(F.col("uri")).alias(load.MONTH_ID)).distinct()
-        load.load_month_batch(spark, path, staged, months, schema=staged.schema, only_newer=False)
+        arrived(batch.sparkSession, path, stage_transactions(batch))
 
     writer = feed.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook import inputs
 from tallyhouse.operators import ledger
-from tallyhouse.policy import DEMO
+from casebook.policy import DEMO
 
 FEED = (
     "occurred_at timestamp_ntz, account string, category string, subcategory string, concept string, comment string, "

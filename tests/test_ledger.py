@@ -5,13 +5,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from casebook.policy import DEMO
 from casebook import inputs
 from tallyhouse.functions.calendar import date_range
 from tallyhouse.functions.money import plain_number
 from tallyhouse.operators import checks, ledger
 from tallyhouse.operators.lookups import hot_keys, lookup_join
 from tallyhouse.plans import load
-from tallyhouse.policy import DEMO, spanish_policy
+from tallyhouse.policy import spanish_policy
 from tests.rows import fact, feed, line, staged, values
 
 

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -7,10 +8,10 @@ from pyspark.sql import functions as F
 from casebook import inputs
 from casebook.queries import staged as fixture_staged
 from tallyhouse import schemas
-from tallyhouse.operators import ledger
+from tallyhouse.operators import checks, ledger
 from tallyhouse.plans import load
 from tallyhouse.plans.warehouse import Warehouse
-from tallyhouse.policy import DEMO
+from casebook.policy import DEMO
 from tallyhouse.sources import feed as feeds
 from tallyhouse.sources import reference, sinks
 from tallyhouse.streaming.arrivals import load_arrivals
@@ -224,3 +225,86 @@ def test_a_hot_month_is_written_by_many_tasks(spark, sf, tmp_path):
         spark.conf.unset(size)
     assert len(list((tmp_path / "t" / "month_id=200112").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "t")).count() == lines.count()
+
+
+def test_skipped_marts_withdrawn_months_and_late_columns(spark, sf, tmp_path):
+    house = Warehouse(spark, str(tmp_path), DEMO)
+    house.load_reference(inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf))
+    salary = {"category": "Salary", "flow": "Income", "comment": "20 dias trabajados", "amount": "100"}
+    flat = {"category": "Investments", "comment": "Inm/ Unit 0/"}
+    house.load_lines(staged(spark, line(when=MAY, **salary)))
+    house.load_marts()
+    first = staged(spark, line(when=MAY, **salary), line(when=JUNE, loaded="2002-02-01", **salary), line(when=JUNE, loaded="2002-02-01", **flat))
+    assert house.load_lines(first.withColumn("channel", F.lit("app"))) == {200106}
+    july = first.unionByName(staged(spark, line(when=JULY, loaded="2002-03-01", **salary)))
+    house.load_lines(july)
+    # Both loads since the last refresh count, and the column that the last export lacks is still there.
+    assert house.load_marts() == {200106, 200107}
+    assert values(house.table("hourly_pay"), "month") == [(5,), (6,), (7,)]
+    assert values(house.table("stg_transactions"), "month_id", "channel") == [
+        (200105, None), (200106, "app"), (200106, "app"), (200107, None),
+    ]
+    assert house.table("property_ledger").count() == 1
+    # June is withdrawn: named by its file, without any line.
+    june = spark.createDataFrame([(200106,)], "month_id int")
+    house.load_lines(july.filter("month_id <> 200106"), june)
+    house.load_marts()
+    for name in ("stg_transactions", "fact_transactions", "tagged_share", "hourly_pay"):
+        assert (200106,) not in values(house.table(name), "month_id"), name
+    assert house.table("property_ledger").count() == 0
+
+
+def test_a_ledger_without_salary_has_empty_marts(spark, sf, tmp_path):
+    house = Warehouse(spark, str(tmp_path), DEMO)
+    house.load_reference(inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf))
+    house.load_lines(staged(spark, line(when=MAY)))
+    house.load_marts()
+    assert house.table("hourly_pay").count() == house.table("life_cost").count() == 0
+    assert house.checks().count() == 0
+    house.load_lines(staged(spark, line(when=JUNE, loaded="2002-02-01"), line(when=JUNE, loaded="2002-02-01")))
+    assert {row.check for row in house.checks().collect()} == {"unique:txn_id"}
+
+
+@pytest.mark.parametrize("max_files", [None, 1, 3])
+def test_arrivals_do_not_depend_on_batches(spark, tmp_path, max_files):
+    """Two files share May; one of them is issued again in another folder."""
+    folder = tmp_path / "in"
+    for name in ("first", "second"):
+        (folder / name).mkdir(parents=True)
+    _export(folder / "first", "a_0105.csv", LUNCH)
+    _export(folder / "first", "b_0105.csv", LUNCH.replace("Lunch", "Tea"), JUNE_LINE)
+    _export(folder / "second", "a_0105.csv", LUNCH.replace("Lunch", "Dinner"))
+    os.utime(folder / "first" / "a_0105.csv", (1, 1))
+    table = str(tmp_path / "stg")
+    stream = feeds.stream_feed(spark, str(folder), max_files=max_files, recursiveFileLookup="true")
+    load_arrivals(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert values(sinks.read_table(spark, table), "concept") == [("Dinner",), ("Lunch, late",), ("Tea",)]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    names = list(schemas.FEED.names)
+    (tmp_path / "my book.csv").write_text(",".join(reversed(names)) + "\n" + ",".join(reversed(LUNCH.split(","))) + "\nx,y\n")
+    lines = feeds.read_feed(spark, str(tmp_path)).cache()
+    assert values(lines.filter("account IS NOT NULL"), "account", "category") == [("Card", "Food")]
+    assert [row.detail for row in checks.check_readable(lines).collect()] == ["x,y"]
+    files = feeds.read_file_catalog(spark, str(tmp_path), listing=True)
+    known = ledger.stage_transactions(lines, files).filter("load_ts IS NOT NULL")
+    assert known.count() == lines.count()
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    for name, header in (("a.csv", names), ("b.csv", reversed(names))):
+        (mixed / name).write_text(",".join(header) + "\n" + LUNCH + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        feeds.read_feed(spark, str(mixed)).collect()
+    with pytest.raises(ValueError, match="does not name"):
+        feeds.read_feed(spark, str(mixed), sep=";")
+
+
+def test_a_failing_refresh_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.overwrite_table(spark.range(5).toDF("n"), path)
+    broken = spark.read.parquet(path).select(F.raise_error(F.lit("stop")).cast("bigint").alias("n"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.overwrite_table(broken, path)
+    assert sinks.read_table(spark, path).count() == 5
+    assert [file.name for file in tmp_path.iterdir()] == ["t"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casebook import inputs
 from casebook.queries import fact as fixture_fact
 from tallyhouse.operators import cashflow, checks, marts, matrices, mortgage, wealth
-from tallyhouse.policy import DEMO
+from casebook.policy import DEMO
 from tests import rows
 from tests.rows import budget, fact, line, values
 
