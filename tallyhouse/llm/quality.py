@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tallyhouse.llm.features import LETTERS, SHAPES, letter_trigrams, repetition, shape_trigrams
 from tallyhouse.llm.stage import column_of, split_bytes
 
-PER_LABEL = 1000
+PER_LABEL = 400
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
 THRESHOLD = 0.7
 ROWS = 256
@@ -88,9 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     parts = [present.filter(F.col("label") == label).orderBy(*order).limit(per_label) for label in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     texts = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.select("label", "text").mapInArrow(_vectors, "label int, vector binary").collect()
-    vectors = np.array([np.frombuffer(row["vector"], np.float32) for row in rows]).reshape(len(rows), FEATURES)
-    return Model(vectors, np.array([row["label"] for row in rows], np.int64), dimensions)
+    rows = texts.select("label", "text").mapInArrow(_vectors, "label int, vector binary").toArrow()
+    vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(len(rows), FEATURES)
+    return Model(vectors, rows.column("label").to_numpy().astype(np.int64), dimensions)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model, text: str, neighbours: int, sharpness: int) -> Iterator[pa.RecordBatch]:
