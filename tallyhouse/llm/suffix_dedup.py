@@ -26,7 +26,6 @@ from tallyhouse.llm.stage import column_of, identified, split_bytes
 
 LENGTH = 100
 BLOCK = 1 << 17
-LONGEST = 256
 
 
 def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -35,14 +34,15 @@ def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int)
     for at in range(0, len(data) - length + 1, BLOCK):
         stop = min(at + BLOCK, len(data) - length + 1)
         part = data[at : stop + length - 1]
-        trigger = sliding_min(Prefix(TABLES[0][part], 0).rolling(gram), length - gram + 1)
+        grams = Prefix(TABLES[0][part], 0).rolling(gram)
+        trigger = sliding_min(grams, length - gram + 1)
+        # A phrase ends where its trigger, the first gram of the smallest hash, leaves the window. Windows of one phrase
+        # thus hold the trigger at different places and are never equal to each other.
+        left = np.flatnonzero((trigger[1:] != trigger[:-1]) | (grams[: len(trigger) - 1] == trigger[:-1])) + 1
         cuts = np.concatenate((offsets, offsets[1:] - length + 1)) - at
         cuts = cuts[(cuts > 0) & (cuts < stop - at)]
-        begin = np.unique(np.concatenate(([0], np.flatnonzero(trigger[1:] != trigger[:-1]) + 1, cuts)))
+        begin = np.unique(np.concatenate(([0], left, cuts)))
         n = np.diff(np.append(begin, stop - at))
-        if n.max(initial=0) > LONGEST:
-            begin = np.concatenate([np.arange(b, b + k, LONGEST) for b, k in zip(begin, n, strict=True)])
-            n = np.diff(np.append(begin, stop - at))
         row = np.searchsorted(offsets, begin + at, "right") - 1
         whole = begin + at + length <= offsets[row + 1]
         begin, n, row = begin[whole], n[whole], row[whole]
