@@ -2,6 +2,74 @@
 
 from __future__ import annotations
 
+# Every 100-byte string as 200 hex digits, with its first place.
+OP1 = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+    FROM texts, LATERAL (SELECT unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i)),
+  places AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM starts),
+  later AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM places WHERE n > 1),
+  runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later),
+  spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY ALL),
+  cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+  whole AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS last,
+      string_agg((SELECT substr(h, 2 * kept_from + 1, 2 * (a - kept_from)) FROM texts t WHERE t.doc_id = c.doc_id), ''
+        ORDER BY a) AS kept
+    FROM cuts c GROUP BY doc_id)
+  SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+  FROM texts LEFT JOIN whole USING (doc_id)"""
+
+OP4 = r"""WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  starts AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 35], ' ')) AS k,
+      md5(array_to_string(w[i + 1:i + 35], ' ')) AS s
+    FROM texts, LATERAL (SELECT unnest(range(0, greatest(len(w) - 34, 0))) AS i)),
+  repeated AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+  gone AS (SELECT DISTINCT doc_id, i + j AS p FROM repeated, LATERAL (SELECT unnest(range(0, 35)) AS j)),
+  lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+  words AS (SELECT doc_id, i, w[i + 1] AS word FROM texts, LATERAL (SELECT unnest(range(0, len(w))) AS i)),
+  left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words
+    WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = words.doc_id AND g.p = words.i) GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+  FROM texts LEFT JOIN lists USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+# Words of the benchmark contract; windows of ten words, or of all words of a shorter item.
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP5 = f"""WITH texts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS s
+    FROM items, LATERAL (SELECT unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i) WHERE len(w) > 0),
+  sizes AS (SELECT DISTINCT size FROM windows),
+  starts AS (SELECT doc_id, i, size, array_to_string(w[i + 1:i + size], ' ') AS s
+    FROM texts, sizes, LATERAL (SELECT unnest(range(0, greatest(len(w) - size + 1, 0))) AS i)),
+  hits AS (SELECT doc_id, i, size, item_id FROM starts JOIN windows USING (size, s)),
+  covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hits, LATERAL (SELECT unnest(range(0, size)) AS j) GROUP BY doc_id),
+  found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n, 0) > 0 AS contaminated
+  FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+OP7 = """WITH usable AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+      CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_dedup": OP1,
+        "op4_substring_dedup": OP4,
+        "op5_benchmark_decontamination": OP5,
+        "op7_exact_topk": OP7,
+    }
