@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # Every 100-byte string as 200 hex digits, with its first place.
 OP1 = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+  starts AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s
     FROM texts, LATERAL (SELECT unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i)),
   places AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM starts),
   later AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM places WHERE n > 1),
@@ -22,10 +22,9 @@ OP1 = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM
   FROM texts LEFT JOIN whole USING (doc_id)"""
 
 OP4 = r"""WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-  starts AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 35], ' ')) AS k,
-      md5(array_to_string(w[i + 1:i + 35], ' ')) AS s
+  starts AS (SELECT doc_id, i, md5_number(array_to_string(w[i + 1:i + 35], ' ')) AS s
     FROM texts, LATERAL (SELECT unnest(range(0, greatest(len(w) - 34, 0))) AS i)),
-  repeated AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+  repeated AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY s) > 1),
   gone AS (SELECT DISTINCT doc_id, i + j AS p FROM repeated, LATERAL (SELECT unnest(range(0, 35)) AS j)),
   lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
   words AS (SELECT doc_id, i, w[i + 1] AS word FROM texts, LATERAL (SELECT unnest(range(0, len(w))) AS i)),
