@@ -88,7 +88,7 @@ def _rows(schema: pa.Schema, parts: list[tuple], *more: pa.Array) -> pa.RecordBa
 SCAN = pa.schema([(name, pa.int64()) for name in ("anchor", "content", "doc", "tie", "start", "n")] + [("kind", pa.int8())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, ties = longs(batch, "doc"), longs(batch, "tie")
         for begin, stop, data, offsets in split_bytes(column_of(batch, "text"), BATCH_BYTES):
@@ -101,10 +101,10 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool)
             parts = [(mix(s_row.astype(np.uint64) + s_start.astype(np.uint64)), np.zeros_like(s_row), doc[s_row], tie[s_row], s_start, s_n, np.full(len(s_row), SETTLED))]
             row, start, n, anchor, content, copies = (x[first] for x in (row, start, n, anchor, content, copies))
             values, inverse, crowd = np.unique(anchor, return_inverse=True, return_counts=True)
-            spread = crowd[inverse] > CROWD
+            spread = crowd[inverse] > most
             key = np.where(spread, mix(anchor + np.uint64(1) + (content & np.uint64(GROUPS - 1))), anchor)
             parts.append((key, content, doc[row], tie[row], start, n, np.where(spread, SPREAD, OPEN)))
-            mark = values[crowd > CROWD]
+            mark = values[crowd > most]
             none = np.zeros(len(mark), np.int64)
             parts.append((mark, none, none, none, none, none, np.full(len(mark), MARKER)))
             yield _rows(SCAN, parts)
@@ -198,24 +198,24 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def repeated_windows(
-    docs: DataFrame, text: str, phrases: Phrases, windows: Windows, every_copy: bool, width: int | None = None
+    docs: DataFrame, text: str, phrases: Phrases, windows: Windows, every_copy: bool, crowd: int, width: int | None = None
 ) -> DataFrame:
     """Repeated windows of each document as ``doc``, ``tie`` and ``spans``, an array of runs (``start``, ``n`` windows).
 
     ``docs`` has ``doc``, ``tie`` (unique together) and ``row``, a struct with the text. With ``every_copy`` all
-    occurrences of a repeated window count, else all but the first one by (doc, tie, start). Runs may overlap. With
-    ``width``, the bytes of a window, the third step sends phrases whose anchor has few others as excerpts to one
-    task; it spells out the windows there.
+    occurrences of a repeated window count, else all but the first one by (doc, tie, start). Runs may overlap. An
+    anchor with more than ``crowd`` phrases in one batch is spread. With ``width``, the bytes of a window, the third
+    step sends phrases whose anchor has at most ``crowd`` of them as excerpts to one task, which spells them out.
     """
     place = ["doc", "tie", "start"]
     texts = docs.select("doc", "tie", F.col(f"row.`{text}`").cast("string").alias("text"))
-    scanned = texts.mapInArrow(lambda batches: _scan(batches, phrases, every_copy), _ddl(SCAN))
+    scanned = texts.mapInArrow(lambda batches: _scan(batches, phrases, every_copy, crowd), _ddl(SCAN))
     sorted_ = Window.partitionBy("anchor").orderBy("content", *place)
     whole = Window.partitionBy("anchor")
     row = F.col("kind").isin(OPEN, SPREAD)
     before, after = (F.coalesce(f("content").over(sorted_) == F.col("content"), F.lit(False)) for f in (F.lag, F.lead))
     alone = (F.min("content").over(whole) == F.max("content").over(whole)) & (F.max("kind").over(whole) < MARKER)
-    small = (F.max("kind").over(whole) < MARKER) & (F.count(F.when(~F.col("before"), 1)).over(whole) <= CROWD)
+    small = (F.max("kind").over(whole) < MARKER) & (F.count(F.when(~F.col("before"), 1)).over(whole) <= crowd)
     classed = (
         scanned.withColumns({"before": before, "after": after})
         .withColumns({"alone": alone, "small": small})

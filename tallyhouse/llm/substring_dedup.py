@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.hashing import Prefix, mix, word_hashes, word_spans
-from tallyhouse.llm.repeats import _merged, repeated_windows
+from tallyhouse.llm.repeats import CROWD, _merged, repeated_windows
 from tallyhouse.llm.stage import column_of, identified, split_bytes
 
 LENGTH = 35
@@ -97,13 +97,21 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[
             yield pa.record_batch([original, *columns], names=["row", *REMOVED.names])
 
 
-def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, period: int = PERIOD) -> DataFrame:
+def remove_repeated_passages(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    period: int = PERIOD,
+    crowd: int = CROWD,
+) -> DataFrame:
     """Each input row as struct ``row`` with ``n_words``, ``n_removed`` and ``kept``, the kept words joined by a space.
 
     Words are runs of bytes other than space and 0x09 to 0x0D. A word is removed if it lies in a window of ``length``
     words whose sequence also starts anywhere else. NULL and empty texts have no words; texts shorter than a window
     are kept whole. Equal rows are one document and get the same result; different rows of one id, or without one,
-    are different documents. Other columns only pass through ``row``. ``period`` changes the work, not the result.
+    are different documents. Other columns only pass through ``row``. ``period`` and
+    ``crowd`` change the work, not the result.
     """
     rows, repeated = identified(docs.withColumn(text, F.col(text).cast("string")), doc_id)
     spans = repeated_windows(
@@ -112,6 +120,7 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
         partial(word_phrases, length=length, period=period, cover=difference_cover(period)),
         partial(word_windows, length=length),
         every_copy=True,
+        crowd=crowd,
     )
     joined = rows.join(spans, ["doc", "tie"], "left").select("row", "spans")
     schema = joined.select("row").schema

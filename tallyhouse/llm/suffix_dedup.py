@@ -21,18 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.hashing import TABLES, Prefix, mix, sliding_min
-from tallyhouse.llm.repeats import _merged, repeated_windows
+from tallyhouse.llm.repeats import CROWD, _merged, repeated_windows
 from tallyhouse.llm.stage import column_of, identified, split_bytes
 
 LENGTH = 100
+GRAM = 36
 BLOCK = 1 << 17
 
 
-def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def byte_phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int) -> tuple[np.ndarray, ...]:
     """Cut texts into phrases, in blocks so that memory does not follow the length of a text."""
     found = []
-    for at in range(0, len(data) - length + 1, BLOCK):
-        stop = min(at + BLOCK, len(data) - length + 1)
+    for at in range(0, len(data) - length + 1, block):
+        stop = min(at + block, len(data) - length + 1)
         part = data[at : stop + length - 1]
         grams = Prefix(TABLES[0][part], 0).rolling(gram)
         trigger = sliding_min(grams, length - gram + 1)
@@ -94,22 +95,31 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[
             yield pa.record_batch([original, *columns], names=["row", *REMOVED.names])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = 36) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    block: int = BLOCK,
+    crowd: int = CROWD,
+) -> DataFrame:
     """Each input row as struct ``row`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept``.
 
     A byte is removed if a string of ``length`` bytes covers it that also starts earlier: in a document of a smaller id,
     or earlier in the same document. NULL and empty texts keep nothing; texts shorter than ``length`` are kept whole.
     Equal rows are one document and get the same result; different rows of one id are ordered by a hash of the row; a
     NULL id sorts before all others. Other columns only pass through ``row``.
-    ``gram`` is the width of the rolling hash; it changes the work, not the result.
+    ``gram`` (the width of the rolling hash), ``block`` and ``crowd`` change the work, not the result.
     """
     rows, repeated = identified(docs.withColumn(text, F.col(text).cast("string")), doc_id)
     spans = repeated_windows(
         rows.dropDuplicates(["doc", "tie"]) if repeated else rows,
         text,
-        partial(byte_phrases, length=length, gram=gram),
+        partial(byte_phrases, length=length, gram=gram, block=block),
         partial(byte_windows, length=length),
         every_copy=False,
+        crowd=crowd,
         width=length,
     )
     joined = rows.join(spans, ["doc", "tie"], "left").select("row", "spans")
