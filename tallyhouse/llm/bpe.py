@@ -50,6 +50,13 @@ class Vocabulary:
         return _ENCODINGS[self.key]
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time: results are several times as large as the texts."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
     for value in column_of(batch, name):
         yield value.as_py() or ""
@@ -57,7 +64,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, passed: str) -> Iterator[pa.RecordBatch]:
     encoding, _ = vocabulary.load()
-    for batch in batches:
+    for batch in _small(batches):
         ids = [encoding.encode_to_numpy(value, disallowed_special=()).view(np.int32) for value in _texts(batch, text)]
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
         values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
@@ -164,9 +171,10 @@ def encode(
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     _, table = vocabulary.load()
-    for batch in batches:
+    for batch in _small(batches):
         ids = batch.column(batch.schema.get_field_index("ids"))
-        values, bounds = ids.values.to_numpy(), np.asarray(ids.offsets)
+        bounds = np.asarray(ids.offsets)
+        values, bounds = ids.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]
         texts = []
         for i, valid in enumerate(ids.is_valid().to_pylist()):
             texts.append(b"".join([table[x] for x in values[bounds[i] : bounds[i + 1]].tolist()]) if valid else None)

@@ -16,11 +16,16 @@ from tallyhouse.llm import bpe, chat, decontaminate, language, quality, simhash,
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the workers of this application the package, which need not be installed where they run."""
+    """Give the workers of this application the package, which need not be installed where they run, and batches of
+    texts that fit their memory unless the session sets its own size."""
+    # Texts are long: the default of so many rows in one batch is no bound on a worker's memory here.
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     context = spark.sparkContext
     if context in _SHIPPED:
         return
