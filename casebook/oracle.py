@@ -672,4 +672,5 @@ def _warehouse(table: dict[str, str]) -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     table = _table()
+    table["g2_life_cost_by_owner_salted"] = table["g2_life_cost_by_owner"]
     return {name: full(query) for name, query in table.items()} | _warehouse(table)

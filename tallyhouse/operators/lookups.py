@@ -36,22 +36,29 @@ def hot_keys(lines: DataFrame, on: Keys, share: int = HOT_SHARE) -> DataFrame:
 
 
 def lookup_join(
-    lines: DataFrame, lookup: DataFrame, on: Keys, spread: Column, max_rows: int = BROADCAST_ROWS
+    lines: DataFrame,
+    lookup: DataFrame,
+    on: Keys,
+    spread: Column,
+    max_rows: int = BROADCAST_ROWS,
+    share: int = HOT_SHARE,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Left join of lines with a lookup that is unique on ``on``.
 
     A lookup counted as small is broadcast and the lines stay where they are. A longer one is joined by shuffle. There
     the lines of hot keys, and those without a key, are spread over many tasks by the hash of ``spread``, and only the
-    lookup rows of hot keys are copied to all of these. So one key may own any share of the lines.
+    lookup rows of hot keys are copied to all of these. So one key may own any share of the lines. A key is hot from
+    one in ``share`` lines on and is spread over ``salts`` tasks.
     """
     on = list(on)
     if is_small(lookup, max_rows):
         return lines.join(F.broadcast(lookup), on, "left")
-    hot = F.broadcast(hot_keys(lines, on))
+    hot = F.broadcast(hot_keys(lines, on, share))
     keyless = reduce(or_, (F.col(name).isNull() for name in on))
     spread_out = F.coalesce(F.col("_hot"), F.lit(False)) | keyless
-    salt = F.when(spread_out, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(F.lit(0)))
+    salt = F.when(spread_out, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(F.lit(0)))
     salted = lines.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     copied = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(copied, [*on, "_salt"], "left").drop("_salt")

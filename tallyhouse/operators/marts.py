@@ -65,9 +65,12 @@ def life_cost(
     )
     lines = fact.filter(F.col("flow") == policy.expense)
     if keys:
-        spread = F.col("txn_time")
-        priced = lookup_join(lines, months, by(keys, MONTH_ID), spread, max_rows)
-        priced = lookup_join(priced, latest, keys, spread, max_rows)
+        # One price for each month of each ledger, so that the lines are joined once. Lines without a month have one too.
+        lines = lines.withColumn("_cell", F.coalesce(F.col(MONTH_ID), F.lit(0)))
+        months = months.withColumnRenamed(MONTH_ID, "_cell")
+        cells = lines.select(*keys, "_cell").distinct()
+        prices = cells.join(months, by(keys, "_cell"), "left").join(latest, list(keys), "left")
+        priced = lookup_join(lines, prices, by(keys, "_cell"), F.col("txn_time"), max_rows)
     else:
         # One ledger has at most one row per calendar month here, and one latest row.
         priced = attach(lines.join(F.broadcast(months), [MONTH_ID], "left"), latest, keys)
