@@ -70,15 +70,16 @@ SELECT make_date(CAST(y AS INT), CAST(mo AS INT), 1) AS month_start, CAST(y AS I
 FROM x WHERE (mi + cat_i) % 5 <> 0"""
 
 MORTGAGE = """
-WITH n AS (SELECT DISTINCT CAST(l_orderkey % 120 AS INT) AS i FROM lineitem),
-x AS (SELECT i, make_date(1996 + CAST(floor(i/12.0) AS INT), i % 12 + 1, 15) AS due_date FROM n)
+WITH n AS (SELECT CAST(l_orderkey % 120 AS INT) AS i, CAST(sum(l_partkey % 1000) % 5000 AS INT) AS q
+  FROM lineitem GROUP BY CAST(l_orderkey % 120 AS INT)),
+x AS (SELECT i, q, make_date(1996 + CAST(floor(i/12.0) AS INT), i % 12 + 1, 15) AS due_date FROM n)
 SELECT 'Unit 0' AS property_id, i < 66 AS paid, due_date, i + 1 AS installment_no,
- CAST(120000 AS DECIMAL(18,2)) AS installment, CAST(300 + i AS DECIMAL(18,2)) AS property_insurance,
+ CAST(120000 + q AS DECIMAL(18,2)) AS installment, CAST(300 + q AS DECIMAL(18,2)) AS property_insurance,
  CAST(150 AS DECIMAL(18,2)) AS life_insurance,
- CAST(CASE WHEN i % 4 = 0 THEN NULL ELSE 20000 END AS DECIMAL(18,2)) AS rental_income,
- CAST(CASE WHEN i % 6 = 0 THEN 50000 ELSE 0 END AS DECIMAL(18,2)) AS extra_principal,
- CAST(40000 + i*500 AS DECIMAL(18,2)) AS principal,
- CAST(40000 + i*500 + CASE WHEN i % 6 = 0 THEN 50000 ELSE 0 END AS DECIMAL(18,2)) AS principal_total,
+ CAST(CASE WHEN i % 4 = 0 THEN NULL ELSE 20000 + q END AS DECIMAL(18,2)) AS rental_income,
+ CAST(CASE WHEN i % 6 = 0 THEN 50000 + q ELSE 0 END AS DECIMAL(18,2)) AS extra_principal,
+ CAST(40000 + i*500 + q AS DECIMAL(18,2)) AS principal,
+ CAST(40000 + i*500 + q + CASE WHEN i % 6 = 0 THEN 50000 + q ELSE 0 END AS DECIMAL(18,2)) AS principal_total,
  CAST(80000 - i*500 AS DECIMAL(18,2)) AS interest FROM x"""
 
 # Schedule columns the fixture does not fill.
