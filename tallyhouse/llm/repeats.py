@@ -88,8 +88,21 @@ def _rows(schema: pa.Schema, parts: list[tuple], *more: pa.Array) -> pa.RecordBa
 SCAN = pa.schema([(name, pa.int64()) for name in ("anchor", "content", "doc", "tie", "start", "n")] + [("kind", pa.int8())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool, most: int) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to the size within which copies are settled."""
+    held, size = [], 0
     for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, every_copy: bool, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in _gathered(batches):
         docs, ties = longs(batch, "doc"), longs(batch, "tie")
         for begin, stop, data, offsets in split_bytes(column_of(batch, "text"), BATCH_BYTES):
             doc, tie = docs[begin:stop], ties[begin:stop]
