@@ -2,7 +2,8 @@
 
 A bounded sample of labelled documents is reduced to latent vectors by a truncated singular value decomposition. They
 are sent to every task, which projects its documents in blocks, takes their exact cosine products with all labelled
-vectors, and lets the nearest vote with their similarity as weight.
+vectors, and lets the nearest vote with their similarity as weight. A sampled document also stands for the labelled ones
+of its label that were left out, so votes follow the ratio of all labels whatever the sample holds of each.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.llm.features import LETTERS, SHAPES, letter_trigrams, repetition, shape_trigrams
-from tallyhouse.llm.stage import column_of, split_bytes
+from tallyhouse.llm.stage import column_of, keep, split_bytes
 
 PER_LABEL = 400
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
@@ -44,9 +45,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Latent vectors of the sample with their labels, and the projection that gave them."""
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, dimensions: int):
+    def __init__(self, vectors: np.ndarray, labels: np.ndarray, totals: tuple[int, int], dimensions: int):
+        """``totals``: all documents of label 0 and of label 1 that the sample stands for."""
         self.labels = labels.astype(np.float64)
-        self.prior = float(self.labels.mean()) if len(labels) else 1.0
+        self.prior = totals[1] / sum(totals) if len(labels) else 1.0
+        sampled = np.bincount(labels, minlength=2)
+        self.stands_for = (np.array(totals) / np.maximum(sampled, 1))[labels]
         # Rare features weigh more, as in any latent semantic index.
         self.weight = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0))).astype(np.float32) + 1
         weighted = vectors * self.weight
@@ -61,13 +65,14 @@ class Model:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, vectors: np.ndarray, neighbours: int, sharpness: int) -> np.ndarray:
-        """Share of label 1 in the weighted vote; the share in the sample where nothing is similar."""
+        """Share of label 1 in the weighted vote; its share in all labels where nothing is similar."""
         if not len(self.labels):
             return np.ones(len(vectors))
         near = self.project(vectors) @ self.latent.T
         k = min(neighbours, near.shape[1])
         which = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, which, 1).astype(np.float64), 0) ** sharpness
+        weight *= self.stands_for[which]
         total = weight.sum(axis=1)
         vote = (weight * self.labels[which]).sum(axis=1)
         return np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior)
@@ -77,20 +82,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from at most ``per_label`` documents of each label, those of the smallest id hashes.
 
     Labels of one id that contradict each other, NULL labels and NULL ids are not learned from; of several texts of
-    one id the smallest is. Only the sample reaches the driver: some thousands of vectors.
+    one id the smallest is. Only the sample and the number of all documents of each label reach the driver.
     """
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("label"))
     known = known.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
     known = known.filter("label = most").select("doc_id", "label")
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    present = known.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    present = keep(known.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    counted = {row["label"]: row["count"] for row in present.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [present.filter(F.col("label") == label).orderBy(*order).limit(per_label) for label in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     texts = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("label", "text").mapInArrow(_vectors, "label int, vector binary").toArrow()
     vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(len(rows), FEATURES)
-    return Model(vectors, rows.column("label").to_numpy().astype(np.int64), dimensions)
+    return Model(vectors, rows.column("label").to_numpy().astype(np.int64), (counted.get(0, 0), counted.get(1, 0)), dimensions)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model, text: str, neighbours: int, sharpness: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +113,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model, text: str, neighbours: int
 def scores(docs: DataFrame, model: Model, text: str = "text", neighbours: int = NEIGHBOURS, sharpness: int = SHARPNESS) -> DataFrame:
     """Each input row as struct ``row`` with its ``score``, 0 to 1.
 
-    NULL and empty texts resemble nothing and get the share of label 1 in the sample; without any labelled document
+    NULL and empty texts resemble nothing and get the share of label 1 in all labels learned from; without any labelled document
     nothing speaks against a text and all scores are 1. Repeated rows get equal scores; ids, labels and other columns
     are never looked at.
     """

@@ -52,6 +52,20 @@ def test_quality_edges(spark, docs):
     assert {r.score for r in quality.scores(rows, unlabelled).collect()} == {1.0}
 
 
+def test_quality_ratio_of_labels(spark, docs):
+    """The same share of labels gives the same votes and decisions, whether or not the sample is cut."""
+    alike = spark.range(120).select(F.col("id").alias("doc_id"), F.lit("the same words for all").alias("text"))
+    labels = alike.select("doc_id", (F.col("doc_id") % 8 > 0).cast("int").alias("quality"))
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "the same words for all")], "doc_id long, text string")
+    for per_label in (10, 15, 1000):
+        model = quality.fit(alike, labels, per_label=per_label)
+        got = {r.row.doc_id: r.score for r in quality.scores(asked, model, neighbours=1000).collect()}
+        assert got == pytest.approx({1: 0.875, 2: 0.875, 3: 0.875}), per_label
+    given = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    small, large = (quality.fit(docs, given, per_label=n).prior for n in (20, 1000))
+    assert small == large > quality.THRESHOLD
+
+
 def test_roles_held_out(spark):
     sf = "/root/testdata/sf0.01"
     told = spark.read.parquet(f"{sf}/conversations.parquet")
