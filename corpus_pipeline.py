@@ -10,11 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyhouse.llm import bpe, decontaminate, quality, simhash, suffix_dedup
 from tallyhouse.llm.queries import byte_vocabulary, quality_model, ship_package, table
-from tallyhouse.llm.stage import keep
+from tallyhouse.llm.stage import identified, keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,12 +21,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in the column ``gone`` of ``ids``."""
-    ids = keep(ids.distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = F.broadcast(ids) if few else ids
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows, as ``identified`` gives them, whose ``doc`` and ``tie`` are not together in ``gone``."""
+    gone = keep(gone.select("doc", "tie").distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, ["doc", "tie"], "left_anti")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +36,17 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, and one row of each id.
+    """One document of each group of near-duplicates: that of the smallest id, those without an id last.
 
-    Documents without an id have no smallest one; they go only if a document with an id is like them.
+    Each row is judged by itself: different rows of one id, or without an id, are different documents, of which a hash
+    of the row decides the order; rows equal in all columns are one document.
     """
     ship_package(spark)
-    found = keep(simhash.near_duplicates(docs), "near")
-    left = without(docs, found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone")))
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(F.col(f"`{name}`") for name in docs.columns)))
-        left = left.withColumn("_copy", F.row_number().over(first)).filter("doc_id IS NULL OR _copy = 1").drop("_copy")
-    return left
+    rows, repeated = identified(docs, "doc_id")
+    left = without(rows, simhash.later_copies(rows))
+    if repeated and rows.groupBy("doc", "tie").count().filter("count > 1").take(1):
+        left = left.dropDuplicates(["doc", "tie"])
+    return left.select("row.*")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +65,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
     ship_package(spark)
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, leaks.filter("n_hit > 0").select(F.col("doc_id").alias("gone")))
+    rows, _ = identified(docs, "doc_id")
+    texts = rows.select(F.struct("doc", "tie").alias("key"), F.col("row.text").alias("text"))
+    leaks = decontaminate.find_leaks(texts, table(spark, sf_dir, "benchmark"), doc_id="key")
+    return without(rows, leaks.filter("n_hit > 0").select("doc_id.doc", "doc_id.tie")).select("row.*")
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import components
 from tallyhouse.llm.hashing import word_spans
-from tallyhouse.llm.stage import column_of, keep, split_bytes
+from tallyhouse.llm.stage import NO_ID, column_of, keep, split_bytes
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         for begin, stop, data, offsets in split_bytes(column_of(batch, "text"), 4 << 20):
             data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
             found += [_fingerprint(data[offsets[i] : offsets[i + 1]], shingle) for i in range(stop - begin)]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=[batch.schema.names[0], "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -257,3 +257,24 @@ def near_duplicates(
     )
     # Stored, so that both sides of the join are plain shuffles and a fingerprint of many documents can be split.
     return own.join(keep(named, "named"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def later_copies(rows: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, node_size: int = NODE_SIZE) -> DataFrame:
+    """``doc``, ``tie`` of all documents but the first of each component; ``rows`` is from ``identified``.
+
+    The first has the smallest id, then the smallest tie; documents without an id come after all others. Components are
+    those of ``near_duplicates``, known by a fingerprint instead of an id.
+    """
+    texts = rows.select(F.struct("doc", "tie").alias("key"), F.col(f"row.`{text}`").cast("string").alias("text"))
+    found = texts.mapInArrow(partial(_fingerprints, shingle=shingle), "key struct<doc:long,tie:long>, fingerprint long")
+    order = F.struct((F.col("key.doc") == NO_ID).alias("unnamed"), "key.doc", "key.tie")
+    own = keep(found.select(order.alias("at"), "fingerprint"), "fingerprints")
+    distinct = keep(own.groupBy("fingerprint").agg(F.min("at").alias("first")), "distinct")
+    tree = components(fingerprint_links(distinct, max_bits, node_size))
+    members = tree.unionByName(tree.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fingerprint")
+    smallest = members.join(distinct, "fingerprint").groupBy("b").agg(F.min("first").alias("reached"))
+    reached = members.join(smallest, "b").select("fingerprint", "reached")
+    firsts = distinct.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("reached", "first").alias("first"))
+    # Stored for the same reason as in near_duplicates.
+    later = own.join(keep(firsts, "firsts"), "fingerprint").filter("at <> first")
+    return later.select("at.doc", "at.tie")

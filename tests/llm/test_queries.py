@@ -73,3 +73,24 @@ def test_pipeline_edges(spark, sf):
             if name != "byte-level bpe":
                 assert left.columns == start.columns
         assert left.count() <= start.count()
+
+
+def test_pipeline_keeps_exact_rows(spark, sf):
+    """Rows go by themselves: another row of the same id, or without an id, neither takes them along nor saves them."""
+    stages = dict(corpus_pipeline.STAGES)
+    one, two, three, four = ("red fox " * 20, "seven tall ships sail " * 20, "ein kleines Haus am See " * 20, "pan y agua para todos " * 20)
+    rows = [
+        (1, one, "a"), (None, one, "b"), (None, two, "c"),  # two is like no other text
+        (2, three, "d"), (2, one, "e"), (2, four, "f"),  # different texts of one id
+        (3, "solo " * 9, "g"), (3, "solo " * 9, "g"),  # one document
+        (None, "nobody has this id " * 9, "h"), (None, "nobody has this id " * 9, "i"), (None, "nobody has this id " * 9, "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    left = sorted(r.mark for r in stages["simhash near-dedup"](spark, docs, sf).collect())
+    assert left in (list("acdfgh"), list("acdfgi"))
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    rows = [(None, item, "a"), (None, one, "b"), (None, None, "c"), (5, item, "d"), (5, two, "e"), (6, one, "f"), (6, one, "f"), (7, item, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    left = sorted(r.mark for r in stages["benchmark decontamination"](spark, docs, sf).collect())
+    assert left == list("bceff")
