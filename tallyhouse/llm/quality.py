@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tallyhouse.llm.features import LETTERS, SHAPES, letter_trigrams, repetition, shape_trigrams
 from tallyhouse.llm.stage import column_of, keep, split_bytes
 
-PER_LABEL = 400
+PER_LABEL = 1000
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 8
 THRESHOLD = 0.7
 ROWS = 256
@@ -35,33 +35,42 @@ def vector(text: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and values of what is not zero in each text's vector."""
     for batch in batches:
         found = []
         for begin, stop, data, offsets in split_bytes(column_of(batch, "text"), 4 << 20):
-            found += [vector(data[offsets[i] : offsets[i + 1]]).tobytes() for i in range(stop - begin)]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["label", "vector"])
+            for i in range(stop - begin):
+                own = vector(data[offsets[i] : offsets[i + 1]])
+                at = np.flatnonzero(own).astype(np.uint16)
+                found.append((at.tobytes(), own[at].tobytes()))
+        columns = [pa.array([row[k] for row in found], pa.binary()) for k in (0, 1)]
+        yield pa.record_batch([batch.column(0), *columns], names=["label", "at", "value"])
 
 
 class Model:
     """Latent vectors of the sample with their labels, and the projection that gave them."""
 
     def __init__(self, vectors: np.ndarray, labels: np.ndarray, totals: tuple[int, int], dimensions: int):
-        """``totals``: all documents of label 0 and of label 1 that the sample stands for."""
+        """``totals``: all documents of label 0 and of label 1 that the sample stands for. ``vectors`` is overwritten."""
         self.labels = labels.astype(np.float64)
         self.prior = totals[1] / sum(totals) if len(labels) else 1.0
         sampled = np.bincount(labels, minlength=2)
         self.stands_for = (np.array(totals) / np.maximum(sampled, 1))[labels]
         # Rare features weigh more, as in any latent semantic index.
-        self.weight = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0))).astype(np.float32) + 1
-        weighted = vectors * self.weight
-        values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+        self.weight = np.log((1 + len(vectors)) / (1 + np.count_nonzero(vectors, axis=0))).astype(np.float32) + 1
+        # One dense array of the sample, no copies of it: the driver's memory is bounded.
+        vectors *= self.weight
+        values, left = np.linalg.eigh((vectors @ vectors.T).astype(np.float64))
         order = np.argsort(-values)[: min(dimensions, len(vectors))]
-        scale = np.sqrt(np.maximum(values[order], 1e-12))
-        self.basis = (weighted.T @ (left[:, order] / scale)).astype(np.float32)
-        self.latent = self.project(vectors)
+        left = (left[:, order] / np.sqrt(np.maximum(values[order], 1e-12))).astype(np.float32)
+        self.basis = vectors.T @ left
+        self.latent = self._latent(vectors)
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
-        latent = (vectors * self.weight) @ self.basis
+        return self._latent(vectors * self.weight)
+
+    def _latent(self, weighted: np.ndarray) -> np.ndarray:
+        latent = weighted @ self.basis
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, vectors: np.ndarray, neighbours: int, sharpness: int) -> np.ndarray:
@@ -94,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     parts = [present.filter(F.col("label") == label).orderBy(*order).limit(per_label) for label in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     texts = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.select("label", "text").mapInArrow(_vectors, "label int, vector binary").toArrow()
-    vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(len(rows), FEATURES)
+    rows = texts.select("label", "text").mapInArrow(_vectors, "label int, at binary, value binary").toArrow()
+    vectors = np.zeros((len(rows), FEATURES), np.float32)
+    for own, at, value in zip(vectors, rows.column("at"), rows.column("value"), strict=True):
+        own[np.frombuffer(at.as_buffer(), np.uint16)] = np.frombuffer(value.as_buffer(), np.float32)
     return Model(vectors, rows.column("label").to_numpy().astype(np.int64), (counted.get(0, 0), counted.get(1, 0)), dimensions)
 
 

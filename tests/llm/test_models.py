@@ -1,7 +1,9 @@
 """Language mixtures, quality votes and transcript roles: held-out accuracy and defined results."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def test_quality_ratio_of_labels(spark, docs):
     assert small == large > quality.THRESHOLD
 
 
+def test_quality_sample(spark):
+    """The sample is 1,000 documents of a label, and learning from it needs less memory than one more copy of it."""
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of number "), F.col("id")).alias("text"))
+    model = quality.fit(docs, docs.select("doc_id", (F.col("doc_id") >= 100).cast("int").alias("quality")))
+    assert np.bincount(model.labels.astype(int)).tolist() == [100, 1000]
+    vectors = np.random.default_rng(1).random((800, quality.FEATURES), np.float32)
+    tracemalloc.start()
+    quality.Model(vectors, np.arange(800) % 2, (400, 400), quality.DIMENSIONS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < vectors.nbytes
+
+
 def test_roles_held_out(spark):
     sf = "/root/testdata/sf0.01"
     told = spark.read.parquet(f"{sf}/conversations.parquet")
