@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, decontaminate, language, quality, simhash, substring_dedup, suffix_dedup, topk, unigram
+from tallyhouse.llm import bpe, chat, decontaminate, divergence, language, line_rules, negatives, quality, simhash
+from tallyhouse.llm import substring_dedup, suffix_dedup, topk, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +124,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), pieces)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), vec_id % 100 == 0)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def _shipped(build: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -143,5 +159,8 @@ def queries() -> dict[str, Query]:
         op8_quality_classifier,
         op9_byte_bpe,
         op10_token_counts,
+        op11_hard_negatives,
+        op12_quality_rules,
+        op13_source_divergence,
     ]
     return {build.__name__: _shipped(build) for build in builders}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyhouse.llm import line_rules
+
 # Every 100-byte string as 200 hex digits, with its first place.
 OP1 = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
   starts AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s
@@ -65,10 +67,84 @@ OP7 = """WITH usable AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS
   FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+OP11 = """WITH usable AS (SELECT vec_id,
+      CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+      [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  scored AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id,
+      CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, c.v)]) AS BIGINT) AS score
+    FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+  positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  others AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+      row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+  FROM others WHERE rank <= 5"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_END = line_rules.END.replace("'", "''")
+_PHRASE = "|".join(line_rules.PHRASES)
+OP12 = rf"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+  windows AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS s
+    FROM words, LATERAL (SELECT unnest(range(0, greatest(len(w) - 4, 0))) AS i)),
+  twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+  repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat
+    FROM twice, LATERAL (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id),
+  lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+      length(line) - length(translate(line, '{line_rules.BARS}{"".join(line_rules.WIDE_BARS)}', '')) AS bars,
+      len(regexp_extract_all(line, '{line_rules.MARKED}')) AS marked
+    FROM texts, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line)),
+  judged AS (SELECT *, NOT regexp_matches(line, '{_END}') OR 100 * bars > 20 * n OR 100 * marked > 20 * n
+      OR regexp_matches({_LOWER.format("line")}, '{_PHRASE}') AS failed FROM lines WHERE n > 0),
+  by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (WHERE failed) AS n_failed,
+      coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE failed), 0) AS lost
+    FROM judged GROUP BY doc_id),
+  base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_failed, 0) AS BIGINT) AS n_failed_lines,
+      coalesce(lost, 0) AS lost
+    FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN by_doc USING (doc_id))
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+  FROM base"""
+
+OP13 = rf"""WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  words AS (SELECT r, lang, source, unnest(w) AS term FROM texts),
+  kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+  sizes AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+  groups AS (SELECT DISTINCT lang, source FROM texts),
+  found AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+  totals AS (SELECT lang, source, sum(n) AS total FROM found GROUP BY ALL),
+  cells AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n,
+      1 + 1000000000 * (coalesce(n, 0) + 5) // (coalesce(total, 0) + 5 * v) AS p
+    FROM groups g JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN totals USING (lang, source)
+      LEFT JOIN found USING (lang, source, term)),
+  whole AS (SELECT lang, term, 1 + 1000000000 * (sum(n) + 5) // ((SELECT sum(total) FROM totals t WHERE t.lang = f.lang) + 5 * any_value(v)) AS q
+    FROM found f JOIN sizes USING (lang) GROUP BY lang, term),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM cells a JOIN cells b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+    UNION ALL SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b USING (lang)
+    WHERE a.source <> b.source AND lang NOT IN (SELECT lang FROM sizes)),
+  every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+  FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": OP1,
         "op4_substring_dedup": OP4,
         "op5_benchmark_decontamination": OP5,
         "op7_exact_topk": OP7,
+        "op11_hard_negatives": OP11,
+        "op12_quality_rules": OP12,
+        "op13_source_divergence": OP13,
     }

@@ -14,7 +14,7 @@ SQL = sql.oracle_sql()
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
