@@ -1,7 +1,8 @@
 """Line-first quality rules: lines are judged and removed one by one, then documents that lose too much text go.
 
-A line with a word fails if no sentence ends in it, if it is a list of links, shouts, or holds boilerplate. What the
-base rules reject (few words, repeated passages of words) is judged on the whole text and never cleaned first.
+A line with a word fails if no sentence ends in it, if it is a navigation bar, if it is full of marks, or if it holds
+boilerplate. Boilerplate, such as a notice below a short text, goes without telling against the rest of the document.
+What the base rules reject (few words, repeated passages of words) is judged on the whole text and never cleaned first.
 """
 
 from __future__ import annotations
@@ -97,16 +98,19 @@ def word_chars(text: bytes) -> int:
     return len(text.translate(None, BLANKS + _CONTINUED))
 
 
-def fails(line: bytes, rules: Rules) -> bool:
-    """Whether a line with a word breaks a rule."""
+def is_junk(line: bytes, rules: Rules) -> bool:
+    """Whether a line with a word has no end of a sentence, is a navigation bar, or is full of marks."""
     if not _USUAL_END.search(line) and not _END.search(line):
         return True
     bars = len(line) - len(line.translate(None, BARS.encode())) + sum(map(line.count, _WIDE_BARS))
     marked = len(_MARKED.findall(line))
-    if bars or marked:
-        words = len(line.split())
-        if 100 * bars > rules.most_bars * words or 100 * marked > rules.most_marked * words:
-            return True
+    if not bars and not marked:
+        return False
+    words = len(line.split())
+    return 100 * bars > rules.most_bars * words or 100 * marked > rules.most_marked * words
+
+
+def is_furniture(line: bytes) -> bool:
     low = line.lower()
     return any(phrase in low for phrase in _PHRASES)
 
@@ -115,7 +119,7 @@ def judge(text: bytes, rules: Rules) -> tuple:
     numbers = word_numbers(text)
     chars, repeats = word_chars(text), repeated_words(numbers, rules.window)
     seen: set[bytes] = set()
-    kept, copies, lines, failed, lost = [], 0, 0, 0, 0
+    kept, copies, lines, failed, lost, furniture = [], 0, 0, 0, 0, 0
     for line in text.split(b"\n"):
         if not line.strip():
             kept.append(line)
@@ -125,13 +129,16 @@ def judge(text: bytes, rules: Rules) -> tuple:
             copies += 1
         else:
             seen.add(line)
-        if fails(line, rules):
+        if is_junk(line, rules):
             failed += 1
             lost += word_chars(line)
+        elif is_furniture(line):
+            failed += 1
+            furniture += word_chars(line)
         else:
             kept.append(line)
     base_failed = len(numbers) < rules.least_words or 100 * repeats > rules.most_repeated * len(numbers)
-    good = not base_failed and 100 * lost <= rules.most_lost * chars
+    good = not base_failed and 100 * lost <= rules.most_lost * chars and lost + furniture < chars
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return len(numbers), chars, symbols, copies, repeats, base_failed, lines, failed, lost, good, b"\n".join(kept)
 
@@ -152,8 +159,9 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` count in
     the whole text; ``base_failed`` is the verdict of the base rules. ``n_lines`` lines hold a word, ``n_failed_lines``
-    of them break a line rule and take ``lost_chars`` code points of words with them; ``cleaned`` is what is left, in
-    UTF-8. ``kept`` is false for documents that fail a base rule or lose more than ``most_lost`` per cent.
+    of them break a line rule and go; ``cleaned`` is what is left, in UTF-8. ``lost_chars`` counts the code points of
+    words in those that are not boilerplate. ``kept`` is false for documents that fail a base rule, lose more than
+    ``most_lost`` per cent in this way, or have no word left.
 
     A NULL text counts as empty, and an empty one fails for its few words. Repeated rows, rows without an id and any
     other columns pass through as they are; an empty table gives no rows. One text must fit a worker's memory; beyond

@@ -98,19 +98,20 @@ OP12 = rf"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
       length(line) - length(translate(line, '{line_rules.BARS}{"".join(line_rules.WIDE_BARS)}', '')) AS bars,
       len(regexp_extract_all(line, '{line_rules.MARKED}')) AS marked
     FROM texts, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line)),
-  judged AS (SELECT *, NOT regexp_matches(line, '{_END}') OR 100 * bars > 20 * n OR 100 * marked > 20 * n
-      OR regexp_matches({_LOWER.format("line")}, '{_PHRASE}') AS failed FROM lines WHERE n > 0),
-  by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (WHERE failed) AS n_failed,
-      coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE failed), 0) AS lost
+  judged AS (SELECT *, NOT regexp_matches(line, '{_END}') OR 100 * bars > 20 * n OR 100 * marked > 20 * n AS junk,
+      regexp_matches({_LOWER.format("line")}, '{_PHRASE}') AS furniture,
+      length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM lines WHERE n > 0),
+  by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (WHERE junk OR furniture) AS n_failed,
+      coalesce(sum(chars) FILTER (WHERE junk), 0) AS lost, coalesce(sum(chars) FILTER (WHERE NOT junk AND NOT furniture), 0) AS left_over
     FROM judged GROUP BY doc_id),
   base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
       CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_failed, 0) AS BIGINT) AS n_failed_lines,
-      coalesce(lost, 0) AS lost
+      coalesce(lost, 0) AS lost, coalesce(left_over, 0) AS left_over
     FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN by_doc USING (doc_id))
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * word_chars AND left_over > 0 AS kept
   FROM base"""
 
 OP13 = rf"""WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
