@@ -365,6 +365,10 @@ def _arrived() -> str:
 
 AFTER_LOAD = "SELECT * FROM stg_t WHERE month_id < 200011 UNION ALL SELECT * FROM batch2_t"
 
+STRAY = f"month_id = {inputs.STRAY_MONTH} AND category = 'Food' AND txn_id IS NOT NULL"
+AFTER_REPEAT = f"""SELECT * REPLACE (CASE WHEN {STRAY} THEN '{inputs.STRAY_FILE}' ELSE src_file END AS src_file,
+    CASE WHEN {STRAY} THEN TIMESTAMP '{inputs.RELOADED_AT}' ELSE load_ts END AS load_ts) FROM ({AFTER_LOAD})"""
+
 MORTGAGE_COLUMNS = f"""property_id, paid, {day("due_date", "due_date")}, CAST(installment_no AS BIGINT) AS installment_no,
   {num("installment", "installment")}, {num("property_insurance", "property_insurance")},
   {num("life_insurance", "life_insurance")}, {num("rental_income", "rental_income")},
@@ -397,6 +401,10 @@ def _table() -> dict[str, str]:
         "s1_read_feed_reordered": f"""SELECT {moment("occurred_at", "occurred_at")}, account, category, subcategory, concept,
             comment, flow, {num("amount_main", "amount_main")}, {num("amount_txn", "amount_native")},
             {num("amount_txn", "amount_txn")}, currency, true AS from_csv FROM ledger_t""",
+        "s1_read_feed_mixed": f"""SELECT {moment("occurred_at", "occurred_at")}, account, category, subcategory, concept,
+            comment, flow, {num("amount_main", "amount_main")}, {num("amount_txn", "amount_native")},
+            {num("amount_txn", "amount_txn")}, CASE WHEN month(occurred_at) % 3 <> 2 THEN currency END AS currency,
+            true AS from_csv FROM ledger_t""",
         "d8_check_readable": f"""SELECT 'readable' AS "check", count(*) AS lines FROM ledger_t
             WHERE category = '{P.refunds}' HAVING count(*) > 0""",
         "w_stream": _arrived(),
@@ -430,6 +438,7 @@ def _table() -> dict[str, str]:
             UNION ALL SELECT *, 'app' AS channel FROM batch2_t)""",
         "l9_month_batch": _loaded(AFTER_LOAD),
         "l9_load_month_batch": _loaded(AFTER_LOAD),
+        "l9_repeated_load": _loaded(AFTER_REPEAT),
         "t1_stage_transactions": f"""SELECT {STG.replace("CAST(NULL AS BIGINT) AS file_size", "CAST(file_size AS BIGINT) AS file_size")
             .replace(moment("load_ts", "load_ts"), moment("stg_t.load_ts", "load_ts"))}
           FROM stg_t LEFT JOIN catalog_t ON uri = src_file""",
@@ -673,4 +682,5 @@ def _warehouse(table: dict[str, str]) -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     table = _table()
     table["g2_life_cost_by_owner_salted"] = table["g2_life_cost_by_owner"]
+    table["w_retagged"] = table["t2_fact_transactions"]
     return {name: full(query) for name, query in table.items()} | _warehouse(table)

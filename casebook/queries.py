@@ -115,6 +115,18 @@ def s1_read_feed_reordered(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(*names, F.col("listed").alias("from_csv"))
 
 
+def s1_read_feed_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports of three kinds in one folder: in order, in reverse, and without a currency."""
+    path = sinks.scratch_path(spark, "feed")
+    names = feeds.schemas.FEED.names
+    lines = inputs.feed(spark, sf)
+    for kind, header in enumerate((names, names[::-1], [name for name in names if name != "currency"])):
+        own = lines.filter(F.coalesce(F.month("occurred_at"), F.lit(0)) % 3 == kind).select(*header)
+        own.write.mode("append").option("header", True).csv(path)
+    lines = feeds.read_feed(spark, path, mixed=True, optional=("currency",))
+    return lines.select(*names, F.col("src_file").endswith(".csv").alias("from_csv"))
+
+
 def d8_check_readable(spark: SparkSession, sf: str) -> DataFrame:
     """Exports in which the amount of every refund was spoilt."""
     path = sinks.scratch_path(spark, "feed")
@@ -220,6 +232,18 @@ def l9_load_month_batch(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select(*target.columns)
 
 
+def l9_repeated_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A load and its repetition, by months. One of the new files holds lines of a month that it is not named for."""
+    path = sinks.scratch_path(spark, "load")
+    target, source = _batches(spark, sf)
+    load.load_month_batch(spark, path, target)
+    source = inputs.with_strays(source)
+    months = load.touched_months_from_files(_batch_catalog(source))
+    for _ in range(2):
+        load.load_month_batch(spark, path, source, months)
+    return sinks.read_table(spark, path).select(*target.columns)
+
+
 def l9_month_batch(spark: SparkSession, sf: str) -> DataFrame:
     target, source = _batches(spark, sf)
     return load.month_batch(target, source, load.touched_months(source), "txn_id")
@@ -246,6 +270,18 @@ def warehouse(spark: SparkSession, sf: str) -> Warehouse:
     return _houses[key]
 
 
+def w_retagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Money lines after the dictionary lost one word and gained another between the loads of lines and of marts."""
+    house = Warehouse(spark, sinks.scratch_path(spark, "warehouse"), DEMO)
+    keys, budget, mortgage = inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf)
+    before = keys.filter("tag <> 'Med/'").union(keys.limit(1).withColumn("tag", F.lit("Zz/")))
+    house.load_reference(before, budget, mortgage)
+    house.load_lines(staged(spark, sf))
+    house.load_reference(keys, budget, mortgage)
+    house.load_marts()
+    return house.table("fact_transactions")
+
+
 def w_stream(spark: SparkSession, sf: str, max_files: int | None = None) -> DataFrame:
     """The whole feed as arriving CSV files that share months."""
     exports, path, checkpoint = (sinks.scratch_path(spark, name) for name in ("exports", "arrived", "progress"))
@@ -382,6 +418,9 @@ def _table() -> dict[str, Query]:
         "l9_month_batch": l9_month_batch,
         "l9_load_month_batch": l9_load_month_batch,
         "s1_read_feed_reordered": s1_read_feed_reordered,
+        "s1_read_feed_mixed": s1_read_feed_mixed,
+        "l9_repeated_load": l9_repeated_load,
+        "w_retagged": w_retagged,
         "d8_check_readable": d8_check_readable,
         "w_stg_transactions": lambda s, d: warehouse(s, d).table("stg_transactions"),
         "w_fact_transactions": lambda s, d: warehouse(s, d).table("fact_transactions"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,21 +72,44 @@ def life_cost(
         prices = cells.join(months, by(keys, "_cell"), "left").join(latest, list(keys), "left")
         priced = lookup_join(lines, prices, by(keys, "_cell"), F.col("txn_time"), max_rows)
     else:
-        # One ledger has at most one row per calendar month here, and one latest row.
-        priced = attach(lines.join(F.broadcast(months), [MONTH_ID], "left"), latest, keys)
+        return priced_at_latest(life_cost_lines(fact, pay, policy), pay)
     priced = priced.filter("_priced")
     hours = F.coalesce("hours", "_last_hours")
     rate = F.coalesce("pay_per_hour", "_last_pay")
-    return priced.select(
-        *keys, "txn_time", "txn_id", MONTH_ID,
+    return priced.select(*keys, *_expense(hours, rate))
+
+
+def _expense(hours: Column, rate: Column) -> list[Column]:
+    return [
+        F.col("txn_time"), F.col("txn_id"), F.col(MONTH_ID),
         F.year("txn_time").alias("year"),
         F.month("txn_time").alias("month"),
-        "account", "category", "subcategory", "concept", "comment", "amount_main",
+        *map(F.col, ("account", "category", "subcategory", "concept", "comment", "amount_main")),
         hours.alias("hours_worked"),
         rate.alias("pay_per_hour"),
         ratio(main_amount(), rate, 3).cast(TOTAL).alias("cost_hours"),
-        "load_ts",
-    )
+        F.col("load_ts"),
+    ]
+
+
+def life_cost_lines(fact: DataFrame, pay: DataFrame, policy: Policy) -> DataFrame:
+    """Expenses of one ledger with the hours, rate and cost of their own month; NULL where the month has none.
+
+    This is the part that depends on the line's own month alone, so it is what a load may store.
+    """
+    months = pay.select((F.col("year") * 100 + F.col("month")).cast("int").alias(MONTH_ID), "hours", "pay_per_hour")
+    # One ledger has at most one row per calendar month here.
+    lines = fact.filter(F.col("flow") == policy.expense).join(F.broadcast(months), [MONTH_ID], "left")
+    return lines.select(*_expense(F.col("hours"), F.col("pay_per_hour")))
+
+
+def priced_at_latest(lines: DataFrame, pay: DataFrame) -> DataFrame:
+    """What ``life_cost_lines`` left without hours or rate, as of the latest month with pay; both fall back apart."""
+    rates = pay.select("year", "month", "hours", "pay_per_hour")
+    latest = first_rows(rates, (), 1, F.col("year").desc(), F.col("month").desc())
+    latest = latest.select(F.lit(True).alias("_priced"), F.col("hours").alias("_hours"), F.col("pay_per_hour").alias("_pay"))
+    priced = attach(lines, latest, ()).filter("_priced")
+    return priced.select(*_expense(F.coalesce("hours_worked", "_hours"), F.coalesce("pay_per_hour", "_pay")))
 
 
 def budget_compliance(fact: DataFrame, budget: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:

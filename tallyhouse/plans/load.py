@@ -6,12 +6,14 @@ The pieces are lazy DataFrame functions; :func:`month_batch` composes them into
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import MONTH_ID, month_id
+from tallyhouse.operators.lookups import BROADCAST_ROWS
 from tallyhouse.sources import sinks
 
 LATEST = "latest"
@@ -81,21 +83,71 @@ def append_columns(target: DataFrame, updates: DataFrame) -> DataFrame:
     return target.unionByName(updates, allowMissingColumns=True)
 
 
-def merge_by_key(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+# A membership filter has this many bits for each key, and at most so many 64-bit words.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+# Copies of the updates' keys, over which the stored rows of one key are dealt.
+SALTS = 16
+
+
+def _positions(key: str, words: int) -> list[tuple[Column, Column]]:
+    """Word and bit of a key in a membership filter, twice, from two halves of one hash."""
+    first, second = F.xxhash64(key), F.xxhash64(F.lit(1), key)
+    return [(F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int"), F.pmod(x, F.lit(64)).cast("int")) for x in (first, second)]
+
+
+def membership(updates: DataFrame, key: str, count: int) -> Column | None:
+    """A Bloom filter over the keys of ``updates``, which hold about ``count`` of them: whether the key of a row of
+    another table may be among them. None beyond the size that every task can hold.
+
+    It never says no to a key that is there; about one foreign key in seventy passes. The filter is one array, built
+    by sums of bits in the tasks and read as a scalar subquery by the scan.
+    """
+    words = max(1, -(-FILTER_BITS * count // 64))
+    if words > FILTER_WORDS:
+        return None
+    places = [F.struct(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for word, bit in _positions(key, words)]
+    bits = updates.select(F.inline(F.array(*places))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = bits.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long")))
+    array = held.select(dense.alias("words")).scalar()
+    hits = [F.getbit(F.get(array, word), bit) == 1 for word, bit in _positions(key, words)]
+    return hits[0] & hits[1]
+
+
+def merge_by_key(target: DataFrame, updates: DataFrame, key: str, count: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Upsert: updates replace target rows of equal key and are added otherwise.
 
     A NULL key equals nothing, so such rows skip the join and cannot pile up in one task. Two updates for one stored
     row are an error that fails the job; repeated keys the target does not hold are all added.
+
+    Updates that were counted to be few are sent to every task, and stored rows stay where they are. Otherwise stored
+    rows whose key cannot be among the updates, as a membership filter tells, stay where they are, and only the others
+    are shuffled; there the rows of one key are dealt over several tasks. ``count`` is the number of updates, which are
+    counted if it is not given.
     """
-    keyed = target.filter(F.col(key).isNotNull())
-    keyless = target.filter(F.col(key).isNull())
-    counts = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_updates"))
-    matched = keyed.join(counts, key, "left")
+    named = updates.filter(F.col(key).isNotNull())
+    count = named.count() if count is None else count
+    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("_updates"))
     clash = F.concat(F.lit(f"several updates for one stored row, {key} = "), F.col(key))
-    kept = matched.filter(
-        F.when(F.col("_updates") > 1, F.raise_error(clash).cast("boolean")).otherwise(F.col("_updates").isNull())
-    ).select(*target.columns)
-    return append_columns(append_columns(keyless, kept), updates)
+    clear = F.when(F.col("_updates") > 1, F.raise_error(clash).cast("boolean")).otherwise(F.col("_updates").isNull())
+    if count <= max_rows:
+        kept = target.join(F.broadcast(counts), key, "left").filter(clear)
+        return append_columns(kept.select(*target.columns), updates)
+    may_hold = membership(named, key, count)
+    # Of a NULL key nothing is possible.
+    possible = F.col(key).isNotNull() & (F.lit(True) if may_hold is None else may_hold)
+    salted = target.filter(possible).withColumn("_salt", F.pmod(F.xxhash64(*target.columns), F.lit(SALTS)).cast("int"))
+    copies = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = salted.join(copies, [key, "_salt"], "left").filter(clear).select(*target.columns)
+    untouched = target.filter(~F.coalesce(possible, F.lit(False)))
+    return append_columns(append_columns(untouched, kept), updates)
+
+
+def _named_or_newer(source: DataFrame, months: DataFrame, newest: Column, load_ts: str) -> DataFrame:
+    """Every source row of the named months, and of the others those of a newer load."""
+    marked = source.join(F.broadcast(months.select(MONTH_ID, F.lit(True).alias("_named")).distinct()), MONTH_ID, "left")
+    rows = marked.filter(F.coalesce("_named", F.lit(False)) | newest.isNull() | (F.col(load_ts) > newest))
+    return rows.select(*source.columns)
 
 
 def month_batch(
@@ -108,13 +160,20 @@ def month_batch(
 ) -> DataFrame:
     """The table after a load: first run everything, later runs with the touched months replaced.
 
+    A touched month is replaced by all that the source holds of it; of other months only rows of a newer load are taken.
     ``files`` makes the load replace the lines of those files instead of whole months. Only stored lines in months of
     the updates take part in the merge, since the line id covers the time.
     """
     if target is None:
         return source
-    remaining = drop_months(target, months) if files is None else drop_files(target, files)
-    updates = newer_than(source, remaining, load_ts)
+    if files is None:
+        remaining = drop_months(target, months)
+        updates = _named_or_newer(source, months, _newest(remaining, load_ts), load_ts)
+    else:
+        remaining = drop_files(target, files)
+        names = files.select(F.col("uri").alias("src_file")).distinct()
+        newer = newer_than(source.join(names, "src_file", "left_anti").select(*source.columns), remaining, load_ts)
+        updates = newer.unionByName(source.join(names, "src_file", "left_semi").select(*source.columns))
     if key is None:
         return append_columns(remaining, updates)
     met = F.broadcast(updates.select(MONTH_ID).distinct())
@@ -136,15 +195,21 @@ def in_months(months: set) -> Column:
 def replace_months(spark: SparkSession, path: str, table: DataFrame, changed: set) -> None:
     """Make the stored table equal ``table`` in the changed months; months without rows are emptied.
 
-    ``table`` holds rows of these months only and does not read ``path``.
+    ``table`` holds rows of these months only.
     """
-    target = sinks.read_table(spark, path)
-    if target is None:
-        sinks.write_months(table, path)
-        return
-    gone = months_of(target.filter(in_months(changed))) - months_of(table)
-    sinks.overwrite_months(table, path)
-    sinks.clear_months(target, path, gone)
+    sinks.store_months(table, path, changed)
+
+
+# So many files are named in a plan to keep them from being read; beyond, old exports are read and filtered by month.
+NAMED_FILES = 10_000
+
+
+def _not_read_for(known: DataFrame, lost: set) -> list[str] | None:
+    """Files, with their load times, of which the stored lines show that they hold none of the lost months."""
+    mark = F.concat("src_file", F.lit("|"), F.unix_micros("load_ts").cast("string")).alias("mark")
+    files = known.filter("src_file IS NOT NULL").groupBy("src_file", "load_ts").agg(F.bool_or(in_months(lost)).alias("asked"))
+    names = [row.mark for row in files.filter("NOT asked").select(mark).limit(NAMED_FILES + 1).collect()]
+    return names if len(names) <= NAMED_FILES else None
 
 
 def load_month_batch(
@@ -157,47 +222,79 @@ def load_month_batch(
     mode: str = LATEST,
     files: DataFrame | None = None,
     only_newer: bool = True,
+    before: Callable[[set], None] | None = None,
 ) -> set:
     """Run one load into the month-partitioned table at ``path``; the months whose rows it changed.
 
-    ``months`` defaults to the months of the latest load, or of all unseen loads with ``mode="all_pending"``. Months and
-    load time are fetched first and enter the plans as literals: they prune the target's directories and, where the
-    load time is that of a file, the source's files. The updates are then staged once, and all else reads the staged
-    rows. Only months that lose or gain rows are rewritten; an update can match a stored row only inside its own month,
-    because the line id covers the time. Stored columns the source lacks stay. A failed run leaves the table as it was,
-    and a rerun replaces the same months. ``only_newer=False`` takes every source row, for sources that hold nothing
-    but the new lines.
+    ``months`` defaults to the months of the latest load, or of all unseen loads with ``mode="all_pending"``. A named
+    month is replaced by all that the source holds of it, whatever its load time, so it is emptied only if the source
+    has none; of other months the source's newer rows are merged. ``files`` names files whose lines are replaced
+    instead, by all that the source holds of them. A load may be repeated: the same call leaves the same table. It is
+    atomic: a run that fails leaves the table as it was, and one that stops while it swaps directories is finished by
+    the next access.
+
+    Months and load time enter the plans as literals: they prune the target's directories and, where the load time is
+    that of a file, the source's files. They come from the files that the table keeps beside each month, so no stored
+    line outside the changed months is read. An update can match a stored row only inside its own month, because the
+    line id covers the time. Stored columns the source lacks stay. ``only_newer=False`` takes every source row, for
+    sources that hold nothing but the new lines. ``before`` is called with the changed months when all is staged and
+    nothing is changed yet.
     """
+    path = path.rstrip("/")
     target = sinks.read_table(spark, path)
+    before = before or (lambda _: None)
     if target is None:
-        sinks.write_months(source, path)
-        return months_of(sinks.read_table(spark, path))
-    if files is None:
-        if months is None:
-            months = pending_months(source, target, load_ts=load_ts) if mode == ALL_PENDING else touched_months(source)
-        lost = months_of(months) - {None}
-        remaining = target.filter(~in_months(lost))
+        aside = sinks.stage_months(source, path, load_ts)
+        arriving = sinks.stored_months(spark, aside)
+        before(arriving)
+        sinks.take_months(spark, aside, path)
+        return arriving
+    known = sinks.remember_files(spark, path, load_ts)
+    names = None if files is None else files.select(F.col("uri").alias("src_file")).distinct()
+    if names is not None:
+        others = known.join(names, "src_file", "left_anti")
+        lost = months_of(known.join(names, "src_file", "left_semi"))
     else:
-        names = files.select(F.col("uri").alias("src_file")).distinct()
-        lost = months_of(target.join(names, "src_file", "left_semi"))
-        remaining = drop_files(target, files)
-    newest = remaining.agg(F.unix_micros(F.max(load_ts))).first()[0] if only_newer else None
-    updates = source if newest is None else source.filter(F.col(load_ts) > F.timestamp_micros(F.lit(newest)))
-    aside = sinks.scratch_path(spark, "updates")
-    try:
-        sinks.write_months(updates, aside)
-        updates = sinks.read_table(spark, aside)
-        arriving = months_of(updates)
-        changed = lost | arriving
-        keep = remaining.filter(in_months(changed))
-        held, kept = months_of(target.filter(in_months(changed))), months_of(keep)
-        if not kept:
-            # The usual case: every month that gains lines was cleared before, so there is nothing to merge with.
-            result = updates
-        else:
-            result = merge_by_key(keep, updates, key) if key else append_columns(keep, updates)
-        sinks.overwrite_months(result, path)
-        sinks.clear_months(target, path, held - kept - arriving)
-    finally:
-        sinks.delete(spark, aside)
+        if months is None and mode == ALL_PENDING:
+            seen = known.agg(F.unix_micros(F.max("load_ts"))).first()[0]
+            months = source if seen is None else source.filter(_newer(load_ts, seen))
+        lost = months_of(touched_months(source, load_ts=load_ts) if months is None else months) - {None}
+        others = known.filter(~in_months(lost))
+    newest = others.agg(F.unix_micros(F.max("load_ts"))).first()[0] if only_newer else None
+    if newest is None:
+        updates = source
+    elif names is None:
+        updates = source.filter(_newer(load_ts, newest) | in_months(lost))
+        # Which of the older files need not be opened; a file that changed in place has another load time.
+        if "src_file" in source.columns and (spared := _not_read_for(known, lost)):
+            mark = F.concat("src_file", F.lit("|"), F.unix_micros(F.col(load_ts)).cast("string"))
+            updates = updates.filter(_newer(load_ts, newest) | F.coalesce(~mark.isin(spared), F.lit(True)))
+    else:
+        newer = source.join(names, "src_file", "left_anti").select(*source.columns).filter(_newer(load_ts, newest))
+        updates = newer.unionByName(source.join(names, "src_file", "left_semi").select(*source.columns))
+    aside = sinks.stage_months(updates, path, load_ts)
+    held, arriving = sinks.stored_months(spark, path), sinks.stored_months(spark, aside)
+    changed = lost | arriving
+    before((held & lost) | arriving)
+    # Months that keep stored lines: without files, those that gain lines but were not named.
+    mixed = held & (arriving - lost if names is None else changed)
+    if not mixed:
+        sinks.take_months(spark, aside, path, changed)
+    else:
+        keep = target.filter(in_months(mixed))
+        keep = keep if names is None else keep.join(names, "src_file", "left_anti").select(*target.columns)
+        # The staged rows are moved out of the way of the next ones.
+        moved = sinks.scratch_path(spark, "updates")
+        sinks._move(spark, aside, moved)
+        staged = sinks.read_table(spark, moved)
+        count = sinks.read_files(spark, moved).agg(F.sum("lines")).first()[0] or 0
+        result = merge_by_key(keep, staged, key, count) if key else append_columns(keep, staged)
+        try:
+            sinks.store_months(result, path, changed, load_ts)
+        finally:
+            sinks.delete(spark, moved)
     return (held & lost) | arriving
+
+
+def _newer(load_ts: str, newest: int) -> Column:
+    return F.col(load_ts) > F.timestamp_micros(F.lit(newest))

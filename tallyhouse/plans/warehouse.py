@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import MONTH_ID, month_id
+from tallyhouse.functions.text import word
 from tallyhouse.operators import checks, ledger, marts
 from tallyhouse.plans import load
 from tallyhouse.policy import Policy
 from tallyhouse.sources import sinks
 
+VIEWS = ("income_summary", "investment_plan", "investment_tracking", "life_cost")
+
 
 @dataclass(frozen=True)
 class Warehouse:
@@ -28,6 +31,9 @@ class Warehouse:
         return f"{self.root.rstrip('/')}/{name}"
 
     def table(self, name: str) -> DataFrame:
+        """A stored table, or the view of that name."""
+        if name in VIEWS:
+            return getattr(self, name)()
         stored = sinks.read_table(self.spark, self.path(name))
         if stored is None:
             raise ValueError(f"table {name!r} was not loaded yet")
@@ -45,52 +51,80 @@ class Warehouse:
     def investment_tracking(self) -> DataFrame:
         return marts.investment_tracking(self.table("fact_transactions"), self.investment_plan(), self.policy)
 
-    # Loads.
+    def life_cost(self) -> DataFrame:
+        """Each expense in hours. The price of its own month is stored; the latest month's, which stands in where a
+        month has none, is looked up here, so no stored line goes stale when the latest pay changes."""
+        return marts.priced_at_latest(self.table("life_cost_lines"), self.table("hourly_pay"))
+
+    # Loads. Months are marked before anything changes: a run that stops is repeated for them by the next one.
 
     def load_reference(self, keys: DataFrame, budget: DataFrame, mortgage: DataFrame) -> None:
-        """Full refresh of the small tables; arguments come from the functions in ``sources.reference``."""
-        path = self.path("budget")
-        before = sinks.read_table(self.spark, path)
-        months = set() if before is None else self._budget_months(before)
-        sinks.overwrite_table(keys, self.path("keys"))
-        sinks.overwrite_table(budget, path)
-        sinks.overwrite_table(mortgage, self.path("mortgage"))
-        self._mark(months | self._budget_months(self.table("budget")))
-
-    def load_lines(self, staged: DataFrame, months: DataFrame | None = None, mode: str = load.LATEST) -> set:
+        """Full refresh of the small tables; arguments come from the functions in ``sources.reference``.
+
+        The next load of lines or marts follows: it tags again the months whose comments use a word that came into the
+        dictionary or left it, and rebuilds the marts of months whose budget rows differ.
+        """
+        words = sinks.read_table(self.spark, self.path("words"))
+        known = sinks.read_table(self.spark, self.path("keys"))
+        if words is not None and known is not None:
+            tags = [frame.select(F.col("tag").alias("word")).filter("word IS NOT NULL").distinct() for frame in (known, keys)]
+            moved = tags[0].exceptAll(tags[1]).union(tags[1].exceptAll(tags[0]))
+            self._mark("changed_lines", load.months_of(words.join(moved, "word", "left_semi")))
+        before = sinks.read_table(self.spark, self.path("budget"))
+        if before is None:
+            self._mark("changed_months", self._budget_months(budget))
+        else:
+            before = before.select(*budget.columns)
+            self._mark("changed_months", self._budget_months(before.exceptAll(budget).union(budget.exceptAll(before))))
+        for name, table in (("keys", keys), ("budget", budget), ("mortgage", mortgage)):
+            sinks.overwrite_table(table, self.path(name))
+
+    def load_lines(
+        self, staged: DataFrame, months: DataFrame | None = None, mode: str = load.LATEST, files: DataFrame | None = None
+    ) -> set:
         """Load staged lines and carry the months they change into the line tables; returns these months.
 
-        The months are also kept for the next ``load_marts``, however many loads come before it.
+        ``months``, ``mode`` and ``files`` are those of ``load_month_batch``. The months are also kept for the next
+        ``load_marts``, however many loads come before it.
         """
-        changed = load.load_month_batch(self.spark, self.path("stg_transactions"), staged, months, mode=mode)
-        # Marked first: a run that fails below is repeated for these months by the next one.
-        self._mark(changed)
-        changed = self._marked()
+        load.load_month_batch(
+            self.spark, self.path("stg_transactions"), staged, months, mode=mode, files=files,
+            before=lambda changed: self._mark("changed_lines", changed),
+        )
+        return self._refresh_lines()
+
+    def _refresh_lines(self) -> set:
+        """Line tables of the marked months, and the words that their comments begin with."""
+        changed = self._marked("changed_lines")
+        if not changed:
+            return changed
         keys, lines = self.table("keys"), self.table("stg_transactions").filter(load.in_months(changed))
-        for name, build in (("fact_transactions", ledger.fact_transactions), ("fact_personal", ledger.fact_personal)):
-            load.replace_months(self.spark, self.path(name), build(lines, keys, self.policy), changed)
+        words = lines.select(MONTH_ID, word(F.col("comment"), 0).alias("word")).filter("word IS NOT NULL").distinct()
+        built = (
+            ("fact_transactions", ledger.fact_transactions(lines, keys, self.policy)),
+            ("fact_personal", ledger.fact_personal(lines, keys, self.policy)),
+            ("words", words),
+        )
+        for name, table in built:
+            load.replace_months(self.spark, self.path(name), table, changed)
+        self._mark("changed_months", changed)
+        self._clear("changed_lines")
         return changed
 
     def load_marts(self) -> set:
         """Replace every month that changed since the last call in all stored marts; returns these months."""
-        policy, changed = self.policy, self._marked()
-        every = self.table("fact_transactions")
-        fact = every.filter(load.in_months(changed))
-        budget, hidden = self.table("budget"), policy.property_hidden_categories
-        before = self._latest_pay()
+        self._refresh_lines()
+        policy, changed = self.policy, self._marked("changed_months")
+        fact = self.table("fact_transactions").filter(load.in_months(changed))
+        hidden = policy.property_hidden_categories
         self._replace("hourly_pay", marts.hourly_pay(fact, policy), changed, "txn_time")
         self._replace("tagged_share", marts.tagged_share(fact, policy), changed, "month_start")
         self._replace("property_ledger", marts.tag_ledger(fact, policy.property_tag, hidden), changed, "txn_time")
-        pay, priced = self.table("hourly_pay"), changed
-        if self._latest_pay() != before:
-            # Months without pay of their own are priced at the latest month's.
-            own = pay.filter("hours IS NOT NULL AND pay_per_hour IS NOT NULL")
-            priced = changed | (load.months_of(every) - load.months_of(own))
-        costs = marts.life_cost(every.filter(load.in_months(priced)), pay, policy)
-        self._replace("life_cost", costs, priced, "txn_time")
-        planned = budget.withColumn(MONTH_ID, month_id(F.col("month_start"))).filter(load.in_months(changed))
+        # A month's own pay comes from lines of the month, so no other month is priced anew.
+        self._replace("life_cost_lines", marts.life_cost_lines(fact, self.table("hourly_pay"), policy), changed, "txn_time")
+        planned = self.table("budget").withColumn(MONTH_ID, month_id(F.col("month_start"))).filter(load.in_months(changed))
         self._replace("budget_compliance", marts.budget_compliance(fact, planned, policy), changed, "month_start")
-        sinks.overwrite_table(self._months(set()), self.path("changed_months"))
+        self._clear("changed_months")
         return changed
 
     def checks(self, as_of: datetime | None = None, stale_after: timedelta = timedelta(days=30)) -> DataFrame:
@@ -126,22 +160,22 @@ class Warehouse:
         named = [rows.select(F.lit(name).alias("table"), "*") for name, parts in found.items() for rows in parts]
         return reduce(DataFrame.unionByName, named)
 
-    # Months that changed since the marts were last loaded.
+    # Marked months: of which the line tables, or the marts, are behind.
 
     def _months(self, months: set) -> DataFrame:
         return self.spark.createDataFrame([(month,) for month in sorted(months, key=str)], f"{MONTH_ID} int")
 
-    def _marked(self) -> set:
-        marked = sinks.read_table(self.spark, self.path("changed_months"))
+    def _marked(self, name: str) -> set:
+        marked = sinks.read_table(self.spark, self.path(name))
         return set() if marked is None else load.months_of(marked)
 
-    def _mark(self, months: set) -> None:
-        sinks.overwrite_table(self._months(self._marked() | months), self.path("changed_months"))
+    def _mark(self, name: str, months: set) -> None:
+        marked = self._marked(name)
+        if not months <= marked:
+            sinks.overwrite_table(self._months(marked | months), self.path(name))
 
-    def _latest_pay(self) -> tuple | None:
-        pay = sinks.read_table(self.spark, self.path("hourly_pay"))
-        newest = pay and pay.orderBy(F.desc("year"), F.desc("month")).select("hours", "pay_per_hour").first()
-        return newest and tuple(newest)
+    def _clear(self, name: str) -> None:
+        sinks.overwrite_table(self._months(set()), self.path(name))
 
     def _budget_months(self, budget: DataFrame) -> set:
         return load.months_of(budget.select(month_id(F.col("month_start")).alias(MONTH_ID)))

@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyhouse.operators import lookups
 from tallyhouse.operators.ledger import stage_transactions
 from tallyhouse.plans import load
 from tallyhouse.sources import sinks
 
 
-def arrived(spark, path: str, staged: DataFrame) -> None:
+def _name(files: DataFrame) -> DataFrame:
+    return files.withColumn("_name", F.substring_index("src_file", "/", -1))
+
+
+def arrived(spark: SparkSession, path: str, staged: DataFrame) -> None:
     """Put the lines of arriving files into the table at ``path``.
 
     An export is known by its file name without folders. Of all files of one name that ever arrived, the one of the
     newest load time counts, of equal times the one of the larger path; the lines of the others are left out or
     removed. So the table does not depend on how files fall into batches, nor on a batch that is repeated.
+
+    Which file counts is settled on the files that the table keeps beside its months. Stored lines are read only in the
+    months that gain or lose lines.
     """
-    name = F.substring_index("src_file", "/", -1)
-    aside = sinks.scratch_path(spark, "arrived")
+    batch = sinks.scratch_path(spark, "arrived")
     try:
-        sinks.write_months(staged, aside)
-        staged = sinks.read_table(spark, aside).withColumn("_name", name)
+        sinks.store_months(staged, batch, load_ts="load_ts")
+        lines, came = sinks.read_table(spark, batch), _name(sinks.read_files(spark, batch))
         target = sinks.read_table(spark, path)
-        stored = None if target is None else target.withColumn("_name", name)
-        names = staged.select("_name").distinct()
-        both = staged
-        if stored is not None:
-            before = stored.join(names, "_name", "left_semi")
-            both = load.append_columns(before.select(*stored.columns), staged)
-        newest = both.groupBy("_name").agg(F.max(F.struct("load_ts", "src_file")).alias("_newest"))
+        names = came.select("_name").distinct()
+        known = came
+        if target is not None:
+            stored = _name(sinks.remember_files(spark, path)).join(names, "_name", "left_semi")
+            known = came.unionByName(stored)
+        newest = known.groupBy("_name").agg(F.max(F.struct("load_ts", "src_file")).alias("_newest"))
         winners = newest.select("_newest.*")
-        lines = both.join(winners, ["load_ts", "src_file"], "left_semi").select(*both.columns).drop("_name")
-        if stored is None:
-            sinks.write_months(lines, path)
+        if lookups.is_small(winners):
+            winners = F.broadcast(winners)
+        new = lines.join(winners, ["load_ts", "src_file"], "left_semi").select(*lines.columns)
+        if target is None:
+            sinks.store_months(new, path, load_ts="load_ts")
             return
-        changed = load.months_of(both)
-        rest = stored.filter(load.in_months(changed)).join(names, "_name", "left_anti")
-        result = load.append_columns(rest.select(*stored.columns).drop("_name"), lines)
-        gone = changed - load.months_of(result)
-        sinks.overwrite_months(result, path)
-        sinks.clear_months(target, path, gone)
+        # Where a stored file goes on counting, nothing changes; else all files of the name give way to the new one.
+        taken = came.join(winners, ["load_ts", "src_file"], "left_semi").select("_name").distinct()
+        marked = known.join(taken, "_name", "left_semi")
+        changed = load.months_of(marked)
+        gone = marked.select("src_file").distinct()
+        rest = target.filter(load.in_months(changed)).join(F.broadcast(gone) if lookups.is_small(gone) else gone, "src_file", "left_anti")
+        sinks.store_months(load.append_columns(rest.select(*target.columns), new), path, changed, load_ts="load_ts")
     finally:
-        sinks.delete(spark, aside)
+        sinks.delete(spark, batch)
 
 
 def load_arrivals(feed: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
