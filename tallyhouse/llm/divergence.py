@@ -8,10 +8,10 @@ integers from there on, so all results are exact.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from tallyhouse.llm.perfect_hash import PerfectHash, build, hashes
 from tallyhouse.llm.stage import keep
 
 # Fixed value: terms are runs of letters and of all that is not ASCII; only A to Z are lower-cased.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# As a table of bytes: terms in lower case, blanks between them.
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCALE, SMOOTHING = 1_000_000_000, 5
 LEAST_DOCS, MOST_TERMS = 30, 50
 # Keys of one shard on average; what one group of shards may hold; terms a task counts before it passes them on.
@@ -33,13 +34,13 @@ SLOTS = 8 << 20
 # Sources of one tile and slots of one block, where shares are compared.
 TILE, BLOCK_BITS = 256, 10
 LOCAL_BITS = 24
-COUNTED = "lang binary, source binary, slot long, term binary, n long"
+COUNTED = "lang binary, source binary, slot long, n long"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, list[bytes]]]:
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            yield lang.as_py(), source.as_py(), TERM.findall(text.as_py().lower())
+            yield lang.as_py(), source.as_py(), text.as_py().translate(TERMS).split()
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
@@ -79,62 +80,65 @@ _SHARD = pa.schema([("lang", pa.binary()), ("part", pa.int64()), ("sizes", pa.li
 class Slots:
     """Dense counts of the groups that a task meets, one array of slots for each shard of the group's language."""
 
-    def __init__(self, shards: list[dict], parts: int):
-        self.parts, self.size = parts, 0
+    def __init__(self, shards: list[dict], parts: int, most: int):
+        self.parts, self.most, self.size = parts, most, 0
         self.hash: dict[bytes, dict[int, PerfectHash]] = {}
         for row in shards:
             self.hash.setdefault(row["lang"], {})[row["part"]] = PerfectHash(row["sizes"], row["bits"], row["terms"])
         self.counts: dict[tuple[bytes, bytes], dict[int, np.ndarray]] = {}
 
-    def add(self, lang: bytes, source: bytes, found: Counter) -> None:
+    def add(self, lang: bytes, by_source: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
+        """Count what the sources of a language have; each of its terms is looked up once, whatever the source."""
         shards = self.hash.get(lang)
-        if not shards or not found:
+        terms = list(set().union(*by_source.values())) if shards else []
+        if not terms:
             return
-        terms, times = list(found), np.fromiter(found.values(), np.int64, len(found))
-        hashed = hashes(terms)
+        hashed, known = hashes(terms), {}
         part = (hashed & np.uint64(self.parts - 1)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        slots = self.counts.setdefault((lang, source), {})
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            shard = shards.get(number := int(part[at[0]]))
-            if shard is None:
-                continue
-            place = shard.numbers([terms[i] for i in at.tolist()], hashed[at])
-            known = place >= 0
-            if known.any():
-                if number not in slots:
-                    slots[number] = np.zeros(len(shard.keys), np.int64)
-                    self.size += len(shard.keys)
+            if (number := int(part[at[0]])) in shards:
+                own = [terms[i] for i in at.tolist()]
+                place = shards[number].numbers(own, hashed[at])
+                known.update(zip(own, np.where(place < 0, -1, number << LOCAL_BITS | place).tolist(), strict=True))
+        for source, found in by_source.items():
+            slot = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
+            times = np.fromiter(found.values(), np.int64, len(found))[slot >= 0]
+            slot = slot[slot >= 0]
+            arrays = self.counts.setdefault((lang, source), {})
+            part = slot >> LOCAL_BITS
+            for number in np.unique(part).tolist():
+                if number not in arrays:
+                    arrays[number] = np.zeros(len(shards[number].keys), np.int64)
+                    self.size += len(arrays[number])
                 # Each term comes once, so no two additions meet in a slot.
-                slots[number][place[known]] += times[at][known]
+                at = part == number
+                arrays[number][slot[at] & ((1 << LOCAL_BITS) - 1)] += times[at]
+            if self.size > self.most:
+                yield from self.out()
 
     def out(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), slots in self.counts.items():
-            for number, counts in slots.items():
+        for (lang, source), arrays in self.counts.items():
+            for number, counts in arrays.items():
                 at = np.flatnonzero(counts)
-                terms = self.hash[lang][number].keys
-                columns = [
-                    pa.array([lang] * len(at), pa.binary()), pa.array([source] * len(at), pa.binary()),
-                    pa.array(number << LOCAL_BITS | at), pa.array([terms[i] for i in at.tolist()], pa.binary()), pa.array(counts[at]),
-                ]
-                yield pa.record_batch(columns, names=["lang", "source", "slot", "term", "n"])
+                columns = [pa.array([name] * len(at), pa.binary()) for name in (lang, source)]
+                yield pa.record_batch([*columns, pa.array(number << LOCAL_BITS | at), pa.array(counts[at])], names=["lang", "source", "slot", "n"])
         self.counts.clear()
         self.size = 0
 
 
 def _recount(batches: Iterator[pa.RecordBatch], sent, parts: int, held: int, most_slots: int) -> Iterator[pa.RecordBatch]:
-    slots = Slots(sent.value.to_pylist(), parts)
-    waiting: dict[tuple[bytes, bytes], Counter] = {}
+    slots = Slots(sent.value.to_pylist(), parts, most_slots)
+    waiting: dict[bytes, dict[bytes, Counter]] = {}
     size = 0
+
     def settle() -> Iterator[pa.RecordBatch]:
-        for group, found in waiting.items():
-            slots.add(*group, found)
-            if slots.size > most_slots:
-                yield from slots.out()
+        for lang, by_source in waiting.items():
+            yield from slots.add(lang, by_source)
         waiting.clear()
 
     for lang, source, terms in _documents(batches):
-        own = waiting.setdefault((lang, source), Counter())
+        own = waiting.setdefault(lang, {}).setdefault(source, Counter())
         size -= len(own)
         own.update(terms)
         size += len(own)
@@ -235,7 +239,7 @@ def source_divergence(
     for number in range(passes if terms else 0):
         sent = spark.sparkContext.broadcast(shards.filter(F.col("group") == number).select("lang", "part", "sizes", "bits", "terms").toArrow())
         found = read.mapInArrow(partial(_recount, sent=sent, parts=parts, held=held, most_slots=most_slots), COUNTED)
-        cells.append(keep(found.groupBy("lang", "source", "slot", "term").agg(F.sum("n").alias("n")), "cells"))
+        cells.append(keep(found.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n")), "cells"))
     cells = reduce(DataFrame.union, cells) if cells else spark.createDataFrame([], COUNTED)
 
     # One row for each group, with its total, the size of its language's vocabulary and the tile it is compared in.
@@ -251,7 +255,10 @@ def source_divergence(
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("v").alias("v"))
     whole = whole.join(of_lang, "lang").select("lang", "slot", _share(F.col("n")).alias("q"))
     value = F.col("p") - F.col("q")
-    terms = shares.join(whole, ["lang", "slot"]).filter(value > 0).select("lang", "source", F.col("term").alias("item"), value.alias("value"))
+    named = shards.select("lang", "part", F.posexplode("terms").alias("local", "item"))
+    named = named.select("lang", F.shiftleft("part", LOCAL_BITS).bitwiseOR(F.col("local")).alias("slot"), "item")
+    whole = whole.join(named, ["lang", "slot"])
+    terms = shares.join(whole, ["lang", "slot"]).filter(value > 0).select("lang", "source", "item", value.alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_terms)
 
