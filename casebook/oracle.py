@@ -655,6 +655,13 @@ def after_three_loads(query: str) -> str:
     return text.replace(stage, f"before_t AS ({CTES['stg_t']}), stg_t AS ({LOADED_THRICE})", 1)
 
 
+def _some_days(query: str) -> str:
+    """The query over the lines of a range whose bounds lie inside months."""
+    assert "FROM fact_t" in query
+    return query.replace("FROM fact_t", """FROM (SELECT * FROM fact_t
+      WHERE txn_time >= DATE '1998-01-15' AND txn_time < DATE '2000-06-11')""")
+
+
 def _warehouse(table: dict[str, str]) -> dict[str, str]:
     stored = {
         "w_stg_transactions": f"SELECT {STG}, channel FROM stg_t",
@@ -676,6 +683,11 @@ def _warehouse(table: dict[str, str]) -> dict[str, str]:
           UNION ALL SELECT 'stg_transactions', 'freshness:txn_time', {moment("max(txn_time)", "key")}, 'warn' FROM stg_t
             HAVING max(txn_time) < TIMESTAMP '2002-03-01' - INTERVAL 30 DAY""",
     }
+    whole = ("q2_cash_flow", "q16_passive_income", "q17_financial_freedom", "q18_latest_coverage", "q9_wealth_rates", "q12_net_worth")
+    days = ("q2_cash_flow", "q3_spend_by_category", "q20_income_by_category", "q4_quarter_balance", "q14_essential_split", "q5_top_expenses", "q19_top_income", "q31_tagged_top")
+    stored |= {f"w_{name.split('_', 1)[1]}": table[name] for name in whole}
+    stored |= {f"w_{name.split('_', 1)[1]}_days": _some_days(table[name]) for name in days}
+    stored["w_top_expenses_food"] = table["q5_top_expenses"].replace("FROM fact_t", "FROM (SELECT * FROM fact_t WHERE category = 'Food')")
     return {name: after_three_loads(query) for name, query in stored.items()}
 
 

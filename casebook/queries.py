@@ -24,6 +24,8 @@ from tallyhouse.streaming.arrivals import load_arrivals
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANGE = (date(1998, 1, 1), date(2000, 12, 31))
+# Both bounds inside a month.
+DAYS = (date(1998, 1, 15), date(2000, 6, 10))
 OWNER = ("owner",)
 
 
@@ -477,6 +479,25 @@ def _table() -> dict[str, Query]:
         "d6_check_freshness": d6_check_freshness,
         "d7_check_range": d7_check_range,
     }
+    from_sums = {
+        "w_cash_flow": lambda h: cashflow.cash_flow(h.sums(), DEMO),
+        "w_cash_flow_days": lambda h: cashflow.cash_flow(h.sums(DAYS), DEMO, DAYS),
+        "w_spend_by_category_days": lambda h: cashflow.spend_by_category(h.sums(DAYS), DEMO, DAYS),
+        "w_income_by_category_days": lambda h: cashflow.income_by_category(h.sums(DAYS), DEMO, DAYS),
+        "w_quarter_balance_days": lambda h: cashflow.quarter_balance(h.sums(DAYS), DEMO, DAYS),
+        "w_essential_split_days": lambda h: cashflow.essential_split(h.sums(DAYS), DEMO, DAYS),
+        "w_passive_income": lambda h: cashflow.passive_income(h.sums(), DEMO),
+        "w_financial_freedom": lambda h: cashflow.financial_freedom(h.sums(), DEMO),
+        "w_latest_coverage": lambda h: cashflow.latest_coverage(h.sums(), DEMO),
+        "w_wealth_rates": lambda h: wealth.wealth_rates(h.sums(), h.table("mortgage"), DEMO),
+        "w_net_worth": lambda h: wealth.net_worth(h.sums(), h.table("mortgage"), DEMO),
+        "w_top_expenses_days": lambda h: cashflow.top_expenses(h.largest(DAYS), DEMO, DAYS),
+        "w_top_expenses_food": lambda h: cashflow.top_expenses(h.largest(), DEMO, category="Food"),
+        "w_top_income_days": lambda h: cashflow.top_income(h.largest(DAYS), DEMO, DAYS),
+        "w_tagged_top_days": lambda h: matrices.tagged_top(h.largest(DAYS), DEMO, DAYS),
+    }
+    for name, build in from_sums.items():
+        table[name] = lambda s, d, build=build: build(warehouse(s, d))
     for name, build in from_fact.items():
         table[name] = lambda s, d, build=build: build(fact(s, d))
     for name, build in from_life.items():

@@ -1,4 +1,8 @@
-"""Data checks. Each returns the offending rows as (check, key, detail): an empty result is a pass."""
+"""Data checks. Each returns the offending rows as (check, key, detail): an empty result is a pass.
+
+``keys`` are extra leading columns of checks on lines; with the month among them a load can check the months it changes
+and keep what was found in the others.
+"""
 
 from __future__ import annotations
 
@@ -8,43 +12,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import says_worked_days
-from tallyhouse.operators.lookups import BROADCAST_ROWS, is_small
+from tallyhouse.operators.lookups import BROADCAST_ROWS, Keys, is_small
 
 
-def _offenders(rows: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
+def _offenders(rows: DataFrame, check: str, key: Column, detail: Column, keys: Keys = ()) -> DataFrame:
     return rows.select(
-        F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail")
+        *keys, F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail")
     )
 
 
-def check_unique(df: DataFrame, *columns: str) -> DataFrame:
-    """Keys that occur more than once, with their count. NULL keys are the business of ``check_not_null``."""
-    keys = df.select(*columns).dropna()
-    counts = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return _offenders(counts, f"unique:{','.join(columns)}", F.concat_ws("|", *columns), F.col("_n"))
+def check_unique(df: DataFrame, *columns: str, keys: Keys = ()) -> DataFrame:
+    """Values that occur more than once, with their count. NULL is the business of ``check_not_null``."""
+    named = df.select(*keys, *columns).dropna(subset=list(columns))
+    counts = named.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return _offenders(counts, f"unique:{','.join(columns)}", F.concat_ws("|", *columns), F.col("_n"), keys)
 
 
-def check_not_null(df: DataFrame, column: str, show: str | None = None) -> DataFrame:
+def check_not_null(df: DataFrame, column: str, show: str | None = None, keys: Keys = ()) -> DataFrame:
     """Rows without a value; ``show`` names a column that helps to find them."""
     detail = F.col(show) if show else F.lit(None)
-    return _offenders(df.filter(F.col(column).isNull()), f"not_null:{column}", F.col(column), detail)
+    return _offenders(df.filter(F.col(column).isNull()), f"not_null:{column}", F.col(column), detail, keys)
 
 
 def check_relationship(
-    df: DataFrame, column: str, reference: DataFrame, reference_column: str, max_rows: int = BROADCAST_ROWS
+    df: DataFrame, column: str, reference: DataFrame, reference_column: str, max_rows: int = BROADCAST_ROWS, keys: Keys = ()
 ) -> DataFrame:
     """Values that the reference column does not hold, with their count.
 
     Values are counted before the join, so a value carried by most rows is one row there.
     """
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(
+    values = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_value")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     known = reference.select(F.col(reference_column).alias("_value")).distinct()
     if is_small(known, max_rows):
         known = F.broadcast(known)
     missing = values.join(known, "_value", "left_anti")
-    return _offenders(missing, f"relationship:{column}", F.col("_value"), F.col("_n"))
+    return _offenders(missing, f"relationship:{column}", F.col("_value"), F.col("_n"), keys)
 
 
 def check_net_le_gross(pay: DataFrame) -> DataFrame:
@@ -53,16 +57,16 @@ def check_net_le_gross(pay: DataFrame) -> DataFrame:
     return _offenders(pay.filter(F.col("net") > F.col("gross")), "net_le_gross", key, F.col("net"))
 
 
-def check_value_for_tag(fact: DataFrame) -> DataFrame:
+def check_value_for_tag(fact: DataFrame, keys: Keys = ()) -> DataFrame:
     """Tagged lines without a tag value."""
     bad = fact.filter(F.col("tag").isNotNull() & F.col("tag_value").isNull())
-    return _offenders(bad, "value_for_tag", F.col("txn_id"), F.col("tag"))
+    return _offenders(bad, "value_for_tag", F.col("txn_id"), F.col("tag"), keys)
 
 
-def check_worked_days(fact: DataFrame) -> DataFrame:
+def check_worked_days(fact: DataFrame, keys: Keys = ()) -> DataFrame:
     """Worked-days comments that do not start with a number."""
     bad = fact.filter(says_worked_days(F.col("comment")) & F.col("worked_days").isNull())
-    return _offenders(bad, "worked_days", F.col("txn_id"), F.col("comment"))
+    return _offenders(bad, "worked_days", F.col("txn_id"), F.col("comment"), keys)
 
 
 def check_readable(feed: DataFrame) -> DataFrame:

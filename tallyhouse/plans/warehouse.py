@@ -9,16 +9,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import MONTH_ID, month_id
+from tallyhouse.functions.calendar import MONTH_ID, Dates, month_id
 from tallyhouse.functions.text import word
 from tallyhouse.operators import checks, ledger, marts
-from tallyhouse.plans import load
+from tallyhouse.plans import cells, load
 from tallyhouse.policy import Policy
 from tallyhouse.sources import sinks
 
 VIEWS = ("income_summary", "investment_plan", "investment_tracking", "life_cost")
 
 
+def _named(found: dict[str, list[DataFrame]]) -> DataFrame:
+    """Offenders of several checks with the name of their table."""
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("table"), "*") for name, parts in found.items() for rows in parts])
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Tables under one folder. Line tables and marts of lines are partitioned by month, reference tables are not."""
@@ -42,11 +47,10 @@ class Warehouse:
     # Views: computed where they are read.
 
     def income_summary(self) -> DataFrame:
-        return marts.income_summary(self.table("fact_transactions"), self.policy)
+        return marts.income_summary(self.sums(), self.policy)
 
     def investment_plan(self) -> DataFrame:
-        fact, budget, mortgage = (self.table(name) for name in ("fact_transactions", "budget", "mortgage"))
-        return marts.investment_plan(fact, budget, mortgage, self.policy)
+        return marts.investment_plan(self.sums(), self.table("budget"), self.table("mortgage"), self.policy)
 
     def investment_tracking(self) -> DataFrame:
         return marts.investment_tracking(self.table("fact_transactions"), self.investment_plan(), self.policy)
@@ -94,7 +98,8 @@ class Warehouse:
         return self._refresh_lines()
 
     def _refresh_lines(self) -> set:
-        """Line tables of the marked months, and the words that their comments begin with."""
+        """Line tables of the marked months and what is kept of them: the words that comments begin with, sums, largest
+        lines and what the checks find."""
         changed = self._marked("changed_lines")
         if not changed:
             return changed
@@ -107,6 +112,14 @@ class Warehouse:
         )
         for name, table in built:
             load.replace_months(self.spark, self.path(name), table, changed)
+        fact = self.table("fact_transactions").filter(load.in_months(changed))
+        states = (
+            ("cells", cells.month_cells(fact)),
+            ("largest", cells.largest_lines(fact, self.policy)),
+            ("line_checks", self._line_checks(lines, fact, keys)),
+        )
+        for name, table in states:
+            load.replace_months(self.spark, self.path(name), table, changed)
         self._mark("changed_months", changed)
         self._clear("changed_lines")
         return changed
@@ -127,38 +140,67 @@ class Warehouse:
         self._clear("changed_months")
         return changed
 
-    def checks(self, as_of: datetime | None = None, stale_after: timedelta = timedelta(days=30)) -> DataFrame:
-        """Offenders of every check that the stored tables must pass, as (table, check, key, detail).
+    # States in the place of lines.
 
-        With ``as_of`` the newest line must not be older than ``stale_after``.
-        """
-        staged, fact, keys, budget = (self.table(n) for n in ("stg_transactions", "fact_transactions", "keys", "budget"))
-        pay, share, cells = (self.table(name) for name in ("hourly_pay", "tagged_share", "budget_compliance"))
-        category = budget.withColumn("category", F.upper("category"))
+    def sums(self, dates: Dates = None) -> DataFrame:
+        """Money lines for the dates as the operators that add amounts up by month need them: sums of whole months, and
+        lines where a bound lies inside a month."""
+        return cells.routed(cells.as_lines(self.table("cells")), self.table("fact_transactions"), dates)
+
+    def largest(self, dates: Dates = None, n: int = cells.LARGEST) -> DataFrame:
+        """Money lines for the dates among which the ``n`` largest are, as the lists of largest lines need them."""
+        fact = self.table("fact_transactions")
+        return fact if n > cells.LARGEST else cells.routed(self.table("largest"), fact, dates)
+
+    # Checks.
+
+    def _line_checks(self, staged: DataFrame, fact: DataFrame, keys: DataFrame) -> DataFrame:
+        """What the checks of lines find, by month. An id covers the time, so equal ids are of one month."""
+        month = (MONTH_ID,)
         found = {
             "stg_transactions": [
-                checks.check_unique(staged, "txn_id"),
-                checks.check_not_null(staged, "txn_id", "src_file"),
-                checks.check_not_null(staged, "txn_time", "src_file"),
+                checks.check_unique(staged, "txn_id", keys=month),
+                checks.check_not_null(staged, "txn_id", "src_file", keys=month),
+                checks.check_not_null(staged, "txn_time", "src_file", keys=month),
             ],
             "fact_transactions": [
-                checks.check_unique(fact, "txn_id"),
-                checks.check_relationship(fact, "tag", keys, "tag"),
-                checks.check_value_for_tag(fact),
-                checks.check_worked_days(fact),
+                checks.check_unique(fact, "txn_id", keys=month),
+                checks.check_relationship(fact, "tag", keys, "tag", keys=month),
+                checks.check_value_for_tag(fact, keys=month),
+                checks.check_worked_days(fact, keys=month),
             ],
+        }
+        return _named(found)
+
+    def checks(self, as_of: datetime | None = None, stale_after: timedelta = timedelta(days=30)) -> DataFrame:
+        """Offenders of every check that the stored tables must pass, as (table, check, key, detail).
+
+        What the lines were found to hold is kept by month, so this reads no line: only small tables and, with
+        ``as_of``, the newest month, whose newest line must not be older than ``stale_after``.
+        """
+        pay, share, compliance = (self.table(name) for name in ("hourly_pay", "tagged_share", "budget_compliance"))
+        budget, plan = self.table("budget"), self.investment_plan()
+        category = budget.withColumn("category", F.upper("category"))
+        found = {
             "hourly_pay": [checks.check_unique(pay, "year", "month"), checks.check_net_le_gross(pay)],
             "tagged_share": [checks.check_unique(share, "month_start")],
             "budget": [checks.check_unique(category, "month_start", "category")],
             "budget_compliance": [
-                checks.check_unique(cells, "month_cat_id"),
-                checks.check_not_null(cells, "month_cat_id", "category"),
+                checks.check_unique(compliance, "month_cat_id"),
+                checks.check_not_null(compliance, "month_cat_id", "category"),
             ],
+            "investment_plan": [checks.check_unique(plan, MONTH_ID), checks.check_not_null(plan, MONTH_ID)],
         }
         if as_of is not None:
-            found["stg_transactions"].append(checks.check_freshness(staged, "txn_time", as_of, warn_after=stale_after))
-        named = [rows.select(F.lit(name).alias("table"), "*") for name, parts in found.items() for rows in parts]
-        return reduce(DataFrame.unionByName, named)
+            staged = self.table("stg_transactions")
+            months = sinks.stored_months(self.spark, self.path("stg_transactions")) - {None}
+            newest = staged.filter(F.col(MONTH_ID) == max(months)) if months else staged
+            found["stg_transactions"] = [checks.check_freshness(newest, "txn_time", as_of, warn_after=stale_after)]
+        lines = self.table("line_checks")
+        # A value that the dictionary lacks is one offender, in however many months it occurs.
+        counted = F.col("check").startswith("relationship:")
+        values = lines.filter(counted).groupBy("table", "check", "key").agg(F.sum(F.col("detail").cast("long")).cast("string").alias("detail"))
+        return lines.filter(~counted).drop(MONTH_ID).unionByName(values).unionByName(_named(found))
 
     # Marked months: of which the line tables, or the marts, are behind.
 

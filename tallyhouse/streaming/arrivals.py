@@ -28,8 +28,9 @@ def arrived(spark: SparkSession, path: str, staged: DataFrame) -> None:
     """
     batch = sinks.scratch_path(spark, "arrived")
     try:
-        sinks.store_months(staged, batch, load_ts="load_ts")
-        lines, came = sinks.read_table(spark, batch), _name(sinks.read_files(spark, batch))
+        staged.write.parquet(batch)
+        lines = spark.read.schema(staged.schema).parquet(batch)
+        came = _name(sinks.files_of(lines))
         target = sinks.read_table(spark, path)
         names = came.select("_name").distinct()
         known = came
