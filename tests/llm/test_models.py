@@ -22,6 +22,64 @@ def test_language_held_out(spark, docs):
     assert found.count() == docs.count() and found.filter("score < 0 OR score > 1").count() == 0
 
 
+def test_shares_against_plain_expectation_maximisation():
+    """Each text by itself over dictionaries; six languages in equal parts all come out."""
+    import math
+
+    import numpy as np
+
+    pick = np.random.default_rng(2)
+    learned = pick.dirichlet(np.full(40, 0.15), 6) * 50_000
+    model = language.Model(list("abcdef"), learned.round())
+    grams = [dict(enumerate(row)) for row in model.grams.tolist()]
+    mixes = [np.eye(6)[0], np.eye(6)[3], [0.5, 0.5, 0, 0, 0, 0], [0, 0, 0.2, 0, 0.8, 0], np.full(6, 1 / 6)]
+    texts = np.array([pick.multinomial(30_000, mix @ model.grams) for mix in mixes], np.float64)
+
+    def plain(text, start):
+        shares = dict(start)
+        for _ in range(language.ROUNDS):
+            new = dict.fromkeys(shares, 0.0)
+            for gram, n in enumerate(text):
+                seen = sum(shares[i] * grams[i][gram] for i in shares)
+                for i in shares:
+                    new[i] += n * shares[i] * grams[i][gram] / seen
+            new = {i: x / sum(text) for i, x in new.items()}
+            moved = max(abs(new[i] - shares[i]) for i in shares)
+            shares = new
+            if moved <= language.TOLERANCE:
+                return shares
+        return shares
+
+    found = model.shares(texts, 2.0)
+    for text, own in zip(texts.tolist(), found, strict=True):
+        whole = plain(text, dict.fromkeys(range(6), 1 / 6))
+        best, score = None, -math.inf
+        for size in range(1, 7):
+            chosen = sorted(whole, key=lambda i: (-whole[i], i))[:size]
+            total = sum(max(whole[i], 1e-9) for i in chosen)
+            tried = {i: max(whole[i], 1e-9) / total for i in chosen}
+            tried = plain(text, tried) if size > 1 else tried
+            fit = sum(n * math.log(max(sum(tried[i] * grams[i][g] for i in tried), 1e-300)) for g, n in enumerate(text))
+            fit -= 2.0 * size * math.log(sum(text) + 1)
+            if fit <= score:
+                break
+            best, score = tried, fit
+        assert np.allclose(own, [best.get(i, 0.0) for i in range(6)], atol=1e-9)
+    assert (found[4] > 0.1).all() and found[0].tolist() == [1, 0, 0, 0, 0, 0]
+
+
+def test_language_sample_is_bound(spark, monkeypatch):
+    """NULL and equal ids, and equal rows, do not widen the sample."""
+    learned = []
+    real = language.Model
+    monkeypatch.setattr(language, "Model", lambda names, counts: learned.append(counts.sum()) or real(names, counts))
+    rows = [(None if i % 2 else 7, f"wort {chr(97 + i % 26)}{chr(97 + i // 26)}xx", "de") for i in range(400)] + [(9, "wort wort", "de")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (5, 50):
+        language.fit(docs, per_language=most)
+    assert 9 * learned[0] < learned[1] < 11 * learned[0]
+
+
 def test_language_edges(spark, docs):
     model = language.fit(docs)
     half = " ".join("the thing and ered" if i % 2 else "keit und schen ungen" for i in range(60))
