@@ -12,34 +12,47 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyhouse.llm.hashing import mix
 from tallyhouse.llm.stage import keep
 
+# Where no message tells its role.
 ROLES = ("assistant", "system", "user")
-# Words that name a speaker in front of a colon or inside chat tags.
+# Words that name a speaker in front of a colon or inside chat tags, besides the names of the roles.
 SPEAKERS = {
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "a": "assistant",
     "system": "system", "instruction": "system", "instructions": "system",
     "user": "user", "human": "user", "customer": "user", "q": "user", "prompter": "user",
+    "function": "tool",
 }
-MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{2,3} ?|\*\*)?(" + "|".join(sorted(SPEAKERS, key=len, reverse=True)) + r")(?:\|>|\]|:\*\*|\*\*:|\s*:|>)\s*", re.IGNORECASE)
 END_MARK = re.compile(r"\s*<\|(?:im_end|end)\|>\s*$")
 LENGTHS, SIGNS, SIZES = 14, 5, 40
 # Scores are whole numbers, so their sums do not depend on where segments are cut; the lowest bits decide ties.
 SCALE, TIE_BITS, NEVER = 2**16, 10, -(2**60)
-SAMPLE_ROWS = 20_000
+# A role is learned if at least this share of the messages has it.
+LEAST_SHARE = 1e-3
 MARKER_TRUST, DRIFT, SMOOTHING = 1e-4, 1e-6, 1.0
 NEXT, WITHIN = 0, 1
-# The state before the first line of a conversation; no line can enter it.
-START = len(ROLES)
+# In counts of steps: before the first message of a conversation.
+FIRST = -1
+
+
+@cache
+def _marker(roles: tuple[str, ...]) -> tuple[re.Pattern, dict[str, int]]:
+    """Pattern of a speaker marker, and the number of the role that each word in it names."""
+    words = {word: roles.index(role) for word, role in SPEAKERS.items() if role in roles}
+    words |= {role: number for number, role in enumerate(roles)}
+    names = "|".join(re.escape(word) for word in sorted(words, key=len, reverse=True))
+    front, end = r"^\s*(?:<\|(?:im_start\|>)?|\[|#{2,3} ?|\*\*)?(", r")(?:\|>|\]|:\*\*|\*\*:|\s*:|>)\s*"
+    return re.compile(front + names + end, re.IGNORECASE), words
 
 
 def _seen(line: str) -> int:
@@ -50,13 +63,13 @@ def _seen(line: str) -> int:
     return length * SIGNS + sign
 
 
-def parse(text: str | None) -> list[tuple[str, int, int, int]]:
+def parse(text: str | None, roles: tuple[str, ...] = ROLES) -> list[tuple[str, int, int, int]]:
     """Lines of a message: text without marker, what is seen, number of the marked role or -1, and for the first line
     of the message and each marked line the size of what follows up to the next one, else -1."""
-    found = []
+    found, (marker, words) = [], _marker(roles)
     for number, line in enumerate((text or "").split("\n")):
-        match = MARKER.match(line)
-        role = ROLES.index(SPEAKERS[match[1].lower()]) if match else -1
+        match = marker.match(line)
+        role = words.get(match[1].lower(), -1) if match else -1
         body = END_MARK.sub("", line[match.end() :] if match else line)
         if number == 0 or match:
             head = number
@@ -73,9 +86,9 @@ def parse(text: str | None) -> list[tuple[str, int, int, int]]:
 
 
 class Model:
-    """Scaled log probabilities, learned from messages whose role is known."""
+    """Scaled log probabilities of ``roles``, from counts in messages whose role is known."""
 
-    def __init__(self, lines: np.ndarray, sizes: np.ndarray, turns: np.ndarray, first: np.ndarray):
+    def __init__(self, roles: tuple[str, ...], lines: np.ndarray, sizes: np.ndarray, turns: np.ndarray, first: np.ndarray):
         def scaled(shares: np.ndarray) -> np.ndarray:
             return np.round(np.log(shares) * SCALE).astype(np.int64) << TIE_BITS
 
@@ -83,8 +96,10 @@ class Model:
             counts = counts + SMOOTHING
             return scaled(counts / counts.sum(axis=-1, keepdims=True))
 
+        self.roles = roles
         self.emit, self.head, self.first, self.next = learned(lines), learned(sizes), learned(first), learned(turns)
-        size = len(ROLES)
+        # The state before the first line of a conversation; no line can enter it.
+        self.start = size = len(roles)
         self.within = scaled(np.full((size, size), DRIFT) + np.eye(size) * (1 - size * DRIFT))
         self.marked = scaled(np.full((size, size), MARKER_TRUST) + np.eye(size) * (1 - size * MARKER_TRUST))
 
@@ -94,17 +109,18 @@ class Model:
         own = np.where(size[:, None] >= 0, self.head[:, size].T, self.emit[:, seen].T)
         own = own + np.where(mark[:, None] >= 0, self.marked[:, mark].T, 0)
         steady = (place == WITHIN) & (mark < 0)
-        steps = np.full((len(lines), START + 1, START + 1), NEVER)
-        steps[:, :START, :START] = np.where(steady[:, None, None], self.within, self.next)
-        steps[:, START, :START] = self.first
-        steps[:, :, :START] += own[:, None, :]
-        chance = tie.astype(np.uint64)[:, None] * np.uint64(64) + np.arange((START + 1) ** 2, dtype=np.uint64)
+        start, states = self.start, self.start + 1
+        steps = np.full((len(lines), states, states), NEVER)
+        steps[:, :start, :start] = np.where(steady[:, None, None], self.within, self.next)
+        steps[:, start, :start] = self.first
+        steps[:, :, :start] += own[:, None, :]
+        chance = tie.astype(np.uint64)[:, None] * np.uint64(max(64, states**2)) + np.arange(states**2, dtype=np.uint64)
         return steps + (mix(chance) & np.uint64(2**TIE_BITS - 1)).astype(np.int64).reshape(steps.shape)
 
 
 def _best(steps: np.ndarray) -> np.ndarray:
     """Best score from each state before the first step to each state after the last."""
-    reached = np.where(np.eye(START + 1, dtype=bool), 0, NEVER)
+    reached = np.where(np.eye(steps.shape[1], dtype=bool), 0, NEVER)
     for step in steps:
         reached = np.maximum((reached[:, :, None] + step[None]).max(axis=1), NEVER)
     return reached
@@ -112,7 +128,7 @@ def _best(steps: np.ndarray) -> np.ndarray:
 
 def _path(steps: np.ndarray, before: int, after: int) -> list[int]:
     """States of all lines on the best way between two states."""
-    score, back = np.where(np.arange(START + 1) == before, 0, NEVER), []
+    score, back = np.where(np.arange(steps.shape[1]) == before, 0, NEVER), []
     for step in steps:
         ways = score[:, None] + step
         back.append(ways.argmax(axis=0))
@@ -123,29 +139,82 @@ def _path(steps: np.ndarray, before: int, after: int) -> list[int]:
     return states[::-1]
 
 
-def fit(messages: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` messages of known role, those of conversations of the smallest id hashes.
+COUNTS = "role int, seen int, n long"
+STEPS = "part int, first_conv long, first int, last_conv long, last int, n long"
+
+
+def _counts(batches: Iterator[pa.RecordBatch], roles: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """How often each role shows each kind of line, and behind these kinds each size: one row for each, per task."""
+    counts = np.zeros((len(roles), LENGTHS * SIGNS + SIZES), np.int64)
+    for batch in batches:
+        for role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, seen, _, size in parse(text, roles):
+                counts[role, seen] += 1
+                if size >= 0:
+                    counts[role, LENGTHS * SIGNS + size] += 1
+    role, seen = np.nonzero(counts)
+    yield pa.record_batch([pa.array(role, pa.int32()), pa.array(seen, pa.int32()), pa.array(counts[role, seen])], names=["role", "seen", "n"])
 
-    ``messages`` has ``conv_id``, ``turn``, ``role``, ``text``. Only this bounded sample reaches the driver.
+
+def _steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Steps from role to role in one range of sorted messages (conversation, turn, role, number of such messages).
+
+    One row for each pair of roles, and one, without ``n``, for the range: its first and last conversation and role.
     """
-    known = messages.filter(F.lower("role").isin(*ROLES) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    sample = known.orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "role", "text").limit(rows)
-    size = len(ROLES)
-    lines, sizes = np.zeros((size, LENGTHS * SIGNS)), np.zeros((size, SIZES))
-    turns, first = np.zeros((size, size)), np.zeros(size)
-    before = None
-    for row in sample.collect():
-        role = ROLES.index(row["role"].lower())
-        for _, seen, _, length in parse(row["text"]):
-            lines[role, seen] += 1
-            if length >= 0:
-                sizes[role, length] += 1
-        if before is None or before[0] != row["conv_id"]:
-            first[role] += 1
+    steps = np.zeros((size + 1, size), np.int64)
+    edge = last = None
+    for batch in batches:
+        conv, role, n = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        if not len(conv):
+            continue
+        np.add.at(steps, (role, role), n - 1)
+        same = conv[1:] == conv[:-1]
+        np.add.at(steps, (np.where(same, role[:-1], FIRST), role[1:]), 1)
+        if edge is None:
+            edge = int(conv[0]), int(role[0])
         else:
-            turns[before[1], role] += 1
-        before = row["conv_id"], role
-    return Model(lines, sizes, turns, first)
+            steps[last[1] if last[0] == conv[0] else FIRST, role[0]] += 1
+        last = int(conv[-1]), int(role[-1])
+    if edge is None:
+        return
+    part = TaskContext.get().partitionId()
+    rows = [(part, None, a if a < size else FIRST, None, b, int(steps[a, b])) for a, b in zip(*(x.tolist() for x in np.nonzero(steps)), strict=True)]
+    kinds = {"part": pa.int32(), "first_conv": pa.int64(), "first": pa.int32(), "last_conv": pa.int64(), "last": pa.int32(), "n": pa.int64()}
+    yield _batch(pa.schema(kinds.items()), [*rows, (part, *edge, *last, None)])
+
+
+def fit(messages: DataFrame, least_share: float = LEAST_SHARE) -> Model:
+    """Learn from all messages of ``messages`` (``conv_id``, ``turn``, ``role``, ``text``) that name their role.
+
+    Roles are the names in ``role``, in lower case, of at least ``least_share`` of the messages; ``ROLES`` if there is
+    none. Messages without a conversation, turn or role are not learned from. Lines are counted in tasks, and so are
+    steps from role to role, in ranges of sorted messages that may cut a conversation anywhere; only the sums for each
+    role reach the driver.
+    """
+    role = F.lower("role").alias("name")
+    known = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role, F.col("text").cast("string").alias("text"))
+    known = known.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND name IS NOT NULL")
+    # At most one name for each ``least_share`` comes back.
+    least = known.count() * least_share
+    roles = tuple(sorted(row["name"] for row in known.groupBy("name").count().filter(F.col("count") >= least).collect())) or ROLES
+    number = F.array_position(F.array(*(F.lit(name) for name in roles)), F.col("name")).cast("int") - 1
+    known = known.withColumn("number", number).filter("number >= 0")
+    size, kinds = len(roles), LENGTHS * SIGNS
+    seen = np.zeros((size, kinds + SIZES))
+    counted = known.select("number", "text").mapInArrow(partial(_counts, roles=roles), COUNTS)
+    for row in counted.groupBy("role", "seen").agg(F.sum("n").alias("n")).collect():
+        seen[row["role"], row["seen"]] = row["n"]
+    order = ["conv_id", "turn", "number"]
+    ranges = known.groupBy(*order).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = keep(ranges.mapInArrow(partial(_steps, size=size), STEPS), "steps")
+    # One row for each range, in order: does it go on with the conversation that the range before it ended in?
+    edges, before = found.filter("n IS NULL"), Window.orderBy("part")
+    follows = F.lag("last_conv").over(before) == F.col("first_conv")
+    joined = edges.select(F.when(follows, F.lag("last").over(before)).otherwise(FIRST).alias("first"), F.col("first").alias("last"), F.lit(1).alias("n"))
+    steps = np.zeros((size + 1, size))
+    for row in found.filter("n IS NOT NULL").select("first", "last", "n").union(joined).groupBy("first", "last").agg(F.sum("n").alias("n")).collect():
+        steps[row["first"], row["last"]] = row["n"]
+    return Model(roles, seen[:, :kinds], seen[:, kinds:], steps[:FIRST], steps[FIRST])
 
 
 SEGMENTS = pa.schema(
@@ -160,9 +229,9 @@ def _batch(schema: pa.Schema, rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _lines(turns: list[int | None], texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
+def _lines(turns: list[int | None], texts: list[str | None], roles: tuple[str, ...]) -> tuple[list[list[str]], np.ndarray]:
     """Text lines of each message; for all lines place, seen, mark, size and a number that decides ties."""
-    parsed = [parse(text) for text in texts]
+    parsed = [parse(text, roles) for text in texts]
     numbers = [
         (NEXT if i == 0 else WITHIN, *line[1:], ((turn or 0) * 8191 + i) & 0xFFFFFFFF)
         for turn, lines in zip(turns, parsed, strict=True)
@@ -183,15 +252,16 @@ def _segments(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
             rows[-1][3].append(turn)
             rows[-1][4].append(text)
         for row in rows:
-            row.append(_best(model.value.steps(_lines(row[3], row[4])[1])).ravel().tolist())
+            row.append(_best(model.value.steps(_lines(row[3], row[4], model.value.roles)[1])).ravel().tolist())
         yield _batch(SEGMENTS, rows)
 
 
 def _chained(conversation: list[tuple]) -> list[tuple]:
     """Best states before and after each segment of one conversation, from their tables."""
-    score, back = np.where(np.arange(START + 1) == START, 0, NEVER), []
+    states = math.isqrt(len(conversation[0][2]))
+    score, back = np.where(np.arange(states) == states - 1, 0, NEVER), []
     for _, _, table in conversation:
-        ways = score[:, None] + np.array(table).reshape(START + 1, START + 1)
+        ways = score[:, None] + np.array(table).reshape(states, states)
         back.append(ways.argmax(axis=0))
         score = np.maximum(ways.max(axis=0), NEVER)
     states = [int(score.argmax())]
@@ -221,10 +291,11 @@ TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.in
 
 
 def _rendered(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    roles = model.value.roles
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            bodies, lines = _lines(row["turns"], row["texts"])
+            bodies, lines = _lines(row["turns"], row["texts"], roles)
             states = iter(_path(model.value.steps(lines), row["before"], row["after"]))
             for turn, own in zip(row["turns"], bodies, strict=True):
                 blocks: list[tuple[int, list[str]]] = []
@@ -234,7 +305,7 @@ def _rendered(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
                     blocks[-1][1].append(line)
                 for part, (state, block) in enumerate(blocks):
                     text = "\n".join(block).strip()
-                    out.append((row["conv_id"], turn, part, ROLES[state], f"<|{ROLES[state]}|>\n{text}\n<|end|>\n"))
+                    out.append((row["conv_id"], turn, part, roles[state], f"<|{roles[state]}|>\n{text}\n<|end|>\n"))
         yield _batch(TURNS, out)
 
 

@@ -174,3 +174,87 @@ def test_segments_do_not_matter(spark):
         assert sorted(map(tuple, chat.format_turns(table, model).collect())) == whole
     finally:
         spark.conf.unset(size)
+
+
+def _talk(convs: int, pick: random.Random) -> list[tuple]:
+    said = {"user": ["what is it?", "and then?"], "assistant": ["It is so.\nBecause it is.", "Well: yes."], "tool": ["{rows: 3}", ""]}
+    rows = []
+    for conv in range(convs):
+        for turn in range(pick.randrange(1, 9)):
+            role = pick.choice(sorted(said))
+            rows += [(conv, turn, role.upper() if turn % 2 else role, pick.choice(said[role]))] * pick.choice([1, 1, 3])
+    return rows + [(None, 0, "user", "lost"), (1, None, "user", "lost"), (1, 0, None, "lost")]
+
+
+def test_roles_are_learned_from_sums(spark):
+    """Counts equal those of one loop over the sorted messages, into however many ranges these are cut."""
+    import numpy as np
+
+    rows = _talk(60, random.Random(4)) + [(9, turn, "user", "on?") for turn in range(10, 200)]
+    roles, known = ("assistant", "tool", "user"), sorted((r[0], r[1], r[2].lower(), r[3]) for r in rows if None not in r)
+    lines, sizes = np.zeros((3, chat.LENGTHS * chat.SIGNS)), np.zeros((3, chat.SIZES))
+    turns, first, before = np.zeros((3, 3)), np.zeros(3), None
+    for conv, _, name, text in known:
+        role = roles.index(name)
+        for _, seen, _, size in chat.parse(text, roles):
+            lines[role, seen] += 1
+            if size >= 0:
+                sizes[role, size] += 1
+        if before is None or before[0] != conv:
+            first[role] += 1
+        else:
+            turns[before[1], role] += 1
+        before = conv, role
+    plain = chat.Model(roles, lines, sizes, turns, first)
+    shuffle, join = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(shuffle)
+    try:
+        spark.conf.set(join, "false")
+        for parts in ("1", "3", "29"):
+            spark.conf.set(shuffle, parts)
+            model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(int(parts)))
+            assert model.roles == roles
+            for name in ("emit", "head", "next", "first"):
+                assert (getattr(model, name) == getattr(plain, name)).all(), (parts, name)
+    finally:
+        spark.conf.set(shuffle, old)
+        spark.conf.unset(join)
+
+
+def test_roles_against_brute_force(spark):
+    """Every way through the lines of short conversations; the best one has the roles that come out."""
+    from itertools import product
+
+    rows = [row for row in _talk(40, random.Random(6)) if None not in row]
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    pick = random.Random(8)
+    texts = ["what?", "Tool: {3}", "It is so.", "user: and\nthen?", "", "{a: 1}\nfunction: b"]
+    table = [(conv, turn, pick.choice(texts)) for conv in range(30) for turn in range(pick.randrange(1, 5))]
+    got = chat.format_turns(spark.createDataFrame(table, "conv_id long, turn long, text string"), model).collect()
+    found: dict = {}
+    for row in sorted(got, key=lambda r: (r.conv_id, r.turn, r.part)):
+        found.setdefault(row.conv_id, []).append((row.turn, row.role))
+    for conv in range(30):
+        said = [(turn, text) for c, turn, text in table if c == conv]
+        lines = [(turn, i, *line) for turn, text in said for i, line in enumerate(chat.parse(text, model.roles))]
+
+        def score(states):
+            total = 0
+            for at, (state, (_, i, _, seen, mark, size)) in enumerate(zip(states, lines, strict=True)):
+                steady = i > 0 and mark < 0
+                total += model.first[state] if at == 0 else (model.within if steady else model.next)[states[at - 1], state]
+                total += (model.head[state, size] if size >= 0 else model.emit[state, seen]) + (model.marked[state, mark] if mark >= 0 else 0)
+            return int(total) >> chat.TIE_BITS
+
+        scores = {states: score(states) for states in product(range(3), repeat=len(lines))}
+        best = max(scores.values())
+        # The lowest bits, which decide ties, can tell ways apart only where they are less than one unit a line apart.
+        near = [states for states, own in scores.items() if own >= best - len(lines)]
+        wanted = []
+        for states in near:
+            parts: list = []
+            for (turn, i, *_), state in zip(lines, states, strict=True):
+                if i == 0 or parts[-1] != (turn, model.roles[state]):
+                    parts.append((turn, model.roles[state]))
+            wanted.append(parts)
+        assert found[conv] in wanted
