@@ -3,10 +3,13 @@
 import math
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, topk
+from tallyhouse.llm import decontaminate, stage, topk
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -62,8 +65,8 @@ def test_native_plan(spark):
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
 
 
-@pytest.mark.parametrize("shard, chunk, block", [(4096, 1024, 64), (50, 3, 7)])
-def test_top_k(spark, shard, chunk, block):
+@pytest.mark.parametrize("shard, group, block", [(4096, 2**24, 64), (50, 170, 7)])
+def test_top_k(spark, shard, group, block):
     pick = random.Random(1)
     rows = [(i, [pick.choice([-0.5, 0.25, 0.1, 0.003, 1.0]) for _ in range(6)]) for i in range(-100, 300)]
     rows += [(1000, None), (1050, [None, 1.0]), (1100, [math.nan]), (1150, [math.inf]), (1200, []), (1250, [2.0]), (None, [1.0]), (3, [0.1] * 6)]
@@ -75,6 +78,49 @@ def test_top_k(spark, shard, chunk, block):
             scored = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in usable if i != query)
             expected |= {(query, rank, i, -score) for rank, (score, i) in enumerate(scored[:5], 1)}
     table = spark.createDataFrame([(*row, 0) for row in rows], "vec_id long, embedding array<double>, chunk int").repartition(3)
-    found = topk.top_k(table, shard=shard, chunk=chunk, block=block).collect()
+    found = topk.top_k(table, shard=shard, group_bytes=group, block=block).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == expected and len(found) == len(expected)
     assert topk.top_k(table.limit(0)).count() == 0
+
+
+def test_top_k_bounds_prune_across_shards():
+    """A query that knows its k-th score, from seeds or from an earlier shard, scores fewer blocks; results stay."""
+    pick = np.random.default_rng(3)
+    centres = pick.integers(-100, 100, (40, 16))
+    vectors = (centres[np.arange(4000) // 100] + pick.integers(-9, 9, (4000, 16))).astype(np.int64)
+    ids, queries = np.arange(4000), vectors[::50]
+    shards = [(ids[at : at + 500], vectors[at : at + 500]) for at in range(0, 4000, 500)]
+    apart = carried = 0
+    search = topk.Search(ids[::50], queries, np.full(80, topk.NONE), 5)
+    for shard in shards:
+        apart += topk.Search(ids[::50], queries, np.full(80, topk.NONE), 5).add(*shard, 64)
+        carried += search.add(*shard, 64)
+    seeded = topk.Search(ids[::50], queries, search.score[:, -1], 5)
+    knowing = sum(seeded.add(*shard, 64) for shard in shards)
+    assert knowing < carried < apart < 80 * 4000
+    plain = queries @ vectors.T
+    for row, (own, scores) in enumerate(zip(ids[::50], plain, strict=True)):
+        best = sorted((-score, i) for i, score in enumerate(scores.tolist()) if i != own)[:5]
+        for done in (search, seeded):
+            assert list(zip((-done.score[row]).tolist(), done.found[row].tolist(), strict=True)) == best
+
+
+def test_top_k_stores_no_product(spark):
+    """What is stored grows as the vectors do, however many passes there are over them."""
+    sizes = []
+    for n in (2000, 8000):
+        folder = Path(stage.shared_folder(spark).removeprefix("file:")) / "llm"
+        old = set(folder.glob("*"))
+        vector = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: (F.xxhash64("id", x) % 1000) / 1000)
+        rows = spark.range(n).select(F.col("id").alias("vec_id"), vector.alias("embedding"))
+        assert topk.top_k(rows, every=100, shard=250, group_bytes=2**12).count() == 5 * n // 100
+        new = [path for path in folder.glob("shards-*") if path not in old]
+        sizes.append(sum(file.stat().st_size for path in new for file in path.glob("*.parquet")))
+    assert sizes[1] < 5 * sizes[0]
+
+
+def test_top_k_overflow(spark):
+    for large in (1e20, 2.0**40):
+        rows = spark.createDataFrame([(0, [large, 1.0]), (1, [large, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="62 bits"):
+            topk.top_k(rows).collect()
