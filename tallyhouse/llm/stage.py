@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passes(pieces: Iterable[tuple[int, ...]], *most: int) -> list[tuple[int, int]]:
+    """First and last number of each run of ``pieces`` (number, sizes) that is sent at once: in order of their numbers,
+    as many as keep the sum of every size within its limit, or one larger piece. Whatever task made them."""
+    runs: list[tuple[int, int]] = []
+    held = [0] * len(most)
+    for number, *sizes in sorted(pieces):
+        together = [a + b for a, b in zip(held, sizes, strict=True)]
+        if runs and all(a <= b for a, b in zip(together, most, strict=True)):
+            runs[-1], held = (runs[-1][0], number), together
+        else:
+            runs, held = [*runs, (number, number)], sizes
+    return runs
+
+
 def identified(docs: DataFrame, doc_id: str) -> tuple[DataFrame, bool]:
     """Columns ``doc``, ``tie`` and ``row``, the struct of all input columns; and whether rows may share both.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhouse.llm.stage import keep
+from tallyhouse.llm.stage import keep, passes
 
 # Rows of a block and of a shard, and shards that give each query its first bound.
 BLOCK, SHARD, SEEDS = 64, 4096, 4
@@ -33,7 +33,7 @@ SCALE = 256
 EXACT = 2.0**53
 NONE, NO_ID = -np.iinfo(np.int64).max, np.iinfo(np.int64).max
 PACKED = "ids binary, dims int, vectors binary"
-QUERIES = "group long, ids binary, dims int, vectors binary, least binary"
+QUERIES = "piece long, size long, ids binary, dims int, vectors binary, least binary"
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -124,9 +124,9 @@ class Search:
         return self.ids[which], self.found[which, place], self.score[which, place]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], seeds, k: int, block: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Queries with their first bound, in groups of at most ``most_bytes`` of ids and vectors, or of one row."""
-    group, filled = TaskContext.get().partitionId() << 32, 0
+def _pieces(batches: Iterator[pa.RecordBatch], seeds, k: int, block: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Queries with their first bound, in pieces of at most ``most_bytes`` of ids and vectors, or of one row."""
+    piece = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
         step = max(1, most_bytes // (8 * (matrix.shape[1] + 1)))
@@ -135,11 +135,9 @@ def _groups(batches: Iterator[pa.RecordBatch], seeds, k: int, block: int, most_b
             search = Search(ids[own], matrix[own], np.full(len(ids[own]), NONE), k)
             for row in seeds.value.to_pylist():
                 search.add(*_unpacked(row), block)
-            size = ids[own].nbytes + matrix[own].nbytes
-            if filled and filled + size > most_bytes:
-                group, filled = group + 1, 0
-            filled += size
-            yield _packed(ids[own], matrix[own], group=pa.array([group]), least=pa.array([search.needed().tobytes()], pa.binary())).select(["group", "ids", "dims", "vectors", "least"])
+            more = {"piece": pa.array([piece]), "size": pa.array([ids[own].nbytes + matrix[own].nbytes]), "least": pa.array([search.needed().tobytes()], pa.binary())}
+            yield _packed(ids[own], matrix[own], **more).select([part.split()[0] for part in QUERIES.split(", ")])
+            piece += 1
 
 
 def _search(batches: Iterator[pa.RecordBatch], group, k: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -187,11 +185,12 @@ def top_k(
     queries = rows.filter(F.col("vec_id") % every == 0)
     size = queries.agg(F.sum(8 * (F.size("vector") + 1)).alias("size")).first()["size"] or 0
     parts = queries.repartition(max(1, -(-size // group_bytes)), "vec_id")
-    packed = keep(parts.mapInArrow(partial(_groups, seeds=seeds, k=k, block=block, most_bytes=group_bytes), QUERIES), "queries")
-    groups = sorted(row["group"] for row in packed.select("group").distinct().collect())
+    packed = keep(parts.mapInArrow(partial(_pieces, seeds=seeds, k=k, block=block, most_bytes=group_bytes), QUERIES), "queries")
+    # Two numbers for each piece, which is one Arrow batch of queries.
+    groups = passes(map(tuple, packed.select("piece", "size").collect()), group_bytes)
     found = []
-    for number in groups or [0]:
-        group = spark.sparkContext.broadcast(packed.filter(F.col("group") == number).toArrow())
+    for first, last in groups or [(0, -1)]:
+        group = spark.sparkContext.broadcast(packed.filter(F.col("piece").between(first, last)).toArrow())
         best = shards.mapInArrow(partial(_search, group=group, k=k, block=block), "query_id long, vec_id long, score long")
         # With several groups each is finished before the next is sent.
         found.append(best if len(groups) <= 1 else keep(best, "found"))

@@ -124,3 +124,11 @@ def test_top_k_overflow(spark):
         rows = spark.createDataFrame([(0, [large, 1.0]), (1, [large, 2.0])], "vec_id long, embedding array<double>")
         with pytest.raises(Exception, match="62 bits"):
             topk.top_k(rows).collect()
+
+
+def test_passes():
+    """Pieces go together up to each limit, in whatever order they come and from however many tasks."""
+    assert stage.passes([], 10) == []
+    pieces = [(2 << 32, 4), (0, 4), (1, 6), (1 << 32, 11), (3 << 32, 1)]
+    assert stage.passes(pieces, 10) == [(0, 1), (1 << 32, 1 << 32), (2 << 32, 3 << 32)]
+    assert stage.passes([(number << 32, 10, 1) for number in range(211)], 16 << 20, 100) == [(0, 99 << 32), (100 << 32, 199 << 32), (200 << 32, 210 << 32)]
