@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhouse.llm.stage import keep, longs
+from tallyhouse.llm.stage import keep, longs, passes
 
 SHARD, CHUNK = 2048, 256
 SCALE = 256
@@ -33,7 +33,7 @@ GROUP_BYTES, GROUP_ANCHORS = 16 << 20, 8192
 STEP = 32
 LEAST, MOST = -(2**63), 2**63 - 1
 SHARDS = "label long, n int, ids binary, ties binary, dims int, kind string, vectors binary, orders binary"
-CHUNKS = "label long, n int, ids binary, ties binary, dims int, kind string, vectors binary, group long, windows binary"
+CHUNKS = "label long, n int, ids binary, ties binary, dims int, kind string, vectors binary, piece long, size long, windows binary"
 FOUND = "anchor_id long, anchor_tie long, of_id long, of_tie long, of_score long, vec_id long, tie long, score long"
 WINDOWS = "array<struct<id: long, tie: long, low: long, high: long, score: long>>"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -87,17 +87,13 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_pylist([row | {"orders": orders.tobytes()}], _schema(SHARDS))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int, most_bytes: int, most_anchors: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of anchors, a task's own in groups that hold no more than they may, a single larger chunk aside."""
-    group, held, anchors = TaskContext.get().partitionId() << 32, 0, 0
-    for table in _runs(batches, size):
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Numbered chunks of at most ``size`` anchors."""
+    for piece, table in enumerate(_runs(batches, size), TaskContext.get().partitionId() << 32):
         windows = [(i, w["id"], w["tie"], w["low"], w["high"], w["score"]) for i, own in enumerate(table.column("windows").to_pylist()) for w in own]
         row = _packed(table)[0] | {"windows": np.array(windows, np.int64).reshape(-1, 6).tobytes()}
-        more = sum(len(row[name]) for name in ("ids", "ties", "vectors", "windows"))
-        if held and (held + more > most_bytes or anchors + row["n"] > most_anchors):
-            group, held, anchors = group + 1, 0, 0
-        held, anchors = held + more, anchors + row["n"]
-        yield pa.RecordBatch.from_pylist([row | {"group": group}], _schema(CHUNKS))
+        held = sum(len(row[name]) for name in ("ids", "ties", "vectors", "windows"))
+        yield pa.RecordBatch.from_pylist([row | {"piece": piece, "size": held}], _schema(CHUNKS))
 
 
 def _vectors(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,12 +202,13 @@ def _best(shards: DataFrame, anchors: DataFrame, same_label: bool, k: int, chunk
     """The best ``k`` rows for each window of each anchor, of its own label or of all others; ``rank`` counts from 1."""
     spark = shards.sparkSession
     spread = anchors.repartitionByRange(max(1, -(-anchors.count() // most_anchors)), "label", "vec_id")
-    packed = spread.sortWithinPartitions("label").mapInArrow(partial(_chunks, size=chunk, most_bytes=most_bytes, most_anchors=most_anchors), CHUNKS)
+    packed = spread.sortWithinPartitions("label").mapInArrow(partial(_chunks, size=chunk), CHUNKS)
     chunks = keep(packed, "anchors")
-    groups = sorted(row[0] for row in chunks.select("group").distinct().collect())
+    # Three numbers for each chunk of anchors, however many tasks these came from.
+    groups = passes(map(tuple, chunks.select("piece", "size", "n").collect()), most_bytes, most_anchors)
     parts = []
-    for number in groups or [0]:
-        group = spark.sparkContext.broadcast(chunks.filter(F.col("group") == number).toArrow())
+    for first, last in groups or [(0, -1)]:
+        group = spark.sparkContext.broadcast(chunks.filter(F.col("piece").between(first, last)).toArrow())
         found = shards.mapInArrow(partial(_search, group=group, same_label=same_label, k=k), FOUND)
         # With several groups each is finished before the next is sent.
         parts.append(found if len(groups) <= 1 else keep(found, "found"))
