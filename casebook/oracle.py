@@ -687,6 +687,8 @@ def _warehouse(table: dict[str, str]) -> dict[str, str]:
     days = ("q2_cash_flow", "q3_spend_by_category", "q20_income_by_category", "q4_quarter_balance", "q14_essential_split", "q5_top_expenses", "q19_top_income", "q31_tagged_top")
     stored |= {f"w_{name.split('_', 1)[1]}": table[name] for name in whole}
     stored |= {f"w_{name.split('_', 1)[1]}_days": _some_days(table[name]) for name in days}
+    for name in ("q12_net_worth", "q16_passive_income"):
+        stored[f"w_{name.split('_', 1)[1]}_months"] = f"SELECT * FROM ({table[name]}) WHERE month BETWEEN '{RANGE[0]:%Y-%m}' AND '{RANGE[1]:%Y-%m}'"
     stored["w_top_expenses_food"] = table["q5_top_expenses"].replace("FROM fact_t", "FROM (SELECT * FROM fact_t WHERE category = 'Food')")
     return {name: after_three_loads(query) for name, query in stored.items()}
 

@@ -491,6 +491,8 @@ def _table() -> dict[str, Query]:
         "w_latest_coverage": lambda h: cashflow.latest_coverage(h.sums(), DEMO),
         "w_wealth_rates": lambda h: wealth.wealth_rates(h.sums(), h.table("mortgage"), DEMO),
         "w_net_worth": lambda h: wealth.net_worth(h.sums(), h.table("mortgage"), DEMO),
+        "w_net_worth_months": lambda h: h.net_worth(RANGE),
+        "w_passive_income_months": lambda h: h.passive_income(RANGE),
         "w_top_expenses_days": lambda h: cashflow.top_expenses(h.largest(DAYS), DEMO, DAYS),
         "w_top_expenses_food": lambda h: cashflow.top_expenses(h.largest(), DEMO, category="Food"),
         "w_top_income_days": lambda h: cashflow.top_income(h.largest(DAYS), DEMO, DAYS),

@@ -39,6 +39,13 @@ def day_label(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
 
+def in_range_of_months(dates: Dates) -> Column:
+    """Months, as yyyymm, that have a day in an inclusive range."""
+    start, end = dates or (None, None)
+    after = F.col(MONTH_ID) >= start.year * 100 + start.month if start else F.lit(True)
+    return after & (F.col(MONTH_ID) <= end.year * 100 + end.month) if end else after
+
+
 def date_range(df: DataFrame, dates: Dates, column: str = "txn_time") -> DataFrame:
     """Keep rows whose date in ``column`` lies between the two inclusive, optional bounds.
 

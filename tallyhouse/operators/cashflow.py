@@ -14,6 +14,7 @@ from tallyhouse.functions.calendar import (
     date_range,
     day_label,
     first_day,
+    in_range_of_months,
     month_label,
     quarter_start,
 )
@@ -198,16 +199,21 @@ def net_income_series(income: DataFrame, dates: Dates = None, keys: Keys = ()) -
     ).orderBy(*keys, "month")
 
 
-def passive_income(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
-    """Passive income per month and since the beginning."""
+def passive_income(fact: DataFrame, policy: Policy, keys: Keys = (), dates: Dates = None, carried: DataFrame | None = None) -> DataFrame:
+    """Passive income per month, of the months of ``dates``, and since the beginning.
+
+    ``carried`` stands in for the lines before the range, as in ``wealth.net_worth``.
+    """
     months = (
         fact.filter(F.col("category") == policy.passive)
         .groupBy(*keys, MONTH_ID)
         .agg(or_zero(total(main_amount())).alias("amount"))
-        .select(*keys, _month(), "amount")
     )
-    to_date = F.sum("amount").over(running(keys, "month")).cast(TOTAL)
-    return months.withColumn("running_amount", to_date).orderBy(*keys, "month")
+    if carried is not None:
+        months = months.unionByName(carried.select(*keys, MONTH_ID, F.col("passive").alias("amount")))
+    to_date = F.sum("amount").over(running(keys, MONTH_ID)).cast(TOTAL)
+    shown = months.withColumn("running_amount", to_date).filter(in_range_of_months(dates))
+    return shown.select(*keys, _month(), "amount", "running_amount").orderBy(*keys, "month")
 
 
 def coverage_by_month(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:

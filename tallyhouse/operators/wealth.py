@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, first_day, month_id, month_label
+from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, first_day, in_range_of_months, month_id, month_label
 from tallyhouse.functions.money import TOTAL, ZERO, main_amount, or_zero, percent_of, total, total_when
 from tallyhouse.operators.lookups import Keys, attach, first_rows, running, side_by_side
 from tallyhouse.operators.marts import prepayment, reit_purchase
@@ -122,26 +122,39 @@ def growth_kpis(
     )
 
 
-def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
-    """Monthly equity, REITs, savings, cash, pending debt and net worth, summed since the first line.
-
-    Every series is a running sum over one union of months, so a month without movement carries the last value. The
-    series is shown from ``series_start`` on; what came before is in the sums. Debt starts with the first installment.
-    """
+def month_moves(fact: DataFrame, policy: Policy, keys: Keys = ()) -> DataFrame:
+    """What each month adds to the series that are summed since the first line."""
     savings = F.col("account").isin(*policy.savings_accounts)
     came_in = F.col("flow").isin(policy.income, policy.transfer_in)
     went_out = F.col("flow").isin(policy.expense, policy.transfer_out)
     balance = F.when(F.col("flow") == policy.income, main_amount()).when(F.col("flow") == policy.expense, -main_amount())
-    nothing = F.lit(ZERO).cast(TOTAL)
-    moves = fact.groupBy(*keys, MONTH_ID).agg(
-        or_zero(total_when(reit_purchase(policy), main_amount())).alias("_reits"),
+    return fact.groupBy(*keys, MONTH_ID).agg(
+        or_zero(total_when(reit_purchase(policy), main_amount())).alias("reits"),
         or_zero(
             total(F.when(savings & came_in, main_amount()).when(savings & went_out, -main_amount()).otherwise(F.lit(ZERO)))
-        ).alias("_savings"),
-        or_zero(total(F.coalesce(balance, F.lit(ZERO)))).alias("_balance"),
-        nothing.alias("_equity"),
-        F.lit(False).alias("_due"),
+        ).alias("savings"),
+        or_zero(total(F.coalesce(balance, F.lit(ZERO)))).alias("balance"),
+        or_zero(total_when(F.col("category") == policy.passive, main_amount())).alias("passive"),
     )
+
+
+def net_worth(
+    fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys = (), dates: Dates = None, carried: DataFrame | None = None
+) -> DataFrame:
+    """Monthly equity, REITs, savings, cash, pending debt and net worth, summed since the first line.
+
+    Every series is a running sum over one union of months, so a month without movement carries the last value. The
+    series is shown from ``series_start`` on, and for the months of ``dates``; what came before is in the sums. Debt
+    starts with the first installment. ``carried``, the ``month_moves`` of all earlier months summed up in one row of a
+    month before the range, stands in for their lines.
+    """
+    nothing = F.lit(ZERO).cast(TOTAL)
+    moves = month_moves(fact, policy, keys)
+    moves = moves if carried is None else moves.unionByName(carried)
+    moves = moves.select(
+        *keys, MONTH_ID, F.col("reits").alias("_reits"), F.col("savings").alias("_savings"), F.col("balance").alias("_balance"),
+        nothing.alias("_equity"), F.lit(False).alias("_due"),
+    )
     dues = (
         mortgage.filter(F.col("due_date") <= F.lit(policy.as_of))
         .groupBy(*keys, month_id(F.col("due_date")).alias(MONTH_ID))
@@ -161,7 +174,7 @@ def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys =
     )
     since_start = running(keys, MONTH_ID)
     sums = months.select(
-        *keys, month_label(first_day(F.col(MONTH_ID))).alias("month"),
+        *keys, MONTH_ID, month_label(first_day(F.col(MONTH_ID))).alias("month"),
         *(F.sum(name).over(since_start).cast(TOTAL).alias(name) for name in parts),
         F.max("_due").over(since_start).alias("_mortgaged"),
     )
@@ -171,7 +184,7 @@ def net_worth(fact: DataFrame, mortgage: DataFrame, policy: Policy, keys: Keys =
     return (
         sums.withColumn("_pending", pending)
         .withColumn("_cash", (F.col("_balance") - F.col("_savings")).cast(TOTAL))
-        .filter(F.col("month") >= policy.series_start)
+        .filter((F.col("month") >= policy.series_start) & in_range_of_months(dates))
         .select(
             *keys, "month",
             F.round("_equity", 2).alias("mortgage_equity"),

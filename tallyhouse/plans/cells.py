@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, first_day
-from tallyhouse.functions.money import main_amount, total
+from tallyhouse.functions.money import TOTAL, main_amount, total
+from tallyhouse.operators.lookups import running
 from tallyhouse.policy import Policy
 
 # What the sums are kept apart by; every condition on money lines that the dashboard sums under is one on these.
@@ -53,6 +54,13 @@ def largest_lines(fact: DataFrame, policy: Policy, n: int = LARGEST) -> DataFram
     return fact.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def running_sums(moves: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """Sums of all moves up to the end of each month; ``carried`` has those of the newest month before."""
+    names = [name for name in moves.columns if name != MONTH_ID]
+    months = moves if carried is None else moves.unionByName(carried.select(*moves.columns))
+    return months.select(*(F.sum(name).over(running((), MONTH_ID)).cast(TOTAL).alias(name) for name in names), MONTH_ID)
+
+
 def by_months(dates: Dates) -> tuple[Dates, list[tuple[date, date]]]:
     """Whole months of an inclusive range, None if there is none, and the days before and after them."""
     start, end = dates or (None, None)

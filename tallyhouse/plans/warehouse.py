@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.calendar import MONTH_ID, Dates, month_id
+from tallyhouse.functions.calendar import MONTH_ID, Dates, in_range_of_months, month_id
 from tallyhouse.functions.text import word
-from tallyhouse.operators import checks, ledger, marts
+from tallyhouse.operators import cashflow, checks, ledger, marts, wealth
 from tallyhouse.plans import cells, load
 from tallyhouse.policy import Policy
 from tallyhouse.sources import sinks
@@ -120,10 +120,31 @@ class Warehouse:
         )
         for name, table in states:
             load.replace_months(self.spark, self.path(name), table, changed)
+        self._carry(changed)
         self._mark("changed_months", changed)
         self._clear("changed_lines")
         return changed
 
+    def _carry(self, changed: set) -> None:
+        """Running sums at the end of the changed months and of all later ones, from the sums of these months and the
+        newest month before them. Months before keep theirs."""
+        known = sinks.read_table(self.spark, self.path("carry")) is not None
+        first = min(changed) if known and None not in changed else None
+        later = sinks.stored_months(self.spark, self.path("cells")) | changed
+        later = {month for month in later if first is None or (month is not None and month >= first)}
+        moves = wealth.month_moves(self.table("cells").filter(load.in_months(later)), self.policy)
+        sums = cells.running_sums(moves, self._carried(first)).filter(load.in_months(later))
+        load.replace_months(self.spark, self.path("carry"), sums, later)
+
+    def _carried(self, month: int | None) -> DataFrame | None:
+        """Running sums at the end of the newest month before ``month``: one row of one directory."""
+        if month is None:
+            return None
+        carry = self.table("carry")
+        earlier = {known for known in sinks.stored_months(self.spark, self.path("carry")) if known is None or known < month}
+        newest = max(earlier - {None}, default=None)
+        return carry.filter(load.in_months({newest})) if earlier else None
+
     def load_marts(self) -> set:
         """Replace every month that changed since the last call in all stored marts; returns these months."""
         self._refresh_lines()
@@ -152,6 +173,20 @@ class Warehouse:
         fact = self.table("fact_transactions")
         return fact if n > cells.LARGEST else cells.routed(self.table("largest"), fact, dates)
 
+    def _since(self, dates: Dates) -> dict:
+        """Sums of the months that have a day in the range, and what was carried into the first of them."""
+        start = dates[0] if dates else None
+        fact = cells.as_lines(self.table("cells").filter(in_range_of_months(dates)))
+        return {"fact": fact, "policy": self.policy, "dates": dates, "carried": self._carried(start and start.year * 100 + start.month)}
+
+    def net_worth(self, dates: Dates = None) -> DataFrame:
+        """``wealth.net_worth`` at the end of the months that have a day in the range; reads no earlier month but one row."""
+        return wealth.net_worth(mortgage=self.table("mortgage"), **self._since(dates))
+
+    def passive_income(self, dates: Dates = None) -> DataFrame:
+        """``cashflow.passive_income`` of the months that have a day in the range, read like ``net_worth``."""
+        return cashflow.passive_income(**self._since(dates))
+
     # Checks.
 
     def _line_checks(self, staged: DataFrame, fact: DataFrame, keys: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from casebook import inputs
 from casebook.policy import DEMO
 from casebook.queries import staged as fixture_staged
 from tallyhouse.functions.calendar import date_range
-from tallyhouse.operators import cashflow, matrices
+from tallyhouse.operators import cashflow, matrices, wealth
 from tallyhouse.plans import cells
 from tallyhouse.plans.warehouse import Warehouse
 from tests.rows import fact, line, staged, values
-from tests.test_recovery import JUNE, MAY, NEW, spoil
+from tests.test_recovery import JULY, JUNE, MAY, NEW, spoil
 
 DAY = st.dates(date(1999, 11, 1), date(2000, 4, 30))
 
@@ -100,3 +100,28 @@ def test_checks_read_changed_months_only(spark, sf, tmp_path):
     house.load_marts()
     assert {(row.table, row.check) for row in house.checks().collect()} == lines
     assert values(house.table("cells"), "month_id", "lines") == [(200105, 3), (200106, 1)]
+
+
+@pytest.mark.parametrize("dates", [None, (None, date(1999, 3, 31)), (date(2000, 11, 7), None), (date(2000, 2, 1), date(2000, 12, 5)), (date(2030, 1, 1), None)])
+def test_carried_sums_answer_as_lines_do(house, dates):
+    lines, mortgage = house.table("fact_transactions"), house.table("mortgage")
+    assert house.net_worth(dates).collect() == wealth.net_worth(lines, mortgage, DEMO, dates=dates).collect()
+    assert house.passive_income(dates).collect() == cashflow.passive_income(lines, DEMO, dates=dates).collect()
+
+
+def test_a_month_issued_again_restates_later_months_only(spark, sf, tmp_path):
+    house = Warehouse(spark, str(tmp_path), DEMO)
+    house.load_reference(inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf))
+    earn = {"flow": DEMO.income, "category": DEMO.passive}
+    house.load_lines(staged(spark, *(line(when=when, amount=amount, **earn) for when, amount in ((MAY, "1"), (JUNE, "2"), (JULY, "4")))))
+    assert values(house.table("carry"), "month_id", "passive") == [(200105, 1), (200106, 3), (200107, 7)]
+    before = {file.name for file in (tmp_path / "carry" / "month_id=200105").glob("*.parquet")}
+    assert before
+    spoil(tmp_path / "cells" / "month_id=200105")
+    house.load_lines(staged(spark, line(when=JUNE, amount="8", loaded=NEW, **earn)))
+    assert values(house.table("carry"), "month_id", "passive") == [(200105, 1), (200106, 9), (200107, 13)]
+    assert before == {file.name for file in (tmp_path / "carry" / "month_id=200105").glob("*.parquet")}
+    # July needs what June carried and no month before.
+    for name, month in (("carry", 200105), ("cells", 200106)):
+        spoil(tmp_path / name / f"month_id={month}")
+    assert values(house.passive_income((date(2001, 7, 3), None)), "month", "amount", "running_amount") == [("2001-07", 4, 13)]
