@@ -212,3 +212,11 @@ def after_third_batch(staged: DataFrame) -> DataFrame:
     again = staged.filter((F.col("month_id") == CUT_MONTH) & (F.col("flow") != "Income"))
     again = again.withColumn("load_ts", _utc(WITHDRAWN_AT)).withColumn("channel", F.lit("app"))
     return older.withColumn("channel", F.lit(None).cast("string")).unionByName(again)
+
+
+REISSUING = ("Card", "Checking")
+
+
+def reissued_by_owners(staged: DataFrame) -> DataFrame:
+    """What arrives if two accounts, each a ledger of its own, load the second batch and the others do not."""
+    return after_second_batch(staged).filter(F.col("account").isin(*REISSUING))

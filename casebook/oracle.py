@@ -369,6 +369,10 @@ STRAY = f"month_id = {inputs.STRAY_MONTH} AND category = 'Food' AND txn_id IS NO
 AFTER_REPEAT = f"""SELECT * REPLACE (CASE WHEN {STRAY} THEN '{inputs.STRAY_FILE}' ELSE src_file END AS src_file,
     CASE WHEN {STRAY} THEN TIMESTAMP '{inputs.RELOADED_AT}' ELSE load_ts END AS load_ts) FROM ({AFTER_LOAD})"""
 
+_AGAIN = ", ".join(f"'{name}'" for name in inputs.REISSUING)
+AFTER_OWNERS = f"""SELECT * FROM batch1_t WHERE account IS NULL OR account NOT IN ({_AGAIN})
+  UNION ALL SELECT * FROM ({AFTER_LOAD}) WHERE account IN ({_AGAIN})"""
+
 MORTGAGE_COLUMNS = f"""property_id, paid, {day("due_date", "due_date")}, CAST(installment_no AS BIGINT) AS installment_no,
   {num("installment", "installment")}, {num("property_insurance", "property_insurance")},
   {num("life_insurance", "life_insurance")}, {num("rental_income", "rental_income")},
@@ -439,6 +443,7 @@ def _table() -> dict[str, str]:
         "l9_month_batch": _loaded(AFTER_LOAD),
         "l9_load_month_batch": _loaded(AFTER_LOAD),
         "l9_repeated_load": _loaded(AFTER_REPEAT),
+        "l9_load_owner_months": _loaded(AFTER_OWNERS),
         "t1_stage_transactions": f"""SELECT {STG.replace("CAST(NULL AS BIGINT) AS file_size", "CAST(file_size AS BIGINT) AS file_size")
             .replace(moment("load_ts", "load_ts"), moment("stg_t.load_ts", "load_ts"))}
           FROM stg_t LEFT JOIN catalog_t ON uri = src_file""",

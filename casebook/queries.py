@@ -15,7 +15,7 @@ from casebook.session import use_own_shared_folder_if_unset
 from tallyhouse.functions.calendar import MONTH_ID, date_range, month_id
 from tallyhouse.functions.text import worked_days
 from tallyhouse.operators import cashflow, checks, ledger, marts, matrices, mortgage, wealth
-from tallyhouse.plans import load
+from tallyhouse.plans import load, owners
 from tallyhouse.plans.warehouse import Warehouse
 from tallyhouse.sources import feed as feeds
 from tallyhouse.sources import sinks
@@ -246,6 +246,17 @@ def l9_repeated_load(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_table(spark, path).select(*target.columns)
 
 
+def l9_load_owner_months(spark: SparkSession, sf: str) -> DataFrame:
+    """A ledger for each account in one table: two of them load the second batch, twice; the others keep the first."""
+    path = sinks.scratch_path(spark, "owners")
+    target, _ = _batches(spark, sf)
+    owners.load_owner_months(spark, path, target, "account", buckets=4)
+    source = inputs.reissued_by_owners(staged(spark, sf))
+    for _ in range(2):
+        owners.load_owner_months(spark, path, source, "account")
+    return sinks.read_table(spark, path).select(*target.columns)
+
+
 def l9_month_batch(spark: SparkSession, sf: str) -> DataFrame:
     target, source = _batches(spark, sf)
     return load.month_batch(target, source, load.touched_months(source), "txn_id")
@@ -422,6 +433,7 @@ def _table() -> dict[str, Query]:
         "s1_read_feed_reordered": s1_read_feed_reordered,
         "s1_read_feed_mixed": s1_read_feed_mixed,
         "l9_repeated_load": l9_repeated_load,
+        "l9_load_owner_months": l9_load_owner_months,
         "w_retagged": w_retagged,
         "d8_check_readable": d8_check_readable,
         "w_stg_transactions": lambda s, d: warehouse(s, d).table("stg_transactions"),
