@@ -22,11 +22,13 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 # Counts of words that a worker remembers; beyond it starts over.
 REMEMBERED = 500_000
+# Longer words are counted along a ring of ends and not remembered.
+LONG = 256
 _COUNTERS: dict[int, WordCounts] = {}
 
 
 class WordCounts(dict):
-    """Number of pieces of a word, which begins with the mark of a space; computed at the first use."""
+    """Number of pieces of a word, which begins with the mark of a space; those of short words are remembered."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
         self.automaton = ahocorasick.Automaton()
@@ -35,19 +37,22 @@ class WordCounts(dict):
                 self.automaton.add_word(piece, (len(piece), score))
         if pieces:
             self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.known = {piece for piece, _ in pieces if len(piece) == 1}
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
 
     def __missing__(self, rest: str) -> int:
+        if len(rest) > LONG:
+            return self.count(MARK + rest)
         if len(self) >= REMEMBERED:
             self.clear()
         self[rest] = found = self.count(MARK + rest)
         return found
 
     def count(self, word: str) -> int:
-        if not self.known.issuperset(word):
-            return self.count_unknown(word)
+        if len(word) > LONG or not self.known.issuperset(word):
+            return self.count_along(word)
         score, count = [float("-inf")] * (len(word) + 1), [0] * (len(word) + 1)
         score[0] = 0.0
         for end, (length, gain) in self.automaton.iter(word):
@@ -58,27 +63,31 @@ class WordCounts(dict):
                 count[end + 1] = count[begin] + 1
         return count[-1]
 
-    def count_unknown(self, word: str) -> int:
-        """As ``count``, where some characters have no piece of their own."""
-        size = len(word)
-        score, count, unknown = [float("-inf")] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+    def count_along(self, word: str) -> int:
+        """As ``count``, for words of any length and where some characters have no piece of their own. No piece reaches
+        back farther than the longest one, so a ring of that many ends is all that is held."""
+        size = self.longest + 1
+        score, count = [float("-inf")] * size, [0] * size
         score[0] = 0.0
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        if len(self.automaton):
-            for end, match in self.automaton.iter(word):
-                matches[end].append(match)
-        for end in range(1, size + 1):
-            for length, gain in matches[end - 1]:
-                reached = score[end - length] + gain
-                if reached > score[end]:
-                    score[end] = reached
-                    count[end] = count[end - length] + 1
-            if word[end - 1] not in self.known and score[end - 1] + self.unknown > score[end]:
-                score[end], unknown[end] = score[end - 1] + self.unknown, True
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())
+        match = next(matches, None)
+        at, unknown = 0, False
+        for end, character in enumerate(word, 1):
+            before, at = at, end % size
+            best, pieces = float("-inf"), 0
+            while match is not None and match[0] == end - 1:
+                length, gain = match[1]
+                begin = (end - length) % size
+                if score[begin] + gain > best:
+                    best, pieces = score[begin] + gain, count[begin] + 1
+                match = next(matches, None)
+            joins, unknown = unknown, False
+            if character not in self.known and score[before] + self.unknown > best:
+                best, unknown = score[before] + self.unknown, True
                 # Neighbouring unknown characters are one piece, unless each of their bytes is one.
-                more = len(word[end - 1].encode()) if self.byte_fallback else int(not unknown[end - 1])
-                count[end] = count[end - 1] + more
-        return count[size]
+                pieces = count[before] + (len(character.encode()) if self.byte_fallback else int(not joins))
+            score[at], count[at] = best, pieces
+        return count[at]
 
 
 class Pieces:
@@ -118,7 +127,7 @@ def token_counts(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text:
 
     Texts are taken as they are, without normalisation or added tokens. NULL counts as empty and has no tokens;
     characters without a piece count one token for each byte if the vocabulary has all byte pieces, else one for each
-    run. Repeated rows are counted each; other columns are ignored.
+    run. A text may be one word of any length: what is held beside it follows the longest piece. Repeated rows are counted each; other columns are ignored.
     """
     own = F.col(f"`{text}`").cast("string")
     length = F.coalesce(F.length(own), F.lit(0)).cast("long")

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -56,5 +57,25 @@ def test_ties_and_unknown_pieces():
     counts = unigram.WordCounts(vocab, byte_fallback=False)
     known = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False))
     known.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    for text in ("ab", "aba", "baab", "ab ba", "aééb", "éé", "aéb ééa"):
+    for text in ("ab", "aba", "baab", "ab ba", "aééb", "éé", "aéb ééa", "abaéé" * 100, "baab" * 100):
         assert unigram.count_pieces(text, counts) == len(known.encode(text, add_special_tokens=False).ids), text
+        # Along the ring too, whatever the length.
+        words = text.split(" ")
+        assert unigram.count_pieces(text, counts) == sum(counts.count_along(unigram.MARK + word) for word in words), text
+
+
+def test_a_very_long_word_needs_no_memory_of_its_length(spark):
+    pieces = unigram.Pieces(spark, PIECES)
+    counts, word = pieces.load(), "extraordinary日本語x" * 20_000
+    known = Tokenizer(models.Unigram(pieces.pieces.value, unk_id=0, byte_fallback=True))
+    known.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    before = len(counts)
+    tracemalloc.start()
+    try:
+        found = counts[word]
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert found == len(known.encode(word, add_special_tokens=False).ids)
+    # Four bytes a character for the word with its mark; lists by character would take sixteen more.
+    assert peak < 5 * len(word) and len(counts) == before
