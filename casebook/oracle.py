@@ -701,5 +701,10 @@ def _warehouse(table: dict[str, str]) -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     table = _table()
     table["g2_life_cost_by_owner_salted"] = table["g2_life_cost_by_owner"]
+    table["w_owners_transactions"] = table["t2_fact_transactions"]
+    table["w_owners_hourly_pay"] = table["g1_hourly_pay_by_owner"]
+    table["w_owners_life_cost"] = table["g2_life_cost_by_owner"]
+    table["w_owners_cash_flow"] = table["q2_cash_flow_by_owner"]
+    table["w_owners_top_expenses"] = table["q5_top_expenses_by_owner"]
     table["w_retagged"] = table["t2_fact_transactions"]
     return {name: full(query) for name, query in table.items()} | _warehouse(table)

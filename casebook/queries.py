@@ -283,6 +283,26 @@ def warehouse(spark: SparkSession, sf: str) -> Warehouse:
     return _houses[key]
 
 
+_ledger_houses: dict[tuple[str, str], owners.LedgerHouse] = {}
+
+
+def ledger_house(spark: SparkSession, sf: str) -> owners.LedgerHouse:
+    """A ledger for each account: a first batch of all, then the newer months of two accounts, then those of the others.
+    What is loaded last holds all lines."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ledger_houses:
+        house = owners.LedgerHouse(spark, sinks.scratch_path(spark, "ledgers"), DEMO, buckets=4)
+        lines = staged(spark, sf).withColumn("owner", F.col("account"))
+        budget = inputs.budget(spark, sf).withColumn("owner", F.lit(inputs.REISSUING[0]))
+        house.load_reference(inputs.keys(spark), budget)
+        house.load_lines(inputs.first_batch(lines))
+        first = F.coalesce(F.col("owner").isin(*inputs.REISSUING), F.lit(False))
+        for part in (lines.filter(first), lines.filter(~first)):
+            house.load_lines(part, part.filter(F.col(MONTH_ID) >= 200011).select("owner", MONTH_ID).distinct())
+        _ledger_houses[key] = house
+    return _ledger_houses[key]
+
+
 def w_retagged(spark: SparkSession, sf: str) -> DataFrame:
     """Money lines after the dictionary lost one word and gained another between the loads of lines and of marts."""
     house = Warehouse(spark, sinks.scratch_path(spark, "warehouse"), DEMO)
@@ -446,6 +466,11 @@ def _table() -> dict[str, Query]:
         "w_property_ledger": lambda s, d: warehouse(s, d).table("property_ledger"),
         "w_income_summary": lambda s, d: warehouse(s, d).income_summary(),
         "w_checks": lambda s, d: warehouse(s, d).checks(as_of=datetime(2002, 3, 1)),
+        "w_owners_hourly_pay": lambda s, d: ledger_house(s, d).table("hourly_pay").drop(MONTH_ID),
+        "w_owners_life_cost": lambda s, d: ledger_house(s, d).life_cost(),
+        "w_owners_cash_flow": lambda s, d: cashflow.cash_flow(ledger_house(s, d).sums(), DEMO, keys=OWNER),
+        "w_owners_top_expenses": lambda s, d: cashflow.top_expenses(ledger_house(s, d).largest(), DEMO, keys=OWNER),
+        "w_owners_transactions": lambda s, d: ledger_house(s, d).table("fact_transactions").drop("owner"),
         "w_stream": w_stream,
         "w_stream_by_file": lambda s, d: w_stream(s, d, max_files=1),
         "t1_stage_transactions": t1_stage_transactions,

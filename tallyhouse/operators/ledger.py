@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +77,13 @@ def parse_tag(lines: DataFrame, keys: DataFrame, policy: Policy, max_rows: int =
 
 
 def fact_transactions(
-    staged: DataFrame, keys: DataFrame, policy: Policy, max_rows: int = BROADCAST_ROWS
+    staged: DataFrame, keys: DataFrame, policy: Policy, max_rows: int = BROADCAST_ROWS, owners: Sequence[str] = ()
 ) -> DataFrame:
-    """Money lines with implied exchange rate, worked days, tag and tag value."""
+    """Money lines with implied exchange rate, worked days, tag and tag value; ``owners`` are columns that tell ledgers
+    apart and are passed on."""
     money = staged.filter(~F.col("account").isin(*policy.non_money_accounts))
     return parse_tag(money, keys, policy, max_rows).select(
-        "txn_id", "month_id", "txn_time", "day_of_week", "account", "category", "subcategory", "concept",
+        *owners, "txn_id", "month_id", "txn_time", "day_of_week", "account", "category", "subcategory", "concept",
         "amount_main", "flow", "comment", "amount_native", "currency", "amount_txn",
         ratio(F.col("amount_main"), F.col("amount_txn"), 3).try_cast(MONEY).alias("fx_rate"),
         worked_days(F.col("comment")).alias("worked_days"),

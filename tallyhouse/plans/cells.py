@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from tallyhouse.functions.calendar import MONTH_ID, Dates, date_range, first_day
 from tallyhouse.functions.money import TOTAL, main_amount, total
-from tallyhouse.operators.lookups import running
+from tallyhouse.operators.lookups import Keys, running
 from tallyhouse.policy import Policy
 
 # What the sums are kept apart by; every condition on money lines that the dashboard sums under is one on these.
@@ -26,10 +26,10 @@ CELL = (MONTH_ID, "account", "flow", "category", "subcategory", "concept")
 LARGEST = 100
 
 
-def month_cells(fact: DataFrame) -> DataFrame:
-    """Sum of the amounts, number of lines and newest load time of each cell of each month."""
+def month_cells(fact: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Sum of the amounts, number of lines and newest load time of each cell of each month of each ledger."""
     amount = total(main_amount()).alias("amount_main")
-    return fact.groupBy(*CELL).agg(amount, F.count(F.lit(1)).alias("lines"), F.max("load_ts").alias("load_ts"))
+    return fact.groupBy(*keys, *CELL).agg(amount, F.count(F.lit(1)).alias("lines"), F.max("load_ts").alias("load_ts"))
 
 
 def as_lines(cells: DataFrame) -> DataFrame:
@@ -43,13 +43,13 @@ def _classes(policy: Policy) -> list[Column]:
     return [hidden.alias("_hidden"), (F.col("subcategory") == policy.tracked).alias("_tracked")]
 
 
-def largest_lines(fact: DataFrame, policy: Policy, n: int = LARGEST) -> DataFrame:
-    """The ``n`` largest lines of each month, flow, category and class, ties to the smaller id.
+def largest_lines(fact: DataFrame, policy: Policy, n: int = LARGEST, keys: Keys = ()) -> DataFrame:
+    """The ``n`` largest lines of each month, flow, category and class of each ledger, ties to the smaller id.
 
     Whatever is in the first ``n`` under a condition on these is in the first ``n`` of its own cell, so the largest
     lines of any months are those of the union of their lists.
     """
-    cell = Window.partitionBy(MONTH_ID, "flow", "category", *_classes(policy))
+    cell = Window.partitionBy(*keys, MONTH_ID, "flow", "category", *_classes(policy))
     rank = F.row_number().over(cell.orderBy(F.col("amount_main").desc_nulls_last(), "txn_id"))
     return fact.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 

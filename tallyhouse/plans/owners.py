@@ -3,13 +3,20 @@ newest load time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhouse.functions.calendar import MONTH_ID
+from tallyhouse.functions.calendar import MONTH_ID, Dates, month_id
+from tallyhouse.functions.text import word
+from tallyhouse.operators import ledger, marts
 from tallyhouse.operators.lookups import BROADCAST_ROWS, lookup_join
+from tallyhouse.plans import cells
 from tallyhouse.plans.load import append_columns, merge_by_key
+from tallyhouse.policy import Policy
 from tallyhouse.sources import ledgers, sinks
 from tallyhouse.sources.ledgers import BUCKET, BUCKETS, LEDGER, Cell
 
@@ -43,6 +50,7 @@ def load_owner_months(
     load_ts: str = "load_ts",
     buckets: int = BUCKETS,
     max_rows: int = BROADCAST_ROWS,
+    before: Callable[[set[Cell]], None] | None = None,
 ) -> set[Cell]:
     """Run one load of many ledgers into the table at ``path``; the (bucket, month) directories it changed.
 
@@ -55,16 +63,17 @@ def load_owner_months(
     The source should hold the exports that may bring something new: rows that do not are read and left out. Lines
     meet named months and owners' load times in a broadcast while these are at most ``max_rows``; beyond, the lines of
     an owner with many are spread over tasks. Stored lines are read in the changed directories only. ``buckets`` counts
-    at the first load.
+    at the first load. ``before`` is called with the changed directories when nothing is changed yet.
 
     Lines without an owner are a ledger of their own, lines without a time are merged and never replaced by month, and
     lines without a key are added.
     """
-    path = path.rstrip("/")
+    path, before = path.rstrip("/"), before or (lambda _: None)
     target = sinks.read_table(spark, path)
     if target is None:
         aside = ledgers.stage_cells(source, path, owner, buckets, load_ts)
         arriving = ledgers.stored_cells(spark, aside)
+        before(arriving)
         ledgers.take_cells(spark, aside, path)
         return arriving
     buckets = ledgers.buckets_of(spark, path)
@@ -85,6 +94,7 @@ def load_owner_months(
         aside = ledgers.stage_cells(updates, path, owner, buckets, load_ts)
         held, arriving = ledgers.stored_cells(spark, path), ledgers.stored_cells(spark, aside)
         changed = lost | arriving
+        before((held & lost) | arriving)
         if held & changed:
             # The staged rows are moved out of the way of the next ones.
             sinks._move(spark, aside, moved)
@@ -104,3 +114,127 @@ def load_owner_months(
     finally:
         sinks.delete(spark, asked)
         sinks.delete(spark, moved)
+
+
+@dataclass(frozen=True)
+class LedgerHouse:
+    """The stored tables of many ledgers under one folder, told apart by the column ``owner``.
+
+    A load of some owners refreshes the directories of their months and no others: money lines, sums, largest lines and
+    the marts that are kept. Views are computed where they are read, for all ledgers in one job. The dictionary of tags
+    is shared; budget rows have an owner. Lines without an owner are stored and summed as one ledger, but have no pay
+    and no budget to be joined with.
+    """
+
+    spark: SparkSession
+    root: str
+    policy: Policy
+    owner: str = "owner"
+    buckets: int = BUCKETS
+
+    @property
+    def keys(self) -> tuple[str]:
+        return (self.owner,)
+
+    def path(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    def table(self, name: str) -> DataFrame:
+        stored = sinks.read_table(self.spark, self.path(name))
+        if stored is None:
+            raise ValueError(f"table {name!r} was not loaded yet")
+        return stored.drop(BUCKET)
+
+    def life_cost(self) -> DataFrame:
+        """Expenses in hours, each at the pay of its own ledger."""
+        return marts.life_cost(self.table("fact_transactions"), self.table("hourly_pay").drop(MONTH_ID), self.policy, self.keys)
+
+    def income_summary(self) -> DataFrame:
+        return marts.income_summary(self.sums(), self.policy, self.keys)
+
+    def sums(self, dates: Dates = None) -> DataFrame:
+        """What the operators that add amounts up by month ask for, with ``keys``: sums of whole months, and lines where
+        a bound lies inside a month."""
+        return cells.routed(cells.as_lines(self.table("cells")), self.table("fact_transactions"), dates)
+
+    def largest(self, dates: Dates = None, n: int = cells.LARGEST) -> DataFrame:
+        """Lines among which the ``n`` largest of each ledger are."""
+        fact = self.table("fact_transactions")
+        return fact if n > cells.LARGEST else cells.routed(self.table("largest"), fact, dates)
+
+    def load_reference(self, keys: DataFrame, budget: DataFrame) -> None:
+        """Full refresh of dictionary and budget. The next ``refresh`` tags the directories again whose comments use a
+        word that came or went, and rebuilds those of owners' months whose budget rows differ."""
+        words, known = (sinks.read_table(self.spark, self.path(name)) for name in ("words", "keys"))
+        if words is not None and known is not None:
+            tags = [frame.select(F.col("tag").alias("word")).filter("word IS NOT NULL").distinct() for frame in (known, keys)]
+            moved = tags[0].exceptAll(tags[1]).union(tags[1].exceptAll(tags[0]))
+            self._mark(_cells_of(words.join(moved, "word", "left_semi")))
+        before = sinks.read_table(self.spark, self.path("budget"))
+        if before is not None:
+            before = before.select(*budget.columns)
+            differing = before.exceptAll(budget).union(budget.exceptAll(before))
+            self._mark(_cells_of(self._planned(differing)) & ledgers.stored_cells(self.spark, self.path("stg_transactions")))
+        for name, rows in (("keys", keys), ("budget", budget)):
+            sinks.overwrite_table(rows, self.path(name))
+
+    def load_lines(self, staged: DataFrame, months: DataFrame | None = None) -> set[Cell]:
+        """Load staged lines as ``load_owner_months`` does and refresh what follows from them. A run that stops is
+        made good by the next load or ``refresh``."""
+        load_owner_months(
+            self.spark, self.path("stg_transactions"), staged, self.owner, months, buckets=self.buckets, before=self._mark
+        )
+        return self.refresh()
+
+    def refresh(self) -> set[Cell]:
+        """Replace the marked directories in every table that follows from the lines; returns them."""
+        changed = self._marked()
+        if not changed:
+            return changed
+        policy, keys = self.policy, self.keys
+        lines = sinks.read_table(self.spark, self.path("stg_transactions")).filter(ledgers.in_cells(changed)).drop(BUCKET)
+        words = lines.select(self.owner, MONTH_ID, word(F.col("comment"), 0).alias("word")).filter("word IS NOT NULL")
+        self._store("fact_transactions", ledger.fact_transactions(lines, self.table("keys"), policy, owners=keys), changed)
+        self._store("words", words.distinct(), changed)
+        fact = sinks.read_table(self.spark, self.path("fact_transactions")).filter(ledgers.in_cells(changed)).drop(BUCKET)
+        pay = marts.hourly_pay(fact, policy, keys).withColumn(MONTH_ID, (F.col("year") * 100 + F.col("month")).cast("int"))
+        budget = self._planned(self.table("budget")).filter(ledgers.in_cells(changed)).drop(LEDGER, BUCKET, MONTH_ID)
+        kept = (
+            ("cells", cells.month_cells(fact, keys)),
+            ("largest", cells.largest_lines(fact, policy, keys=keys)),
+            ("hourly_pay", pay),
+            ("tagged_share", self._dated(marts.tagged_share(fact, policy, keys))),
+            ("budget_compliance", self._dated(marts.budget_compliance(fact, budget, policy, keys))),
+        )
+        for name, rows in kept:
+            self._store(name, rows, changed)
+        sinks.overwrite_table(self._rows(set()), self.path("changed"))
+        return changed
+
+    def _dated(self, mart: DataFrame) -> DataFrame:
+        return mart if MONTH_ID in mart.columns else mart.withColumn(MONTH_ID, month_id(F.col("month_start")))
+
+    def _planned(self, budget: DataFrame) -> DataFrame:
+        dated = budget.withColumn(MONTH_ID, month_id(F.col("month_start")))
+        return ledgers.with_ledger(dated, self.owner, self._buckets())
+
+    def _buckets(self) -> int:
+        path = self.path("stg_transactions")
+        return self.buckets if sinks.read_table(self.spark, path) is None else ledgers.buckets_of(self.spark, path)
+
+    def _store(self, name: str, rows: DataFrame, changed: set[Cell]) -> None:
+        ledgers.store_cells(rows, self.path(name), self.owner, self._buckets(), changed)
+
+    # Marked directories: those in which the other tables are behind the lines.
+
+    def _rows(self, marked: set[Cell]) -> DataFrame:
+        return self.spark.createDataFrame(sorted(marked, key=str), f"{BUCKET} int, {MONTH_ID} int")
+
+    def _marked(self) -> set[Cell]:
+        marked = sinks.read_table(self.spark, self.path("changed"))
+        return set() if marked is None else _cells_of(marked)
+
+    def _mark(self, found: set[Cell]) -> None:
+        marked = self._marked()
+        if not found <= marked:
+            sinks.overwrite_table(self._rows(marked | found), self.path("changed"))

@@ -67,8 +67,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_ROWS).parquet(f"{path}/{sinks.FILES}")
 
 
-def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts: str) -> str:
-    """Write lines aside in the layout of the table at ``path``, with their files."""
+def _write_files(lines: DataFrame, load_ts: str, path: str) -> None:
+    file = F.col("src_file") if "src_file" in lines.columns else F.lit(None).cast("string")
+    found = lines.groupBy(BUCKET, MONTH_ID, LEDGER, file.alias("src_file"))
+    files = found.agg(F.max(load_ts).cast("timestamp").alias("load_ts"), F.count(F.lit(1)).alias("lines"))
+    files.hint("rebalance", BUCKET, MONTH_ID).write.partitionBy(BUCKET, MONTH_ID).parquet(path)
+
+
+def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts: str | None = None) -> str:
+    """Write rows aside in the layout of the table at ``path``, with their files if ``load_ts`` names the load time."""
     spark = lines.sparkSession
     aside = sinks._aside(spark, path)
     marked = with_ledger(lines, owner, buckets)
@@ -76,11 +83,9 @@ def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts:
         order = [BUCKET, MONTH_ID, LEDGER, *(["txn_time"] if "txn_time" in lines.columns else [])]
         dealt = marked.hint("rebalance", BUCKET, MONTH_ID).sortWithinPartitions(*order).drop(LEDGER)
         dealt.write.partitionBy(BUCKET, MONTH_ID).parquet(aside)
-        stored = spark.read.schema(dealt.schema).parquet(aside).withColumn(LEDGER, ledger_of(owner))
-        file = F.col("src_file") if "src_file" in lines.columns else F.lit(None).cast("string")
-        found = stored.groupBy(BUCKET, MONTH_ID, LEDGER, file.alias("src_file"))
-        files = found.agg(F.max(load_ts).cast("timestamp").alias("load_ts"), F.count(F.lit(1)).alias("lines"))
-        files.hint("rebalance", BUCKET, MONTH_ID).write.partitionBy(BUCKET, MONTH_ID).parquet(f"{aside}/{sinks.FILES}")
+        if load_ts:
+            stored = spark.read.schema(dealt.schema).parquet(aside)
+            _write_files(stored.withColumn(LEDGER, ledger_of(owner)), load_ts, f"{aside}/{sinks.FILES}")
         sinks._remember(spark, aside, dealt.schema)
         sinks._write_text(spark, f"{aside}/{OWNERS}", json.dumps({"owner": owner, "buckets": buckets}))
     except BaseException:
@@ -97,9 +102,14 @@ def take_cells(spark: SparkSession, aside: str, path: str, changed: Iterable[Cel
         return
     new, old = stored_cells(spark, aside), stored_cells(spark, path)
     steps = []
-    for part in ("", f"{sinks.FILES}/"):
+    for part in ("", f"{sinks.FILES}/") if sinks._exists(spark, f"{aside}/{sinks.FILES}") else ("",):
         places = [f"{part}{cell_directory(cell)}" for cell in sorted(new, key=str)]
         steps += [["replace", f"{aside}/{place}", f"{path}/{place}"] for place in places]
         steps += [["drop", f"{path}/{part}{cell_directory(cell)}"] for cell in sorted(set(changed) & old - new, key=str)]
     sinks._remember(spark, path, sinks.stored_schema(spark, aside))
     sinks._swap(spark, path, [*steps, ["drop", aside]])
+
+
+def store_cells(rows: DataFrame, path: str, owner: str, buckets: int, changed: Iterable[Cell]) -> None:
+    """Make a derived table equal ``rows`` in the changed directories; ``rows`` lie in these only."""
+    take_cells(rows.sparkSession, stage_cells(rows, path, owner, buckets), path, changed)
