@@ -1,9 +1,16 @@
 """Loads of many ledgers into one table."""
 
+from datetime import date
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.plans.owners import load_owner_months, touched_owner_months
+from casebook import inputs
+from casebook.policy import DEMO
+from tallyhouse.operators import cashflow
+from tallyhouse.plans import owners
+from tallyhouse.plans.owners import LedgerHouse, load_owner_months, touched_owner_months
 from tallyhouse.sources import ledgers, sinks
 from tests.rows import line, staged, values
 
@@ -12,7 +19,7 @@ MAY, JUNE = "2001-05-10 08:00:00", "2001-06-10 08:00:00"
 
 def lines(spark, *rows):
     """Staged lines of (owner, moment, concept, loaded)."""
-    return staged(spark, *(line(when=when, concept=concept, loaded=loaded, currency=owner) for owner, when, concept, loaded in rows)).withColumnRenamed("currency", "owner")
+    return staged(spark, *(line(when=when, concept=concept, loaded=loaded, currency=owner) for owner, when, concept, loaded in rows)).withColumn("owner", F.col("currency"))
 
 
 def months(spark, *pairs):
@@ -109,3 +116,45 @@ def test_new_columns_and_latest_months(spark, tmp_path):
     load_owner_months(spark, path, again, "owner")
     table = sinks.read_table(spark, path)
     assert values(table, "owner", "month_id", "channel") == sorted([("a", 200105, None), ("a", 200106, "app"), ("b", 200105, "app"), (None, 200105, None)], key=str)
+
+
+def budget(spark, *rows):
+    data = [(owner, date(2001, 5, 1), 2001, 5, "Food", Decimal(amount)) for owner, amount in rows]
+    return spark.createDataFrame(data, "owner string, month_start date, year bigint, month bigint, category string, budget decimal(18,4)")
+
+
+def test_tables_of_many_ledgers(spark, tmp_path, monkeypatch):
+    """A load of one owner, a stopped refresh, and a change of budget and dictionary reach all tables of that owner and
+    leave those of the others as they are."""
+    house = LedgerHouse(spark, str(tmp_path / "house"), DEMO, buckets=3)
+    tagged = lines(spark, *FIRST).withColumn("comment", F.when(F.col("owner") == "b", F.lit("Med/")))
+    house.load_reference(inputs.keys(spark).filter("tag <> 'Med/'"), budget(spark, ("a", "15"), ("b", "5")))
+    house.load_lines(tagged)
+    compliance = ("owner", "budget", "spent", "verdict")
+    assert values(house.table("budget_compliance").filter("budget IS NOT NULL"), *compliance) == [
+        ("a", 15, 10, "CUMPLE"), ("b", 5, 10, "EXCESO"),
+    ]
+    again = lines(spark, ("a", MAY, "new", "2002-02-01"), ("a", MAY, "newer", "2002-02-01"))
+    real = LedgerHouse._store
+
+    def stop(self, name, rows, changed):
+        if name == "cells":
+            raise OSError("stopped")
+        real(self, name, rows, changed)
+
+    monkeypatch.setattr(owners.LedgerHouse, "_store", stop)
+    with pytest.raises(OSError, match="stopped"):
+        house.load_lines(again)
+    monkeypatch.undo()
+    assert len(house.refresh()) == 1 and house.refresh() == set()
+    flow = cashflow.cash_flow(house.sums(), DEMO, keys=("owner",))
+    assert [row.owner for row in flow.sort("owner", "period").collect()] == [None, "a", "a", "b"]
+    assert values(house.table("cells"), "owner", "month_id", "amount_main") == sorted(
+        [(None, 200105, 10), ("a", 200105, 10), ("a", 200105, 10), ("a", 200106, 10), ("b", 200105, 10)], key=str
+    )
+    house.load_reference(inputs.keys(spark), budget(spark, ("a", "25"), ("b", "5")))
+    house.refresh()
+    assert values(house.table("budget_compliance").filter("budget IS NOT NULL"), *compliance) == [
+        ("a", 25, 20, "CUMPLE"), ("b", 5, 10, "EXCESO"),
+    ]
+    assert values(house.table("fact_transactions").filter("tag IS NOT NULL"), "owner", "tag") == [("b", "Med/")]
