@@ -250,7 +250,7 @@ def l9_load_owner_months(spark: SparkSession, sf: str) -> DataFrame:
     """A ledger for each account in one table: two of them load the second batch, twice; the others keep the first."""
     path = sinks.scratch_path(spark, "owners")
     target, _ = _batches(spark, sf)
-    owners.load_owner_months(spark, path, target, "account", buckets=4)
+    owners.load_owner_months(spark, path, target, "account", buckets=2)
     source = inputs.reissued_by_owners(staged(spark, sf))
     for _ in range(2):
         owners.load_owner_months(spark, path, source, "account")
@@ -291,7 +291,7 @@ def ledger_house(spark: SparkSession, sf: str) -> owners.LedgerHouse:
     What is loaded last holds all lines."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _ledger_houses:
-        house = owners.LedgerHouse(spark, sinks.scratch_path(spark, "ledgers"), DEMO, buckets=4)
+        house = owners.LedgerHouse(spark, sinks.scratch_path(spark, "ledgers"), DEMO, buckets=2)
         lines = staged(spark, sf).withColumn("owner", F.col("account"))
         budget = inputs.budget(spark, sf).withColumn("owner", F.lit(inputs.REISSUING[0]))
         house.load_reference(inputs.keys(spark), budget)
