@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import MONTH_ID, month_id
-from tallyhouse.operators.lookups import BROADCAST_ROWS
+from tallyhouse.operators.lookups import BROADCAST_ROWS, hot_keys
 from tallyhouse.sources import sinks
 
 LATEST = "latest"
@@ -83,34 +83,37 @@ def append_columns(target: DataFrame, updates: DataFrame) -> DataFrame:
     return target.unionByName(updates, allowMissingColumns=True)
 
 
-# A membership filter has this many bits for each key, and at most so many 64-bit words.
-FILTER_BITS, FILTER_WORDS = 16, 1 << 20
-# Copies of the updates' keys, over which the stored rows of one key are dealt.
+# A membership filter has this many bits for each key, and at most so many 64-bit words. With more keys it has fewer bits
+# for each, down to the least that still tells.
+FILTER_BITS, FILTER_WORDS, LEAST_BITS = 16, 1 << 20, 2
+# Copies of those updates' keys that own many stored rows, which are dealt over them.
 SALTS = 16
 
 
 def _positions(key: str, words: int) -> list[tuple[Column, Column]]:
-    """Word and bit of a key in a membership filter, twice, from two halves of one hash."""
-    first, second = F.xxhash64(key), F.xxhash64(F.lit(1), key)
-    return [(F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int"), F.pmod(x, F.lit(64)).cast("int")) for x in (first, second)]
+    """Word and bit of a key in a membership filter, twice, from two hashes."""
+    places = (F.xxhash64(key), F.xxhash64(F.lit(1), key))
+    return [(F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int"), F.pmod(x, F.lit(64)).cast("int")) for x in places]
 
 
-def membership(updates: DataFrame, key: str, count: int) -> Column | None:
+def membership(updates: DataFrame, key: str, count: int, asked: str | None = None) -> Column | None:
     """A Bloom filter over the keys of ``updates``, which hold about ``count`` of them: whether the key of a row of
-    another table may be among them. None beyond the size that every task can hold.
+    another table may be among them, which is in the column ``asked`` there if not in ``key``. None beyond the size that
+    every task can hold.
 
-    It never says no to a key that is there; about one foreign key in seventy passes. The filter is one array, built
-    by sums of bits in the tasks and read as a scalar subquery by the scan.
+    It never says no to a key that is there; about one foreign key in seventy passes, and two in five where the least
+    bits are left. The filter is one array, built by sums of bits in the tasks and read as a scalar subquery by the scan.
     """
-    words = max(1, -(-FILTER_BITS * count // 64))
-    if words > FILTER_WORDS:
+    if LEAST_BITS * count > 64 * FILTER_WORDS:
         return None
+    words = max(1, min(-(-FILTER_BITS * count // 64), FILTER_WORDS))
     places = [F.struct(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for word, bit in _positions(key, words)]
-    bits = updates.select(F.inline(F.array(*places))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    held = bits.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long")))
-    array = held.select(dense.alias("words")).scalar()
-    hits = [F.getbit(F.get(array, word), bit) == 1 for word, bit in _positions(key, words)]
+    # Words without a bit are rows like the others: one sort makes the array, no word is looked up.
+    empty = updates.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+    bits = updates.select(F.inline(F.array(*places))).unionByName(empty).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = bits.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    array = held.select(F.col("held.bits").alias("words")).scalar()
+    hits = [F.getbit(F.get(array, word), bit) == 1 for word, bit in _positions(asked or key, words)]
     return hits[0] & hits[1]
 
 
@@ -122,8 +125,8 @@ def merge_by_key(target: DataFrame, updates: DataFrame, key: str, count: int | N
 
     Updates that were counted to be few are sent to every task, and stored rows stay where they are. Otherwise stored
     rows whose key cannot be among the updates, as a membership filter tells, stay where they are, and only the others
-    are shuffled; there the rows of one key are dealt over several tasks. ``count`` is the number of updates, which are
-    counted if it is not given.
+    are shuffled; there the rows of a key that owns many are dealt over several tasks. ``count`` is the number of
+    updates, which are counted if it is not given.
     """
     named = updates.filter(F.col(key).isNotNull())
     count = named.count() if count is None else count
@@ -133,13 +136,19 @@ def merge_by_key(target: DataFrame, updates: DataFrame, key: str, count: int | N
     if count <= max_rows:
         kept = target.join(F.broadcast(counts), key, "left").filter(clear)
         return append_columns(kept.select(*target.columns), updates)
-    may_hold = membership(named, key, count)
+    may_hold = membership(named, key, count, "_asked")
+    # A generated column: a key that is an expression is computed once for a row and not for each word and bit.
+    asked = target.withColumn("_asked", F.explode(F.array(key)))
     # Of a NULL key nothing is possible.
-    possible = F.col(key).isNotNull() & (F.lit(True) if may_hold is None else may_hold)
-    salted = target.filter(possible).withColumn("_salt", F.pmod(F.xxhash64(*target.columns), F.lit(SALTS)).cast("int"))
-    copies = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    possible = F.col("_asked").isNotNull() & (F.lit(True) if may_hold is None else may_hold)
+    met = asked.filter(possible).drop("_asked")
+    hot = F.broadcast(hot_keys(met, [key]))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*target.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted = met.join(hot, key, "left").withColumn("_salt", salt)
+    last = F.when(F.col("_hot"), SALTS - 1).otherwise(F.lit(0))
+    copies = counts.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
     kept = salted.join(copies, [key, "_salt"], "left").filter(clear).select(*target.columns)
-    untouched = target.filter(~F.coalesce(possible, F.lit(False)))
+    untouched = asked.filter(~F.coalesce(possible, F.lit(False))).drop("_asked")
     return append_columns(append_columns(untouched, kept), updates)
 
 

@@ -282,3 +282,28 @@ def test_a_changed_dictionary_reaches_the_months_that_use_it(spark, house):
     # The same tables again change nothing.
     house.load_reference(keys, house.table("budget"), house.table("mortgage"))
     assert house.load_marts() == set()
+
+
+def test_membership_filter_of_many_keys(spark):
+    """With more keys than the full width allows it still holds every key; no word is looked up in a list of words."""
+    updates = spark.range(2_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    others = spark.range(2_000, 4_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    count = 64 * load.FILTER_WORDS // load.LEAST_BITS
+    may = load.membership(updates, "k", count)
+    asked = updates.unionByName(others).filter(may)
+    assert "map_from_entries" not in asked._jdf.queryExecution().toString()
+    assert asked.join(updates, "k", "left_semi").count() == 2_000
+    assert asked.join(others, "k", "left_semi").count() < 200
+    assert load.membership(updates, "k", count + 1) is None
+
+
+def test_merge_copies_only_keys_of_many_lines(spark, monkeypatch):
+    """The updates' keys are copied only where one of them owns many stored rows."""
+    stored = spark.range(5_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    hot = spark.range(3_000).select(F.md5(F.lit("7")).alias("k"), (F.col("id") + 10_000).alias("v"))
+    seen, real = [], load.hot_keys
+    monkeypatch.setattr(load, "hot_keys", lambda lines, on: seen.append(real(lines, on)) or seen[-1])
+    updates = stored.withColumn("v", -F.col("v") - 1)
+    merged = load.merge_by_key(stored.unionByName(hot), updates, "k", max_rows=0)
+    assert sorted(row.v for row in merged.collect()) == list(range(-5_000, 0))
+    assert [row.k for row in seen[0].collect()] == [stored.filter("v = 7").first().k]
