@@ -307,3 +307,12 @@ def test_merge_copies_only_keys_of_many_lines(spark, monkeypatch):
     merged = load.merge_by_key(stored.unionByName(hot), updates, "k", max_rows=0)
     assert sorted(row.v for row in merged.collect()) == list(range(-5_000, 0))
     assert [row.k for row in seen[0].collect()] == [stored.filter("v = 7").first().k]
+
+
+def test_the_ledger_is_derived_after_its_rows_were_spread(spark, sf):
+    """Numbers are shuffled and not the texts made of them; the rows are the same."""
+    spread = inputs.run_sql(spark, sf, inputs.LEDGER, inputs._spread)
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert "Transfer in" in plan and "Transfer in" not in plan[plan.index("RebalancePartitions"):]
+    plain = inputs.run_sql(spark, sf, inputs.LEDGER)
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
