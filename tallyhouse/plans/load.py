@@ -201,12 +201,12 @@ def in_months(months: set) -> Column:
     return known | F.col(MONTH_ID).isNull() if None in months else known
 
 
-def replace_months(spark: SparkSession, path: str, table: DataFrame, changed: set) -> None:
+def replace_months(spark: SparkSession, path: str, table: DataFrame, changed: set, placed: bool = False) -> None:
     """Make the stored table equal ``table`` in the changed months; months without rows are emptied.
 
-    ``table`` holds rows of these months only.
+    ``table`` holds rows of these months only. ``placed`` is that of ``sinks.store_months``.
     """
-    sinks.store_months(table, path, changed)
+    sinks.store_months(table, path, changed, placed=placed)
 
 
 # So many files are named in a plan to keep them from being read; beyond, old exports are read and filtered by month.

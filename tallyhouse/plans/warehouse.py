@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import MONTH_ID, Dates, in_range_of_months, month_id
 from tallyhouse.functions.text import word
-from tallyhouse.operators import cashflow, checks, ledger, marts, wealth
+from tallyhouse.operators import cashflow, checks, ledger, lookups, marts, wealth
 from tallyhouse.plans import cells, load
 from tallyhouse.policy import Policy
 from tallyhouse.sources import sinks
@@ -105,13 +105,15 @@ class Warehouse:
             return changed
         keys, lines = self.table("keys"), self.table("stg_transactions").filter(load.in_months(changed))
         words = lines.select(MONTH_ID, word(F.col("comment"), 0).alias("word")).filter("word IS NOT NULL").distinct()
+        # Lines are shuffled on their way into these tables only if they meet a dictionary too long to be broadcast.
+        placed = lookups.is_small(keys)
         built = (
-            ("fact_transactions", ledger.fact_transactions(lines, keys, self.policy)),
-            ("fact_personal", ledger.fact_personal(lines, keys, self.policy)),
-            ("words", words),
+            ("fact_transactions", ledger.fact_transactions(lines, keys, self.policy), placed),
+            ("fact_personal", ledger.fact_personal(lines, keys, self.policy), placed),
+            ("words", words, False),
         )
-        for name, table in built:
-            load.replace_months(self.spark, self.path(name), table, changed)
+        for name, table, stays in built:
+            load.replace_months(self.spark, self.path(name), table, changed, stays)
         fact = self.table("fact_transactions").filter(load.in_months(changed))
         states = (
             ("cells", cells.month_cells(fact)),
@@ -153,9 +155,9 @@ class Warehouse:
         hidden = policy.property_hidden_categories
         self._replace("hourly_pay", marts.hourly_pay(fact, policy), changed, "txn_time")
         self._replace("tagged_share", marts.tagged_share(fact, policy), changed, "month_start")
-        self._replace("property_ledger", marts.tag_ledger(fact, policy.property_tag, hidden), changed, "txn_time")
+        self._replace("property_ledger", marts.tag_ledger(fact, policy.property_tag, hidden), changed, "txn_time", placed=True)
         # A month's own pay comes from lines of the month, so no other month is priced anew.
-        self._replace("life_cost_lines", marts.life_cost_lines(fact, self.table("hourly_pay"), policy), changed, "txn_time")
+        self._replace("life_cost_lines", marts.life_cost_lines(fact, self.table("hourly_pay"), policy), changed, "txn_time", placed=True)
         planned = self.table("budget").withColumn(MONTH_ID, month_id(F.col("month_start"))).filter(load.in_months(changed))
         self._replace("budget_compliance", marts.budget_compliance(fact, planned, policy), changed, "month_start")
         self._clear("changed_months")
@@ -257,8 +259,8 @@ class Warehouse:
     def _budget_months(self, budget: DataFrame) -> set:
         return load.months_of(budget.select(month_id(F.col("month_start")).alias(MONTH_ID)))
 
-    def _replace(self, name: str, mart: DataFrame, changed: set, time: str) -> None:
+    def _replace(self, name: str, mart: DataFrame, changed: set, time: str, placed: bool = False) -> None:
         """Replace whole months, computed from all their lines and not only from the newest ones."""
         if MONTH_ID not in mart.columns:
             mart = mart.withColumn(MONTH_ID, month_id(F.col(time)))
-        load.replace_months(self.spark, self.path(name), mart, changed)
+        load.replace_months(self.spark, self.path(name), mart, changed, placed)

@@ -156,12 +156,13 @@ def overwrite_table(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _by_month(df: DataFrame) -> DataFrame:
+def _by_month(df: DataFrame, placed: bool = False) -> DataFrame:
     """Rows of a month together, in files of the advisory size: a month that is too big for one task is split again,
     small ones share a task. Both follow from the sizes the shuffle measured. The order inside a file, which the
-    writer needs for the months anyway, also lets a scan skip row groups by time."""
+    writer needs for the months anyway, also lets a scan skip row groups by time. Rows that are ``placed``, each a row
+    of a table in month directories, lie together already and stay in the task that read them."""
     order = [MONTH_ID, "txn_time"] if "txn_time" in df.columns else [MONTH_ID]
-    return df.hint("rebalance", MONTH_ID).sortWithinPartitions(*order)
+    return (df if placed else df.hint("rebalance", MONTH_ID)).sortWithinPartitions(*order)
 
 
 FILES = "_files"
@@ -211,12 +212,12 @@ def remember_files(spark: SparkSession, path: str, load_ts: str = "load_ts") ->
     return known
 
 
-def stage_months(df: DataFrame, path: str, load_ts: str | None = None) -> str:
+def stage_months(df: DataFrame, path: str, load_ts: str | None = None, placed: bool = False) -> str:
     """Write rows aside in the layout of the table at ``path``, with their files if ``load_ts`` names the load time."""
     spark = df.sparkSession
     aside = _aside(spark, path)
     try:
-        _by_month(df).write.partitionBy(MONTH_ID).parquet(aside)
+        _by_month(df, placed).write.partitionBy(MONTH_ID).parquet(aside)
         if load_ts:
             _write_files(files_of(spark.read.schema(df.schema).parquet(aside), load_ts), f"{aside}/{FILES}")
         _remember(spark, aside, df.schema)
@@ -248,9 +249,12 @@ def take_months(spark: SparkSession, aside: str, path: str, changed: Iterable[in
     _swap(spark, path, [*steps, ["drop", aside]])
 
 
-def store_months(df: DataFrame, path: str, changed: Iterable[int | None] = (), load_ts: str | None = None) -> None:
-    """Replace the months present in ``df`` and empty the others of ``changed``. ``df`` may read the table."""
-    take_months(df.sparkSession, stage_months(df, path.rstrip("/"), load_ts), path.rstrip("/"), changed)
+def store_months(
+    df: DataFrame, path: str, changed: Iterable[int | None] = (), load_ts: str | None = None, placed: bool = False
+) -> None:
+    """Replace the months present in ``df`` and empty the others of ``changed``. ``df`` may read the table. ``placed``
+    says that it holds stored rows of months one by one, which then need no shuffle."""
+    take_months(df.sparkSession, stage_months(df, path.rstrip("/"), load_ts, placed), path.rstrip("/"), changed)
 
 
 def write_months(df: DataFrame, path: str) -> None:

@@ -309,6 +309,25 @@ def test_merge_copies_only_keys_of_many_lines(spark, monkeypatch):
     assert [row.k for row in seen[0].collect()] == [stored.filter("v = 7").first().k]
 
 
+def test_lines_that_lie_by_month_are_not_shuffled(spark, house, monkeypatch):
+    """Tables whose rows are stored lines one by one stay in the tasks that read them."""
+    shuffled, real = {}, sinks.stage_months
+
+    def stage(df, path, load_ts=None, *placed):
+        plan = sinks._by_month(df, *placed)._jdf.queryExecution().optimizedPlan().toString()
+        shuffled[path.rsplit("/", 1)[1]] = "RebalancePartitions" in plan
+        return real(df, path, load_ts, *placed)
+
+    monkeypatch.setattr(sinks, "stage_months", stage)
+    house.load_lines(staged(spark, line(when=MAY), line(when=JUNE, account="Personal"), line(when=None)))
+    house.load_marts()
+    for name in ("fact_transactions", "fact_personal", "property_ledger", "life_cost_lines"):
+        assert shuffled[name] is False
+    assert shuffled["stg_transactions"] and shuffled["largest"]
+    assert values(house.table("fact_transactions"), "month_id") == [(200105,), (None,)]
+    assert values(house.table("fact_personal"), "month_id") == [(200106,)]
+
+
 def test_the_ledger_is_derived_after_its_rows_were_spread(spark, sf):
     """Numbers are shuffled and not the texts made of them; the rows are the same."""
     spread = inputs.run_sql(spark, sf, inputs.LEDGER, inputs._spread)
