@@ -22,6 +22,8 @@ from tallyhouse.llm.stage import column_of, identified, split_bytes
 
 LENGTH = 35
 PERIOD = 21
+# Bytes of text that are hashed, or cut, at a time: arrays of words take many times as much.
+BLOCK = 1 << 20
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -35,7 +37,19 @@ def difference_cover(period: int) -> tuple[int, ...]:
 
 
 def word_phrases(data: np.ndarray, offsets: np.ndarray, length: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-    """All windows around each anchor of each text."""
+    """All windows around each anchor of each text, hashed in runs of texts of at most ``BLOCK`` bytes, or one longer
+    text, so that the sums and the powers that a task remembers stay small."""
+    found, first = [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
+        own = offsets[first : last + 1]
+        row, *rest = _phrases_of(data[own[0] : own[-1]], own - own[0], length, period, cover)
+        found.append((row + first, *rest))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _phrases_of(data: np.ndarray, offsets: np.ndarray, length: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     begin, end = word_spans(data, offsets)
     hashes = word_hashes(data, begin, end)
     row = np.searchsorted(offsets, begin, "right") - 1
@@ -73,7 +87,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[
         spans = batch.column(batch.schema.get_field_index("spans")).fill_null([])
         bounds = np.asarray(spans.offsets)
         starts, counts = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for begin, stop, data, offsets in split_bytes(column_of(batch, f"row.{text}"), 4 << 20):
+        for begin, stop, data, offsets in split_bytes(column_of(batch, f"row.{text}"), BLOCK):
             word, end = word_spans(data, offsets)
             head = np.searchsorted(word, offsets)
             kept = np.ones(len(word), bool)

@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tallyhouse.llm import substring_dedup, suffix_dedup
+from tallyhouse.llm import hashing, substring_dedup, suffix_dedup
 
 
 def by_bytes(rows, length):
@@ -97,3 +99,23 @@ def test_difference_cover():
     for period in (1, 7, 21):
         cover = substring_dedup.difference_cover(period)
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_words_are_hashed_in_blocks(monkeypatch):
+    """What a task holds beside the phrases follows the block, not the text of a batch; the phrases do not."""
+    pick = np.random.default_rng(3)
+    data = pick.integers(97, 123, 8 << 20, dtype=np.uint8)
+    data[pick.integers(0, len(data), len(data) // 6)] = 32
+    offsets = np.arange(0, len(data) + 1, 1 << 11)
+    offsets = np.sort(np.append(offsets, [0, 4096, len(data)]))
+    args = (data, offsets, 35, 21, substring_dedup.difference_cover(21))
+    peaks, found = [], []
+    for block in (1 << 30, substring_dedup.BLOCK):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        monkeypatch.setattr(hashing, "_POWERS", {})
+        tracemalloc.start()
+        found.append(substring_dedup.word_phrases(*args))
+        peaks.append(tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in found[-1]))
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*found, strict=True))
+    assert peaks[1] < 40 << 20 and peaks[0] > 2 * peaks[1]
