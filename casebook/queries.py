@@ -15,6 +15,7 @@ from casebook.session import use_own_shared_folder_if_unset
 from tallyhouse.functions.calendar import MONTH_ID, date_range, month_id
 from tallyhouse.functions.text import worked_days
 from tallyhouse.operators import cashflow, checks, ledger, marts, matrices, mortgage, wealth
+from tallyhouse.operators.lookups import lookup_join
 from tallyhouse.plans import load, owners
 from tallyhouse.plans.warehouse import Warehouse
 from tallyhouse.sources import feed as feeds
@@ -113,7 +114,8 @@ def s1_read_feed_reordered(spark: SparkSession, sf: str) -> DataFrame:
     names = feeds.schemas.FEED.names
     inputs.feed(spark, sf).select(*reversed(names)).write.option("header", True).csv(path)
     files = feeds.read_file_catalog(spark, path, listing=True).select(F.col("uri").alias("src_file"), F.lit(True).alias("listed"))
-    lines = feeds.read_feed(spark, path).join(files, "src_file", "left")
+    # A listing is short; lines joined with it by shuffle would meet by file, a whole file in one task.
+    lines = lookup_join(feeds.read_feed(spark, path), files, ["src_file"], F.struct("occurred_at", "amount_main", "comment"))
     return lines.select(*names, F.col("listed").alias("from_csv"))
 
 

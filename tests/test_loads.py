@@ -6,7 +6,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from casebook import inputs
-from casebook.queries import staged as fixture_staged
+from casebook.queries import queries, staged as fixture_staged
 from tallyhouse import schemas
 from tallyhouse.operators import checks, ledger
 from tallyhouse.plans import load
@@ -308,3 +308,16 @@ def test_a_failing_refresh_leaves_the_table(spark, tmp_path):
         sinks.overwrite_table(broken, path)
     assert sinks.read_table(spark, path).count() == 5
     assert [file.name for file in tmp_path.iterdir()] == ["t"]
+
+
+def test_lines_stay_where_they_are_read_when_they_meet_a_listing(spark, sf):
+    """A listing is as long as its files are many, but counts as large as they are: a join by shuffle would put all
+    lines of a file into one task."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    default = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = queries()["s1_read_feed_reordered"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, default)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
