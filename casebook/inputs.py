@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.sources.sinks import scratch_path
+from tallyhouse.sources.sinks import parquet_writer, scratch_path
 from tallyhouse.sources.reference import budget_table, key_dictionary, mortgage_table
 
 _CATEGORY = """CASE cat_i WHEN 0 THEN 'Salary' WHEN 1 THEN 'Freelance' WHEN 2 THEN 'Passive' WHEN 3 THEN 'Tax'
@@ -144,7 +144,7 @@ def _write_feed(lines: DataFrame, path: str) -> None:
     # The derivation compiles to one method too long for the JIT; below this limit Spark splits it.
     spark.conf.set(limit, "8000")
     try:
-        lines.write.parquet(path)
+        parquet_writer(lines).parquet(path)
     finally:
         spark.conf.set(limit, default)
 

@@ -58,6 +58,11 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.stage_transactions(inputs.feed(spark, sf))
 
 
+def staged_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines for loads that store them: a month's lines together."""
+    return ledger.stage_transactions(inputs.feed(spark, sf), by_month=True)
+
+
 def built_fact(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.fact_transactions(staged(spark, sf), inputs.keys(spark), DEMO)
 
@@ -274,12 +279,12 @@ def warehouse(spark: SparkSession, sf: str) -> Warehouse:
     if key not in _houses:
         house = Warehouse(spark, sinks.scratch_path(spark, "warehouse"), DEMO)
         house.load_reference(inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf))
-        lines = staged(spark, sf)
-        house.load_lines(inputs.first_batch(lines))
+        lines = staged_by_month(spark, sf)
+        house.load_lines(inputs.first_batch(lines), placed=True)
         house.load_marts()
-        house.load_lines(inputs.after_second_batch(lines))
+        house.load_lines(inputs.after_second_batch(lines), placed=True)
         months = spark.createDataFrame([(inputs.WITHDRAWN_MONTH,), (inputs.CUT_MONTH,)], f"{MONTH_ID} int")
-        house.load_lines(inputs.after_third_batch(lines), months)
+        house.load_lines(inputs.after_third_batch(lines), months, placed=True)
         house.load_marts()
         _houses[key] = house
     return _houses[key]
@@ -311,7 +316,7 @@ def w_retagged(spark: SparkSession, sf: str) -> DataFrame:
     keys, budget, mortgage = inputs.keys(spark), inputs.budget(spark, sf), inputs.mortgage(spark, sf)
     before = keys.filter("tag <> 'Med/'").union(keys.limit(1).withColumn("tag", F.lit("Zz/")))
     house.load_reference(before, budget, mortgage)
-    house.load_lines(staged(spark, sf))
+    house.load_lines(staged_by_month(spark, sf), placed=True)
     house.load_reference(keys, budget, mortgage)
     house.load_marts()
     return house.table("fact_transactions")

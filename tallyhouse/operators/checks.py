@@ -21,9 +21,25 @@ def _offenders(rows: DataFrame, check: str, key: Column, detail: Column, keys: K
     )
 
 
-def check_unique(df: DataFrame, *columns: str, keys: Keys = ()) -> DataFrame:
-    """Values that occur more than once, with their count. NULL is the business of ``check_not_null``."""
+def repeated_prints(df: DataFrame, *columns: str, keys: Keys = ()) -> DataFrame:
+    """Hashes that more than one row has. Every value that occurs more than once is among them, in ``df`` and in any part
+    of its rows; only the hashes travel, not the values."""
+    prints = df.dropna(subset=list(columns)).groupBy(F.xxhash64(*keys, *columns).alias("_print"))
+    return prints.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_print")
+
+
+def check_unique(
+    df: DataFrame, *columns: str, keys: Keys = (), prints: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Values that occur more than once, with their count. NULL is the business of ``check_not_null``.
+
+    ``prints`` is a stored table of ``repeated_prints`` of these rows or of more: values that are not among them are
+    left where they are.
+    """
     named = df.select(*keys, *columns).dropna(subset=list(columns))
+    if prints is not None:
+        suspects = F.broadcast(prints) if is_small(prints, max_rows) else prints
+        named = named.withColumn("_print", F.xxhash64(*keys, *columns)).join(suspects, "_print", "left_semi")
     counts = named.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return _offenders(counts, f"unique:{','.join(columns)}", F.concat_ws("|", *columns), F.col("_n"), keys)
 

@@ -232,6 +232,7 @@ def load_month_batch(
     files: DataFrame | None = None,
     only_newer: bool = True,
     before: Callable[[set], None] | None = None,
+    placed: bool = False,
 ) -> set:
     """Run one load into the month-partitioned table at ``path``; the months whose rows it changed.
 
@@ -247,13 +248,13 @@ def load_month_batch(
     line outside the changed months is read. An update can match a stored row only inside its own month, because the
     line id covers the time. Stored columns the source lacks stay. ``only_newer=False`` takes every source row, for
     sources that hold nothing but the new lines. ``before`` is called with the changed months when all is staged and
-    nothing is changed yet.
+    nothing is changed yet. ``placed`` says that the source's lines lie by month already, as those staged ``by_month``.
     """
     path = path.rstrip("/")
     target = sinks.read_table(spark, path)
     before = before or (lambda _: None)
     if target is None:
-        aside = sinks.stage_months(source, path, load_ts)
+        aside = sinks.stage_months(source, path, load_ts, placed)
         arriving = sinks.stored_months(spark, aside)
         before(arriving)
         sinks.take_months(spark, aside, path)
@@ -281,7 +282,7 @@ def load_month_batch(
     else:
         newer = source.join(names, "src_file", "left_anti").select(*source.columns).filter(_newer(load_ts, newest))
         updates = newer.unionByName(source.join(names, "src_file", "left_semi").select(*source.columns))
-    aside = sinks.stage_months(updates, path, load_ts)
+    aside = sinks.stage_months(updates, path, load_ts, placed)
     held, arriving = sinks.stored_months(spark, path), sinks.stored_months(spark, aside)
     changed = lost | arriving
     before((held & lost) | arriving)

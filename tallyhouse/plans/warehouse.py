@@ -84,16 +84,21 @@ class Warehouse:
             sinks.overwrite_table(table, self.path(name))
 
     def load_lines(
-        self, staged: DataFrame, months: DataFrame | None = None, mode: str = load.LATEST, files: DataFrame | None = None
+        self,
+        staged: DataFrame,
+        months: DataFrame | None = None,
+        mode: str = load.LATEST,
+        files: DataFrame | None = None,
+        placed: bool = False,
     ) -> set:
         """Load staged lines and carry the months they change into the line tables; returns these months.
 
-        ``months``, ``mode`` and ``files`` are those of ``load_month_batch``. The months are also kept for the next
+        ``months``, ``mode``, ``files`` and ``placed`` are those of ``load_month_batch``. The months are also kept for the next
         ``load_marts``, however many loads come before it.
         """
         load.load_month_batch(
             self.spark, self.path("stg_transactions"), staged, months, mode=mode, files=files,
-            before=lambda changed: self._mark("changed_lines", changed),
+            before=lambda changed: self._mark("changed_lines", changed), placed=placed,
         )
         return self._refresh_lines()
 
@@ -115,13 +120,16 @@ class Warehouse:
         for name, table, stays in built:
             load.replace_months(self.spark, self.path(name), table, changed, stays)
         fact = self.table("fact_transactions").filter(load.in_months(changed))
-        states = (
-            ("cells", cells.month_cells(fact)),
-            ("largest", cells.largest_lines(fact, self.policy)),
-            ("line_checks", self._line_checks(lines, fact, keys)),
-        )
-        for name, table in states:
-            load.replace_months(self.spark, self.path(name), table, changed)
+        load.replace_months(self.spark, self.path("cells"), cells.month_cells(fact), changed)
+        load.replace_months(self.spark, self.path("largest"), cells.largest_lines(fact, self.policy), changed)
+        path = sinks.scratch_path(self.spark, "prints")
+        try:
+            prints = checks.repeated_prints(lines, "txn_id", keys=(MONTH_ID,))
+            prints.write.parquet(path)
+            prints = self.spark.read.schema(prints.schema).parquet(path)
+            load.replace_months(self.spark, self.path("line_checks"), self._line_checks(lines, fact, keys, prints), changed)
+        finally:
+            sinks.delete(self.spark, path)
         self._carry(changed)
         self._mark("changed_months", changed)
         self._clear("changed_lines")
@@ -191,17 +199,18 @@ class Warehouse:
 
     # Checks.
 
-    def _line_checks(self, staged: DataFrame, fact: DataFrame, keys: DataFrame) -> DataFrame:
-        """What the checks of lines find, by month. An id covers the time, so equal ids are of one month."""
+    def _line_checks(self, staged: DataFrame, fact: DataFrame, keys: DataFrame, prints: DataFrame) -> DataFrame:
+        """What the checks of lines find, by month. An id covers the time, so equal ids are of one month. Money lines are
+        a part of the staged ones, so the repeated hashes of these, ``prints``, serve both."""
         month = (MONTH_ID,)
         found = {
             "stg_transactions": [
-                checks.check_unique(staged, "txn_id", keys=month),
+                checks.check_unique(staged, "txn_id", keys=month, prints=prints),
                 checks.check_not_null(staged, "txn_id", "src_file", keys=month),
                 checks.check_not_null(staged, "txn_time", "src_file", keys=month),
             ],
             "fact_transactions": [
-                checks.check_unique(fact, "txn_id", keys=month),
+                checks.check_unique(fact, "txn_id", keys=month, prints=prints),
                 checks.check_relationship(fact, "tag", keys, "tag", keys=month),
                 checks.check_value_for_tag(fact, keys=month),
                 checks.check_worked_days(fact, keys=month),

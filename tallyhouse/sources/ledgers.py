@@ -71,7 +71,7 @@ def _write_files(lines: DataFrame, load_ts: str, path: str) -> None:
     file = F.col("src_file") if "src_file" in lines.columns else F.lit(None).cast("string")
     found = lines.groupBy(BUCKET, MONTH_ID, LEDGER, file.alias("src_file"))
     files = found.agg(F.max(load_ts).cast("timestamp").alias("load_ts"), F.count(F.lit(1)).alias("lines"))
-    files.hint("rebalance", BUCKET, MONTH_ID).write.partitionBy(BUCKET, MONTH_ID).parquet(path)
+    sinks.parquet_writer(files.hint("rebalance", BUCKET, MONTH_ID)).partitionBy(BUCKET, MONTH_ID).parquet(path)
 
 
 def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts: str | None = None) -> str:
@@ -82,7 +82,7 @@ def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts:
     try:
         order = [BUCKET, MONTH_ID, LEDGER, *(["txn_time"] if "txn_time" in lines.columns else [])]
         dealt = marked.hint("rebalance", BUCKET, MONTH_ID).sortWithinPartitions(*order).drop(LEDGER)
-        dealt.write.partitionBy(BUCKET, MONTH_ID).parquet(aside)
+        sinks.parquet_writer(dealt).partitionBy(BUCKET, MONTH_ID).parquet(aside)
         if load_ts:
             stored = spark.read.schema(dealt.schema).parquet(aside)
             _write_files(stored.withColumn(LEDGER, ledger_of(owner)), load_ts, f"{aside}/{sinks.FILES}")

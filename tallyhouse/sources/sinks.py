@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -141,13 +141,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def parquet_writer(df: DataFrame) -> DataFrameWriter:
+    """How stored tables are written: ids are hashes as text, which only an entropy coder makes smaller."""
+    return df.write.option("compression", "zstd")
+
+
 def overwrite_table(df: DataFrame, path: str) -> DataFrame:
     """Full refresh. The new table is written aside and takes the old one's place by renaming, so a failing job leaves
     the old rows, a stopped swap is finished by the next access, and a table may be computed from itself."""
     spark, path = df.sparkSession, path.rstrip("/")
     aside = _aside(spark, path)
     try:
-        df.write.parquet(aside)
+        parquet_writer(df).parquet(aside)
         _remember(spark, aside, df.schema)
     except BaseException:
         delete(spark, aside)
@@ -160,7 +165,7 @@ def _by_month(df: DataFrame, placed: bool = False) -> DataFrame:
     """Rows of a month together, in files of the advisory size: a month that is too big for one task is split again,
     small ones share a task. Both follow from the sizes the shuffle measured. The order inside a file, which the
     writer needs for the months anyway, also lets a scan skip row groups by time. Rows that are ``placed``, each a row
-    of a table in month directories, lie together already and stay in the task that read them."""
+    of a table in month directories or of lines staged ``by_month``, lie together already and stay in their task."""
     order = [MONTH_ID, "txn_time"] if "txn_time" in df.columns else [MONTH_ID]
     return (df if placed else df.hint("rebalance", MONTH_ID)).sortWithinPartitions(*order)
 
@@ -198,7 +203,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _write_files(rows: DataFrame, place: str) -> None:
-    rows.hint("rebalance").write.mode("overwrite").parquet(place)
+    parquet_writer(rows.hint("rebalance")).mode("overwrite").parquet(place)
 
 
 def remember_files(spark: SparkSession, path: str, load_ts: str = "load_ts") -> DataFrame:
@@ -217,7 +222,7 @@ def stage_months(df: DataFrame, path: str, load_ts: str | None = None, placed: b
     spark = df.sparkSession
     aside = _aside(spark, path)
     try:
-        _by_month(df, placed).write.partitionBy(MONTH_ID).parquet(aside)
+        parquet_writer(_by_month(df, placed)).partitionBy(MONTH_ID).parquet(aside)
         if load_ts:
             _write_files(files_of(spark.read.schema(df.schema).parquet(aside), load_ts), f"{aside}/{FILES}")
         _remember(spark, aside, df.schema)
@@ -253,14 +258,14 @@ def store_months(
     df: DataFrame, path: str, changed: Iterable[int | None] = (), load_ts: str | None = None, placed: bool = False
 ) -> None:
     """Replace the months present in ``df`` and empty the others of ``changed``. ``df`` may read the table. ``placed``
-    says that it holds stored rows of months one by one, which then need no shuffle."""
+    says that its rows lie by month already and need no shuffle."""
     take_months(df.sparkSession, stage_months(df, path.rstrip("/"), load_ts, placed), path.rstrip("/"), changed)
 
 
 def write_months(df: DataFrame, path: str) -> None:
     """First load of a month-partitioned table, or a full refresh of it."""
     recover(df.sparkSession, path)
-    _by_month(df).write.mode("overwrite").partitionBy(MONTH_ID).parquet(path)
+    parquet_writer(_by_month(df)).mode("overwrite").partitionBy(MONTH_ID).parquet(path)
     _remember(df.sparkSession, path, df.schema)
 
 
@@ -273,7 +278,7 @@ def overwrite_months(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     recover(spark, path)
     delete(spark, f"{path}/{FILES}")
-    writer = _by_month(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = parquet_writer(_by_month(df)).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(MONTH_ID).parquet(path)
     if stored_schema(spark, path) is not None:
         _remember(spark, path, df.schema)

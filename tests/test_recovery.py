@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casebook import inputs
 from casebook.policy import DEMO
 from tallyhouse import schemas
-from tallyhouse.operators import marts
+from tallyhouse.operators import checks, ledger, marts
 from tallyhouse.plans import load
 from tallyhouse.plans.warehouse import Warehouse
 from tallyhouse.sources import feed as feeds
@@ -335,3 +335,35 @@ def test_the_ledger_is_derived_after_its_rows_were_spread(spark, sf):
     assert "Transfer in" in plan and "Transfer in" not in plan[plan.index("RebalancePartitions"):]
     plain = inputs.run_sql(spark, sf, inputs.LEDGER)
     assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+
+def test_lines_staged_by_month_travel_without_what_is_derived(spark, sf, tmp_path):
+    """The id is made after the lines of a month were brought together, and a load of such lines moves them no more."""
+    feed = inputs.feed(spark, sf)
+    plain, dealt = ledger.stage_transactions(feed), ledger.stage_transactions(feed, by_month=True)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and "md5" not in plan[plan.index("RebalancePartitions"):]
+    assert dealt.schema == plain.schema and dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+    for name, lines, placed in (("plain", plain, False), ("dealt", dealt, True)):
+        load.load_month_batch(spark, str(tmp_path / name), inputs.first_batch(lines))
+        load.load_month_batch(spark, str(tmp_path / name), inputs.after_second_batch(lines), placed=placed)
+    stored = [sinks.read_table(spark, str(tmp_path / name)) for name in ("plain", "dealt")]
+    assert stored[0].exceptAll(stored[1]).isEmpty() and stored[1].exceptAll(stored[0]).isEmpty()
+    assert all(file.name.endswith(".zstd.parquet") for file in (tmp_path / "dealt").rglob("part-*.parquet"))
+
+
+@pytest.mark.parametrize("max_rows", [10, 0])
+def test_only_ids_of_repeated_hashes_are_counted(spark, tmp_path, max_rows):
+    """The check finds what it finds without the hashes, also in a part of the rows and if a hash is one of a single
+    value; a row without a month has a hash like others."""
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 1), ("c", None), ("c", None), ("d", 2), ("d", 2), ("d", 2)]
+    lines = spark.createDataFrame(rows, "id string, month int")
+    prints = checks.repeated_prints(lines, "id", keys=("month",))
+    assert prints.count() == 3
+    chance = lines.filter("id = 'b'").select(F.xxhash64("month", "id").alias("_print"))
+    prints.union(chance).write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    for part in (lines, lines.filter("id <> 'd'"), lines.dropDuplicates()):
+        plain = checks.check_unique(part, "id", keys=("month",))
+        found = checks.check_unique(part, "id", keys=("month",), prints=prints, max_rows=max_rows)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
