@@ -3,9 +3,12 @@ newest load time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +16,7 @@ from pyspark.sql.window import Window
 from tallyhouse.functions.calendar import MONTH_ID, Dates, month_id
 from tallyhouse.functions.text import word
 from tallyhouse.operators import ledger, marts
-from tallyhouse.operators.lookups import BROADCAST_ROWS, lookup_join
+from tallyhouse.operators.lookups import BROADCAST_ROWS, is_small, lookup_join
 from tallyhouse.plans import cells
 from tallyhouse.plans.load import append_columns, merge_by_key
 from tallyhouse.policy import Policy
@@ -22,6 +25,9 @@ from tallyhouse.sources.ledgers import BUCKET, BUCKETS, LEDGER, Cell
 
 NAMED, NEWEST, LINE = "_named", "_newest", "_line"
 
+# Tables of a row for each ledger and month, or for each of its categories.
+FEW = ("hourly_pay", "tagged_share", "budget_compliance")
+
 
 def touched_owner_months(source: DataFrame, owner: str, load_ts: str = "load_ts") -> DataFrame:
     """``owner`` and month of the rows of each owner's latest load; lines are reduced to months before any ranking."""
@@ -40,6 +46,15 @@ def _mark_named(lines: DataFrame, named: DataFrame, max_rows: int) -> DataFrame:
     return lookup_join(lines, marks, [LEDGER, MONTH_ID], F.struct("txn_time", "txn_id"), max_rows)
 
 
+def _side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], None]]) -> None:
+    """Run jobs that do not wait for each other at once: a short one leaves most of the cluster idle. An error is raised
+    when all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for job in running:
+        job.result()
+
+
 def load_owner_months(
     spark: SparkSession,
     path: str,
@@ -101,10 +116,13 @@ def load_owner_months(
             stored = target.filter(ledgers.in_cells(held & changed)).withColumn(LEDGER, ledgers.ledger_of(owner))
             keep = _mark_named(stored, named, max_rows).filter(F.col(NAMED).isNull()).select(*target.columns)
             staged = sinks.read_table(spark, moved)
-            if key:
+            came = ledgers.read_files(spark, moved)
+            # An update replaces a line of its own ledger only; the files tell whether any of those is kept.
+            kept = known.filter(ledgers.in_cells(held & changed)).join(named, on, "left_anti")
+            if key and not kept.join(came, LEDGER, "left_semi").isEmpty():
                 # One text for owner and key, NULL where the key is.
                 line = F.concat(F.col(key).cast("string"), F.lit("|"), ledgers.ledger_of(owner))
-                count = ledgers.read_files(spark, moved).agg(F.sum("lines")).first()[0] or 0
+                count = came.agg(F.sum("lines")).first()[0] or 0
                 result = merge_by_key(keep.withColumn(LINE, line), staged.withColumn(LINE, line), LINE, count, max_rows).drop(LINE)
             else:
                 result = append_columns(keep, staged)
@@ -194,8 +212,8 @@ class LedgerHouse:
         policy, keys = self.policy, self.keys
         lines = sinks.read_table(self.spark, self.path("stg_transactions")).filter(ledgers.in_cells(changed)).drop(BUCKET)
         words = lines.select(self.owner, MONTH_ID, word(F.col("comment"), 0).alias("word")).filter("word IS NOT NULL")
-        self._store("fact_transactions", ledger.fact_transactions(lines, self.table("keys"), policy, owners=keys), changed)
-        self._store("words", words.distinct(), changed)
+        money = ledger.fact_transactions(lines, self.table("keys"), policy, owners=keys)
+        self._store_all((("fact_transactions", money), ("words", words.distinct())), changed)
         fact = sinks.read_table(self.spark, self.path("fact_transactions")).filter(ledgers.in_cells(changed)).drop(BUCKET)
         pay = marts.hourly_pay(fact, policy, keys).withColumn(MONTH_ID, (F.col("year") * 100 + F.col("month")).cast("int"))
         budget = self._planned(self.table("budget")).filter(ledgers.in_cells(changed)).drop(LEDGER, BUCKET, MONTH_ID)
@@ -206,8 +224,7 @@ class LedgerHouse:
             ("tagged_share", self._dated(marts.tagged_share(fact, policy, keys))),
             ("budget_compliance", self._dated(marts.budget_compliance(fact, budget, policy, keys))),
         )
-        for name, rows in kept:
-            self._store(name, rows, changed)
+        self._store_all(kept, changed)
         sinks.overwrite_table(self._rows(set()), self.path("changed"))
         return changed
 
@@ -223,7 +240,17 @@ class LedgerHouse:
         return self.buckets if sinks.read_table(self.spark, path) is None else ledgers.buckets_of(self.spark, path)
 
     def _store(self, name: str, rows: DataFrame, changed: set[Cell]) -> None:
-        ledgers.store_cells(rows, self.path(name), self.owner, self._buckets(), changed)
+        ledgers.store_cells(rows, self.path(name), self.owner, self._buckets(), changed, self._layout(name))
+
+    def _store_all(self, tables: Sequence[tuple[str, DataFrame]], changed: set[Cell]) -> None:
+        """Tables that do not follow from each other."""
+        _side_by_side(self.spark, [partial(self._store, name, rows, changed) for name, rows in tables])
+
+    def _layout(self, name: str) -> str:
+        # Money lines are shuffled on their way only if they meet a dictionary too long to be broadcast.
+        if name == "fact_transactions" and is_small(self.table("keys")):
+            return ledgers.PLACED
+        return ledgers.FEW if name in FEW else ledgers.BY_SIZE
 
     # Marked directories: those in which the other tables are behind the lines.
 

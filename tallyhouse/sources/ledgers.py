@@ -25,6 +25,11 @@ FILE_ROWS = f"{LEDGER} string, src_file string, load_ts timestamp, lines long, {
 # (bucket, month); lines without a time are of month None.
 Cell = tuple[int, int | None]
 
+# How rows come to the task that writes their directory. BY_SIZE splits what is too big for a task and packs what is
+# small. FEW is for rows that follow the owners and the calendar and not the lines: there the files take the time, so
+# the directories are dealt over all tasks. PLACED rows lie together already, as those of a stored table do.
+BY_SIZE, FEW, PLACED = "by size", "few", "placed"
+
 
 def ledger_of(owner: str) -> Column:
     """The ledger a line belongs to, never NULL: lines without an owner are a ledger of their own."""
@@ -67,21 +72,31 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_ROWS).parquet(f"{path}/{sinks.FILES}")
 
 
+def _dealt(rows: DataFrame, layout: str) -> DataFrame:
+    if layout == PLACED:
+        return rows
+    if layout == FEW:
+        return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, BUCKET, MONTH_ID)
+    return rows.hint("rebalance", BUCKET, MONTH_ID)
+
+
 def _write_files(lines: DataFrame, load_ts: str, path: str) -> None:
     file = F.col("src_file") if "src_file" in lines.columns else F.lit(None).cast("string")
     found = lines.groupBy(BUCKET, MONTH_ID, LEDGER, file.alias("src_file"))
     files = found.agg(F.max(load_ts).cast("timestamp").alias("load_ts"), F.count(F.lit(1)).alias("lines"))
-    sinks.parquet_writer(files.hint("rebalance", BUCKET, MONTH_ID)).partitionBy(BUCKET, MONTH_ID).parquet(path)
+    sinks.parquet_writer(_dealt(files, FEW)).partitionBy(BUCKET, MONTH_ID).parquet(path)
 
 
-def stage_cells(lines: DataFrame, path: str, owner: str, buckets: int, load_ts: str | None = None) -> str:
+def stage_cells(
+    lines: DataFrame, path: str, owner: str, buckets: int, load_ts: str | None = None, layout: str = BY_SIZE
+) -> str:
     """Write rows aside in the layout of the table at ``path``, with their files if ``load_ts`` names the load time."""
     spark = lines.sparkSession
     aside = sinks._aside(spark, path)
     marked = with_ledger(lines, owner, buckets)
     try:
         order = [BUCKET, MONTH_ID, LEDGER, *(["txn_time"] if "txn_time" in lines.columns else [])]
-        dealt = marked.hint("rebalance", BUCKET, MONTH_ID).sortWithinPartitions(*order).drop(LEDGER)
+        dealt = _dealt(marked, layout).sortWithinPartitions(*order).drop(LEDGER)
         sinks.parquet_writer(dealt).partitionBy(BUCKET, MONTH_ID).parquet(aside)
         if load_ts:
             stored = spark.read.schema(dealt.schema).parquet(aside)
@@ -110,6 +125,8 @@ def take_cells(spark: SparkSession, aside: str, path: str, changed: Iterable[Cel
     sinks._swap(spark, path, [*steps, ["drop", aside]])
 
 
-def store_cells(rows: DataFrame, path: str, owner: str, buckets: int, changed: Iterable[Cell]) -> None:
+def store_cells(
+    rows: DataFrame, path: str, owner: str, buckets: int, changed: Iterable[Cell], layout: str = BY_SIZE
+) -> None:
     """Make a derived table equal ``rows`` in the changed directories; ``rows`` lie in these only."""
-    take_cells(rows.sparkSession, stage_cells(rows, path, owner, buckets), path, changed)
+    take_cells(rows.sparkSession, stage_cells(rows, path, owner, buckets, layout=layout), path, changed)

@@ -2,6 +2,7 @@
 
 from datetime import date
 from decimal import Decimal
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,52 @@ def test_tables_of_many_ledgers(spark, tmp_path, monkeypatch):
         ("a", 25, 20, "CUMPLE"), ("b", 5, 10, "EXCESO"),
     ]
     assert values(house.table("fact_transactions").filter("tag IS NOT NULL"), "owner", "tag") == [("b", "Med/")]
+
+
+def test_no_merge_where_no_owner_keeps_lines(spark, tmp_path, monkeypatch):
+    """Lines of other owners in the directory are not looked up among the updates; kept lines of an updated owner are."""
+    path = str(tmp_path / "stg")
+    load_owner_months(spark, path, lines(spark, *FIRST), "owner", buckets=1)
+    asked = []
+    real = owners.merge_by_key
+    monkeypatch.setattr(owners, "merge_by_key", lambda *args: asked.append(1) or real(*args))
+    load_owner_months(spark, path, lines(spark, ("a", MAY, "new", "2002-02-01")), "owner", months(spark, ("a", 200105)))
+    assert not asked
+    assert held(spark, path) == sorted([("a", 200105, "new"), ("a", 200106, "old"), ("b", 200105, "old"), (None, 200105, "old")], key=str)
+    load_owner_months(spark, path, lines(spark, ("b", MAY, "old", "2002-02-01")), "owner", months(spark))
+    assert asked
+    assert held(spark, path) == sorted([("a", 200105, "new"), ("a", 200106, "old"), ("b", 200105, "old"), (None, 200105, "old")], key=str)
+
+
+def test_tables_are_refreshed_side_by_side(spark, tmp_path, monkeypatch):
+    """Tables that do not follow from each other meet here; an error is raised when the others have ended."""
+    house = LedgerHouse(spark, str(tmp_path / "house"), DEMO, buckets=3)
+    house.load_reference(inputs.keys(spark), budget(spark, ("a", "15")))
+    groups = (("fact_transactions", "words"), ("cells", "largest", "hourly_pay", "tagged_share", "budget_compliance"))
+    met = {name: barrier for group in groups for barrier in [Barrier(len(group))] for name in group}
+    real, failing = LedgerHouse._store, ["hourly_pay"]
+
+    def store(self, name, rows, changed):
+        met[name].wait(20)
+        if name in failing:
+            raise OSError("stopped")
+        real(self, name, rows, changed)
+
+    monkeypatch.setattr(owners.LedgerHouse, "_store", store)
+    with pytest.raises(OSError, match="stopped"):
+        house.load_lines(lines(spark, *FIRST))
+    assert values(house.table("cells"), "owner", "month_id") == sorted([("a", 200105), ("a", 200106), ("b", 200105), (None, 200105)], key=str)
+    failing.clear()
+    assert house.refresh() and house.refresh() == set()
+    assert house.table("hourly_pay").count() == 0
+
+
+def test_small_tables_are_written_by_many_tasks(spark, tmp_path):
+    """A row for each of many directories: no task writes all of them, and a directory is one file."""
+    rows = spark.range(400).selectExpr("concat('o', id % 10) AS owner", "cast(200001 + id % 12 AS int) AS month_id")
+    path = str(tmp_path / "few")
+    ledgers.store_cells(rows, path, "owner", 4, set(), ledgers.FEW)
+    files = [file for file in (tmp_path / "few").rglob("part-*.parquet")]
+    assert len(files) == len(ledgers.stored_cells(spark, path))
+    assert len({file.name.split("-")[1] for file in files}) > 1
+    assert values(sinks.read_table(spark, path), "owner", "month_id") == values(rows, "owner", "month_id")
