@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -56,6 +57,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(name(path))
 
 
+def _listed(spark: SparkSession, pattern: str) -> list:
+    files, name = _files(spark, pattern)
+    return list(files.globStatus(name(pattern)) or ())
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file that is there whole or not at all."""
     files, name = _files(spark, path)
@@ -87,6 +93,9 @@ def recover(spark: SparkSession, path: str) -> None:
     for kind, *where in json.loads(_read_text(spark, _journal(path))):
         if kind == "drop":
             delete(spark, where[0])
+        elif kind == "add":
+            for file in _listed(spark, f"{where[0]}/*"):
+                _move(spark, file.getPath().toString(), f"{where[1]}/{file.getPath().getName()}")
         elif _exists(spark, where[0]):
             # Still aside: the old files may be gone already.
             delete(spark, where[1])
@@ -186,6 +195,17 @@ def stored_months(spark: SparkSession, path: str) -> set:
     return {None if value == "__HIVE_DEFAULT_PARTITION__" else int(value) for value in values}
 
 
+# So many files below this size may lie in a month before the next lines that come to it make it be written anew. The
+# size is well below that of the files which a month is split into, so what was written anew is not crowded again.
+PIECES, SMALL = 16, 4 << 20
+
+
+def crowded_months(spark: SparkSession, path: str) -> set:
+    """Months of many small files: a listing, no read."""
+    small = Counter(f.getPath().getParent().getName() for f in _listed(spark, f"{path}/{MONTH_ID}=*/*.parquet") if f.getLen() < SMALL)
+    return {month for month in stored_months(spark, path) if small[month_directory(month)] >= PIECES}
+
+
 def files_of(lines: DataFrame, load_ts: str = "load_ts") -> DataFrame:
     """The files of each month of ``lines``, with load time and number of lines."""
     file = F.col("src_file") if "src_file" in lines.columns else F.lit(None).cast("string")
@@ -232,20 +252,38 @@ def stage_months(df: DataFrame, path: str, load_ts: str | None = None, placed: b
     return aside
 
 
-def take_months(spark: SparkSession, aside: str, path: str, changed: Iterable[int | None] = ()) -> None:
-    """Swap in the months that were staged; the others of ``changed`` are emptied. All or nothing, also if it stops."""
+def add_staged(spark: SparkSession, source: str, aside: str, months: Iterable[int | None]) -> None:
+    """Put staged months of ``source`` next to other months that are staged in ``aside``."""
+    months = set(months)
+    if not months:
+        return
+    for month in months:
+        _move(spark, f"{source}/{month_directory(month)}", f"{aside}/{month_directory(month)}")
+    files = read_files(spark, source).filter(_of_months(months)).hint("rebalance")
+    parquet_writer(files).mode("append").parquet(f"{aside}/{FILES}")
+
+
+def _of_months(months: Iterable[int | None]) -> Column:
+    # NULL is a month of its own.
+    return F.coalesce(F.col(MONTH_ID), F.lit(0)).isin([m or 0 for m in months])
+
+
+def take_months(
+    spark: SparkSession, aside: str, path: str, changed: Iterable[int | None] = (), added: Iterable[int | None] = ()
+) -> None:
+    """Swap in the months that were staged; the others of ``changed`` are emptied. All or nothing, also if it stops. The
+    files of months in ``added`` join those that are stored and take no place."""
     if not _exists(spark, path):
         _swap(spark, path, [["replace", aside, path]])
         return
     new, old = stored_months(spark, aside), stored_months(spark, path)
-    changed = new | set(changed)
-    steps = [["replace", f"{aside}/{month_directory(m)}", f"{path}/{month_directory(m)}"] for m in sorted(new, key=str)]
+    added = new & old & set(added)
+    changed = (new | set(changed)) - added
+    steps = [["add" if m in added else "replace", f"{aside}/{month_directory(m)}", f"{path}/{month_directory(m)}"] for m in sorted(new, key=str)]
     steps += [["drop", f"{path}/{month_directory(m)}"] for m in sorted(changed & old - new, key=str)]
     known, came = read_files(spark, path), read_files(spark, aside)
     if known is not None and came is not None:
-        # NULL is a month of its own.
-        gone = F.coalesce(F.col(MONTH_ID), F.lit(0)).isin([m or 0 for m in changed])
-        _write_files(known.filter(~gone).unionByName(came), f"{aside}/_merged")
+        _write_files(known.filter(~_of_months(changed)).unionByName(came), f"{aside}/_merged")
         steps.append(["replace", f"{aside}/_merged", f"{path}/{FILES}"])
     else:
         steps.append(["drop", f"{path}/{FILES}"])

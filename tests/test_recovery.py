@@ -160,6 +160,94 @@ def test_no_line_of_an_untouched_month_is_read(spark, tmp_path, by):
     assert values(sinks.read_table(spark, path).filter("month_id = 200106"), "concept") == [("new",)]
 
 
+def part_files(folder):
+    return {file.name for file in folder.glob("*.parquet")}
+
+
+def test_arriving_lines_join_a_month_that_is_not_read(spark, tmp_path):
+    path, may = str(tmp_path / "t"), tmp_path / "t" / "month_id=200105"
+    arrived(spark, path, staged(spark, line(when=MAY, src_file="in/a.csv"), line(when=None, src_file="in/a.csv")))
+    stored = {name: (may / name).read_bytes() for name in part_files(may)}
+    spoil(may)
+    spoil(tmp_path / "t" / "month_id=__HIVE_DEFAULT_PARTITION__")
+    # An older file of a stored name and the lesser of two new ones of a name are left out, whatever months they hold.
+    late = [line(when=when, src_file="old/a.csv", loaded="2001-01-01", concept="late") for when in (MAY, JUNE)]
+    lesser = [line(when=when, src_file="in/b.csv", concept="lesser") for when in (MAY, JULY)]
+    arrived(spark, path, staged(spark, *late, *lesser, line(when=MAY, src_file="in/c.csv"), *(line(when=when, src_file="new/b.csv", concept="new", loaded=NEW) for when in (MAY, None))))
+    for name, content in stored.items():
+        (may / name).write_bytes(content)
+    table = sinks.read_table(spark, path).filter("month_id IS NOT NULL")
+    assert values(table, "month_id", "src_file", "concept") == [(200105, "in/a.csv", "Lunch"), (200105, "in/c.csv", "Lunch"), (200105, "new/b.csv", "new")]
+    files = [(200105, "in/a.csv", 1), (200105, "in/c.csv", 1), (200105, "new/b.csv", 1), (None, "in/a.csv", 1), (None, "new/b.csv", 1)]
+    assert values(sinks.read_files(spark, path), "month_id", "src_file", "lines") == files
+    # A repeated batch, and a newer file of a name, take their lines' place.
+    for concept, when, loaded in (("Lunch", MAY, "2002-01-01"), ("again", JUNE, "2002-03-01")):
+        arrived(spark, path, staged(spark, line(when=when, src_file="in/c.csv", concept=concept, loaded=loaded)))
+        table = sinks.read_table(spark, path).filter("month_id IS NOT NULL AND src_file = 'in/c.csv'")
+        assert values(table, "concept") == [(concept,)]
+
+
+def test_arriving_lines_are_written_once(spark, tmp_path, monkeypatch):
+    path, writes = str(tmp_path / "t"), []
+    first, second = staged(spark, line(src_file="a.csv")), staged(spark, line(src_file="b.csv"), line(when=JUNE, src_file="b.csv"))
+    writer = type(first.write)
+    real = writer.parquet
+
+    def parquet(self, *args, **options):
+        if "txn_id" in self._df.columns:
+            writes.append(self._df.count())
+        real(self, *args, **options)
+
+    monkeypatch.setattr(writer, "parquet", parquet)
+    arrived(spark, path, first)
+    arrived(spark, path, second)
+    assert writes == [1, 2]
+
+
+def test_a_month_of_many_arrivals_stays_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PIECES", 2)
+    path, most = str(tmp_path / "t"), 0
+    for n in range(5):
+        june = [line(when=JUNE, src_file=f"{n}.csv", concept=str(n))] if n == 3 else []
+        arrived(spark, path, staged(spark, line(when=MAY, src_file=f"{n}.csv", concept=str(n)), *june).coalesce(1))
+        most = max(most, len(part_files(tmp_path / "t" / "month_id=200105")))
+    assert most == 2
+    assert rows(spark, path) == [*((200105, str(n)) for n in range(5)), (200106, "3")]
+    assert values(sinks.read_files(spark, path), "month_id", "src_file", "lines") == [*((200105, f"{n}.csv", 1) for n in range(5)), (200106, "3.csv", 1)]
+
+
+def test_files_that_join_a_month_come_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """May gains lines in several files, June is replaced, July new: stopped in front of every step, then read."""
+    schema = "month_id int, concept string, load_ts timestamp"
+    table = lambda parts, *months: spark.createDataFrame([(m, c, None) for m, c in months], schema).repartition(parts, "concept")
+    old, new = [(200105, "m"), (200106, "j")], [(200105, "a"), (200105, "b"), (200105, "c"), (200106, "k"), (200107, "n")]
+    after, seen = sorted([old[0], *new], key=str), set()
+    for at in count():
+        path = str(tmp_path / f"t{at}")
+        sinks.store_months(table(1, *old), path, load_ts="load_ts")
+        aside = sinks.stage_months(table(8, *new), path, "load_ts", placed=True)
+        more = stopped(monkeypatch, at, partial(sinks.take_months, spark, aside, path, {200106}, {200105}))
+        found = rows(spark, path)
+        assert found in (old, after)
+        seen.add(str(found))
+        if found == after:
+            assert values(sinks.read_files(spark, path).groupBy("month_id").agg(F.sum("lines").alias("lines")), "month_id", "lines") == [(200105, 4), (200106, 1), (200107, 1)]
+        if not more:
+            break
+    assert at > 8 and len(seen) == 2
+
+
+@pytest.mark.parametrize("at", [3, 8])
+def test_a_batch_that_stops_may_be_repeated(spark, tmp_path, monkeypatch, at):
+    path = str(tmp_path / "t")
+    arrived(spark, path, staged(spark, line(when=MAY, src_file="a.csv", concept="a"), line(when=JUNE, src_file="b.csv", concept="b")))
+    more = staged(spark, line(when=MAY, src_file="c.csv", concept="c"), line(when=JUNE, src_file="b.csv", concept="new", loaded=NEW))
+    run = partial(arrived, spark, path, more)
+    assert stopped(monkeypatch, at, run)
+    run()
+    assert rows(spark, path) == [(200105, "a"), (200105, "c"), (200106, "new")]
+
+
 def test_exports_known_to_hold_nothing_new_are_not_opened(spark, tmp_path):
     header = ",".join(schemas.FEED.names)
     one = "2001-0{}-10 08:00:00,Card,Food,,Lunch,,Expense,1,1,1,PEN"
