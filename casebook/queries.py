@@ -327,8 +327,11 @@ def w_stream(spark: SparkSession, sf: str, max_files: int | None = None) -> Data
     exports, path, checkpoint = (sinks.scratch_path(spark, name) for name in ("exports", "arrived", "progress"))
     lines = inputs.feed(spark, sf).select(*feeds.schemas.FEED.names)
     # Files taken one by one each touch every month, so they stay few; else they follow the size of the feed.
-    files = 3 if max_files else max(3, lines.rdd.getNumPartitions())
-    lines.repartition(files).write.option("header", True).csv(exports)
+    parts = lines.rdd.getNumPartitions()
+    files = 3 if max_files else max(3, parts)
+    # Tasks write what they read. Lines travel only where tasks are fewer than files.
+    dealt = lines.repartition(files) if parts < files else lines.coalesce(files)
+    dealt.write.option("header", True).csv(exports)
     stream = feeds.stream_feed(spark, exports, max_files=max_files)
     load_arrivals(stream, path, checkpoint).awaitTermination()
     return sinks.read_table(spark, path).drop("src_file", "load_ts", "file_created_at", "file_size")

@@ -75,7 +75,7 @@ def load_arrivals(feed: DataFrame, path: str, checkpoint: str, available_now: bo
     """
 
     def load_batch(batch: DataFrame, _: int) -> None:
-        arrived(batch.sparkSession, path, stage_transactions(batch))
+        arrived(batch.sparkSession, path, stage_transactions(batch, by_month=True), placed=True)
 
     writer = feed.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     if available_now:

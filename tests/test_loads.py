@@ -14,6 +14,7 @@ from tallyhouse.plans.warehouse import Warehouse
 from casebook.policy import DEMO
 from tallyhouse.sources import feed as feeds
 from tallyhouse.sources import reference, sinks
+from tallyhouse.streaming import arrivals
 from tallyhouse.streaming.arrivals import load_arrivals
 from tests.rows import line, staged, values
 
@@ -321,3 +322,25 @@ def test_lines_stay_where_they_are_read_when_they_meet_a_listing(spark, sf):
     finally:
         spark.conf.set(threshold, default)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_that_arrive_travel_once(spark, sf, tmp_path, monkeypatch):
+    """The exports are written by the tasks that read their lines; lines meet by month before their ids are derived."""
+    lines = inputs.feed(spark, sf)
+    lines.repartition(4).write.parquet(str(tmp_path / "feed"))
+    monkeypatch.setattr(inputs, "feed", lambda *_: spark.read.parquet(str(tmp_path / "feed")))
+    plans = []
+
+    def arrives(_, path, staged, **how):
+        plans.append(staged._jdf.queryExecution().optimizedPlan().toString())
+        arrived(_, path, staged, **how)
+
+    writer, csv, arrived = type(lines.write), type(lines.write).csv, arrivals.arrived
+    monkeypatch.setattr(writer, "csv", lambda self, path: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), csv(self, path)))
+    monkeypatch.setattr(arrivals, "arrived", arrives)
+    for name, batches in (("w_stream", 1), ("w_stream_by_file", 3)):
+        plans.clear()
+        assert queries()[name](spark, sf).count() == lines.count()
+        exports, *staged = plans
+        assert "Exchange" not in exports and len(staged) == batches
+        assert all(-1 < plan.index("md5(") < plan.index("RebalancePartitions") for plan in staged)
